@@ -19,11 +19,11 @@ from pyspark.sql import functions as F
 from panelframe.llm.common import written
 
 # Vectors of the sample on which graph, parts and classifier are fitted (those first by a hash of their id).
-SAMPLE = 6000
+SAMPLE = 4000
 # Neighbours of each vector in the graph; parts at most; vectors of the sample in a part, about.
-GRAPH, MOST_PARTS, PART_SAMPLE = 12, 48, 100
+GRAPH, MOST_PARTS, PART_SAMPLE = 12, 32, 100
 # Share of true neighbours in the sample that the probed parts must hold.
-AIM = 0.97
+AIM = 0.95
 HIDDEN, ROUNDS, RATE = 96, 220, 0.01
 # Rows and queries of one block.
 BLOCK_ROWS, BLOCK_QUERIES = 8192, 2048
