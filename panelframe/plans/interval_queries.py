@@ -8,12 +8,15 @@ from pyspark.sql import functions as F
 from panelframe.operators import intervals as I
 from panelframe.plans.registry import query, table
 
-_STRIP_SQL = "l_orderkey AS strip, l_linenumber AS k, l_partkey % 3000 AS y0, l_partkey % 3000 + 50 + (l_quantity * 30)::BIGINT AS y1"
+_STRIP_SQL = """l_orderkey AS strip, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS k,
+  l_partkey % 3000 AS y0, l_partkey % 3000 + 50 + (l_quantity * 30)::BIGINT AS y1, l_returnflag || l_suppkey AS text"""
 
 
-def spans(spark, folder, shift: int = 0):
-    y0 = (F.col("l_partkey") + shift) % 3000
-    return table(spark, folder, "lineitem").select(F.col("l_orderkey").alias("strip"), F.col("l_linenumber").cast("long").alias("k"), y0.cast("long").alias("y0"), (y0 + 50 + (F.col("l_quantity") * 30).cast("long")).cast("long").alias("y1"))
+def spans(spark, folder):
+    """Order lines as entries of strips: numbered within the order, with a range and a text."""
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+    y0 = (F.col("l_partkey") % 3000).cast("long")
+    return table(spark, folder, "lineitem").select(F.col("l_orderkey").alias("strip"), F.row_number().over(w).cast("long").alias("k"), y0.alias("y0"), (y0 + 50 + (F.col("l_quantity") * 30).cast("long")).alias("y1"), F.concat("l_returnflag", "l_suppkey").alias("text"))
 
 
 @query("""SELECT p_partkey, k::INTEGER AS k, k * 1800 AS y0, least(k * 1800 + 2000, h) AS y1
@@ -73,7 +76,7 @@ SELECT strip, k, y0, y1 FROM s WHERE k % 2 = 1 AND NOT EXISTS (SELECT 1 FROM f W
 def c07_free_of_bubbles(spark, folder):
     s = spans(spark, folder)
     bubbles = s.where("k % 2 = 0 and y1 - y0 <= 900").select("strip", F.greatest(F.col("y0") - 20, F.lit(0)).alias("f0"), (F.col("y1") + 20).alias("f1"))
-    cuts = s.where("k % 2 = 1")
+    cuts = s.where("k % 2 = 1").drop("text")
     hit = I.overlapping(cuts, bubbles, "strip", ("y0", "y1"), ("f0", "f1")).select("strip", "k").distinct()
     return cuts.join(hit, ["strip", "k"], "left_anti")
 
@@ -103,27 +106,27 @@ def c17_blank_cover(spark, folder):
   f AS (SELECT * FROM p WHERE iou >= 0.30 QUALIFY row_number() OVER (PARTITION BY strip, k ORDER BY other) = 1)
 SELECT s.strip, s.k, s.y0, s.y1, f.other, round(f.iou, 6) AS iou, f.iou >= 0.85 AS duplicate FROM s LEFT JOIN f ON f.strip = s.strip AND f.k = s.k""")
 def d04_first_overlap(spark, folder):
-    return I.first_overlap(spans(spark, folder))
+    return I.first_overlap(spans(spark, folder).drop("text"))
 
 
-@query(f"""WITH s AS (SELECT {_STRIP_SQL}, l_shipmode AS text FROM lineitem), p AS (SELECT strip, k AS id, y0 AS p0, y1 AS p1 FROM s WHERE k % 2 = 1), e AS (SELECT strip, k, y0 AS e0, y1 AS e1, text FROM s WHERE k % 2 = 0),
+@query(f"""WITH s AS (SELECT {_STRIP_SQL} FROM lineitem), p AS (SELECT strip, k AS id, y0 AS p0, y1 AS p1 FROM s WHERE k % 2 = 1), e AS (SELECT strip, k, y0 AS e0, y1 AS e1, text FROM s WHERE k % 2 = 0),
   b AS (SELECT p.strip, id, text, least(p1, e1) - greatest(p0, e0) AS overlap FROM p JOIN e ON e.strip = p.strip AND e0 < p1 AND p0 < e1 QUALIFY row_number() OVER (PARTITION BY p.strip, id ORDER BY least(p1, e1) - greatest(p0, e0) DESC, k) = 1)
 SELECT p.strip, p.id, b.text, b.overlap FROM p LEFT JOIN b ON b.strip = p.strip AND b.id = p.id""")
 def e02_best_overlap(spark, folder):
-    s = spans(spark, folder).join(table(spark, folder, "lineitem").select(F.col("l_orderkey").alias("strip"), F.col("l_linenumber").cast("long").alias("k"), F.col("l_shipmode").alias("text")), ["strip", "k"])
+    s = spans(spark, folder)
     panels = s.where("k % 2 = 1").select("strip", F.col("k").alias("id"), F.col("y0").alias("p0"), F.col("y1").alias("p1"))
     entries = s.where("k % 2 = 0").select("strip", "k", F.col("y0").alias("e0"), F.col("y1").alias("e1"), "text")
     return I.best_overlap(panels, entries).select("strip", "id", "text", "overlap")
 
 
-@query(f"""WITH RECURSIVE s AS (SELECT strip, y0, y1, l_shipmode AS text, row_number() OVER (PARTITION BY strip ORDER BY y0, y1, l_shipmode) AS n FROM (SELECT {_STRIP_SQL}, l_shipmode FROM lineitem)),
+@query(f"""WITH RECURSIVE s AS (SELECT strip, y0, y1, text, row_number() OVER (PARTITION BY strip ORDER BY y0, y1, text) AS n FROM (SELECT {_STRIP_SQL} FROM lineitem)),
   f AS (SELECT strip, 1::BIGINT AS n, y0, y1, text, y1 - y0 AS longest, 1::BIGINT AS idx FROM s WHERE n = 1 UNION ALL
     SELECT f.strip, s.n, CASE WHEN same THEN least(f.y0, s.y0) ELSE s.y0 END, CASE WHEN same THEN greatest(f.y1, s.y1) ELSE s.y1 END, CASE WHEN same AND s.y1 - s.y0 <= longest THEN f.text ELSE s.text END,
       CASE WHEN same THEN greatest(longest, s.y1 - s.y0) ELSE s.y1 - s.y0 END, CASE WHEN same THEN idx ELSE idx + 1 END
     FROM f JOIN s ON s.strip = f.strip AND s.n = f.n + 1, LATERAL (SELECT least(f.y1, s.y1) - greatest(f.y0, s.y0) > 0 AND (least(f.y1, s.y1) - greatest(f.y0, s.y0))::DOUBLE / least(f.y1 - f.y0, s.y1 - s.y0) >= 0.5 AS same) l)
 SELECT strip, idx, arg_max(y0, n) AS y0, arg_max(y1, n) AS y1, arg_max(text, n) AS text FROM f GROUP BY strip, idx""")
 def e03_stitched(spark, folder):
-    rows = spans(spark, folder).join(table(spark, folder, "lineitem").select(F.col("l_orderkey").alias("strip"), F.col("l_linenumber").cast("long").alias("k"), F.col("l_shipmode").alias("text")), ["strip", "k"])
+    rows = spans(spark, folder)
     strips = rows.groupBy("strip").agg(F.collect_list(F.struct("y0", "y1", "text")).alias("e")).select("strip", F.posexplode(I.stitched(F.col("e"))).alias("i", "m"))
     return strips.select("strip", (F.col("i") + 1).cast("long").alias("idx"), "m.y0", "m.y1", "m.text")
 
