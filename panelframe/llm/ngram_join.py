@@ -26,7 +26,7 @@ from panelframe.llm.components import components
 
 MEMO_ENTRIES = 350_000
 # Shingles in this share of documents or more count as frequent. There are at most (mean set size / share) of them.
-FREQUENT = 0.002
+FREQUENT = 0.001
 # Shingles whose frequency within a stretch is counted at once.
 STRETCH = 4_000_000
 # Light sets have at most so many shingles, whatever the costs; and at least.
@@ -36,7 +36,7 @@ FILTER_BITS = 1 << 22
 # Bits of a set's parity sketch, in 64-bit words.
 SKETCH_WORDS = 16
 # Hubs that a node meets at first, and members of a block of a long list.
-HUBS, BLOCK = 2, 512
+HUBS, BLOCK = 1, 512
 _P1, _P2, _P3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -227,57 +227,85 @@ def _shared(keys: DataFrame) -> DataFrame:
     return keys.mapInArrow(batches, "token long, node long, size int, hub long")
 
 
-def _sets(docs: DataFrame, n: int, needed: DataFrame) -> DataFrame:
-    """(node, shingles) of the nodes in needed (node, rep). Texts whose id is not in a fixed-size presence filter are passed over."""
-    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS)).cast("int")
-    spark = docs.sparkSession
-    present = needed.where("rep is not null").select(bit(F.col("rep")).alias("bit")).distinct().toArrow().column(0).to_numpy()
+def presence(spark, ids: DataFrame):
+    """A broadcast bit table of fixed size in which the bit of every id in ids(rep) is set."""
+    bits = ids.where("rep is not null").select(id_bit(F.col("rep")).alias("bit")).distinct().toArrow().column(0).to_numpy()
     mask = np.zeros(FILTER_BITS, bool)
-    mask[present] = True
-    packed = spark.sparkContext.broadcast(np.packbits(mask))
+    mask[bits] = True
+    return spark.sparkContext.broadcast(np.packbits(mask))
+
+
+def id_bit(c):
+    return F.pmod(F.xxhash64(c), F.lit(FILTER_BITS)).cast("int")
+
+
+def _sets(docs: DataFrame, n: int, needed: DataFrame, short: bool) -> DataFrame:
+    """(node, shingles) of the nodes in needed(node, rep), as 32-bit (short) or 64-bit hashes.
+
+    The texts are read again rather than kept; those whose id has no bit in the presence table are passed over.
+    """
+    packed = presence(docs.sparkSession, needed)
 
     def batches(source):
         shingles, bits = Shingles(n), packed.value
         for batch in source:
             at = batch.column(1).to_pylist()
             nodes, sets = [], []
-            for k, text in zip(at, batch.column(0).to_pylist()):
+            for i, k in enumerate(at):
                 if k is None or bits[k >> 3] >> (7 - (k & 7)) & 1:
-                    s = shingles(text)
+                    s = shingles(batch.column(0)[i].as_py())
                     if len(s):
                         nodes.append(node_of(s))
-                        sets.append(s.tobytes())
+                        # The upper halves of sorted hashes are sorted too.
+                        sets.append(((s >> np.uint64(32)).astype(np.uint32) if short else s).tobytes())
             if nodes:
                 yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())], names=["node", "shingles"])
 
-    found = docs.select("_text", F.when(F.col("_id").isNotNull(), bit(F.col("_id"))).alias("bit")).mapInArrow(batches, "node long, shingles binary")
+    found = docs.select("_text", F.when(F.col("_id").isNotNull(), id_bit(F.col("_id"))).alias("bit")).mapInArrow(batches, "node long, shingles binary")
     # Equal sets of several documents come several times; one is enough.
     return written(found.join(needed.select("node"), "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
 
 
-def _linked(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The (a, b) of pairs (a, size_a, b, size_b) whose sets are near. Sketches rule out most others first."""
-    left, right = (nodes.select(F.col("node").alias(c), F.col("sketch").alias(f"sketch_{c}")) for c in "ab")
-    differ = F.aggregate(F.zip_with("sketch_a", "sketch_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    total = F.col("size_a").cast("long") + F.col("size_b")
-    # 100 |A and B| >= percent |A or B| means (100 + percent) |A and B| >= percent (|A| + |B|).
-    least = F.ceil(F.lit(percent) * total / F.lit(100 + percent))
-    likely = pairs.join(left, "a").join(right, "b").where(differ <= total - 2 * least).select("a", "b")
-    likely = written(likely, "likely-pairs")
+# Short hashes can only overstate an overlap; up to so much over the least overlap, a pair is looked at with long ones.
+SLACK = 4
 
-    @F.pandas_udf("boolean")
-    def near(a, b):
+
+def _overlap(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, n: int, short: bool) -> DataFrame:
+    """pairs(a, b, least) with the number of shingles that a and b share."""
+    ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    sets = _sets(docs, n, written(ends.join(nodes.select("node", "rep"), "node"), "needed"), short)
+    kind = np.uint32 if short else np.uint64
+
+    @F.pandas_udf("long")
+    def shared(a, b):
         import pandas as pd
 
         def one(x, y):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            return 100 * both >= percent * (len(x) + len(y) - both)
+            x, y = np.frombuffer(x, kind), np.frombuffer(y, kind)
+            at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+            return int((y[at] == x).sum())
 
-        return pd.Series([one(x, y) for x, y in zip(a, b)], dtype=bool)
+        return pd.Series([one(x, y) for x, y in zip(a, b)], dtype="int64")
 
     first, second = (sets.select(F.col("node").alias(c), F.col("shingles").alias(f"set_{c}")) for c in "ab")
-    return likely.join(first, "a").join(second, "b").where(near("set_a", "set_b")).select("a", "b")
+    return pairs.join(first, "a").join(second, "b").select("a", "b", "least", shared("set_a", "set_b").alias("shared"))
+
+
+def _linked(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, n: int, percent: int) -> DataFrame:
+    """The (a, b) of pairs(a, size_a, b, size_b) whose sets are near. Sketches rule out most others first."""
+    left, right = (nodes.select(F.col("node").alias(c), F.col("sketch").alias(f"sketch_{c}")) for c in "ab")
+    differ = F.aggregate(F.zip_with("sketch_a", "sketch_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    total = F.col("size_a").cast("long") + F.col("size_b")
+    # 100 |A and B| >= percent |A or B| means (100 + percent) |A and B| >= percent (|A| + |B|).
+    least = F.ceil(F.lit(percent) * total / F.lit(100 + percent))
+    likely = pairs.join(left, "a").join(right, "b").where(differ <= total - 2 * least).select("a", "b", least.alias("least"))
+    likely = written(likely, "likely-pairs")
+    rough = written(_overlap(likely, docs, nodes, n, True).where("shared >= least"), "rough-pairs")
+    doubtful = rough.where(F.col("shared") < F.col("least") + SLACK).select("a", "b", "least")
+    sure = rough.where(F.col("shared") >= F.col("least") + SLACK).select("a", "b")
+    if doubtful.isEmpty():
+        return sure
+    return sure.unionByName(_overlap(doubtful, docs, nodes, n, False).where("shared >= least").select("a", "b"))
 
 
 def _across(lists: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
@@ -325,19 +353,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     keys = _keys(docs, n, percent, boundary, frequent)
     dealt = keys.repartition(F.col("token")).sortWithinPartitions("token", "size", "node")
     lists = written(_shared(dealt), "lists")
-    needed = written(lists.select("node").distinct().join(nodes.select("node", "rep"), "node"), "needed")
-    sets = _sets(docs, n, needed)
-
     # First meetings: each node with the hubs that it shares most lists with.
     size_of = nodes.select(F.col("node").alias("a"), F.col("size").alias("size_a"))
     hubs = lists.where("hub <> node").groupBy(F.col("hub").alias("a"), F.col("node").alias("b")).agg(F.count(F.lit(1)).alias("n"), F.first("size").alias("size_b"))
     order = Window.partitionBy("b").orderBy(F.desc("n"), "a")
     stars = hubs.withColumn("k", F.row_number().over(order)).where(F.col("k") <= HUBS).join(size_of, "a").select("a", "size_a", "b", "size_b")
-    links = written(_linked(stars, nodes, sets, percent), "links")
+    links = written(_linked(stars, docs, nodes, n, percent), "links")
     labels = written(components(links), "labels")
 
     # What is left: nodes that share a list across components.
-    more = written(_linked(_across(lists, labels, percent), nodes, sets, percent), "more-links")
+    more = written(_linked(_across(lists, labels, percent), docs, nodes, n, percent), "more-links")
     label = lambda c: F.coalesce(F.col(f"component_{c}"), F.col(c))
     side = lambda c: labels.select(F.col("node").alias(c), F.col("component").alias(f"component_{c}"))
     joined = more.join(side("a"), "a", "left").join(side("b"), "b", "left").select(label("a").alias("a"), label("b").alias("b"))
@@ -362,11 +387,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
     i = F.col(f"`{id_col}`")
     counted = found.where(i.isNotNull() & (F.col("n_shingles") > 0)).groupBy(i.alias("_id")).agg(F.min("component_id").alias("_keep"), F.count(F.lit(1)).alias("_n"))
     going = written(counted.where("_keep <> _id or _n > 1"), "going")
-    bit = F.pmod(F.xxhash64(i), F.lit(FILTER_BITS)).cast("int")
-    present = going.select(F.pmod(F.xxhash64("_id"), F.lit(FILTER_BITS)).cast("int").alias("bit")).distinct().toArrow().column(0).to_numpy()
-    mask = np.zeros(FILTER_BITS, bool)
-    mask[present] = True
-    packed = spark.sparkContext.broadcast(np.packbits(mask))
+    packed = presence(spark, going.select(F.col("_id").alias("rep")))
 
     @F.pandas_udf("boolean")
     def maybe(bits):
@@ -375,7 +396,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
 
         return pd.Series((packed.value[k >> 3] >> (7 - (k & 7)).astype(np.uint8) & 1).astype(bool))
 
-    unsure = i.isNotNull() & maybe(F.coalesce(bit, F.lit(0)))
+    unsure = i.isNotNull() & maybe(F.coalesce(id_bit(i), F.lit(0)))
     stay = docs.where(~unsure)
     looked = docs.where(unsure).join(going, i == F.col("_id"), "left").where("_id is null or _keep = _id")
     repeated = looked.where("_n > 1").withColumn("_k", F.row_number().over(Window.partitionBy("_id").orderBy(F.xxhash64(F.col(f"`{text_col}`"))))).where("_k = 1")
