@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelframe.functions.text import let
+
 CELL = 2000
 
 
@@ -83,20 +85,26 @@ def stitched(entries: Column) -> Column:
 
     The test is against the growing union, so this is a fold; the text of the longest single entry stays.
     """
-    item = "struct<y0:bigint,y1:bigint,text:string,longest:bigint>"
-    start = F.array().cast(f"array<{item}>")
-    new = lambda e: F.struct(e["y0"].alias("y0"), e["y1"].alias("y1"), e["text"].alias("text"), (e["y1"] - e["y0"]).alias("longest"))
+    # The last merged range is held apart from those before it, with the ordinal of the entry whose text it keeps.
+    span = lambda y0, y1, n, longest, best: F.struct(y0.alias("y0"), y1.alias("y1"), n.alias("n"), longest.alias("longest"), best.alias("best"))
+    zero = F.lit(0).cast("long")
+    start = F.struct(F.array().cast("array<struct<y0:bigint,y1:bigint,best:bigint>>").alias("done"), span(zero, zero, zero, zero, zero).alias("last"))
+    close = lambda a: F.concat(a["done"], F.array(F.struct(a["last"]["y0"].alias("y0"), a["last"]["y1"].alias("y1"), a["last"]["best"].alias("best"))))
 
     def step(a: Column, e: Column) -> Column:
-        p = F.try_element_at(a, F.lit(-1))
+        p, n = a["last"], e["y1"] - e["y0"]
+        k = p["n"] + 1
         inter = F.least(p["y1"], e["y1"]) - F.greatest(p["y0"], e["y0"])
-        same = (inter > 0) & (inter / F.least(p["y1"] - p["y0"], e["y1"] - e["y0"]) >= 0.5)
-        n = e["y1"] - e["y0"]
-        both = F.struct(F.least(p["y0"], e["y0"]).alias("y0"), F.greatest(p["y1"], e["y1"]).alias("y1"), F.when(n > p["longest"], e["text"]).otherwise(p["text"]).alias("text"), F.greatest(p["longest"], n).alias("longest"))
-        return F.when(F.coalesce(same, F.lit(False)), F.concat(F.slice(a, F.lit(1), F.size(a) - 1), F.array(both))).otherwise(F.concat(a, F.array(new(e))))
+        same = (p["n"] > 0) & (inter > 0) & (2 * inter >= F.least(p["y1"] - p["y0"], n))
+        both = span(F.least(p["y0"], e["y0"]), F.greatest(p["y1"], e["y1"]), k, F.greatest(p["longest"], n), F.when(n > p["longest"], k).otherwise(p["best"]))
+        apart = F.struct(F.when(p["n"] > 0, close(a)).otherwise(a["done"]).alias("done"), span(e["y0"], e["y1"], k, n, k).alias("last"))
+        return F.when(same, F.struct(a["done"].alias("done"), both.alias("last"))).otherwise(apart)
+
+    def merged(ordered: Column) -> Column:
+        texts = lambda r: F.struct(r["y0"].alias("y0"), r["y1"].alias("y1"), F.get(ordered, (r["best"] - 1).cast("int"))["text"].alias("text"))
+        return F.aggregate(ordered, start, step, lambda a: F.transform(F.when(a["last"]["n"] > 0, close(a)).otherwise(a["done"]), texts))
 
-    ordered = F.array_sort(F.filter(entries, lambda e: e["y0"] < e["y1"]))
-    return F.aggregate(ordered, start, step)
+    return let(F.array_sort(F.filter(entries, lambda e: e["y0"] < e["y1"])), merged)
 
 
 def best_overlap(panels: DataFrame, entries: DataFrame) -> DataFrame:
