@@ -24,11 +24,11 @@ from pyspark.sql import types as T
 from panelframe.llm.common import Memo, typed, written
 from panelframe.llm.components import components
 
-MEMO_ENTRIES = 350_000
+MEMO_ENTRIES = 150_000
 # Shingles in this share of documents or more count as frequent. There are at most (mean set size / share) of them.
 FREQUENT = 0.001
 # Shingles whose frequency within a stretch is counted at once.
-STRETCH = 4_000_000
+STRETCH = 2_000_000
 # Light sets have at most so many shingles, whatever the costs; and at least.
 LEAST_BOUNDARY, MOST_BOUNDARY = 8, 40
 # Bits of the presence filter that spares texts a shuffle: a fixed 512 KiB whatever the input.

@@ -15,7 +15,7 @@ from panelframe.llm.common import typed
 from panelframe.llm.pretokens import VOCABULARY, Words, tokenizer_path, vocabulary
 
 # Tokens of the documents that are cut together; a larger document is a block of its own.
-BLOCK_TOKENS = 1 << 21
+BLOCK_TOKENS = 1 << 20
 # What a cut costs, in tokens of padding: after a document, after a sentence, within one.
 AFTER_DOCUMENT, AFTER_SENTENCE, WITHIN = 0.0, 1.0, 8.0
 # Within a sentence a cut may come after every so many tokens.

@@ -18,7 +18,7 @@ PRETOKEN = regex.compile(
 )
 _SPACE_RUN = re.compile(f"[{SPACE}] [{SPACE}]")
 # Entries in each generation of a worker's table of known words; about 200 bytes each.
-MEMO_ENTRIES = 350_000
+MEMO_ENTRIES = 200_000
 
 
 def byte_symbols() -> dict[str, int]:
