@@ -8,18 +8,17 @@ from panelframe.functions import text as X
 from panelframe.plans import sql as S
 from panelframe.plans.registry import query, table
 
-_T = F.col("text")
 _DOC = "coalesce(text, '')"
 
 
 @query(f"SELECT doc_id, round({S.ratio(_DOC)}, 9) AS latin_ratio FROM documents")
 def b01_latin_ratio(spark, folder):
-    return table(spark, folder, "documents").select("doc_id", F.round(X.latin_ratio(_T), 9).alias("latin_ratio"))
+    return table(spark, folder, "documents").select("doc_id", F.round(X.latin_ratio(F.col("text")), 9).alias("latin_ratio"))
 
 
 @query(f"SELECT doc_id, {S.strip_non_latin(_DOC)} AS kept FROM documents")
 def b02_strip_non_latin(spark, folder):
-    return table(spark, folder, "documents").select("doc_id", X.strip_non_latin(_T).alias("kept"))
+    return table(spark, folder, "documents").select("doc_id", X.strip_non_latin(F.col("text")).alias("kept"))
 
 
 _PIECES = f"list_filter(list_transform(string_split({_DOC}, '/'), lambda p: {S.strip('p')}), lambda p: p <> '')"
@@ -30,13 +29,13 @@ _KEPT = f"array_to_string(list_filter(list_transform(good, lambda p: {S.strip_no
 @query(f"""SELECT doc_id, {_KEPT} AS kept, len(pieces) - len(good) AS dropped
 FROM (SELECT *, {_GOOD} AS good FROM (SELECT doc_id, {_PIECES} AS pieces FROM documents))""")
 def b03_english_bubbles(spark, folder):
-    return table(spark, folder, "documents").select("doc_id", X.english_bubbles(_T).alias("b")).select("doc_id", "b.kept", "b.dropped")
+    return table(spark, folder, "documents").select("doc_id", X.english_bubbles(F.col("text")).alias("b")).select("doc_id", "b.kept", "b.dropped")
 
 
 @query(f"""SELECT doc_id, {S.strip_non_latin(_DOC)} AS narration, {_KEPT} AS dialogue, len(pieces) - len(good) AS dropped
 FROM (SELECT *, {_GOOD} AS good FROM (SELECT doc_id, text, {_PIECES} AS pieces FROM documents))""")
 def b04_clean_text(spark, folder):
-    return table(spark, folder, "documents").select("doc_id", X.clean_text(_T, _T).alias("c")).select("doc_id", "c.narration", "c.dialogue", "c.dropped")
+    return table(spark, folder, "documents").select("doc_id", X.clean_text(F.col("text"), F.col("text")).alias("c")).select("doc_id", "c.narration", "c.dialogue", "c.dropped")
 
 
 # DuckDB's \\b knows ASCII only: accented letters are put between underscores, which are word characters there.
@@ -47,7 +46,7 @@ _FOUND = lambda p: f"nullif(regexp_extract({_HELD}, {p}), '')"
 
 @query(f"SELECT doc_id, {S.strip(f'coalesce({_FOUND(S.DOMAIN)}, {_FOUND(S.PROMO)})')} AS reason, regexp_matches({_HELD}, {S.DOMAIN}) OR regexp_matches({_HELD}, {S.PROMO}) AS is_promo FROM documents")
 def b05_promo_reason(spark, folder):
-    return table(spark, folder, "documents").select("doc_id", X.promo_reason(_T).alias("reason"), X.is_promo(_T).alias("is_promo"))
+    return table(spark, folder, "documents").select("doc_id", X.promo_reason(F.col("text")).alias("reason"), X.is_promo(F.col("text")).alias("is_promo"))
 
 
 _CLEAN = _HELD
@@ -58,29 +57,29 @@ _CLEAN = f"regexp_replace({_CLEAN}, {S.lit(f'_({_ACCENT})_')}, '\\1', 'g')"
 
 @query(f"SELECT doc_id, {S.tidy(_CLEAN)} AS kept FROM documents")
 def b06_strip_promo(spark, folder):
-    return table(spark, folder, "documents").select("doc_id", X.strip_promo(_T).alias("kept"))
+    return table(spark, folder, "documents").select("doc_id", X.strip_promo(F.col("text")).alias("kept"))
 
 
 @query(f"""SELECT doc_id, line_no, regexp_matches(line, {S.NON_LEXICAL}) AS non_lexical
 FROM (SELECT doc_id, unnest(string_split({_DOC}, chr(10))) AS line, generate_subscripts(string_split({_DOC}, chr(10)), 1) - 1 AS line_no FROM documents)""")
 def b07_non_lexical(spark, folder):
-    lines = table(spark, folder, "documents").select("doc_id", F.posexplode(F.split(X.text(_T), "\n")).alias("line_no", "line"))
+    lines = table(spark, folder, "documents").select("doc_id", F.posexplode(F.split(X.text(F.col("text")), "\n")).alias("line_no", "line"))
     return lines.select("doc_id", F.col("line_no").cast("long"), X.is_non_lexical(F.col("line")).alias("non_lexical"))
 
 
 @query(f"SELECT conv_id, turn, {S.normalise(_DOC)} AS line FROM conversations")
 def b08_normalise(spark, folder):
-    return table(spark, folder, "conversations").select("conv_id", "turn", X.normalise(_T).alias("line"))
+    return table(spark, folder, "conversations").select("conv_id", "turn", X.normalise(F.col("text")).alias("line"))
 
 
 @query(f"SELECT doc_id, {S.words(_DOC)} AS words FROM documents")
 def b09_word_count(spark, folder):
-    return table(spark, folder, "documents").select("doc_id", X.word_count(_T).alias("words"))
+    return table(spark, folder, "documents").select("doc_id", X.word_count(F.col("text")).alias("words"))
 
 
 @query(f"SELECT doc_id, round(CASE WHEN {S.strip(_DOC)} = '' THEN 0.0 ELSE {S.words(_DOC)} / 140.0 * 60.0 END, 6) AS seconds FROM documents")
 def b10_speech_seconds(spark, folder):
-    return table(spark, folder, "documents").select("doc_id", F.round(X.speech_seconds(_T), 6).alias("seconds"))
+    return table(spark, folder, "documents").select("doc_id", F.round(X.speech_seconds(F.col("text")), 6).alias("seconds"))
 
 
 @query(f"""WITH s AS (SELECT doc_id, unnest(string_split(regexp_replace({S.strip(_DOC)}, {S.lit(f'({X.TERMINAL}){X.SPACE}+')}, '\\1' || chr(1), 'g'), chr(1))) AS s,
@@ -93,7 +92,7 @@ def b10_speech_seconds(spark, folder):
 SELECT d.doc_id, CASE WHEN {S.strip(_DOC)} = '' OR {S.words(_DOC)} <= 28 THEN {_DOC} WHEN regexp_matches(short, {S.NON_LEXICAL}) THEN '' ELSE short END AS spoken
 FROM documents d LEFT JOIN norm USING (doc_id)""")
 def b11_fit_speech(spark, folder):
-    return table(spark, folder, "documents").select("doc_id", X.fit_speech(_T).alias("spoken"))
+    return table(spark, folder, "documents").select("doc_id", X.fit_speech(F.col("text")).alias("spoken"))
 
 
 _TOK = lambda e: f"list_distinct(regexp_extract_all(lower({e}), {S.lit(f'{X.WORD}|{X.CJK}')}))"
@@ -109,15 +108,15 @@ def b12_script_text(spark, folder):
     from pyspark.sql import Window
 
     turns = table(spark, folder, "conversations").withColumn("next", F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn")))
-    n = F.when(X.is_non_lexical(_T), "").otherwise(X.normalise(_T))
+    n = F.when(X.is_non_lexical(F.col("text")), "").otherwise(X.normalise(F.col("text")))
     d = F.when(X.strip(X.text(F.col("next"))) == "", "").otherwise(X.normalise(F.col("next")))
-    return turns.select("conv_id", "turn", F.round(X.overlap_ratio(d, n), 9).alias("overlap"), X.script_text(_T, F.col("next")).alias("line"))
+    return turns.select("conv_id", "turn", F.round(X.overlap_ratio(d, n), 9).alias("overlap"), X.script_text(F.col("text"), F.col("next")).alias("line"))
 
 
 @query(f"SELECT conv_id, turn, {S.panel_class(_DOC, chr(39) * 2)} AS narrated, {S.panel_class(chr(39) * 2, _DOC)} AS spoken FROM conversations")
 def b16_panel_class(spark, folder):
     none = F.lit("")
-    return table(spark, folder, "conversations").select("conv_id", "turn", X.panel_class(_T, none).alias("narrated"), X.panel_class(none, _T).alias("spoken"))
+    return table(spark, folder, "conversations").select("conv_id", "turn", X.panel_class(F.col("text"), none).alias("narrated"), X.panel_class(none, F.col("text")).alias("spoken"))
 
 
 @query(f"SELECT l_orderkey, l_linenumber, {S.ms_up('l_extendedprice / (l_quantity * 7)')} AS seconds FROM lineitem")

@@ -206,7 +206,10 @@ def g11_longest_clips(spark, folder):
 
 
 _W_, _H_ = "(300 + p_partkey * 37 % 1500)", "(200 + p_partkey * 91 % 3000)"
-_SIZES = (300 + F.col("p_partkey") * 37 % 1500, 200 + F.col("p_partkey") * 91 % 3000)
+
+
+def _sizes():
+    return 300 + F.col("p_partkey") * 37 % 1500, 200 + F.col("p_partkey") * 91 % 3000
 
 
 def _pan_sql(w: str, h: str) -> str:
@@ -216,14 +219,14 @@ def _pan_sql(w: str, h: str) -> str:
 
 @query(f"SELECT p_partkey, CASE WHEN {_W_}::DOUBLE / {_H_} < 1080 / 1920.0::DOUBLE * 0.85 THEN 'down' WHEN {_W_}::DOUBLE / {_H_} > 1080 / 1920.0::DOUBLE * 1.15 THEN 'right' ELSE 'none' END AS direction FROM part")
 def b17_pan_direction(spark, folder):
-    return table(spark, folder, "part").select("p_partkey", G.pan_direction(*_SIZES).alias("direction"))
+    return table(spark, folder, "part").select("p_partkey", G.pan_direction(*_sizes()).alias("direction"))
 
 
 @query(f"""SELECT p_partkey, {_pan_sql('w', 'h')}, fit_w, fit_h FROM (SELECT p_partkey, ceil(pw * scale) AS w, ceil(ph * scale) AS h, greatest(1080, round_even(pw * cover, 0))::INTEGER AS fit_w, greatest(1920, round_even(ph * cover, 0))::INTEGER AS fit_h
   FROM (SELECT *, least(cover, 4.0::DOUBLE) AS scale FROM (SELECT p_partkey, {_W_} AS pw, {_H_} AS ph, greatest(1080::DOUBLE / {_W_}, 1920::DOUBLE / {_H_}) AS cover FROM part)))""")
 def b18_compute_pan(spark, folder):
-    fit = G.fit_pan(*_SIZES)
-    return table(spark, folder, "part").select("p_partkey", G.compute_pan(*_SIZES).alias("p"), fit.alias("f")).select("p_partkey", "p.*", F.col("f.scaled_w").alias("fit_w"), F.col("f.scaled_h").alias("fit_h"))
+    fit = G.fit_pan(*_sizes())
+    return table(spark, folder, "part").select("p_partkey", G.compute_pan(*_sizes()).alias("p"), fit.alias("f")).select("p_partkey", "p.*", F.col("f.scaled_w").alias("fit_w"), F.col("f.scaled_h").alias("fit_h"))
 
 
 @query(f"""SELECT conv_id, turn, round({S.ms_up("least(greatest(audio, CASE class WHEN 'action' THEN 0.8 ELSE 2.0 END::DOUBLE, travel / 450.0::DOUBLE) * CASE class WHEN 'reveal' THEN 1.35 ELSE 1.0 END::DOUBLE, greatest(4.6::DOUBLE, audio))")}, 3) AS spoken,
