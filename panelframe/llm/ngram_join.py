@@ -336,6 +336,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     id take part and get the component's smallest id (null if there is none); repeated rows are documents
     each, so copies link; an empty table gives no rows; other columns are not read.  percent must be over 50.
     """
+    out = _grouped(docs, id_col, text_col, n, percent)
+    return out.select(F.col("_id").alias(id_col), F.col("size").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("_id")).otherwise(F.col("smallest")).alias("component_id"))
+
+
+def _grouped(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int) -> DataFrame:
+    """(_id, size, node, root, smallest) of every row; the last three are null for a row without words."""
     spark = docs.sparkSession
     docs = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").cast("string").alias("_text"))
     seen = written(_first_pass(docs, n), "ngram-sets")
@@ -370,23 +376,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     grouped = nodes.select("node", "rep").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node")).join(merged, "component", "left").withColumn("root", F.coalesce("root", "component"))
     grouped = written(grouped.select("node", "rep", "root"), "grouped")
     smallest = grouped.groupBy("root").agg(F.min("rep").alias("smallest"))
-    # Only roots of several nodes need a look-up.
-    named = written(grouped.join(smallest, "root").select("node", "smallest"), "named")
-    out = every.select("_id", "size", "node").join(named, "node", "left")
-    return out.select(F.col("_id").alias(id_col), F.col("size").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("_id")).otherwise(F.col("smallest")).alias("component_id"))
+    named = written(grouped.join(smallest, "root").select("node", "root", "smallest"), "named")
+    return every.select("_id", "size", "node").join(named, "node", "left").select("_id", "size", "node", "root", "smallest")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 75) -> DataFrame:
-    """docs with one row of each component: that with the smallest id (of repeated rows with that id, one).
+    """docs with one row of each component: that with the smallest id.
 
-    Rows without words and rows with a null id stay.  Only the texts whose id may be among those to go
-    are shuffled: a fixed-size presence filter passes the others through.
+    Of several rows with that id, equal or near, one stays; a repeated id whose texts are in different
+    components stays once in each. Rows without words and rows with a null id stay.  Only the texts whose
+    id may be among those to go are shuffled: a fixed-size presence filter passes the others through.
     """
     spark = docs.sparkSession
-    found = written(near_duplicates(docs, id_col, text_col, n, percent), "near-duplicates")
     i = F.col(f"`{id_col}`")
-    counted = found.where(i.isNotNull() & (F.col("n_shingles") > 0)).groupBy(i.alias("_id")).agg(F.min("component_id").alias("_keep"), F.count(F.lit(1)).alias("_n"))
-    going = written(counted.where("_keep <> _id or _n > 1"), "going")
+    found = written(_grouped(docs, id_col, text_col, n, percent).where("_id is not null and node is not null"), "near-duplicates")
+    keepers = written(found.where("_id = smallest").groupBy("_id", "root").agg(F.min("node").alias("_node")).select("_id", "_node"), "keepers")
+    rows = found.groupBy("_id", F.col("node").alias("_node")).agg(F.count(F.lit(1)).alias("n"))
+    going = rows.where("n > 1").select("_id").union(rows.join(keepers, ["_id", "_node"], "left_anti").select("_id"))
     packed = presence(spark, going.select(F.col("_id").alias("rep")))
 
     @F.pandas_udf("boolean")
@@ -396,9 +402,16 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
 
         return pd.Series((packed.value[k >> 3] >> (7 - (k & 7)).astype(np.uint8) & 1).astype(bool))
 
+    @F.pandas_udf("long")
+    def node(texts):
+        import pandas as pd
+
+        shingles = Shingles(n)
+        sets = (shingles(t) for t in texts)
+        return pd.Series([node_of(x) if len(x) else None for x in sets], dtype="Int64")
+
     unsure = i.isNotNull() & maybe(F.coalesce(id_bit(i), F.lit(0)))
-    stay = docs.where(~unsure)
-    looked = docs.where(unsure).join(going, i == F.col("_id"), "left").where("_id is null or _keep = _id")
-    repeated = looked.where("_n > 1").withColumn("_k", F.row_number().over(Window.partitionBy("_id").orderBy(F.xxhash64(F.col(f"`{text_col}`"))))).where("_k = 1")
-    once = looked.where("_n is null or _n = 1")
-    return stay.unionByName(once.select(docs.columns)).unionByName(repeated.select(docs.columns))
+    looked = docs.where(unsure).withColumn("_node", node(F.col(f"`{text_col}`").cast("string")))
+    kept = looked.join(keepers.withColumnRenamed("_id", "_keep"), (i == F.col("_keep")) & (looked["_node"] == keepers["_node"])).drop(keepers["_node"])
+    once = kept.withColumn("_k", F.row_number().over(Window.partitionBy("_keep", "_node").orderBy(F.lit(1)))).where("_k = 1")
+    return docs.where(~unsure).unionByName(looked.where("_node is null").select(docs.columns)).unionByName(once.select(docs.columns))

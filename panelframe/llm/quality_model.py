@@ -114,7 +114,7 @@ def fit(bags: list[np.ndarray], labels: np.ndarray, rounds: int = ROUNDS, seed:
     shape = {"E": (FEATURES, WIDTH), "e": (WIDTH,), "V": (WIDTH, ATTENTION), "U": (WIDTH, ATTENTION), "a": (ATTENTION,), "c": (WIDTH,), "b": (1,)}
     w = {k: rng.normal(0, 1 / np.sqrt(s[0]), s) if len(s) == 2 or k in "ac" else np.zeros(s) for k, s in shape.items()}
     share = labels.mean() if len(labels) else 0.5
-    if not 0 < share < 1:
+    if not len(labels) or not 0 < share < 1:
         w["c"] = np.zeros(WIDTH)
         w["b"] = np.array([np.log((share + 0.01) / (1.01 - share))])
         return Model(np.zeros(FEATURES), np.ones(FEATURES), w)

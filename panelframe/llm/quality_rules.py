@@ -149,6 +149,7 @@ def _verdicts(measured: DataFrame, least: float) -> DataFrame:
     p = posterior(patterns, fit(patterns, np.array([r["count"] for r in counted], dtype=float)))
     table = spark.createDataFrame([(r["v"], float(x)) for r, x in zip(counted, p)], "_votes string, _p double")
     failed = (F.col("_rules.n_words") < 50) | (100 * F.col("_rules.n_repeat_words") > 50 * F.col("_rules.n_words"))
-    out = measured.join(F.broadcast(table), F.col("_rules.votes") == F.col("_votes"), "left")
+    row = F.struct(*[F.col(f"`{c}`") for c in measured.columns if c != "_rules"]).alias("_row")  # so that no name clashes
+    joined = measured.select(row, "_rules").join(F.broadcast(table), F.col("_rules.votes") == F.col("_votes"), "left")  # at most 3^RULES rows
     rules = F.col("_rules").withField("base_failed", failed).withField("good_probability", F.col("_p")).withField("kept", ~failed & (F.col("_p") >= least))
-    return out.withColumn("_rules", rules).drop("_votes", "_p")
+    return joined.select("_row.*", rules.alias("_rules"))
