@@ -24,17 +24,19 @@ from pyspark.sql import types as T
 from panelframe.llm.common import Memo, typed, written
 from panelframe.llm.components import components
 
-MEMO_ENTRIES = 150_000
+MEMO_ENTRIES = 100_000
 # Shingles in this share of documents or more count as frequent. There are at most (mean set size / share) of them.
 FREQUENT = 0.001
 # Shingles whose frequency within a stretch is counted at once.
-STRETCH = 2_000_000
+STRETCH = 1_000_000
 # Light sets have at most so many shingles, whatever the costs; and at least.
 LEAST_BOUNDARY, MOST_BOUNDARY = 8, 40
 # Bits of the presence filter that spares texts a shuffle: a fixed 512 KiB whatever the input.
 FILTER_BITS = 1 << 22
 # Bits of a set's parity sketch, in 64-bit words.
 SKETCH_WORDS = 16
+# Texts that are turned into sets at once.
+TEXTS = 500
 # Hubs that a node meets at first, and members of a block of a long list.
 HUBS, BLOCK = 1, 512
 _P1, _P2, _P3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -96,6 +98,13 @@ def choose_boundary(stats: list[tuple[int, float, float]], percent: int) -> int:
     return best
 
 
+def slices(source):
+    """The batches of source, cut small: what a task holds at once does not grow with Arrow's batch size."""
+    for batch in source:
+        for k in range(0, batch.num_rows, TEXTS):
+            yield batch.slice(k, TEXTS)
+
+
 def _first_pass(docs: DataFrame, n: int) -> DataFrame:
     """Kind 0: (id, size, node, sketch). Kind 1: (token, holders) of shingles frequent in a stretch. Kind 2: statistics by size class."""
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -105,15 +114,19 @@ def _first_pass(docs: DataFrame, n: int) -> DataFrame:
     arrow = to_arrow_schema(out)
 
     def stretch(sets: list[np.ndarray]):
-        flat = np.concatenate(sets)
-        tokens, inverse, counts = np.unique(flat, return_inverse=True, return_counts=True)
+        tokens = np.concatenate(sets)
+        tokens.sort()
+        first = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
+        tokens, counts = tokens[first], np.diff(np.append(first, len(tokens)))
         often = np.flatnonzero(counts >= max(3, FREQUENT / 2 * len(sets)))
-        sizes = np.repeat([len(s) for s in sets], [len(s) for s in sets])
-        classes = np.minimum(sizes // 4, MOST_BOUNDARY // 4 + 1)
-        seen, other = np.bincount(classes), np.bincount(classes, counts[inverse] - 1)
-        used = np.flatnonzero(seen)
         rows = [(1, int(c), int(t), None) for t, c in zip(tokens[often].view(np.int64).tolist(), counts[often].tolist())]
-        rows += [(2, int(seen[c]), int(c), float(other[c])) for c in used]
+        small: dict[int, list[np.ndarray]] = {}
+        for x in sets:
+            if len(x) <= MOST_BOUNDARY:
+                small.setdefault(len(x) // 4, []).append(x)
+        for c, found in small.items():
+            x = np.concatenate(found)
+            rows.append((2, len(x), c, float((counts[np.searchsorted(tokens, x)] - 1).sum())))
         for k in range(0, len(rows), 50_000):
             part = rows[k : k + 50_000]
             kind, size, node, extra = zip(*part)
@@ -122,18 +135,16 @@ def _first_pass(docs: DataFrame, n: int) -> DataFrame:
 
     def batches(source):
         shingles, held, total = Shingles(n), [], 0
-        for batch in source:
+        for batch in slices(source):
             sets = [shingles(t) for t in batch.column(1).to_pylist()]
             full = [len(s) > 0 for s in sets]
             columns = ([0] * len(sets), batch.column(0), [len(s) for s in sets], [node_of(s) if f else None for s, f in zip(sets, full)], [None] * len(sets), [sketch(s) if f else None for s, f in zip(sets, full)])
             yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, f.type) for x, f in zip(columns, arrow)], schema=arrow)
-            for s in sets:
-                if len(s):
-                    held.append(s)
-                    total += len(s)
-                if total >= STRETCH:
-                    yield from stretch(held)
-                    held, total = [], 0
+            held += [s for s in sets if len(s)]
+            total += sum(map(len, sets))
+            if total >= STRETCH:
+                yield from stretch(held)
+                held, total = [], 0
         if held:
             yield from stretch(held)
 
@@ -146,8 +157,26 @@ def _keys(docs: DataFrame, n: int, percent: int, boundary: int, frequent) -> Dat
     def batches(source):
         shingles, done = Shingles(n), set()
         often, rank = frequent.value
-        top = np.uint64(1 << 63)
-        for batch in source:
+        # Most shingles are not frequent; a small table by their low bits says so at once.
+        maybe = np.zeros(1 << 20, bool)
+        tail = np.uint64((1 << 20) - 1)
+        maybe[(often & tail).astype(np.int64)] = True
+
+        def leading(s: np.ndarray, count: int) -> np.ndarray:
+            """The first `count` of s in the common order: by hash, and the frequent ones last, by rank."""
+            hit = np.flatnonzero(maybe[(s & tail).astype(np.int64)])
+            at = np.searchsorted(often, s[hit])
+            same = at < len(often)
+            same[same] = often[at[same]] == s[hit[same]]
+            if not same.any():
+                return s[:count]
+            light = np.delete(s, hit[same])
+            if len(light) >= count:
+                return light[:count]
+            last = s[hit[same]][np.argsort(rank[at[same]])]
+            return np.concatenate([light, last[: count - len(light)]])
+
+        for batch in slices(source):
             tokens, nodes, sizes, counts = [], [], [], []
             for text in batch.column(0).to_pylist():
                 s = shingles(text)
@@ -157,14 +186,10 @@ def _keys(docs: DataFrame, n: int, percent: int, boundary: int, frequent) -> Dat
                 node = node_of(s)
                 if node in done:
                     continue
-                if len(done) < 2_000_000:
+                if len(done) < 200_000:
                     done.add(node)
-                order = s >> np.uint64(1)
-                if len(often):
-                    at = np.minimum(np.searchsorted(often, s), len(often) - 1)
-                    order = np.where(often[at] == s, top + rank[at], order)
                 prefix = size - least_overlap(size, percent) + 1
-                first = s[np.argsort(order, kind="stable")[: prefix + 1]]
+                first = leading(s, prefix + 1)
                 made = []
                 if size <= boundary:
                     i, j = np.triu_indices(len(first), 1)
@@ -248,7 +273,7 @@ def _sets(docs: DataFrame, n: int, needed: DataFrame, short: bool) -> DataFrame:
 
     def batches(source):
         shingles, bits = Shingles(n), packed.value
-        for batch in source:
+        for batch in slices(source):
             at = batch.column(1).to_pylist()
             nodes, sets = [], []
             for i, k in enumerate(at):
