@@ -8,12 +8,14 @@ from pyspark.sql import functions as F
 from panelframe.functions import text as X
 
 # Geometry and content limits of a verdict.
-MIN_HEIGHT, MIN_AREA, THIN_SHARE, TALL_ASPECT = 40, 12_000, 0.012, 8.0
-BLANK_VARIANCE, BLANK_EDGE, BLANK_FOREGROUND = 60.0, 1.5, 0.004
+MIN_HEIGHT, MIN_AREA, THIN_SHARE, TALL_ASPECT = 24, 900, 0.015, 6.0
+BLANK_VARIANCE, BLANK_EDGE, BLANK_FOREGROUND = 4.0, 9.0, 0.02
 # Calibration of a session and its decisions.
-FEWEST, FIXED_COLOR, FIXED_WHITE, EDGE_FLOOR = 6, 0.06, 0.85, 0.001
-BW_MEDIAN, IQR_FACTOR, COLOR_CAP, WHITE_PERCENT = 0.02, 1.5, 0.12, 0.65
-BLANK_SCORE, UNIFORM, TWO_TONE, RESCUED = 0.70, 0.97, 0.90, 3
+FEWEST, FIXED_COLOR, FIXED_WHITE, EDGE_FLOOR = 6, 0.05, 0.80, 0.003
+BW_MEDIAN, IQR_FACTOR, COLOR_CAP, WHITE_PERCENT = 0.02, 1.5, 0.15, 0.65
+BLANK_SCORE, UNIFORM, TWO_TONE, RESCUED = 0.70, 0.92, 0.88, 3
+# The kinds of panel that a plan may name.
+KINDS = "single tall_scenic transition_gutter multi_sub_panel unknown".split()
 
 
 def rules(**broken: Column) -> Column:
@@ -29,7 +31,7 @@ def plan_problems(entries: DataFrame) -> DataFrame:
         rules(
             degenerate=F.col("y0") >= F.col("y1"),
             out_of_strip=(F.col("y0") < 0) | (F.col("y1") > F.col("height")),
-            unknown_kind=~F.coalesce(F.col("kind").isin("action", "dialogue", "reveal", "calm"), F.lit(False)),
+            unknown_kind=~F.coalesce(F.col("kind").isin(KINDS), F.lit(False)),
             not_monotonic=F.coalesce(F.col("y0") < F.lag("y0").over(w), F.lit(False)),
             not_contiguous=F.col("idx") != F.row_number().over(w),
         ),

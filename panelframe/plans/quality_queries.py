@@ -10,25 +10,25 @@ from panelframe.plans import sql as S
 from panelframe.plans.registry import query, table
 
 
-@query("""SELECT strip, idx, array_to_string(list_filter([CASE WHEN y0 >= y1 THEN 'degenerate' END, CASE WHEN y0 < 0 OR y1 > 2400 THEN 'out_of_strip' END, CASE WHEN kind NOT IN ('action', 'dialogue', 'reveal', 'calm') THEN 'unknown_kind' END,
+@query("""SELECT strip, idx, array_to_string(list_filter([CASE WHEN y0 >= y1 THEN 'degenerate' END, CASE WHEN y0 < 0 OR y1 > 2400 THEN 'out_of_strip' END, CASE WHEN kind NOT IN ('single', 'tall_scenic', 'transition_gutter', 'multi_sub_panel', 'unknown') THEN 'unknown_kind' END,
   CASE WHEN y0 < lag(y0) OVER w THEN 'not_monotonic' END, CASE WHEN idx <> row_number() OVER w THEN 'not_contiguous' END], lambda x: x IS NOT NULL), ',') AS problems
-FROM (SELECT conv_id AS strip, turn AS idx, turn * 300 + length(text) % 500 AS y0, turn * 300 + length(text) % 700 AS y1, CASE role WHEN 'user' THEN 'dialogue' WHEN 'assistant' THEN 'calm' ELSE role END AS kind FROM conversations WHERE text IS NOT NULL) WINDOW w AS (PARTITION BY strip ORDER BY idx)""")
+FROM (SELECT conv_id AS strip, turn AS idx, turn * 300 + length(text) % 500 AS y0, turn * 300 + length(text) % 700 AS y1, CASE role WHEN 'user' THEN 'single' WHEN 'assistant' THEN 'unknown' ELSE role END AS kind FROM conversations WHERE text IS NOT NULL) WINDOW w AS (PARTITION BY strip ORDER BY idx)""")
 def d01_plan_problems(spark, folder):
     n = F.length("text")
-    kind = F.when(F.col("role") == "user", "dialogue").when(F.col("role") == "assistant", "calm").otherwise(F.col("role"))
+    kind = F.when(F.col("role") == "user", "single").when(F.col("role") == "assistant", "unknown").otherwise(F.col("role"))
     rows = table(spark, folder, "conversations").where("text is not null").select(F.col("conv_id").alias("strip"), F.col("turn").alias("idx"), (F.col("turn") * 300 + n % 500).alias("y0"), (F.col("turn") * 300 + n % 700).alias("y1"), F.lit(2400).alias("height"), kind.alias("kind"))
     return Q.plan_problems(rows).select("strip", "idx", F.array_join("problems", ",").alias("problems"))
 
 
-_FLAT = "((v < 60.0)::INT + (e < 1.5)::INT + (f < 0.004)::INT)"
-_GEOMETRY = "SELECT p_partkey, p_brand, p_size * 17 % 900 AS h, 300 + p_partkey % 700 AS w, p_retailprice::DOUBLE % 200.0 AS v, p_retailprice::DOUBLE % 7.0 AS e, p_retailprice::DOUBLE % 3.0 / 100.0 AS f FROM part"
-_VERDICT = f"""SELECT *, CASE WHEN h < 40 OR h * w < 12000 OR {_FLAT} >= 3 THEN 'invalid' WHEN h < 0.012 * 6000 OR h / w::DOUBLE > 8 OR {_FLAT} = 2 THEN 'suspicious' ELSE 'normal' END AS quality,
-  CASE WHEN h < 40 THEN 'thin' WHEN h * w < 12000 THEN 'tiny' ELSE array_to_string(list_filter([CASE WHEN h < 0.012 * 6000 THEN 'thin_in_strip' END, CASE WHEN h / w::DOUBLE > 8 THEN 'very_tall' END, CASE WHEN {_FLAT} >= 3 THEN 'no_content' END, CASE WHEN {_FLAT} = 2 THEN 'mostly_blank' END], lambda x: x IS NOT NULL), ',') END AS reasons FROM ({_GEOMETRY})"""
+_FLAT = f"((v < {Q.BLANK_VARIANCE})::INT + (e < {Q.BLANK_EDGE})::INT + (f < {Q.BLANK_FOREGROUND})::INT)"
+_GEOMETRY = "SELECT p_partkey, p_brand, p_size * 17 % 900 AS h, 300 + p_partkey % 700 AS w, p_retailprice::DOUBLE % 20.0 AS v, p_retailprice::DOUBLE % 30.0 AS e, p_retailprice::DOUBLE % 3.0 / 100.0 AS f FROM part"
+_VERDICT = f"""SELECT *, CASE WHEN h < {Q.MIN_HEIGHT} OR h * w < {Q.MIN_AREA} OR {_FLAT} >= 3 THEN 'invalid' WHEN h < {Q.THIN_SHARE} * 6000 OR h / w::DOUBLE > {Q.TALL_ASPECT} OR {_FLAT} = 2 THEN 'suspicious' ELSE 'normal' END AS quality,
+  CASE WHEN h < {Q.MIN_HEIGHT} THEN 'thin' WHEN h * w < {Q.MIN_AREA} THEN 'tiny' ELSE array_to_string(list_filter([CASE WHEN h < {Q.THIN_SHARE} * 6000 THEN 'thin_in_strip' END, CASE WHEN h / w::DOUBLE > {Q.TALL_ASPECT} THEN 'very_tall' END, CASE WHEN {_FLAT} >= 3 THEN 'no_content' END, CASE WHEN {_FLAT} = 2 THEN 'mostly_blank' END], lambda x: x IS NOT NULL), ',') END AS reasons FROM ({_GEOMETRY})"""
 
 
 def verdicts(spark, folder):
     price = F.col("p_retailprice").cast("double")
-    rows = table(spark, folder, "part").select("p_partkey", "p_brand", (F.col("p_size") * 17 % 900).alias("h"), (300 + F.col("p_partkey") % 700).alias("w"), (price % 200.0).alias("v"), (price % 7.0).alias("e"), (price % 3.0 / 100.0).alias("f"))
+    rows = table(spark, folder, "part").select("p_partkey", "p_brand", (F.col("p_size") * 17 % 900).alias("h"), (300 + F.col("p_partkey") % 700).alias("w"), (price % 20.0).alias("v"), (price % 30.0).alias("e"), (price % 3.0 / 100.0).alias("f"))
     v = Q.verdict(F.col("h"), F.col("w"), F.lit(6000), F.col("v"), F.col("e"), F.col("f"))
     return rows.withColumn("x", v).select("p_partkey", "p_brand", "x.quality", F.array_join("x.reasons", ",").alias("reasons"))
 
@@ -70,8 +70,8 @@ _SCORES = f"""SELECT doc_id, source, text, coalesce({S.count("text", S.lit('[A-Z
   coalesce({S.count("text", S.lit('[^A-Za-z .,]'))} / nullif(length(text), 0)::DOUBLE, 0.0) AS edge, doc_id % 100 / 100.0::DOUBLE AS blank_score, doc_id % 97 = 0 AS confirmed,
   doc_id * 7 % 100 / 100.0::DOUBLE AS two_tone, doc_id * 13 % 100 / 100.0::DOUBLE AS uniform FROM documents WHERE text IS NOT NULL"""
 _PERCENT = f"""SELECT source, count(*) AS n, quantile_cont(color, 0.5) AS median, quantile_cont(color, 0.25) AS q1, quantile_cont(color, 0.75) AS q3, quantile_cont(white, 0.65) AS w FROM ({_SCORES}) GROUP BY source"""
-_CALIBRATED = f"""SELECT source, n, CASE WHEN n < 6 THEN 'fixed' ELSE 'adaptive' END AS method, CASE WHEN n < 6 OR median < 0.02 THEN 0.06::DOUBLE ELSE round(least(greatest(0.0, q1 - 1.5 * (q3 - q1)), 0.12), 5) END AS color_below,
-  CASE WHEN n < 6 THEN 0.85::DOUBLE ELSE round(least(w + 0.04, 0.97), 5) END AS white_above, 0.001::DOUBLE AS edge_above, n >= 6 AND median < 0.02 AS bw FROM ({_PERCENT})"""
+_CALIBRATED = f"""SELECT source, n, CASE WHEN n < 6 THEN 'fixed' ELSE 'adaptive' END AS method, CASE WHEN n < 6 OR median < {Q.BW_MEDIAN} THEN {Q.FIXED_COLOR}::DOUBLE ELSE round(least(greatest(0.0, q1 - {Q.IQR_FACTOR} * (q3 - q1)), {Q.COLOR_CAP}), 5) END AS color_below,
+  CASE WHEN n < 6 THEN {Q.FIXED_WHITE}::DOUBLE ELSE round(least(w + 0.04, 0.97), 5) END AS white_above, {Q.EDGE_FLOOR}::DOUBLE AS edge_above, n >= 6 AND median < 0.02 AS bw FROM ({_PERCENT})"""
 
 
 def scores(spark, folder):
@@ -88,7 +88,7 @@ def d07_calibration(spark, folder):
 
 _PROMO = f"(regexp_matches(text, {S.DOMAIN}) OR regexp_matches(text, {S.PROMO}))"
 _DECIDED = f"""SELECT doc_id, source, blank_score, CASE WHEN confirmed THEN 'keep' WHEN blank_score >= 0.70 THEN 'blank' WHEN {_PROMO.replace('text', "CASE WHEN doc_id % 3 = 0 THEN text ELSE '' END")} THEN 'context_only'
-  WHEN uniform >= 0.97 OR ((bw OR color < color_below) AND white > white_above AND edge > edge_above) THEN 'context_only' WHEN two_tone >= 0.90 AND (bw OR color <= color_below) AND edge >= edge_above THEN 'context_only' ELSE 'keep' END AS decision
+  WHEN uniform >= {Q.UNIFORM} OR ((bw OR color < color_below) AND white > white_above AND edge > edge_above) THEN 'context_only' WHEN two_tone >= {Q.TWO_TONE} AND (bw OR color <= color_below) AND edge >= edge_above THEN 'context_only' ELSE 'keep' END AS decision
   FROM ({_SCORES}) JOIN ({_CALIBRATED}) USING (source)"""
 
 

@@ -33,7 +33,7 @@ def e15_page_art(spark, folder):
 _ANCHORS = "regexp_extract_all(html, '(?is)<a\\b[^>]*>.*?</a>')"
 _HREF = "trim(regexp_extract(a, '(?i)href=[\"'']([^\"'']+)[\"'']', 1))"
 _LINKS = f"""SELECT page_id, url, arg_min(label, n) AS label FROM (SELECT page_id, n, 'https://example.org' || CASE WHEN starts_with(h, '/') THEN h ELSE '/' || h END AS url, trim(regexp_replace(regexp_replace(a, '<[^>]+>', ' ', 'g'), {S.lit(X.SPACE + '+')}, ' ', 'g')) AS label
-  FROM (SELECT page_id, n, a, {_HREF} AS h FROM (SELECT page_id, unnest({_ANCHORS}) AS a, generate_subscripts({_ANCHORS}, 1) AS n FROM pages)) WHERE h <> '' AND NOT regexp_matches(lower(h), 'facebook|twitter|discord|javascript:|mailto:|#comment')) GROUP BY page_id, url"""
+  FROM (SELECT page_id, n, a, {_HREF} AS h FROM (SELECT page_id, unnest({_ANCHORS}) AS a, generate_subscripts({_ANCHORS}, 1) AS n FROM pages)) WHERE h <> '' AND NOT regexp_matches(lower(h), '/chapter-list|-chapter-list|chapter_page')) GROUP BY page_id, url"""
 
 
 def site(spark, folder):
