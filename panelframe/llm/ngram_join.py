@@ -25,10 +25,11 @@ from panelframe.llm.common import Memo, typed, written
 from panelframe.llm.components import components
 
 MEMO_ENTRIES = 100_000
-# Shingles in this share of documents or more count as frequent. There are at most (mean set size / share) of them.
-FREQUENT = 0.001
-# Shingles whose frequency within a stretch is counted at once.
-STRETCH = 1_000_000
+# Shingles in this share of documents or more (and in LEAST_FREQUENT) count as frequent. There are at most
+# (mean set size / share) of them, of 8 bytes each.
+FREQUENT, LEAST_FREQUENT = 1e-4, 8
+# Shingles whose frequency within a stretch is counted at once, by the upper half of their hash.
+STRETCH = 4_000_000
 # Light sets have at most so many shingles, whatever the costs; and at least.
 LEAST_BOUNDARY, MOST_BOUNDARY = 8, 40
 # Bits of the presence filter that spares texts a shuffle: a fixed 512 KiB whatever the input.
@@ -48,6 +49,10 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def upper(x: np.ndarray) -> np.ndarray:
+    return (x >> np.uint64(32)).astype(np.uint32)
+
+
 class Shingles:
     """The sorted distinct 64-bit shingle hashes of a text: words cut at space and 0x09-0x0D, A-Z lower-cased."""
 
@@ -114,19 +119,20 @@ def _first_pass(docs: DataFrame, n: int) -> DataFrame:
     arrow = to_arrow_schema(out)
 
     def stretch(sets: list[np.ndarray]):
-        tokens = np.concatenate(sets)
+        tokens = np.concatenate([upper(x) for x in sets])
         tokens.sort()
-        first = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
-        tokens, counts = tokens[first], np.diff(np.append(first, len(tokens)))
-        often = np.flatnonzero(counts >= max(3, FREQUENT / 2 * len(sets)))
-        rows = [(1, int(c), int(t), None) for t, c in zip(tokens[often].view(np.int64).tolist(), counts[often].tolist())]
+        first = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]])).astype(np.int32)
+        counts = np.diff(np.append(first, np.int32(len(tokens))))
+        tokens = tokens[first]
+        often = np.flatnonzero(counts >= 3)
+        rows = [(1, c, t, None) for t, c in zip(tokens[often].tolist(), counts[often].tolist())]
         small: dict[int, list[np.ndarray]] = {}
         for x in sets:
             if len(x) <= MOST_BOUNDARY:
                 small.setdefault(len(x) // 4, []).append(x)
         for c, found in small.items():
             x = np.concatenate(found)
-            rows.append((2, len(x), c, float((counts[np.searchsorted(tokens, x)] - 1).sum())))
+            rows.append((2, len(x), c, float((counts[np.searchsorted(tokens, upper(x))] - 1).sum())))
         for k in range(0, len(rows), 50_000):
             part = rows[k : k + 50_000]
             kind, size, node, extra = zip(*part)
@@ -159,21 +165,22 @@ def _keys(docs: DataFrame, n: int, percent: int, boundary: int, frequent) -> Dat
         often, rank = frequent.value
         # Most shingles are not frequent; a small table by their low bits says so at once.
         maybe = np.zeros(1 << 20, bool)
-        tail = np.uint64((1 << 20) - 1)
-        maybe[(often & tail).astype(np.int64)] = True
+        tail = np.uint32((1 << 20) - 1)
+        maybe[(often & np.uint32((1 << 20) - 1)).astype(np.int64)] = True
 
         def leading(s: np.ndarray, count: int) -> np.ndarray:
             """The first `count` of s in the common order: by hash, and the frequent ones last, by rank."""
-            hit = np.flatnonzero(maybe[(s & tail).astype(np.int64)])
-            at = np.searchsorted(often, s[hit])
+            top = upper(s)
+            hit = np.flatnonzero(maybe[top & tail])
+            at = np.searchsorted(often, top[hit])
             same = at < len(often)
-            same[same] = often[at[same]] == s[hit[same]]
+            same[same] = often[at[same]] == top[hit[same]]
             if not same.any():
                 return s[:count]
             light = np.delete(s, hit[same])
             if len(light) >= count:
                 return light[:count]
-            last = s[hit[same]][np.argsort(rank[at[same]])]
+            last = s[hit[same]][np.argsort(rank[at[same]], kind="stable")]
             return np.concatenate([light, last[: count - len(light)]])
 
         for batch in slices(source):
@@ -282,7 +289,7 @@ def _sets(docs: DataFrame, n: int, needed: DataFrame, short: bool) -> DataFrame:
                     if len(s):
                         nodes.append(node_of(s))
                         # The upper halves of sorted hashes are sorted too.
-                        sets.append(((s >> np.uint64(32)).astype(np.uint32) if short else s).tobytes())
+                        sets.append((upper(s) if short else s).tobytes())
             if nodes:
                 yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())], names=["node", "shingles"])
 
@@ -340,8 +347,10 @@ def _across(lists: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     dealt in blocks.
     """
     at = written(lists.select("token", "node", "size").join(labels.withColumnRenamed("component", "label"), "node", "left").withColumn("label", F.coalesce("label", "node")), "labelled")
-    shares = at.groupBy("token", "label").agg(F.count(F.lit(1)).alias("n"))
-    open_lists = shares.groupBy("token").agg(F.max_by("label", F.struct("n", "label")).alias("main"), (F.sum("n") - F.max("n")).alias("rest"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
+    shares = at.groupBy("token", "label").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("node")).alias("mark"))
+    open_lists = shares.groupBy("token").agg(F.max_by("label", F.struct("n", "label")).alias("main"), (F.sum("n") - F.max("n")).alias("rest"), F.count(F.lit(1)).alias("labels"), F.sum("n").alias("n"), F.bit_xor("mark").alias("mark")).where("labels > 1")
+    # Lists of the same nodes, such as those of one shared passage, are looked through once.
+    open_lists = open_lists.groupBy("mark", "n").agg(F.min_by(F.struct("token", "main", "rest"), "token").alias("l")).select("l.*")
     open_lists = written(open_lists.select("token", "main", F.ceil(F.col("rest") / BLOCK).cast("int").alias("blocks")), "open-lists")
     members = written(at.join(open_lists, "token"), "open-members")
     few = members.where("label <> main").select("token", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), F.col("node").alias("x"), F.col("size").alias("size_x"), F.col("label").alias("label_x"))
@@ -374,10 +383,10 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int)
     nodes = written(every.where("node is not null").groupBy("node").agg(F.min("_id").alias("rep"), F.first("size").alias("size"), F.first("sketch").alias("sketch")), "nodes")
     total = every.count()
     # At most (mean set size / FREQUENT) rows, and one row for each size class.
-    often = seen.where("kind = 1").groupBy("node").agg(F.sum("size").alias("n")).where(F.col("n") >= max(4, FREQUENT * total)).toArrow()
-    token, holders = often.column(0).to_numpy().view(np.uint64), often.column(1).to_numpy()
+    often = seen.where("kind = 1").groupBy("node").agg(F.sum("size").alias("n")).where(F.col("n") >= max(LEAST_FREQUENT, FREQUENT * total)).toArrow()
+    token, holders = often.column(0).to_numpy().astype(np.uint32), often.column(1).to_numpy()
     by_token, by_count = np.argsort(token), np.argsort(np.lexsort((token, holders)))
-    frequent = spark.sparkContext.broadcast((token[by_token], by_count[by_token].astype(np.uint64)))
+    frequent = spark.sparkContext.broadcast((token[by_token], by_count[by_token].astype(np.uint32)))
     stats = seen.where("kind = 2").groupBy("node").agg(F.sum("size").alias("seen"), F.sum("extra").alias("other")).collect()
     boundary = choose_boundary([(r["node"], r["seen"], r["other"]) for r in stats], percent)
 
