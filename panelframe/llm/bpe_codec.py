@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelframe.llm.common import Memo, typed
+from panelframe.llm.common import Memo, slices, typed
 from panelframe.llm.pretokens import MEMO_ENTRIES, PRETOKEN, Words, tokenizer_path, vocabulary
 
 
@@ -160,7 +160,7 @@ def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     def batches(source):
         c = codec(path)
-        for batch in source:
+        for batch in slices(source):
             found = [c.encode(t or "") for t in batch.column(1).to_pylist()]
             flat = np.concatenate([np.empty(0, "<u4"), *found]).astype(np.int32)
             ids = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, found)]), pa.int32()), pa.array(flat), type=arrow.field(1).type)

@@ -57,6 +57,33 @@ class Memo(dict):
         return value
 
 
+# Rows that a worker turns into Python objects at once.
+SLICE_ROWS = 500
+
+
+def slices(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches of source, cut small: what a task holds at once does not grow with Arrow's batch size.
+
+    At the end the worker, which lives on for other tasks, gives its free memory back.
+    """
+    for batch in source:
+        for k in range(0, batch.num_rows, SLICE_ROWS):
+            yield batch.slice(k, SLICE_ROWS)
+    give_back()
+
+
+def give_back() -> None:
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library: it keeps what is free
+
+
 def map_rows(df: DataFrame, columns: dict[str, str], out: T.StructType, rows: Callable[..., Iterator[tuple]]) -> DataFrame:
     """Apply rows(*column values) -> iterable of output tuples to each Arrow batch of df.
 
@@ -67,7 +94,7 @@ def map_rows(df: DataFrame, columns: dict[str, str], out: T.StructType, rows: Ca
     arrow = to_arrow_schema(out)
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in source:
+        for batch in slices(source):
             made = list(rows(*(c.to_pylist() for c in batch.columns)))
             if made:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*made), arrow)], schema=arrow)

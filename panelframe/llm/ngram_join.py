@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelframe.llm.common import Memo, typed, written
+from panelframe.llm.common import Memo, slices, typed, written
 from panelframe.llm.components import components
 
 MEMO_ENTRIES = 100_000
@@ -36,8 +36,6 @@ LEAST_BOUNDARY, MOST_BOUNDARY = 8, 40
 FILTER_BITS = 1 << 22
 # Bits of a set's parity sketch, in 64-bit words.
 SKETCH_WORDS = 16
-# Texts that are turned into sets at once.
-TEXTS = 500
 # Hubs that a node meets at first, and members of a block of a long list.
 HUBS, BLOCK = 1, 512
 _P1, _P2, _P3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -103,13 +101,6 @@ def choose_boundary(stats: list[tuple[int, float, float]], percent: int) -> int:
     return best
 
 
-def slices(source):
-    """The batches of source, cut small: what a task holds at once does not grow with Arrow's batch size."""
-    for batch in source:
-        for k in range(0, batch.num_rows, TEXTS):
-            yield batch.slice(k, TEXTS)
-
-
 def _first_pass(docs: DataFrame, n: int) -> DataFrame:
     """Kind 0: (id, size, node, sketch). Kind 1: (token, holders) of shingles frequent in a stretch. Kind 2: statistics by size class."""
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -431,21 +422,28 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
 
     @F.pandas_udf("boolean")
     def maybe(bits):
-        k = bits.to_numpy()
         import pandas as pd
 
+        k = bits.to_numpy()
         return pd.Series((packed.value[k >> 3] >> (7 - (k & 7)).astype(np.uint8) & 1).astype(bool))
 
-    @F.pandas_udf("long")
-    def node(texts):
+    @F.pandas_udf("struct<maybe:boolean,node:bigint>")
+    def look(bits, texts):
         import pandas as pd
 
-        shingles = Shingles(n)
-        sets = (shingles(t) for t in texts)
-        return pd.Series([node_of(x) if len(x) else None for x in sets], dtype="Int64")
-
-    unsure = i.isNotNull() & maybe(F.coalesce(id_bit(i), F.lit(0)))
-    looked = docs.where(unsure).withColumn("_node", node(F.col(f"`{text_col}`").cast("string")))
-    kept = looked.join(keepers.withColumnRenamed("_id", "_keep"), (i == F.col("_keep")) & (looked["_node"] == keepers["_node"])).drop(keepers["_node"])
-    once = kept.withColumn("_k", F.row_number().over(Window.partitionBy("_keep", "_node").orderBy(F.lit(1)))).where("_k = 1")
-    return docs.where(~unsure).unionByName(looked.where("_node is null").select(docs.columns)).unionByName(once.select(docs.columns))
+        shingles, table, out = Shingles(n), packed.value, []
+        for k, text in zip(bits, texts):
+            hit = bool(table[k >> 3] >> (7 - (k & 7)) & 1)
+            s = shingles(text) if hit else ()
+            out.append((hit, node_of(s) if len(s) else None))
+        return pd.DataFrame({"maybe": [h for h, _ in out], "node": pd.Series([x for _, x in out], dtype="Int64")})
+
+    # One Python step in each branch, so that a task needs one worker.
+    bit = F.coalesce(id_bit(i), F.lit(0))
+    sure = docs.where(i.isNull() | ~maybe(bit))
+    looked = docs.where(i.isNotNull()).withColumn("_look", look(bit, F.col(f"`{text_col}`").cast("string"))).where("_look.maybe").withColumn("_node", F.col("_look.node"))
+    named = keepers.select(F.col("_id").alias("_keep"), F.col("_node").alias("_of"))
+    kept = looked.join(named, (i == F.col("_keep")) & (F.col("_node") == F.col("_of")))
+    once = kept.withColumn("_k", F.row_number().over(Window.partitionBy("_keep", "_of").orderBy(F.lit(1)))).where("_k = 1")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    return sure.unionByName(looked.where("_node is null").select(columns)).unionByName(once.select(columns))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelframe.llm.common import typed
+from panelframe.llm.common import slices, typed
 from panelframe.llm.pretokens import VOCABULARY, Words, tokenizer_path, vocabulary
 
 # Tokens of the documents that are cut together; a larger document is a block of its own.
@@ -157,7 +157,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window
 
         encode, tail = encoder(path), int(end_id).to_bytes(4, "little")
         first, ids, found, held = TaskContext.get().partitionId() << 33, [], [], 0
-        for batch in source:
+        for batch in slices(source):
             for i, text in zip(*(c.to_pylist() for c in batch.columns)):
                 ids.append(i)
                 found.append(encode(text or "") + tail)
