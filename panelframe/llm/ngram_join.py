@@ -25,9 +25,9 @@ from panelframe.llm.common import Memo, slices, typed, written
 from panelframe.llm.components import components
 
 MEMO_ENTRIES = 100_000
-# Shingles in this share of documents or more (and in LEAST_FREQUENT) count as frequent. There are at most
-# (mean set size / share) of them, of 8 bytes each.
-FREQUENT, LEAST_FREQUENT = 1e-4, 8
+# Shingles of so many documents count as frequent; of more, if there were over MOST_FREQUENT of them (8 bytes
+# each). This decides their place in the order and with it the work, never the result.
+LEAST_FREQUENT, MOST_FREQUENT = 8, 4_000_000
 # Shingles whose frequency within a stretch is counted at once, by the upper half of their hash.
 STRETCH = 4_000_000
 # Light sets have at most so many shingles, whatever the costs; and at least.
@@ -36,8 +36,8 @@ LEAST_BOUNDARY, MOST_BOUNDARY = 8, 40
 FILTER_BITS = 1 << 22
 # Bits of a set's parity sketch, in 64-bit words.
 SKETCH_WORDS = 16
-# Hubs that a node meets at first, and members of a block of a long list.
-HUBS, BLOCK = 1, 512
+# Hubs that a node meets at first; rounds of random meetings and meetings in a list in each; members of a block of a long list.
+HUBS, ROUNDS, SOME, BLOCK = 1, 2, 2, 512
 _P1, _P2, _P3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -331,11 +331,12 @@ def _linked(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, n: int, percent
     return sure.unionByName(_overlap(doubtful, docs, nodes, n, False).where("shared >= least").select("a", "b"))
 
 
-def _across(lists: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+def _across(lists: DataFrame, labels: DataFrame, percent: int, seed: int | None = None) -> DataFrame:
     """Pairs of nodes that share a list and are in different components, each pair once.
 
     In each list the nodes outside its main component meet all nodes of other components; long lists are
-    dealt in blocks.
+    dealt in blocks.  With a seed, each node meets only the next SOME nodes of its list in a seeded random
+    order: as many meetings as list entries, and the more lists two nodes share, the likelier they meet.
     """
     at = written(lists.select("token", "node", "size").join(labels.withColumnRenamed("component", "label"), "node", "left").withColumn("label", F.coalesce("label", "node")), "labelled")
     shares = at.groupBy("token", "label").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("node")).alias("mark"))
@@ -344,9 +345,19 @@ def _across(lists: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     open_lists = open_lists.groupBy("mark", "n").agg(F.min_by(F.struct("token", "main", "rest"), "token").alias("l")).select("l.*")
     open_lists = written(open_lists.select("token", "main", F.ceil(F.col("rest") / BLOCK).cast("int").alias("blocks")), "open-lists")
     members = written(at.join(open_lists, "token"), "open-members")
+    if seed is not None:
+        order = Window.partitionBy("token").orderBy(F.xxhash64("node", "token", F.lit(seed)))
+        other = [F.lead(F.struct(F.col("node").alias("y"), F.col("size").alias("size_y"), F.col("label").alias("label_y")), k).over(order) for k in range(1, SOME + 1)]
+        met = members.select(F.col("node").alias("x"), F.col("size").alias("size_x"), F.col("label").alias("label_x"), F.array(*other).alias("near")).withColumn("o", F.explode("near")).select("x", "size_x", "label_x", "o.*")
+        return _pairs(met.where("y is not null"), percent)
     few = members.where("label <> main").select("token", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), F.col("node").alias("x"), F.col("size").alias("size_x"), F.col("label").alias("label_x"))
     all_ = members.select("token", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("node").alias("y"), F.col("size").alias("size_y"), F.col("label").alias("label_y"), (F.col("label") == F.col("main")).alias("in_main"))
-    met = few.join(all_, ["token", "block"]).where(f"label_x <> label_y and (in_main or x < y) and 100 * size_x >= {percent} * size_y and 100 * size_y >= {percent} * size_x")
+    return _pairs(few.join(all_, ["token", "block"]).where("in_main or x < y"), percent)
+
+
+def _pairs(met: DataFrame, percent: int) -> DataFrame:
+    """(a, size_a, b, size_b) with a < b, once, of met pairs in different components whose sizes let them be near."""
+    met = met.where(f"label_x <> label_y and 100 * size_x >= {percent} * size_y and 100 * size_y >= {percent} * size_x")
     a_first = F.col("x") < F.col("y")
     pick = lambda p, q, name: F.when(a_first, F.col(p)).otherwise(F.col(q)).alias(name)
     return met.select(pick("x", "y", "a"), pick("size_x", "size_y", "size_a"), pick("y", "x", "b"), pick("size_y", "size_x", "size_b")).distinct()
@@ -372,9 +383,16 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int)
     seen = written(_first_pass(docs, n), "ngram-sets")
     every = seen.where("kind = 0")
     nodes = written(every.where("node is not null").groupBy("node").agg(F.min("_id").alias("rep"), F.first("size").alias("size"), F.first("sketch").alias("sketch")), "nodes")
-    total = every.count()
-    # At most (mean set size / FREQUENT) rows, and one row for each size class.
-    often = seen.where("kind = 1").groupBy("node").agg(F.sum("size").alias("n")).where(F.col("n") >= max(LEAST_FREQUENT, FREQUENT * total)).toArrow()
+    counted = written(seen.where("kind = 1").groupBy("node").agg(F.sum("size").alias("n")).where(F.col("n") >= LEAST_FREQUENT), "frequent")
+    # One row for each power of two.
+    steps = sorted(counted.groupBy(F.floor(F.log2("n")).cast("int").alias("k")).count().collect(), reverse=True)
+    least, held = LEAST_FREQUENT, 0
+    for r in steps:
+        held += r["count"]
+        if held > MOST_FREQUENT:
+            least = 1 << (r["k"] + 1)
+            break
+    often = counted.where(F.col("n") >= least).toArrow()
     token, holders = often.column(0).to_numpy().astype(np.uint32), often.column(1).to_numpy()
     by_token, by_count = np.argsort(token), np.argsort(np.lexsort((token, holders)))
     frequent = spark.sparkContext.broadcast((token[by_token], by_count[by_token].astype(np.uint32)))
@@ -392,7 +410,11 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int)
     links = written(_linked(stars, docs, nodes, n, percent), "links")
     labels = written(components(links), "labels")
 
-    # What is left: nodes that share a list across components.
+    # Then nodes that share lists and are still apart meet at random, and last all that are left.
+    for seed in range(ROUNDS):
+        close = written(_linked(_across(lists, labels, percent, seed), docs, nodes, n, percent), "close-links")
+        links = written(links.unionByName(close), "all-links")
+        labels = written(components(links), "labels")
     more = written(_linked(_across(lists, labels, percent), docs, nodes, n, percent), "more-links")
     label = lambda c: F.coalesce(F.col(f"component_{c}"), F.col(c))
     side = lambda c: labels.select(F.col("node").alias(c), F.col("component").alias(f"component_{c}"))
