@@ -110,12 +110,23 @@ def head_and_tail(rows: DataFrame, key: str, order: str, head: int, tail: int) -
     return rows.withColumn("_u", up).withColumn("_d", down).withColumn("left_out", F.greatest(n - (head + tail), F.lit(0))).where((F.col("_u") <= head) | (F.col("_d") <= tail)).drop("_u", "_d")
 
 
-def replayed(baseline: DataFrame, edits: DataFrame, cursor: int) -> DataFrame:
-    """Timeline rows after the edits with seq up to the cursor: durations, removals and orders, with starts summed anew.
+def in_force(log: DataFrame, key: str, seq: str, undo: Column) -> DataFrame:
+    """The edits of a log that no undo took back: an undo row takes the newest edit of its key still in force, if there is one."""
+    w, back = Window.partitionBy(key).orderBy(seq), Window.partitionBy(key).orderBy(F.desc(seq))
+    total = F.sum(F.when(F.col("_undo"), -1).otherwise(1)).over(w)
+    rows = log.withColumn("_undo", F.coalesce(undo, F.lit(False))).withColumn("_total", total)
+    rows = rows.withColumn("_height", F.col("_total") - F.least(F.lit(0), F.min("_total").over(w.rowsBetween(Window.unboundedPreceding, 0))))
+    # An edit is taken back once the height falls below its own.
+    rows = rows.withColumn("_later", F.min("_height").over(back.rowsBetween(Window.unboundedPreceding, -1)))
+    return rows.where("not _undo and coalesce(_later >= _height, true)").drop("_undo", "_total", "_height", "_later")
+
+
+def replayed(baseline: DataFrame, edits: DataFrame, cursor: int | None = None) -> DataFrame:
+    """Timeline rows after the edits with seq up to the cursor (all without one): durations, removals and orders, with starts summed anew.
 
     baseline(chapter, panel, position, seconds); edits(chapter, panel, field, value, seq), the newest of each field counts.
     """
-    last = edits.where(F.col("seq") <= cursor).groupBy("chapter", "panel", "field").agg(F.max_by("value", "seq").alias("value"))
+    last = (edits if cursor is None else edits.where(F.col("seq") <= cursor)).groupBy("chapter", "panel", "field").agg(F.max_by("value", "seq").alias("value"))
     fields = last.groupBy("chapter", "panel").pivot("field", ["duration", "position", "removed"]).agg(F.first("value"))
     rows = baseline.join(fields, ["chapter", "panel"], "left").where(F.coalesce(F.col("removed"), F.lit(0.0)) == 0)
     rows = rows.select("chapter", "panel", F.coalesce(fields["position"], baseline["position"].cast("double")).alias("position"), F.coalesce("duration", "seconds").alias("seconds"))

@@ -133,6 +133,10 @@ def f13_head_and_tail(spark, folder):
     return L.head_and_tail(table(spark, folder, "documents"), "source", "doc_id", 3, 2).select("source", "doc_id", "left_out")
 
 
+def timeline(spark, folder):
+    return table(spark, folder, "conversations").where("text is not null").select(F.col("conv_id").alias("chapter"), F.col("turn").alias("panel"), F.col("turn").alias("position"), (2.0 + F.length("text") % 30 / 10.0).alias("seconds"))
+
+
 @query("""WITH b AS (SELECT conv_id AS chapter, turn AS panel, turn AS position, 2.0 + length(text) % 30 / 10.0::DOUBLE AS seconds FROM conversations WHERE text IS NOT NULL),
   e AS (SELECT event_id % 100 AS chapter, event_id // 100 % 6 AS panel, ['duration', 'position', 'removed'][event_id % 3 + 1] AS field, CASE event_id % 3 WHEN 2 THEN (value > 60)::INT::DOUBLE ELSE value / 10.0 END AS value, event_id AS seq FROM events WHERE event_id % 5 = 0),
   l AS (SELECT chapter, panel, field, arg_max(value, seq) AS value FROM e WHERE seq <= 6000 GROUP BY ALL),
@@ -140,7 +144,7 @@ def f13_head_and_tail(spark, folder):
     LEFT JOIN l d ON d.chapter = b.chapter AND d.panel = b.panel AND d.field = 'duration' LEFT JOIN l x ON x.chapter = b.chapter AND x.panel = b.panel AND x.field = 'removed' WHERE coalesce(x.value, 0) = 0)
 SELECT chapter, panel, row_number() OVER w AS "order", round(seconds, 6) AS seconds, round(coalesce(sum(seconds) OVER (PARTITION BY chapter ORDER BY position, panel ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0), 3) AS start FROM r WINDOW w AS (PARTITION BY chapter ORDER BY position, panel)""")
 def f11_edit_replay(spark, folder):
-    base = table(spark, folder, "conversations").where("text is not null").select(F.col("conv_id").alias("chapter"), F.col("turn").alias("panel"), F.col("turn").alias("position"), (2.0 + F.length("text") % 30 / 10.0).alias("seconds"))
+    base = timeline(spark, folder)
     i = F.col("event_id")
     field = F.element_at(F.array(F.lit("duration"), F.lit("position"), F.lit("removed")), (i % 3 + 1).cast("int"))
     value = F.when(i % 3 == 2, (F.col("value") > 60).cast("double")).otherwise(F.col("value") / 10.0)
@@ -148,6 +152,33 @@ def f11_edit_replay(spark, folder):
     return L.replayed(base, edits, 6000).withColumn("seconds", F.round("seconds", 6))
 
 
+@query("""WITH b AS (SELECT conv_id AS chapter, turn AS panel, turn AS position, 2.0 + length(text) % 30 / 10.0::DOUBLE AS seconds FROM conversations WHERE text IS NOT NULL),
+  c AS (SELECT conv_id AS chapter, max(turn) + 1 AS turns FROM conversations GROUP BY conv_id), m AS (SELECT max(conv_id) + 1 AS many FROM conversations),
+  g AS (SELECT event_id % many AS chapter, event_id // many AS nth, event_type, value, event_id AS seq FROM events, m WHERE event_type IN ('view', 'click', 'purchase', 'signup', 'error')),
+  s AS (SELECT *, sum(CASE event_type WHEN 'error' THEN -1 ELSE 1 END) OVER (PARTITION BY chapter ORDER BY seq) AS total FROM g),
+  h AS (SELECT *, total - least(0, min(total) OVER (PARTITION BY chapter ORDER BY seq)) AS height FROM s),
+  k AS (SELECT *, min(height) OVER (PARTITION BY chapter ORDER BY seq ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS later FROM h),
+  e AS (SELECT chapter, nth % turns AS panel, CASE event_type WHEN 'view' THEN 'duration' WHEN 'click' THEN 'position' ELSE 'removed' END AS field, CASE event_type WHEN 'purchase' THEN 1.0::DOUBLE WHEN 'signup' THEN 0.0::DOUBLE ELSE value / 10.0 END AS value, seq
+    FROM k JOIN c USING (chapter) WHERE event_type <> 'error' AND coalesce(later >= height, true)),
+  l AS (SELECT chapter, panel, field, arg_max(value, seq) AS value FROM e GROUP BY ALL),
+  r AS (SELECT b.chapter, b.panel, coalesce(p.value, position::DOUBLE) AS position, coalesce(d.value, seconds) AS seconds FROM b LEFT JOIN l p ON p.chapter = b.chapter AND p.panel = b.panel AND p.field = 'position'
+    LEFT JOIN l d ON d.chapter = b.chapter AND d.panel = b.panel AND d.field = 'duration' LEFT JOIN l x ON x.chapter = b.chapter AND x.panel = b.panel AND x.field = 'removed' WHERE coalesce(x.value, 0) = 0)
+SELECT chapter, panel, row_number() OVER w AS "order", round(seconds, 6) AS seconds, round(coalesce(sum(seconds) OVER (PARTITION BY chapter ORDER BY position, panel ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0), 3) AS start FROM r WINDOW w AS (PARTITION BY chapter ORDER BY position, panel)""")
+def f11_edit_replay_whole(spark, folder):
+    """Every event is an edit, put back for signup, or an undo for error, dealt to all panels of all conversations."""
+    c = table(spark, folder, "conversations")
+    turns = c.groupBy(F.col("conv_id").alias("chapter")).agg((F.max("turn") + 1).alias("turns"))
+    many = F.broadcast(c.agg((F.max("conv_id") + 1).alias("many")))  # one row
+    t = F.col("event_type")
+    log = table(spark, folder, "events").where(t.isin("view", "click", "purchase", "signup", "error")).crossJoin(many)
+    log = log.select((F.col("event_id") % F.col("many")).alias("chapter"), F.expr("event_id div many").alias("nth"), t, "value", F.col("event_id").alias("seq"))
+    edits = L.in_force(log, "chapter", "seq", t == "error").join(turns, "chapter")
+    field = F.when(t == "view", "duration").when(t == "click", "position").otherwise("removed")
+    value = F.when(t == "purchase", 1.0).when(t == "signup", 0.0).otherwise(F.col("value") / 10.0)
+    edits = edits.select("chapter", (F.col("nth") % F.col("turns")).alias("panel"), field.alias("field"), value.alias("value"), "seq")
+    return L.replayed(timeline(spark, folder), edits).withColumn("seconds", F.round("seconds", 6))
+
+
 @query("""SELECT user_id, stage, round(seconds, 3) AS seconds, round(seconds / sum(seconds) OVER (PARTITION BY user_id), 6) AS share FROM (SELECT user_id, event_id AS stage, (epoch_us(lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) - epoch_us(ts)) / 1e6 AS seconds FROM events) WHERE seconds IS NOT NULL""")
 def g12_stage_durations(spark, folder):
     rows = L.stage_durations(events(spark, folder).select("user_id", F.col("event_id").alias("stage"), "ts"), "user_id", "ts")
