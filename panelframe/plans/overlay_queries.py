@@ -27,6 +27,12 @@ def e04_coverage_fill(spark, folder):
     return lines
 
 
+@query("""SELECT conv_id AS chapter, turn AS idx, text, CASE WHEN role = 'assistant' THEN 'script' ELSE 'caption' END AS source FROM conversations""")
+def e04_coverage_fill_whole(spark, folder):
+    t = turns(spark, folder)
+    return O.fill_missing(t.where("role = 'assistant'"), t, ["chapter", "idx"], t)[0]
+
+
 @query("""SELECT conv_id AS chapter, turn AS idx, batch FROM (SELECT conv_id, turn, ceil(row_number() OVER (PARTITION BY conv_id ORDER BY turn) / 2.0)::BIGINT AS batch FROM conversations WHERE role <> 'assistant') WHERE batch <= 3""")
 def e04_gap_batches(spark, folder):
     t = turns(spark, folder)
@@ -116,12 +122,22 @@ _OVER = "SELECT CASE WHEN doc_id % 2 = 0 THEN 's0123abcd_' || doc_id ELSE doc_id
 @query(f"""WITH p AS ({_OVER}), o AS (SELECT doc_id::VARCHAR AS id, CASE WHEN quality = 1 THEN 'edited ' || doc_id ELSE ' ' END AS text FROM labels), c AS (SELECT * FROM o WHERE trim(text) <> '')
 SELECT p.id, coalesce(a.text, b.text, narration, '') AS text, coalesce(narration, '') AS ai_text, coalesce(a.text, b.text) IS NOT NULL AS edited FROM p LEFT JOIN c a ON a.id = p.id LEFT JOIN c b ON b.id = regexp_replace(p.id, '^s[0-9a-f]{{8}}_', '')""")
 def e12_overrides(spark, folder):
+    return overrides(spark, folder, F.substring("text", 1, 60))
+
+
+def overrides(spark, folder, narration):
     i = F.col("doc_id").cast("string")
-    panels = table(spark, folder, "documents").select(F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("s0123abcd_"), i)).otherwise(i).alias("id"), F.substring("text", 1, 60).alias("narration"))
+    panels = table(spark, folder, "documents").select(F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("s0123abcd_"), i)).otherwise(i).alias("id"), narration.alias("narration"))
     own = table(spark, folder, "labels").select(i.alias("id"), F.when(F.col("quality") == 1, F.concat(F.lit("edited "), i)).otherwise(" ").alias("text"))
     return O.overridden(panels, own)
 
 
+@query("""WITH p AS (SELECT CASE WHEN doc_id % 2 = 0 THEN 's0123abcd_' || doc_id ELSE doc_id::VARCHAR END AS id, text AS narration FROM documents), o AS (SELECT doc_id::VARCHAR AS id, 'edited ' || doc_id AS text FROM labels WHERE quality = 1)
+SELECT p.id, coalesce(a.text, b.text, narration, '') AS text, coalesce(narration, '') AS ai_text, coalesce(a.text, b.text) IS NOT NULL AS edited FROM p LEFT JOIN o a ON a.id = p.id LEFT JOIN o b ON b.id = regexp_replace(p.id, '^s[0-9a-f]{8}_', '')""")
+def e12_overrides_whole(spark, folder):
+    return overrides(spark, folder, F.col("text"))
+
+
 @query("""WITH r AS (SELECT source, doc_id, CASE WHEN toxic = 1 AND source IN ('src1', 'src2', 'src3') THEN 0 WHEN quality = 1 AND source IN ('src3', 'src4', 'src5', 'src6') THEN 1 ELSE 2 END AS k, toxic, quality FROM documents LEFT JOIN labels USING (doc_id)),
   u AS (SELECT source, doc_id, 0 AS source_rank FROM r WHERE toxic = 1 AND source IN ('src1', 'src2', 'src3') UNION ALL SELECT source, doc_id, 1 FROM r WHERE quality = 1 AND source IN ('src3', 'src4', 'src5', 'src6') UNION ALL SELECT source, doc_id, 2 FROM r)
 SELECT source, doc_id, source_rank FROM u QUALIFY source_rank = min(source_rank) OVER (PARTITION BY source)""")
@@ -156,9 +172,18 @@ def e20_checked_operations(spark, folder):
 
 @query(f"""SELECT source, id, row_number() OVER (PARTITION BY source ORDER BY display_order) AS number, CASE WHEN id % 3 = 0 THEN 'override ' || id ELSE left(text, 30) END AS narration FROM ({_VIEW}) v JOIN (SELECT doc_id, text FROM documents) d ON d.doc_id = v.id WHERE NOT deleted AND review_status = 'reviewed'""")
 def e21_confirmed(spark, folder):
+    return confirmed(spark, folder, F.substring("text", 1, 30))
+
+
+@query(f"""SELECT source, id, row_number() OVER (PARTITION BY source ORDER BY display_order) AS number, CASE WHEN id % 3 = 0 THEN 'override ' || id ELSE text END AS narration FROM ({_VIEW}) v JOIN (SELECT doc_id, text FROM documents) d ON d.doc_id = v.id WHERE NOT deleted AND review_status = 'reviewed'""")
+def e21_confirmed_whole(spark, folder):
+    return confirmed(spark, folder, F.col("text"))
+
+
+def confirmed(spark, folder, narration):
     from pyspark.sql import Window
 
-    docs = table(spark, folder, "documents").select(F.col("doc_id").alias("id"), F.substring("text", 1, 30).alias("narration"))
+    docs = table(spark, folder, "documents").select(F.col("doc_id").alias("id"), narration.alias("narration"))
     rows = view(spark, folder).where("not deleted and review_status = 'reviewed'").join(docs, "id")
     text = F.when(F.col("id") % 3 == 0, F.concat(F.lit("override "), F.col("id").cast("string"))).otherwise(F.col("narration"))
     return rows.select("source", "id", F.row_number().over(Window.partitionBy("source").orderBy("display_order")).cast("long").alias("number"), text.alias("narration"))
@@ -171,7 +196,16 @@ def e22_orphans(spark, folder):
 
 @query("""SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN reverse(left(text, 20)) ELSE left(text, 20) END AS caption, turn % 2 = 0 AND reverse(left(text, 20)) <> left(text, 20) AS changed FROM conversations WHERE text IS NOT NULL""")
 def e23_caption_sync(spark, folder):
-    rows = table(spark, folder, "conversations").where("text is not null").select("conv_id", "turn", F.substring("text", 1, 20).alias("caption"))
+    return synced(spark, folder, F.substring("text", 1, 20))
+
+
+@query("""SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN reverse(text) ELSE text END AS caption, turn % 2 = 0 AND reverse(text) <> text AS changed FROM conversations WHERE text IS NOT NULL""")
+def e23_caption_sync_whole(spark, folder):
+    return synced(spark, folder, F.col("text"))
+
+
+def synced(spark, folder, caption):
+    rows = table(spark, folder, "conversations").where("text is not null").select("conv_id", "turn", caption.alias("caption"))
     return O.synced_captions(rows, rows.where("turn % 2 = 0").select("conv_id", "turn", F.reverse("caption").alias("text")), ["conv_id", "turn"])
 
 

@@ -106,10 +106,19 @@ def a04_archive_limits(spark, folder):
 
 @query("""SELECT conv_id, turn, turn + 1 AS number, turn * 61.5::DOUBLE AS start, turn * 61.5::DOUBLE + 2.25 AS "end", trim(regexp_replace(left(text, 50), '\\s*\\n\\s*', ' ', 'g')) AS caption FROM (SELECT conv_id, turn, text FROM conversations WHERE text IS NOT NULL)""")
 def a10_srt_parse(spark, folder):
+    return parsed(spark, folder, F.substring("text", 1, 50))
+
+
+@query("""SELECT conv_id, turn, turn + 1 AS number, turn * 61.5::DOUBLE AS start, turn * 61.5::DOUBLE + 2.25 AS "end", trim(regexp_replace(text, '\\s*\\n\\s*', ' ', 'g')) AS caption FROM (SELECT conv_id, turn, text FROM conversations WHERE text IS NOT NULL)""")
+def a10_srt_parse_whole(spark, folder):
+    return parsed(spark, folder, F.col("text"))
+
+
+def parsed(spark, folder, caption):
     from panelframe.functions.text import srt_time
 
     t = F.col("turn")
-    blocks = F.concat_ws("\n", t + 1, F.concat(srt_time(t * 61.5), F.lit(" --> "), srt_time(t * 61.5 + 2.25)), F.substring("text", 1, 50))
+    blocks = F.concat_ws("\n", t + 1, F.concat(srt_time(t * 61.5), F.lit(" --> "), srt_time(t * 61.5 + 2.25)), caption)
     rows = table(spark, folder, "conversations").where("text is not null").select("conv_id", "turn", blocks.alias("block"))
     return D.srt_cues(rows).drop("block")
 

@@ -162,10 +162,19 @@ def b36_model_names(spark, folder):
 
 @query("""SELECT conv_id, turn, '#' || turn || ' [' || role || '] ' || left(coalesce(text, ''), 60) AS row, coalesce(array_to_string(list(role) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), ' | '), '') AS context FROM conversations""")
 def b37_prompt_rows(spark, folder):
+    return prompt_rows(spark, folder, F.substring(X.text(F.col("text")), 1, 60))
+
+
+@query("""SELECT conv_id, turn, '#' || turn || ' [' || role || '] ' || coalesce(text, '') AS row, coalesce(array_to_string(list(role) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), ' | '), '') AS context FROM conversations""")
+def b37_prompt_rows_whole(spark, folder):
+    return prompt_rows(spark, folder, X.text(F.col("text")))
+
+
+def prompt_rows(spark, folder, text):
     from pyspark.sql import Window
 
     last = F.collect_list("role").over(Window.partitionBy("conv_id").orderBy("turn").rowsBetween(-3, -1))
-    row = F.concat(F.lit("#"), "turn", F.lit(" ["), "role", F.lit("] "), F.substring(X.text(F.col("text")), 1, 60))
+    row = F.concat(F.lit("#"), "turn", F.lit(" ["), "role", F.lit("] "), text)
     return table(spark, folder, "conversations").select("conv_id", "turn", row.alias("row"), F.array_join(last, " | ").alias("context"))
 
 

@@ -45,3 +45,24 @@ def test_edits_of_any_event_reach_any_conversation(spark, tmp_path):
     last = {r["panel"]: r["seconds"] for r in got if r["chapter"] == 149}
     assert last == {0: 3.0, 1: 3.0, 2: 3.0, 3: 3.0, 4: 3.0, 5: 3.0, 7: 5.5}  # 6 is removed, 5's removal undone
     assert len(got) == chapters * turns - 1
+
+
+TALK = "conv_id long, turn int, role string, text string"
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+LABELS = "doc_id long, quality int, toxic int"
+
+
+def test_texts_keep_their_ends(spark, tmp_path):
+    text = "word " * 400 + "end"
+    talk = ([(0, 0, "user", text), (0, 1, "user", text), (0, 2, "user", "a" * 20 + "b")], TALK)
+    docs = ([(1, text, "en", "s", 9), (2, text, "en", "s", 9)], DOCS)
+    get = lambda name, **t: {(r[0], r[1]): r for r in whole(spark, tmp_path, name, **t)}
+    assert get("e04_coverage_fill_whole", conversations=talk)[0, 0]["text"] == text
+    assert get("b37_prompt_rows_whole", conversations=talk)[0, 1]["row"] == f"#1 [user] {text}"
+    assert get("a10_srt_parse_whole", conversations=talk)[0, 1]["caption"] == text
+    synced = get("e23_caption_sync_whole", conversations=talk)
+    assert synced[0, 0]["caption"] == text[::-1] and synced[0, 2]["changed"]
+    labels = ([(1, 1, 0), (2, 0, 0)], LABELS)
+    rows = {r["id"]: r for r in whole(spark, tmp_path, "e12_overrides_whole", documents=docs, labels=labels)}
+    assert (rows["1"]["text"], rows["1"]["ai_text"], rows["s0123abcd_2"]["text"]) == ("edited 1", text, text)
+    assert get("e21_confirmed_whole", documents=docs, labels=labels)["s", 1]["narration"] == text
