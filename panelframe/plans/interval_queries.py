@@ -67,7 +67,19 @@ def c05_spaced_cuts(spark, folder):
   q AS (SELECT strip, b, mid AS cut FROM p QUALIFY row_number() OVER (PARTITION BY strip, b ORDER BY level, d, lo) = 1)
 SELECT strip, b, cut FROM b LEFT JOIN q USING (strip, b)""")
 def c06_nearest_gutter(spark, folder):
-    boundaries = table(spark, folder, "events").where("event_id % 5 = 0").select(F.col("user_id").alias("strip"), (F.col("event_id") % 60).alias("b")).distinct()
+    return nearest_gutter(spark, folder, table(spark, folder, "events").where("event_id % 5 = 0"))
+
+
+@query(f"""WITH {_GUTTERS}, b AS (SELECT DISTINCT user_id AS strip, event_id % 60 AS b FROM events),
+  p AS (SELECT b.strip, b, mid, lo, CASE WHEN hi >= b - 2 AND lo <= b + 2 THEN 0 WHEN hi >= b - 6 AND lo <= b + 6 THEN 1 ELSE 2 END AS level, abs((lo + hi) / 2.0 - b) AS d FROM b JOIN v ON v.strip = b.strip AND hi >= b - 15 AND lo <= b + 15),
+  q AS (SELECT strip, b, mid AS cut FROM p QUALIFY row_number() OVER (PARTITION BY strip, b ORDER BY level, d, lo) = 1)
+SELECT strip, b, cut FROM b LEFT JOIN q USING (strip, b)""")
+def c06_nearest_gutter_whole(spark, folder):
+    return nearest_gutter(spark, folder, table(spark, folder, "events"))
+
+
+def nearest_gutter(spark, folder, events):
+    boundaries = events.select(F.col("user_id").alias("strip"), (F.col("event_id") % 60).alias("b")).distinct()
     return I.nearest_run(boundaries, I.gutters(row_metrics(spark, folder), marks(spark, folder)), [2, 6, 15])
 
 

@@ -43,8 +43,18 @@ def h02_drift(spark, folder):
 @query(f"""WITH l AS (SELECT session, step, arg_max(status, seq) AS status FROM ({_LOG}) GROUP BY session, step), e AS (SELECT user_id AS session, min(CASE event_type WHEN 'purchase' THEN 9 WHEN 'signup' THEN 6 END) AS f FROM events WHERE user_id % 3 = 0 GROUP BY user_id)
 SELECT l.session, step, CASE WHEN status = 'success' AND step >= f THEN 'stale' ELSE status END AS status FROM l LEFT JOIN e USING (session)""")
 def h03_invalidation(spark, folder):
+    return invalidation(spark, folder, table(spark, folder, "events").where("user_id % 3 = 0"))
+
+
+@query(f"""WITH l AS (SELECT session, step, arg_max(status, seq) AS status FROM ({_LOG}) GROUP BY session, step), e AS (SELECT user_id AS session, min(CASE event_type WHEN 'purchase' THEN 9 WHEN 'signup' THEN 6 END) AS f FROM events GROUP BY user_id)
+SELECT l.session, step, CASE WHEN status = 'success' AND step >= f THEN 'stale' ELSE status END AS status FROM l LEFT JOIN e USING (session)""")
+def h03_invalidation_whole(spark, folder):
+    return invalidation(spark, folder, table(spark, folder, "events"))
+
+
+def invalidation(spark, folder, edits):
     changed = F.when(F.col("event_type") == "purchase", "voice.json").when(F.col("event_type") == "signup", "order")
-    edits = table(spark, folder, "events").where("user_id % 3 = 0").select(F.col("user_id").alias("session"), changed.alias("changed"))
+    edits = edits.select(F.col("user_id").alias("session"), changed.alias("changed"))
     return L.invalidated(L.step_ledger(log(spark, folder)).drop("seq"), edits)
 
 

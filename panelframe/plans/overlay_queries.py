@@ -46,6 +46,13 @@ def e05_first_lines(spark, folder):
     return O.first_lines(lines, table(spark, folder, "documents").where("lang = 'en'"), ["doc_id"], "benchmark_id")
 
 
+@query("""SELECT doc_id, doc_id AS benchmark_id, coalesce(part, 'beat') AS part FROM (SELECT doc_id, CASE WHEN quality = 1 THEN 'hook' END AS part, row_number() OVER (PARTITION BY doc_id ORDER BY quality DESC NULLS LAST) AS n FROM labels)
+WHERE n = 1 AND doc_id IN (SELECT doc_id FROM documents WHERE lang = 'en')""")
+def e05_first_lines_whole(spark, folder):
+    lines = table(spark, folder, "labels").select("doc_id", F.col("doc_id").alias("benchmark_id"), F.when(F.col("quality") == 1, "hook").alias("part"), F.coalesce(-F.col("quality"), F.lit(1)).alias("seq"))
+    return O.first_lines(lines, table(spark, folder, "documents").where("lang = 'en'"), ["doc_id"], "seq").drop("seq")
+
+
 @query("""SELECT source, bool_and(doc_id % 50 <> 3) AS valid FROM documents GROUP BY source""")
 def e06_same_members(spark, folder):
     active = table(spark, folder, "documents").select("source", F.col("doc_id").alias("id"))
@@ -108,6 +115,17 @@ def e10_continuation(spark, folder):
     return merged.join(audio, "raw", "left")
 
 
+@query(f"""WITH {_CHAIN}, o AS (SELECT o_custkey AS ancestor, o_orderkey::VARCHAR AS id, o_orderkey AS position, o_orderstatus AS status FROM orders),
+  m AS (SELECT session, id AS raw, status, row_number() OVER (PARTITION BY session ORDER BY depth DESC, position, id) AS number FROM chain JOIN o USING (ancestor))
+SELECT session, raw, number, CASE WHEN status <> 'O' THEN round(raw::BIGINT % 97 / 10.0::DOUBLE, 1) END AS audio_seconds FROM m""")
+def e10_continuation_whole(spark, folder):
+    """All orders are panels; those that are no longer open have audio."""
+    rows = table(spark, folder, "orders").select(F.col("o_custkey").alias("session"), F.col("o_orderkey").cast("string").alias("id"), F.col("o_orderkey").alias("position"), "o_orderstatus")
+    audio = rows.where("o_orderstatus <> 'O'").select(F.col("id").alias("raw"), F.round(F.col("position") % 97 / 10.0, 1).alias("audio_seconds"))
+    merged = O.combined(chain(spark, folder), rows).select("session", F.regexp_replace("id", "^s[0-9a-f]{8}_", "").alias("raw"), F.col("display_order").alias("number"))
+    return merged.join(audio, "raw", "left")
+
+
 @query("""WITH n AS (SELECT c_name AS name FROM customer), a AS (SELECT DISTINCT left(c_name, length(c_name) - (c_custkey % 3)::INT) AS q FROM customer)
 SELECT q, coalesce((SELECT max(name) FROM n WHERE name = q), (SELECT CASE WHEN count(*) = 1 THEN max(name) END FROM n WHERE starts_with(name, q))) AS name FROM a""")
 def e11_prefix(spark, folder):

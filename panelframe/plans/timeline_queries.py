@@ -136,10 +136,11 @@ def f06_alternating_split(spark, folder):
     return TL.alternating_direction(parts, F.col("p_size") % 3 == 0).select("p_partkey", "split_dir")
 
 
-def bank(spark, folder):
-    """A sound bank: parts by type stand for files of the three kinds."""
+def bank(spark, folder, every=False):
+    """A sound bank: parts by type stand for files of the three kinds, one in 25 or every one."""
     kind = F.element_at(F.array(F.lit("transition"), F.lit("action"), F.lit("reveal")), (F.col("p_size") % 3 + 1).cast("int"))
-    files = table(spark, folder, "part").where("p_partkey % 25 = 0").select(kind.alias("kind"), F.concat(kind, F.lit("/"), "p_partkey", F.lit(".wav")).alias("source"))
+    parts = table(spark, folder, "part")
+    files = (parts if every else parts.where("p_partkey % 25 = 0")).select(kind.alias("kind"), F.concat(kind, F.lit("/"), "p_partkey", F.lit(".wav")).alias("source"))
     w = Window.partitionBy("kind")
     return files.withColumn("k", (F.row_number().over(w.orderBy("source")) - 1).cast("long")).withColumn("n", F.count(F.lit(1)).over(w))
 
@@ -170,6 +171,23 @@ def f08_known_cues(spark, folder):
     return TL.known_cues(TL.sound_cues(timed(told(spark, folder)), bank(spark, folder)), found).select("chapter", "panel_id", "kind", "source")
 
 
+_CUE_SQL_WHOLE = _CUE_SQL.replace(" FROM part WHERE p_partkey % 25 = 0", " FROM part")
+
+
+@query(_CUE_SQL_WHOLE)
+def f07_sound_cues_whole(spark, folder):
+    return TL.sound_cues(timed(told(spark, folder)), bank(spark, folder, every=True))
+
+
+@query(f"SELECT chapter, panel_id, kind, source FROM ({_CUE_SQL_WHOLE}) WHERE source IN (SELECT ['transition', 'action', 'reveal'][p_size % 3 + 1] || '/' || p_partkey || '.wav' FROM part WHERE NOT starts_with(p_type, 'PROMO'))")
+def f08_known_cues_whole(spark, folder):
+    """Files of all parts are in the bank; those of promoted types are no longer there."""
+    there = table(spark, folder, "part").where("not startswith(p_type, 'PROMO')").select(F.col("p_partkey").alias("_part"))
+    every = bank(spark, folder, every=True)
+    found = every.withColumn("_part", F.regexp_extract("source", r"/(\d+)\.", 1).cast("long")).join(there, "_part", "left_semi")
+    return TL.known_cues(TL.sound_cues(timed(told(spark, folder)), every), found).select("chapter", "panel_id", "kind", "source")
+
+
 @query(f"""WITH {TIMELINE}, b AS (SELECT chapter, "order" AS o, panel_id AS from_panel, lead(panel_id) OVER w AS to_panel, sum(duration_seconds) OVER w AS s FROM t WHERE start_seconds IS NOT NULL WINDOW w AS (PARTITION BY chapter ORDER BY idx)),
   c AS (SELECT *, CASE WHEN o % 5 = 2 THEN 'fade' ELSE 'cut' END AS kind, CASE WHEN o % 5 = 2 THEN 0.25 ELSE 0.5 END::DOUBLE AS seconds FROM b WHERE to_panel IS NOT NULL)
 SELECT chapter, from_panel, to_panel, kind, seconds, round(s - o * max(seconds) OVER (PARTITION BY chapter), 3) AS "offset" FROM c""")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from panelframe.operators import ledger as L
 from panelframe.plans import load, registry
+from panelframe.plans.timeline_queries import bank
 
 load()
 
@@ -66,3 +67,22 @@ def test_texts_keep_their_ends(spark, tmp_path):
     rows = {r["id"]: r for r in whole(spark, tmp_path, "e12_overrides_whole", documents=docs, labels=labels)}
     assert (rows["1"]["text"], rows["1"]["ai_text"], rows["s0123abcd_2"]["text"]) == ("edited 1", text, text)
     assert get("e21_confirmed_whole", documents=docs, labels=labels)["s", 1]["narration"] == text
+
+
+EVENTS = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
+
+
+def test_no_row_is_left_out(spark, tmp_path):
+    orders = ([(5, 1, "F"), (6, 1, "O"), (10, 2, "P")], "o_orderkey long, o_custkey long, o_orderstatus string")
+    got = whole(spark, tmp_path, "e10_continuation_whole", orders=orders, customer=([(7,), (1,), (2,)], "c_custkey long"))
+    assert {r["raw"] for r in got} == {"5", "6", "10"} and {r["audio_seconds"] for r in got if r["raw"] in "56"} == {0.5, None}
+    at = datetime(2024, 1, 1)
+    events = ([(i, at, 1, "purchase" if i == 9 else "view", 50.0, None) for i in range(7, 13)], EVENTS)
+    got = whole(spark, tmp_path, "h03_invalidation_whole", events=events)
+    assert {r["step"]: r["status"] for r in got} == {8: "success", 9: "stale", 10: "stale", 11: "stale", 12: "stale", 1: "success"}
+    assert {r["b"] for r in whole(spark, tmp_path, "c06_nearest_gutter_whole", events=events)} == set(range(7, 13))
+    docs = ([(d, "t", "en", "s", 1) for d in (3, 1003, 2003)], DOCS)
+    got = whole(spark, tmp_path, "e05_first_lines_whole", documents=docs, labels=([(1003, 1, 0), (2003, 0, 0)], LABELS))
+    assert {(r["doc_id"], r["part"]) for r in got} == {(1003, "hook"), (2003, "beat")}
+    spark.range(1, 101).selectExpr("id as p_partkey", "cast(id % 7 as int) as p_size").write.parquet(f"{tmp_path}/part.parquet")
+    assert bank(spark, str(tmp_path), every=True).count() == 100
