@@ -2,8 +2,8 @@
 
 On a bounded sample, the neighbour graph is cut into balanced parts and a small classifier learns which
 part a vector belongs to.  Every row is then filed under its most probable part; a query looks through
-as many of its most probable parts as a check on the sample asks for, and all rows found there are
-ranked by their exact inner product.
+as many of its most probable parts as a check on a second sample, kept out of the fitting, asks for, and
+all rows found there are ranked by their exact inner product.
 """
 
 from __future__ import annotations
@@ -22,8 +22,9 @@ from panelframe.llm.common import written
 SAMPLE = 4000
 # Neighbours of each vector in the graph; parts at most; vectors of the sample in a part, about.
 GRAPH, MOST_PARTS, PART_SAMPLE = 12, 32, 100
-# Share of true neighbours in the sample that the probed parts must hold.
+# Share of true neighbours of vectors kept out of the fitting that the probed parts must hold; at most so many are asked.
 AIM = 0.95
+MOST_ASKED = 1000
 HIDDEN, ROUNDS, RATE = 96, 220, 0.01
 # Rows and queries of one block.
 BLOCK_ROWS, BLOCK_QUERIES = 8192, 2048
@@ -88,8 +89,27 @@ def balanced_parts(graph: np.ndarray, x: np.ndarray, parts: int, rng: np.random.
     return part
 
 
-def fit_router(x: np.ndarray, k: int, aim: float = AIM, seed: int = 11) -> Router:
-    """Fit parts, classifier and number of probes on sample vectors x. A sample of under two parts gets one part."""
+def probes_for(router: Router, asked: np.ndarray, among: np.ndarray, own: np.ndarray, k: int, aim: float) -> int:
+    """Parts that a query must look through to hold the aimed share of the k nearest of `asked` among `among`, own rows left out."""
+    if not len(asked) or len(among) < 2:
+        return router.parts
+    filed, ranking = router.best(among, 1)[:, 0], router.best(asked, router.parts)
+    k, true = min(k, len(among) - 1), []
+    for i in range(0, len(asked), 512):
+        score = asked[i : i + 512] @ among.T
+        score[np.arange(len(score)), own[i : i + 512]] = -np.inf
+        true.append(np.argpartition(-score, k - 1, axis=1)[:, :k])
+    place = np.argsort(ranking, axis=1)[np.arange(len(asked))[:, None], filed[np.concatenate(true)]]
+    held = np.cumsum(np.bincount(place.ravel(), minlength=router.parts)) / place.size
+    return min(int(np.searchsorted(held, aim)) + 1, router.parts)
+
+
+def fit_router(x: np.ndarray, kept: np.ndarray, k: int, aim: float = AIM, seed: int = 11, whole: bool = False) -> Router:
+    """Fit parts and classifier on sample vectors x, and the number of probes on those kept out. A sample of under two parts gets one part.
+
+    The neighbours looked for are kept vectors too, which the classifier hasn't seen either; with whole, x and
+    kept are all there is, and neighbours come from both.
+    """
     n, d = x.shape if x.ndim == 2 else (0, 0)
     parts = min(MOST_PARTS, n // PART_SAMPLE)
     if parts < 2:
@@ -116,13 +136,18 @@ def fit_router(x: np.ndarray, k: int, aim: float = AIM, seed: int = 11) -> Route
             v[j] += 0.001 * (g * g - v[j])
             w[j] = w[j] - RATE * (1 - step / (ROUNDS + 1)) * (m[j] / (1 - 0.9**step)) / (np.sqrt(v[j] / (1 - 0.999**step)) + 1e-8)
     router = Router(*w, 1)
-    # How many probes hold the aimed share of the sample's true neighbours?
-    asked = rng.choice(n, min(n, 1000), replace=False)
-    true = neighbours(x, x[asked], k + 1)
-    filed, ranking = router.best(x, 1)[:, 0], router.best(x[asked], parts)
-    place = np.argsort(ranking, axis=1)[np.arange(len(asked))[:, None], filed[true]]
-    held = np.cumsum(np.bincount(place.ravel(), minlength=parts)) / place.size
-    return Router(*w, int(np.searchsorted(held, aim)) + 1)
+    rows = rng.choice(len(kept), min(len(kept), MOST_ASKED), replace=False)
+    among, first = (np.concatenate([x, kept]), len(x)) if whole else (kept, 0)
+    return Router(*w, probes_for(router, kept[rows], among, first + rows, k, aim))
+
+
+def drawn(vectors: np.ndarray, sample: int) -> tuple[np.ndarray, np.ndarray]:
+    """(vectors to fit on, others kept out): a quarter at least is kept out, and no vector is in both."""
+    fit = min(sample, len(vectors) - len(vectors) // 4)
+    x = np.unique(vectors[:fit], axis=0)
+    seen = {v.tobytes() for v in x + 0.0}
+    kept = np.array([v for v in np.unique(vectors[fit:], axis=0) + 0.0 if v.tobytes() not in seen]).reshape(-1, vectors.shape[1])
+    return x, kept
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -141,37 +166,43 @@ def search(vectors: DataFrame, asks: Callable[[Column], Column], id_col: str = "
     """The k nearest found of every query: (query_id, rank, vec_id, score), by largest inner product in double precision.
 
     Queries are the rows for whose id asks(id) holds; candidates are all rows but the query's own id; ties
-    go to the smaller id.  A query with at most k candidates gets all of them, however they are filed.
+    go to the smaller id.  Every query looks through parts until they hold k candidates, or all that there are.
     Vectors that are null, zero, or hold null or non-finite components take no part; null ids neither; an id
     that comes repeatedly takes part once, with its smallest vector; all vectors must have one length.
     An empty table gives no rows; other columns are not read.
 
     Rows of a part are cut into blocks of about BLOCK_ROWS and its queries into blocks of BLOCK_QUERIES; each task meets one
     of each, so a part that holds a third of all rows is many tasks.  What goes to the driver: the
-    sample (at most `sample` vectors) and the row count of each part.
+    sample (at most twice `sample` vectors) and the row count of each part.
     """
     rows = written(usable(vectors, id_col, vector_col).withColumn("_query", F.coalesce(asks(F.col("_id")), F.lit(False))), "ann-rows")
-    chosen = rows.orderBy(F.xxhash64("_id"), "_id").limit(sample).select("_v").collect()
-    x = np.unique(_matrix(r["_v"] for r in chosen), axis=0) if chosen else np.empty((0, 1))
-    router = fit_router(x, k, aim)
-    n = rows.count()
-    parts, probes = router.parts, router.probes if n > k + 1 else router.parts
+    chosen = rows.orderBy(F.xxhash64("_id"), "_id").limit(2 * sample).select("_v").collect()
+    x, kept = drawn(_matrix(r["_v"] for r in chosen) if chosen else np.empty((0, 1)), sample)
+    router = fit_router(x, kept, k, aim, whole=len(chosen) < 2 * sample)
+    parts, probes = router.parts, router.probes
 
+    # All parts of a query, most probable first, and the most probable one of any other row.
     @F.pandas_udf("array<int>")
-    def routed(v: pd.Series) -> pd.Series:
-        return pd.Series(list(router.best(_matrix(v), probes).astype(np.int32)), index=v.index, dtype=object) if len(v) else pd.Series([], dtype=object)
+    def routed(v: pd.Series, query: pd.Series) -> pd.Series:
+        if not len(v):
+            return pd.Series([], dtype=object)
+        return pd.Series([r if q else r[:1] for r, q in zip(router.best(_matrix(v), parts).astype(np.int32), query)], index=v.index, dtype=object)
 
-    filed = written(rows.withColumn("_parts", routed("_v")), "ann-filed")
+    filed = written(rows.withColumn("_parts", routed("_v", "_query")), "ann-filed")
     # One count for each part: MOST_PARTS rows at most.
     sizes = {r["_part"]: r["n"] for r in filed.groupBy(F.col("_parts")[0].alias("_part")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    asked = {r["_part"]: r["n"] for r in filed.where("_query").select(F.explode("_parts").alias("_part")).groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect()}
+    size = F.array(*[F.lit(sizes.get(p, 0)).cast("long") for p in range(parts)])
+    # A part is looked through if it is among the first, or the parts before it hold fewer than k rows besides the query's own.
+    before = lambda i: F.aggregate(F.slice("_parts", F.lit(1), i), F.lit(0).cast("long"), lambda total, p: total + size[p])
+    probed = filed.where("_query").withColumn("_parts", F.filter("_parts", lambda p, i: (i < probes) | (before(i) <= k)))
+    asked = {r["_part"]: r["n"] for r in probed.select(F.explode("_parts").alias("_part")).groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect()}
     blocks = F.array(*[F.lit(-(-sizes.get(p, 0) // BLOCK_ROWS) or 1) for p in range(parts)])
     lots = F.array(*[F.lit(-(-asked.get(p, 0) // BLOCK_QUERIES) or 1) for p in range(parts)])
     numbers = lambda array: F.explode(F.sequence(F.lit(0), array[F.col("_part")] - 1))
     deal = lambda array: F.pmod(F.xxhash64("_id"), array[F.col("_part")]).cast("int")
     held = filed.select("_id", "_v", F.col("_parts")[0].alias("_part")).where(F.col("_part").isin([*asked]))
     held = held.withColumn("_block", deal(blocks)).withColumn("_lot", numbers(lots))
-    asking = filed.where("_query").select("_id", "_v", F.explode("_parts").alias("_part")).where(F.col("_part").isin([*sizes]))
+    asking = probed.select("_id", "_v", F.explode("_parts").alias("_part")).where(F.col("_part").isin([*sizes]))
     asking = asking.withColumn("_lot", deal(lots)).withColumn("_block", numbers(blocks))
     key = ["_part", "_block", "_lot"]
 

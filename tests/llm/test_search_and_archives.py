@@ -41,6 +41,25 @@ def test_search_finds_neighbours(spark):
         assert all(abs(s - at[q] @ at[i]) < 1e-9 for i, s in near)
 
 
+def test_recall_holds_outside_the_sample(spark):
+    n, k = 3000, 20
+    x = np.random.default_rng(1).normal(size=(n, 32))  # no structure; the sample is a fifth
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.search(df, lambda i: i % 10 == 0, sample=600).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    want = brute(np.arange(n), x, {*range(0, n, 10)}, k)
+    assert np.mean([len(got[q] & {i for i, _ in want[q]}) / k for q in want]) >= 0.95
+
+
+def test_every_query_gets_k(spark):
+    x = np.random.default_rng(4).normal(size=(500, 8))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    # Three parts of some 170 rows, of which the low aim has one looked through.
+    found = ann.search(df, lambda i: i % 50 == 0, k=300, aim=0.01, sample=300).groupBy("query_id").count().collect()
+    assert {r["query_id"]: r["count"] for r in found} == {i: 300 for i in range(0, 500, 50)}
+
+
 def test_few_and_no_vectors(spark):
     rows = [(i, [float(i + 1), 1.0]) for i in range(4)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
