@@ -290,11 +290,12 @@ def _sets(docs: DataFrame, n: int, needed: DataFrame, short: bool) -> DataFrame:
 
 
 # Short hashes can only overstate an overlap; up to so much over the least overlap, a pair is looked at with long ones.
-SLACK = 4
+# Of sets of a and b shingles about a b / 2^32 meet by chance at most; so many times as much is allowed for.
+SLACK, CHANCE = 4, 8
 
 
 def _overlap(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, n: int, short: bool) -> DataFrame:
-    """pairs(a, b, least) with the number of shingles that a and b share."""
+    """pairs(a, b, least, slack) with the number of shingles that a and b share."""
     ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
     sets = _sets(docs, n, written(ends.join(nodes.select("node", "rep"), "node"), "needed"), short)
     kind = np.uint32 if short else np.uint64
@@ -311,7 +312,7 @@ def _overlap(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, n: int, short:
         return pd.Series([one(x, y) for x, y in zip(a, b)], dtype="int64")
 
     first, second = (sets.select(F.col("node").alias(c), F.col("shingles").alias(f"set_{c}")) for c in "ab")
-    return pairs.join(first, "a").join(second, "b").select("a", "b", "least", shared("set_a", "set_b").alias("shared"))
+    return pairs.join(first, "a").join(second, "b").select("a", "b", "least", "slack", shared("set_a", "set_b").alias("shared"))
 
 
 def _linked(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, n: int, percent: int) -> DataFrame:
@@ -321,11 +322,12 @@ def _linked(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, n: int, percent
     total = F.col("size_a").cast("long") + F.col("size_b")
     # 100 |A and B| >= percent |A or B| means (100 + percent) |A and B| >= percent (|A| + |B|).
     least = F.ceil(F.lit(percent) * total / F.lit(100 + percent))
-    likely = pairs.join(left, "a").join(right, "b").where(differ <= total - 2 * least).select("a", "b", least.alias("least"))
+    slack = SLACK + F.floor(CHANCE * F.col("size_a").cast("double") * F.col("size_b") / F.lit(float(1 << 32)))
+    likely = pairs.join(left, "a").join(right, "b").where(differ <= total - 2 * least).select("a", "b", least.alias("least"), slack.alias("slack"))
     likely = written(likely, "likely-pairs")
     rough = written(_overlap(likely, docs, nodes, n, True).where("shared >= least"), "rough-pairs")
-    doubtful = rough.where(F.col("shared") < F.col("least") + SLACK).select("a", "b", "least")
-    sure = rough.where(F.col("shared") >= F.col("least") + SLACK).select("a", "b")
+    doubtful = rough.where(F.col("shared") < F.col("least") + F.col("slack")).select("a", "b", "least", "slack")
+    sure = rough.where(F.col("shared") >= F.col("least") + F.col("slack")).select("a", "b")
     if doubtful.isEmpty():
         return sure
     return sure.unionByName(_overlap(doubtful, docs, nodes, n, False).where("shared >= least").select("a", "b"))

@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from panelframe.llm import ngram_join, quality_model, quality_rules, secret_scan, sharding
 
@@ -196,3 +197,17 @@ def test_shards(spark):
         share = Counter(r["shard"] for r in got if r["source"] == source)
         assert max(share.values()) <= n / 8 + 2 and min(share[k] for k in range(8)) >= n / 8 - 2
     assert sharding.interleave(docs.where("false")).count() == 0
+
+
+def test_long_sets_get_the_long_check(spark, monkeypatch):
+    """In two sets of a million, short hashes overstate the overlap by far more than in small ones."""
+
+    def overlap(pairs, docs, nodes, n, short):
+        # Short hashes give each pair ten more than is asked, long ones one less.
+        return pairs.withColumn("shared", F.col("least") + (10 if short else -1))
+
+    monkeypatch.setattr(ngram_join, "_overlap", overlap)
+    nodes = spark.createDataFrame([(k, [0, 0]) for k in range(4)], "node long, sketch array<long>")
+    pairs = spark.createDataFrame([(0, 10**6, 1, 10**6), (2, 1000, 3, 1000)], "a long, size_a int, b long, size_b int")
+    # Ten more are no chance hits in sets of a thousand, but well may be in those of a million.
+    assert [tuple(r) for r in ngram_join._linked(pairs, None, nodes, 5, 75).collect()] == [(2, 3)]
