@@ -373,6 +373,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     its own id).  component_id is the smallest id reachable by links, itself included.  Rows with a null
     id take part and get the component's smallest id (null if there is none); repeated rows are documents
     each, so copies link; an empty table gives no rows; other columns are not read.  percent must be over 50.
+
+    Components are all that is found: two nodes that are in one already are never compared, so this gives
+    neither the links nor their number.
     """
     out = _grouped(docs, id_col, text_col, n, percent)
     return out.select(F.col("_id").alias(id_col), F.col("size").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("_id")).otherwise(F.col("smallest")).alias("component_id"))
