@@ -6,7 +6,9 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -57,8 +59,22 @@ class Memo(dict):
         return value
 
 
-# Rows that a worker turns into Python objects at once.
-SLICE_ROWS = 500
+# Rows, and bytes of texts, that a worker turns into Python objects at once; one longer text is taken alone.
+SLICE_ROWS, SLICE_BYTES = 2000, 4 << 20
+
+
+def cut(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """batch in slices of at most SLICE_ROWS rows and SLICE_BYTES bytes of strings and binaries."""
+    size = np.zeros(batch.num_rows, np.int64)
+    for c in batch.columns:
+        if pa.types.is_string(c.type) or pa.types.is_large_string(c.type) or pa.types.is_binary(c.type):
+            size += pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False)
+    end, first = np.cumsum(size), 0
+    while first < batch.num_rows:
+        held = int(end[first - 1]) if first else 0
+        last = max(first + 1, min(first + SLICE_ROWS, int(np.searchsorted(end, held + SLICE_BYTES, "right"))))
+        yield batch.slice(first, last - first)
+        first = last
 
 
 def slices(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -67,8 +83,7 @@ def slices(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     At the end the worker, which lives on for other tasks, gives its free memory back.
     """
     for batch in source:
-        for k in range(0, batch.num_rows, SLICE_ROWS):
-            yield batch.slice(k, SLICE_ROWS)
+        yield from cut(batch)
     give_back()
 
 

@@ -1,95 +1,58 @@
 """Size-aware heavy-light Jaccard join of documents over word n-grams, up to connected components.
 
-Documents with equal sets are one node from the start.  Nodes up to a boundary size are light: they
-meet by the pairs (2-subsets) of the rarest shingles of their set.  Larger ones are heavy: they meet in
-the inverted lists of single shingles.  The boundary is the size up to which subsets cost less.  Both
-use the same fact: two sets that share enough share k of the first (size - least overlap + k) shingles
-in one common order, which puts the frequent shingles last.
-
-Lists are not expanded into all pairs.  First every node meets the likeliest hubs of its lists; exact
-checks and components follow; only nodes that share a list and are still in different components then
-meet.  So no link that could join two components is lost, and a large group of near copies costs about
-its size.
+Documents with equal sets are one node from the start.  Then nodes that can be near to no other go:
+of the first shingles of a set, in the order of their hashes, so many must be held by another node too.
+What is left is small, and its sets are kept, without shingles that no other of them holds.
+
+Nodes up to a boundary size are light: they meet by the pairs (2-subsets) of the rarest shingles of
+their set.  Larger ones are heavy: they meet in the inverted lists of single shingles.  The boundary is
+the size up to which subsets cost less.  Both use the same fact: two sets that share enough share k of the
+first (size - least overlap + k) shingles in one common order, here the rare ones first.
+
+Lists are not expanded into all pairs.  Each node is checked against one hub, the node of its lists with
+the largest share of shared shingles, which in a group of near copies is the one nearest to all; that
+gives the first components.  Of two nodes with one hub that are still apart, and that hold less of the hub
+than they must share, the rest has to come from shingles outside the hub: they meet in lists of these alone.
+Only nodes of different hubs, or that hold that much of theirs, meet in the lists again.  So no link that
+could join two components is lost, and a large group of near copies costs about its size.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelframe.llm.common import Memo, slices, typed, written
+from panelframe.llm import shingles
+from panelframe.llm.common import cut, give_back, typed, written
 from panelframe.llm.components import components
-
-MEMO_ENTRIES = 100_000
-# Shingles of so many documents count as frequent; of more, if there were over MOST_FREQUENT of them (8 bytes
+from panelframe.llm.shingles import P1, mix
+
+# Shingles that a task deals at once, and those that a bucket of the shuffle holds, about.
+STRETCH, BUCKET = 4_000_000, 3_000_000
+LEAST_BUCKETS = 8
+# So many more of a set's shingles than the least are looked at first, and have to be shared: one in EXTRA.
+EXTRA = 10
+# Shingles of so many nodes count as frequent; of more, if there were over MOST_FREQUENT of them (12 bytes
 # each). This decides their place in the order and with it the work, never the result.
 LEAST_FREQUENT, MOST_FREQUENT = 8, 4_000_000
-# Shingles whose frequency within a stretch is counted at once, by the upper half of their hash.
-STRETCH = 4_000_000
 # Light sets have at most so many shingles, whatever the costs; and at least.
 LEAST_BOUNDARY, MOST_BOUNDARY = 8, 40
 # Bits of the presence filter that spares texts a shuffle: a fixed 512 KiB whatever the input.
 FILTER_BITS = 1 << 22
-# Bits of a set's parity sketch, in 64-bit words.
-SKETCH_WORDS = 16
-# Hubs that a node meets at first; rounds of random meetings and meetings in a list in each; members of a block of a long list.
-HUBS, ROUNDS, SOME, BLOCK = 1, 2, 2, 512
-_P1, _P2, _P3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-
-
-def mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * _P2
-    x = (x ^ (x >> np.uint64(27))) * _P3
-    return x ^ (x >> np.uint64(31))
-
-
-def upper(x: np.ndarray) -> np.ndarray:
-    return (x >> np.uint64(32)).astype(np.uint32)
-
-
-class Shingles:
-    """The sorted distinct 64-bit shingle hashes of a text: words cut at space and 0x09-0x0D, A-Z lower-cased."""
-
-    def __init__(self, n: int):
-        self.n, self.word = n, Memo(xxhash.xxh3_64_intdigest, MEMO_ENTRIES)
-
-    def __call__(self, text: str | None) -> np.ndarray:
-        words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
-        count = len(words)
-        if not count:
-            return np.empty(0, np.uint64)
-        h = np.fromiter(map(self.word.__getitem__, words), np.uint64, count)
-        width = min(self.n, count)
-        key = np.full(count - width + 1, width, np.uint64)
-        for k in range(width):
-            key = key * _P1 + h[k : count - width + 1 + k]
-        return np.unique(mix(key))
-
-
-def node_of(shingles: np.ndarray) -> int:
-    """A 64-bit name of the set: two of a million different sets share one with a probability under 1e-7."""
-    size = np.array([len(shingles)], np.uint64)
-    return int(mix(mix(shingles + _P1).sum(keepdims=True) + size * _P2).view(np.int64)[0])
 
 
-def sketch(shingles: np.ndarray) -> list[int]:
-    """Parity bits: differing bits of two sketches are a lower bound of the sets' symmetric difference."""
-    bits = np.bincount((shingles & np.uint64(SKETCH_WORDS * 64 - 1)).astype(np.int64), minlength=SKETCH_WORDS * 64) & 1
-    return np.packbits(bits.astype(np.uint8), bitorder="little").view(np.int64).tolist()
-
-
-def least_overlap(size: int, percent: int) -> int:
+def least_overlap(size, percent: int):
+    """The least number of shingles that a set of this size shares with any near one."""
     return -(-percent * size // 100)
 
 
 def choose_boundary(stats: list[tuple[int, float, float]], percent: int) -> int:
     """The largest size up to which subsets cost less rows than lists cost rows and meetings.
 
-    stats: (size class = size // 4, shingles seen, other holders seen of these shingles).
+    stats: (size class = size // 4, list entries seen, other holders seen in these lists).
     """
     extra = {c: other / max(seen, 1) for c, seen, other in stats}
     best = LEAST_BOUNDARY
@@ -101,153 +64,165 @@ def choose_boundary(stats: list[tuple[int, float, float]], percent: int) -> int:
     return best
 
 
-def _first_pass(docs: DataFrame, n: int) -> DataFrame:
-    """Kind 0: (id, size, node, sketch). Kind 1: (token, holders) of shingles frequent in a stretch. Kind 2: statistics by size class."""
+def _named(docs: DataFrame, n: int) -> DataFrame:
+    """(_id, size, one, two) of docs(_id, _text): the size and the 128-bit name of every row's set."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
     long = T.LongType()
-    out = T.StructType([T.StructField("kind", T.IntegerType()), typed(docs, "_id"), T.StructField("size", long), T.StructField("node", long), T.StructField("extra", T.DoubleType()), T.StructField("sketch", T.ArrayType(long))])
+    out = T.StructType([typed(docs, "_id"), *(T.StructField(c, long) for c in ("size", "one", "two"))])
     arrow = to_arrow_schema(out)
 
-    def stretch(sets: list[np.ndarray]):
-        tokens = np.concatenate([upper(x) for x in sets])
-        tokens.sort()
-        first = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]])).astype(np.int32)
-        counts = np.diff(np.append(first, np.int32(len(tokens))))
-        tokens = tokens[first]
-        often = np.flatnonzero(counts >= 3)
-        rows = [(1, c, t, None) for t, c in zip(tokens[often].tolist(), counts[often].tolist())]
-        small: dict[int, list[np.ndarray]] = {}
-        for x in sets:
-            if len(x) <= MOST_BOUNDARY:
-                small.setdefault(len(x) // 4, []).append(x)
-        for c, found in small.items():
-            x = np.concatenate(found)
-            rows.append((2, len(x), c, float((counts[np.searchsorted(tokens, upper(x))] - 1).sum())))
-        for k in range(0, len(rows), 50_000):
-            part = rows[k : k + 50_000]
-            kind, size, node, extra = zip(*part)
-            none = [None] * len(part)
-            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip((kind, none, size, node, extra, none), arrow)], schema=arrow)
-
     def batches(source):
-        shingles, held, total = Shingles(n), [], 0
-        for batch in slices(source):
-            sets = [shingles(t) for t in batch.column(1).to_pylist()]
-            full = [len(s) > 0 for s in sets]
-            columns = ([0] * len(sets), batch.column(0), [len(s) for s in sets], [node_of(s) if f else None for s, f in zip(sets, full)], [None] * len(sets), [sketch(s) if f else None for s, f in zip(sets, full)])
-            yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, f.type) for x, f in zip(columns, arrow)], schema=arrow)
-            held += [s for s in sets if len(s)]
-            total += sum(map(len, sets))
-            if total >= STRETCH:
-                yield from stretch(held)
-                held, total = [], 0
-        if held:
-            yield from stretch(held)
-
-    return docs.mapInArrow(batches, out)
+        for batch in source:
+            for part in cut(batch):
+                found = shingles.sets(part.column(1), n)
+                yield pa.RecordBatch.from_arrays([part.column(0).cast(arrow.field(0).type), pa.array([len(s) for s in found], pa.int64()), *map(pa.array, shingles.names(found))], schema=arrow)
+        give_back()
 
+    return docs.select("_id", "_text").mapInArrow(batches, out)
 
-def _keys(docs: DataFrame, n: int, percent: int, boundary: int, frequent) -> DataFrame:
-    """(token, node, size): the list entries of every set; equal sets of one task enter once."""
 
-    def batches(source):
-        shingles, done = Shingles(n), set()
-        often, rank = frequent.value
-        # Most shingles are not frequent; a small table by their low bits says so at once.
-        maybe = np.zeros(1 << 20, bool)
-        tail = np.uint32((1 << 20) - 1)
-        maybe[(often & np.uint32((1 << 20) - 1)).astype(np.int64)] = True
+def deal(nodes: np.ndarray, sets: list[np.ndarray], buckets: int, short: bool):
+    """One stretch of sets, dealt by shingle.
 
-        def leading(s: np.ndarray, count: int) -> np.ndarray:
-            """The first `count` of s in the common order: by hash, and the frequent ones last, by rank."""
-            top = upper(s)
-            hit = np.flatnonzero(maybe[top & tail])
-            at = np.searchsorted(often, top[hit])
-            same = at < len(often)
-            same[same] = often[at[same]] == top[hit[same]]
-            if not same.any():
-                return s[:count]
-            light = np.delete(s, hit[same])
-            if len(light) >= count:
-                return light[:count]
-            last = s[hit[same]][np.argsort(rank[at[same]], kind="stable")]
-            return np.concatenate([light, last[: count - len(light)]])
-
-        for batch in slices(source):
-            tokens, nodes, sizes, counts = [], [], [], []
-            for text in batch.column(0).to_pylist():
-                s = shingles(text)
-                size = len(s)
-                if size < 2:
-                    continue  # only an equal set can be near
-                node = node_of(s)
-                if node in done:
-                    continue
-                if len(done) < 200_000:
-                    done.add(node)
-                prefix = size - least_overlap(size, percent) + 1
-                first = leading(s, prefix + 1)
-                made = []
-                if size <= boundary:
-                    i, j = np.triu_indices(len(first), 1)
-                    low, high = np.minimum(first[i], first[j]), np.maximum(first[i], first[j])
-                    made.append(mix(low * _P1 + mix(high)))
-                # Light sets that a heavy one can be near to are in the lists too.
-                if size > boundary or 100 * size >= percent * boundary:
-                    made.append(first[:prefix])
-                for m in made:
-                    tokens.append(m)
-                    counts.append(len(m))
-                    nodes.append(node)
-                    sizes.append(size)
-            if tokens:
-                repeat = lambda x, kind: pa.array(np.repeat(np.array(x, kind), counts))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), repeat(nodes, np.int64), repeat(sizes, np.int32)], names=["token", "node", "size"])
-
-    return docs.select("_text").mapInArrow(batches, "token long, node long, size int")
-
-
-def _shared(keys: DataFrame) -> DataFrame:
-    """keys of tokens with two nodes or more, each once, with its list's hub: the list's first node of the size class.
-
-    keys must be dealt by token and sorted by (token, size, node); only one batch and the running list's
-    last entries are held.
+    Gives (local, rows): local are (set number, its shingles that another set of this stretch holds); rows are
+    (bucket, nodes, counts, tokens, holders): the nodes with a shingle in the bucket, how many each has, and these,
+    node after node.  A shingle of several sets enters once, as of node 0, which comes last, with its holders, so
+    that a bucket gets as many entries of a shingle as there are stretches at most.  A short token is the
+    upper half of the hash; the bucket stands for lower bits.
     """
+    token = np.concatenate(sets)
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    order = np.argsort(token, kind="stable")
+    s = token[order]
+    first = np.concatenate([[True], s[1:] != s[:-1]])
+    group = np.cumsum(first) - 1
+    holders = np.bincount(group)
+    many = np.zeros(len(token), bool)
+    many[order] = holders[group] > 1
+    local = (owner[many], token[many])
+    alone = ~many
+    several = np.flatnonzero(holders > 1)
+    token = np.concatenate([token[alone], s[np.flatnonzero(first)[several]]])
+    owner = np.concatenate([owner[alone], np.full(len(several), len(sets))])
+    held = np.concatenate([np.ones(alone.sum(), np.int64), holders[several]])
+    bucket = (token & np.uint64(buckets - 1)).astype(np.int64)
+    order = np.argsort(bucket * (len(sets) + 1) + owner, kind="stable")
+    token, owner, held, bucket = token[order], owner[order], held[order], bucket[order]
+    names = np.append(nodes, 0)
+    rows = []
+    edges = np.searchsorted(bucket, np.arange(buckets + 1))
+    for b in range(buckets):
+        x, y = edges[b], edges[b + 1]
+        if x < y:
+            who, count = np.unique(owner[x:y], return_counts=True)
+            t = (token[x:y] >> np.uint64(32)).astype(np.uint32) if short else token[x:y]
+            rows.append((b, names[who].tobytes(), count.astype(np.uint32).tobytes(), t.tobytes(), held[x:y][owner[x:y] == len(sets)].astype(np.uint32).tobytes()))
+    return local, rows
+
+
+def gather(rows: list[tuple[bytes, bytes, bytes, bytes]], short: bool):
+    """(nodes, tokens) of one bucket's entries whose shingle another node holds too, and (tokens, holders) of the frequent ones."""
+    nodes, counts = (np.frombuffer(b"".join(r[k] for r in rows), kind) for k, kind in ((0, np.int64), (1, np.uint32)))
+    token = np.frombuffer(b"".join(r[2] for r in rows), np.uint32 if short else np.uint64)
+    holder = np.ones(len(token), np.int64)
+    node = np.repeat(nodes, counts)
+    holder[node == 0] = np.frombuffer(b"".join(r[3] for r in rows), np.uint32)
+    order = np.argsort(token, kind="stable")
+    token, node, holder = token[order], node[order], holder[order]
+    start = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+    total = np.add.reduceat(holder, start)
+    # Node 0 stands for several; entries of one node alone are copies of one set.
+    shared = np.minimum.reduceat(node, start) != np.maximum.reduceat(node, start)
+    own = np.repeat(shared, np.diff(np.append(start, len(token)))) & (node != 0)
+    often = total >= LEAST_FREQUENT
+    return node[own], token[own], token[start][often], total[often]
+
+
+def _batch(names: list[str], columns: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names=names)
+
+
+_DEALT = "bucket int, nodes binary, counts binary, tokens binary, holders binary"
+
+
+def _dealt(rows: list[tuple]) -> pa.RecordBatch:
+    bucket, *rest = zip(*rows)
+    return _batch(["bucket", "nodes", "counts", "tokens", "holders"], [pa.array(bucket, pa.int32()), *(pa.array(c, pa.binary()) for c in rest)])
+
+
+def _by_bucket(source):
+    """The rows of each bucket together; they come sorted by bucket."""
+    held, at = [], None
+    for batch in source:
+        for b, *row in zip(*(c.to_pylist() for c in batch.columns)):
+            if b != at and held:
+                yield at, held
+                held = []
+            at = b
+            held.append(row)
+    if held:
+        yield at, held
+
+
+def _alive(docs: DataFrame, nodes: DataFrame, n: int, percent: int, buckets: int) -> DataFrame:
+    """nodes that may be near to another one: enough of their sets' first shingles are held by others.
+
+    A set's first (size - least + k) shingles, by hash, hold k at least of those that it shares with a near one.
+    """
+
+    def enough(size):
+        return np.minimum(1 + size // EXTRA, least_overlap(size, percent))
 
     def batches(source):
-        token = node = size = klass = hub = None  # of the last entry seen
-        waiting = True  # that entry is the first of its list and not given out
+        held, names, total = [], [], 0
+
+        def out():
+            # Equal sets of one stretch are one node.
+            _, first = np.unique(np.array(names, np.int64), return_index=True)
+            node, sets = np.array(names, np.int64)[first], [held[i] for i in first.tolist()]
+            (owner, _), rows = deal(node, sets, buckets, True)
+            credit = np.bincount(owner, minlength=len(node))
+            some = np.flatnonzero(credit)
+            if len(some):
+                # Bucket -1: what is known here already.
+                rows.append((-1, node[some].tobytes(), credit[some].astype(np.uint32).tobytes(), b"", b""))
+            return _dealt(rows)
+
         for batch in source:
-            t, x, s = (np.asarray(c) for c in batch.columns)
-            if token is not None:
-                t, x, s = np.append(token, t), np.append(node, x), np.append(size, s)
-            k = np.floor(np.log(s) / np.log(4 / 3)).astype(np.int64)
-            same = t[1:] == t[:-1]
-            fresh = np.concatenate([[True], ~(same & (x[1:] == x[:-1]))])
-            new_list = np.concatenate([[True], ~same])
-            new_class = new_list | np.concatenate([[True], k[1:] != k[:-1]])
-            first = np.maximum.accumulate(np.where(new_class, np.arange(len(t)), 0))
-            hubs = x[first]
-            if token is not None and klass == k[0]:
-                hubs[first == 0] = hub
-            list_id = np.cumsum(new_list) - 1
-            distinct = np.bincount(list_id, fresh).astype(np.int64)
-            keep = fresh & (distinct[list_id] > 1)
-            if token is not None:
-                if not waiting:
-                    keep[0] = False
-                    keep |= fresh & (list_id == 0)
-                    keep[0] = False
-            token, node, size, klass, hub = t[-1], x[-1], s[-1], k[-1], hubs[-1]
-            last_list = list_id == list_id[-1]
-            waiting = not keep[last_list].any() and (waiting or list_id[-1] > 0)
-            at = np.flatnonzero(keep)
-            for i in range(0, len(at), 100_000):
-                j = at[i : i + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(t[j]), pa.array(x[j]), pa.array(s[j]), pa.array(hubs[j])], names=["token", "node", "size", "hub"])
-
-    return keys.mapInArrow(batches, "token long, node long, size int, hub long")
+            for part in cut(batch):
+                found = shingles.sets(part.column(0), n)
+                for s, one in zip(found, shingles.names(found)[0].tolist()):
+                    size = len(s)
+                    if size > 1:  # only an equal set can be near to a smaller one
+                        lead = s[: int(size - least_overlap(size, percent) + enough(size))]
+                        held.append(lead)
+                        names.append(one)
+                        total += len(lead)
+                if total >= STRETCH:
+                    yield out()
+                    held, names, total = [], [], 0
+        if held:
+            yield out()
+        give_back()
+
+    def credits(source):
+        for b, rows in _by_bucket(source):
+            if b < 0:
+                node, count = (np.frombuffer(b"".join(r[k] for r in rows), kind) for k, kind in ((0, np.int64), (1, np.uint32)))
+            else:
+                node, count = np.unique(gather(rows, True)[0], return_counts=True)
+            for k in range(0, len(node), 100_000):
+                yield _batch(["one", "shared"], [node[k : k + 100_000], count[k : k + 100_000].astype(np.int64)])
+        give_back()
+
+    dealt = docs.select("_text").mapInArrow(batches, _DEALT)
+    # Bucket -1 is dealt over all tasks.
+    dealt = dealt.repartition(buckets, F.when(F.col("bucket") < 0, -F.pmod(F.xxhash64("nodes"), F.lit(1 << 20)) - 1).otherwise(F.col("bucket"))).sortWithinPartitions("bucket")
+    shared = dealt.mapInArrow(credits, "one long, shared long").groupBy("one").agg(F.sum("shared").alias("shared"))
+    size = F.col("size")
+    least = F.ceil(F.lit(percent) * size / F.lit(100))
+    return nodes.where("size > 1").join(shared, "one").where(F.col("shared") >= F.least(F.floor(size / EXTRA) + 1, least)).drop("shared")
 
 
 def presence(spark, ids: DataFrame):
@@ -262,109 +237,254 @@ def id_bit(c):
     return F.pmod(F.xxhash64(c), F.lit(FILTER_BITS)).cast("int")
 
 
-def _sets(docs: DataFrame, n: int, needed: DataFrame, short: bool) -> DataFrame:
-    """(node, shingles) of the nodes in needed(node, rep), as 32-bit (short) or 64-bit hashes.
+def _marked(bits: pa.Array, packed: np.ndarray) -> np.ndarray:
+    """Which of the rows may be of an id in the presence table; rows without an id may."""
+    at = bits.fill_null(0).to_numpy(zero_copy_only=False)
+    return (packed[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool) | bits.is_null().to_numpy(zero_copy_only=False)
+
+
+def _sets(docs: DataFrame, alive: DataFrame, n: int) -> DataFrame:
+    """(node, size, tokens) of the nodes in alive. The texts are read again rather than kept; those whose id
+    has no bit in the presence table are passed over."""
+    packed = presence(docs.sparkSession, alive)
+
+    def batches(source):
+        for batch in source:
+            batch = batch.filter(pa.array(_marked(batch.column(1), packed.value)))
+            for part in cut(batch):
+                found = shingles.sets(part.column(0), n)
+                yield _batch(["one", "two", "tokens"], [*shingles.names(found), pa.array([s.tobytes() for s in found], pa.binary())])
+        give_back()
+
+    read = docs.select("_text", F.when(F.col("_id").isNotNull(), id_bit(F.col("_id"))).alias("bit"))
+    found = read.mapInArrow(batches, "one long, two long, tokens binary").join(alive.select("one", "two", "node", "size"), ["one", "two"])
+    # Equal sets of several documents may come several times.
+    return found.groupBy("node").agg(F.first("size").alias("size"), F.first("tokens").alias("tokens"))
+
+
+def _shared(sets: DataFrame, percent: int, buckets: int) -> tuple[DataFrame, DataFrame]:
+    """((node, size, tokens) with the tokens that another node of sets holds, if enough, and (token, holders) of frequent ones)."""
+
+    def batches(source):
+        held, names, total = [], [], 0
+
+        def out():
+            node = np.array(names, np.int64)
+            (owner, token), rows = deal(node, held, buckets, False)
+            if len(owner):
+                who, count = np.unique(owner, return_counts=True)
+                rows.append((-1, node[who].tobytes(), count.astype(np.uint32).tobytes(), token.tobytes(), b""))
+            return _dealt(rows)
+
+        for batch in source:
+            for part in cut(batch):
+                names += part.column(0).to_pylist()
+                held += [np.frombuffer(x, np.uint64) for x in part.column(1).to_pylist()]
+                total = sum(map(len, held))
+                if total >= STRETCH:
+                    yield out()
+                    held, names, total = [], [], 0
+        if held:
+            yield out()
+        give_back()
+
+    def tokens(source):
+        for b, rows in _by_bucket(source):
+            for part in [[r] for r in rows] if b < 0 else [rows]:
+                if b < 0:
+                    node, token = np.repeat(np.frombuffer(part[0][0], np.int64), np.frombuffer(part[0][1], np.uint32)), np.frombuffer(part[0][2], np.uint64)
+                    often = total = np.empty(0, np.int64)
+                else:
+                    node, token, often, total = gather(part, False)
+                order = np.argsort(node, kind="stable")
+                node, token = node[order], token[order]
+                start = np.append(np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]])), len(node)) if len(node) else np.zeros(1, np.int64)
+                for k in range(0, len(start) - 1, 5000):
+                    edge = start[k : k + 5001]
+                    yield _batch(["node", "tokens", "holders"], [node[edge[:-1]], pa.array([token[x:y].tobytes() for x, y in zip(edge[:-1], edge[1:])], pa.binary()), pa.nulls(len(edge) - 1, pa.int64())])
+                for k in range(0, len(often), 100_000):
+                    t = often[k : k + 100_000].view(np.int64)
+                    yield _batch(["node", "tokens", "holders"], [t, pa.nulls(len(t), pa.binary()), total[k : k + 100_000]])
+        give_back()
+
+    dealt = sets.select("node", "tokens").mapInArrow(batches, _DEALT)
+    dealt = dealt.repartition(buckets, F.when(F.col("bucket") < 0, -F.pmod(F.xxhash64("nodes"), F.lit(1 << 20)) - 1).otherwise(F.col("bucket"))).sortWithinPartitions("bucket")
+    found = written(dealt.mapInArrow(tokens, "node long, tokens binary, holders long"), "shared-shingles")
+    each = found.where("holders is null").groupBy("node").agg(F.collect_list("tokens").alias("parts"))
+    size, held = F.col("size"), F.floor(F.aggregate("parts", F.lit(0), lambda s, x: s + F.octet_length(x)) / 8)
+    kept = sets.select("node", "size").join(each, "node").where(F.ceil(F.lit(percent) * size / F.lit(100)) <= held)
+
+    def joined(source):
+        for batch in source:
+            for k in range(0, batch.num_rows, 1000):
+                part = batch.slice(k, 1000)
+                together = [np.sort(np.frombuffer(b"".join(x), np.uint64)).tobytes() for x in part.column(2).to_pylist()]
+                yield _batch(["node", "size", "tokens"], [part.column(0), part.column(1), pa.array(together, pa.binary())])
+        give_back()
+
+    return written(kept.mapInArrow(joined, "node long, size long, tokens binary"), "sets"), found.where("holders is not null").select(F.col("node").alias("token"), "holders")
+
 
-    The texts are read again rather than kept; those whose id has no bit in the presence table are passed over.
+def _frequent(spark, counted: DataFrame):
+    """A broadcast of (frequent tokens, their ranks), at most MOST_FREQUENT of them."""
+    counted = written(counted, "frequent")
+    # One row for each power of two.
+    steps = sorted(counted.groupBy(F.floor(F.log2("holders")).cast("int").alias("k")).count().collect(), reverse=True)
+    least, held = LEAST_FREQUENT, 0
+    for r in steps:
+        held += r["count"]
+        if held > MOST_FREQUENT:
+            least = 1 << (r["k"] + 1)
+            break
+    often = counted.where(F.col("holders") >= least).toArrow()
+    token, holders = often.column(0).to_numpy().view(np.uint64), often.column(1).to_numpy()
+    by_token, rank = np.argsort(token), np.argsort(np.lexsort((token, holders)))
+    return spark.sparkContext.broadcast((token[by_token], rank[by_token].astype(np.uint32)))
+
+
+def _keys(sets: DataFrame, percent: int, boundary: int, frequent) -> DataFrame:
+    """(token, node, size, most, share): the list entries of every node that is left.
+
+    most is the largest size that a near set can have, as the node shares no more shingles than its set in sets
+    has; share is that number by its size.
     """
-    packed = presence(docs.sparkSession, needed)
 
     def batches(source):
-        shingles, bits = Shingles(n), packed.value
-        for batch in slices(source):
-            at = batch.column(1).to_pylist()
-            nodes, sets = [], []
-            for i, k in enumerate(at):
-                if k is None or bits[k >> 3] >> (7 - (k & 7)) & 1:
-                    s = shingles(batch.column(0)[i].as_py())
-                    if len(s):
-                        nodes.append(node_of(s))
-                        # The upper halves of sorted hashes are sorted too.
-                        sets.append((upper(s) if short else s).tobytes())
-            if nodes:
-                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())], names=["node", "shingles"])
-
-    found = docs.select("_text", F.when(F.col("_id").isNotNull(), id_bit(F.col("_id"))).alias("bit")).mapInArrow(batches, "node long, shingles binary")
-    # Equal sets of several documents come several times; one is enough.
-    return written(found.join(needed.select("node"), "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
-
-
-# Short hashes can only overstate an overlap; up to so much over the least overlap, a pair is looked at with long ones.
-# Of sets of a and b shingles about a b / 2^32 meet by chance at most; so many times as much is allowed for.
-SLACK, CHANCE = 4, 8
-
-
-def _overlap(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, n: int, short: bool) -> DataFrame:
-    """pairs(a, b, least, slack) with the number of shingles that a and b share."""
-    ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    sets = _sets(docs, n, written(ends.join(nodes.select("node", "rep"), "node"), "needed"), short)
-    kind = np.uint32 if short else np.uint64
-
-    @F.pandas_udf("long")
-    def shared(a, b):
+        often, rank = frequent.value
+
+        def leading(s: np.ndarray, count: int) -> np.ndarray:
+            """The first `count` of s in the common order: by hash, and the frequent ones last, by rank."""
+            at = np.minimum(np.searchsorted(often, s), max(len(often) - 1, 0))
+            same = often[at] == s if len(often) else np.zeros(len(s), bool)
+            last = s[same][np.argsort(rank[at[same]], kind="stable")] if same.any() else s[:0]
+            return np.concatenate([s[~same], last])[:count]
+
+        for batch in source:
+            for part in cut(batch):
+                made, nodes, sizes, mosts, shares = [], [], [], [], []
+                for node, size, raw in zip(*(c.to_pylist() for c in part.columns)):
+                    s = np.frombuffer(raw, np.uint64)
+                    least = least_overlap(size, percent)
+                    most = min(100 * size // percent, len(s) * (100 + percent) // percent - size)
+                    if most < least:
+                        continue
+                    # Shingles that no other node holds come first in the order, and are left out.
+                    prefix = size - least + 1 - (size - len(s))
+                    first = leading(s, prefix + 1)
+                    keys = []
+                    if size <= boundary:
+                        i, j = np.triu_indices(len(first), 1)
+                        low, high = np.minimum(first[i], first[j]), np.maximum(first[i], first[j])
+                        keys.append(mix(low * P1 + mix(high)))
+                    # Light sets that a heavy one can be near to are in the lists too.
+                    if size > boundary or 100 * size >= percent * boundary:
+                        keys.append(first[:prefix])
+                    made += keys
+                    count = sum(map(len, keys))
+                    for column, value in zip((nodes, sizes, mosts, shares), (node, size, most, len(s) / size)):
+                        column.append(np.full(count, value))
+                if made:
+                    whole = np.concatenate(made).view(np.int64)
+                    columns = [np.concatenate(c) for c in (nodes, sizes, mosts, shares)]
+                    for k in range(0, len(whole), 200_000):
+                        yield _batch(["token", "node", "size", "most", "share"], [whole[k : k + 200_000], *(c[k : k + 200_000] for c in columns)])
+        give_back()
+
+    return sets.select("node", "size", "tokens").mapInArrow(batches, "token long, node long, size long, most long, share double")
+
+
+def _overlap(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """pairs(a, b, ...) with shared, the number of shingles that a and b share, and rest, those of a that b lacks."""
+
+    @F.pandas_udf("struct<shared:bigint,rest:binary>")
+    def compared(a, b):
         import pandas as pd
 
-        def one(x, y):
-            x, y = np.frombuffer(x, kind), np.frombuffer(y, kind)
-            at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-            return int((y[at] == x).sum())
-
-        return pd.Series([one(x, y) for x, y in zip(a, b)], dtype="int64")
-
-    first, second = (sets.select(F.col("node").alias(c), F.col("shingles").alias(f"set_{c}")) for c in "ab")
-    return pairs.join(first, "a").join(second, "b").select("a", "b", "least", "slack", shared("set_a", "set_b").alias("shared"))
-
-
-def _linked(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, n: int, percent: int) -> DataFrame:
-    """The (a, b) of pairs(a, size_a, b, size_b) whose sets are near. Sketches rule out most others first."""
-    left, right = (nodes.select(F.col("node").alias(c), F.col("sketch").alias(f"sketch_{c}")) for c in "ab")
-    differ = F.aggregate(F.zip_with("sketch_a", "sketch_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    total = F.col("size_a").cast("long") + F.col("size_b")
-    # 100 |A and B| >= percent |A or B| means (100 + percent) |A and B| >= percent (|A| + |B|).
-    least = F.ceil(F.lit(percent) * total / F.lit(100 + percent))
-    slack = SLACK + F.floor(CHANCE * F.col("size_a").cast("double") * F.col("size_b") / F.lit(float(1 << 32)))
-    likely = pairs.join(left, "a").join(right, "b").where(differ <= total - 2 * least).select("a", "b", least.alias("least"), slack.alias("slack"))
-    likely = written(likely, "likely-pairs")
-    rough = written(_overlap(likely, docs, nodes, n, True).where("shared >= least"), "rough-pairs")
-    doubtful = rough.where(F.col("shared") < F.col("least") + F.col("slack")).select("a", "b", "least", "slack")
-    sure = rough.where(F.col("shared") >= F.col("least") + F.col("slack")).select("a", "b")
-    if doubtful.isEmpty():
-        return sure
-    return sure.unionByName(_overlap(doubtful, docs, nodes, n, False).where("shared >= least").select("a", "b"))
-
-
-def _across(lists: DataFrame, labels: DataFrame, percent: int, seed: int | None = None) -> DataFrame:
-    """Pairs of nodes that share a list and are in different components, each pair once.
-
-    In each list the nodes outside its main component meet all nodes of other components; long lists are
-    dealt in blocks.  With a seed, each node meets only the next SOME nodes of its list in a seeded random
-    order: as many meetings as list entries, and the more lists two nodes share, the likelier they meet.
+        shared, rest = [], []
+        for x, y in zip(a, b):
+            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            same = y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x
+            shared.append(int(same.sum()))
+            rest.append(x[~same].tobytes())
+        return pd.DataFrame({"shared": pd.Series(shared, dtype="int64"), "rest": pd.Series(rest, dtype=object)})
+
+    first, second = (sets.select(F.col("node").alias(c), F.col("tokens").alias(f"set_{c}")) for c in "ab")
+    columns = [F.col(c) for c in pairs.columns]
+    return pairs.join(first, "a").join(second, "b").select(*columns, compared("set_a", "set_b").alias("_c")).select(*columns, "_c.shared", "_c.rest")
+
+
+def _needed(size_a, size_b, percent: int):
+    """100 |A and B| >= percent |A or B| means (100 + percent) |A and B| >= percent (|A| + |B|)."""
+    return F.ceil(F.lit(percent) * (F.col(size_a) + F.col(size_b)) / F.lit(100 + percent))
+
+
+def _stars(lists: DataFrame, percent: int) -> DataFrame:
+    """(a, size_a, b, size_b): each node a with its hub b, the foremost node that shares a list with a and may be near.
+
+    In a list, one node of each class of sizes stands forth; of two systems of classes, half a class
+    apart, so that sets of about one size meet in one of them.
     """
-    at = written(lists.select("token", "node", "size").join(labels.withColumnRenamed("component", "label"), "node", "left").withColumn("label", F.coalesce("label", "node")), "labelled")
-    shares = at.groupBy("token", "label").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("node")).alias("mark"))
-    open_lists = shares.groupBy("token").agg(F.max_by("label", F.struct("n", "label")).alias("main"), (F.sum("n") - F.max("n")).alias("rest"), F.count(F.lit(1)).alias("labels"), F.sum("n").alias("n"), F.bit_xor("mark").alias("mark")).where("labels > 1")
-    # Lists of the same nodes, such as those of one shared passage, are looked through once.
-    open_lists = open_lists.groupBy("mark", "n").agg(F.min_by(F.struct("token", "main", "rest"), "token").alias("l")).select("l.*")
-    open_lists = written(open_lists.select("token", "main", F.ceil(F.col("rest") / BLOCK).cast("int").alias("blocks")), "open-lists")
-    members = written(at.join(open_lists, "token"), "open-members")
-    if seed is not None:
-        order = Window.partitionBy("token").orderBy(F.xxhash64("node", "token", F.lit(seed)))
-        other = [F.lead(F.struct(F.col("node").alias("y"), F.col("size").alias("size_y"), F.col("label").alias("label_y")), k).over(order) for k in range(1, SOME + 1)]
-        met = members.select(F.col("node").alias("x"), F.col("size").alias("size_x"), F.col("label").alias("label_x"), F.array(*other).alias("near")).withColumn("o", F.explode("near")).select("x", "size_x", "label_x", "o.*")
-        return _pairs(met.where("y is not null"), percent)
-    few = members.where("label <> main").select("token", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), F.col("node").alias("x"), F.col("size").alias("size_x"), F.col("label").alias("label_x"))
-    all_ = members.select("token", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("node").alias("y"), F.col("size").alias("size_y"), F.col("label").alias("label_y"), (F.col("label") == F.col("main")).alias("in_main"))
-    return _pairs(few.join(all_, ["token", "block"]).where("in_main or x < y"), percent)
-
-
-def _pairs(met: DataFrame, percent: int) -> DataFrame:
-    """(a, size_a, b, size_b) with a < b, once, of met pairs in different components whose sizes let them be near."""
-    met = met.where(f"label_x <> label_y and 100 * size_x >= {percent} * size_y and 100 * size_y >= {percent} * size_x")
-    a_first = F.col("x") < F.col("y")
-    pick = lambda p, q, name: F.when(a_first, F.col(p)).otherwise(F.col(q)).alias(name)
+    place = F.log(F.col("size").cast("double")) / F.log(F.lit(100 / percent))
+    both = lists.withColumn("class", F.explode(F.array((2 * F.floor(place)).cast("int"), (2 * F.floor(place + 0.5) + 1).cast("int"))))
+    top = both.groupBy("token", "class").agg(F.max(F.struct("share", "node", "size", "most")).alias("top"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    met = both.join(top, ["token", "class"]).where("top.node <> node and struct(top.share, top.node) > struct(share, node) and top.size <= most and size <= top.most")
+    best = met.groupBy("node").agg(F.first("size").alias("size_a"), F.max("top").alias("top"))
+    return best.select(F.col("node").alias("a"), "size_a", F.col("top.node").alias("b"), F.col("top.size").alias("size_b"))
+
+
+def _ordered(met: DataFrame) -> DataFrame:
+    """met(x, size_x, y, size_y) as (a, size_a, b, size_b) with a < b, each once."""
+    pick = lambda p, q, name: F.when(F.col("x") < F.col("y"), F.col(p)).otherwise(F.col(q)).alias(name)
     return met.select(pick("x", "y", "a"), pick("size_x", "size_y", "size_a"), pick("y", "x", "b"), pick("size_y", "size_x", "size_b")).distinct()
 
 
+def _side(df: DataFrame, end: str, columns: list[str]) -> DataFrame:
+    return df.select("token", *(F.col(c).alias(f"{end if c == 'node' else f'{c}_{end}'}") for c in columns))
+
+
+_ENTRY = ["node", "size", "most", "label", "hub", "held"]
+_MAY = "label_x <> label_y and size_x <= most_y and size_y <= most_x"
+
+
+def _outside(stars: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """Pairs of nodes of one hub, in different components, that share a shingle outside the hub and hold less of it than they must share."""
+
+    def tokens(source):
+        for batch in source:
+            for part in cut(batch):
+                found = [np.frombuffer(x, np.int64) for x in part.column(1).to_pylist()]
+                count = [len(x) for x in found]
+                if sum(count):
+                    yield _batch(["node", "token"], [np.repeat(part.column(0).to_numpy(), count), np.concatenate(found)])
+        give_back()
+
+    # A node is loose if it is not linked with its hub, by whatever way.
+    loose = members.where("hub <> node").join(members.select(F.col("node").alias("hub"), F.col("label").alias("hub_label")), "hub").withColumn("loose", F.col("label") != F.col("hub_label"))
+    hubs = loose.where("loose").select("hub").distinct()
+    open_ = written(loose.join(hubs, "hub", "left_semi").select("node", "size", "most", "label", "hub", "held", "loose"), "open-nodes")
+    rest = stars.select(F.col("a").alias("node"), "rest").join(open_.select("node"), "node", "left_semi")
+    entries = rest.mapInArrow(tokens, "node long, token long").join(open_, "node")
+    # The hub's number goes into the key: shingles meet within one hub's nodes only.
+    entries = written(entries.withColumn("token", F.xxhash64("hub", "token")), "outside")
+    met = _side(entries.where("loose"), "x", _ENTRY).join(_side(entries, "y", _ENTRY), "token").where(f"{_MAY} and hub_x = hub_y").where(F.least("held_x", "held_y") < _needed("size_x", "size_y", percent))
+    return _ordered(met)
+
+
+def _again(lists: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """Pairs in different components that share a list, of different hubs or both holding as much of theirs as they must share."""
+    hub_label = members.select(F.col("node").alias("hub"), F.col("label").alias("hub_label"))
+    least = F.ceil(F.lit(percent) * F.col("size") / F.lit(100))
+    # Two nodes that hold that much of one hub, one of which is not linked with it.
+    known = written(members.join(hub_label, "hub").withColumn("full", (F.col("label") != F.col("hub_label")) & (F.col("held") >= least)).drop("hub_label"), "members")
+    at = written(lists.select("token", "node").join(known, "node"), "labelled")
+    shares = at.groupBy("token", "hub").agg(F.count(F.lit(1)).alias("n"), F.max("full").alias("full"), F.min("label").alias("low"), F.max("label").alias("high"))
+    open_ = shares.groupBy("token").agg(F.max_by("hub", F.struct("n", "hub")).alias("main"), F.max("full").alias("full"), F.count(F.lit(1)).alias("hubs"), F.min("low").alias("low"), F.max("high").alias("high")).where("low <> high and (hubs > 1 or full)").select("token", "main")
+    inside = written(at.join(open_, "token"), "open-members")
+    few = _side(inside.where("hub <> main or full"), "x", _ENTRY)
+    enough = F.least("held_x", "held_y") >= _needed("size_x", "size_y", percent)
+    return _ordered(few.join(_side(inside, "y", _ENTRY), "token").where(_MAY).where((F.col("hub_x") != F.col("hub_y")) | enough))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 75) -> DataFrame:
     """(id, n_shingles, component_id) for every row: documents link when 100 |A and B| >= percent |A or B|.
 
@@ -372,64 +492,57 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     the one shingle; a null or wordless text has the empty set and links with nothing (its component is
     its own id).  component_id is the smallest id reachable by links, itself included.  Rows with a null
     id take part and get the component's smallest id (null if there is none); repeated rows are documents
-    each, so copies link; an empty table gives no rows; other columns are not read.  percent must be over 50.
+    each, so copies link; an empty table gives no rows; other columns are not read.  A very long text is
+    hashed in pieces cut between words, to the same set.  percent must be over 50.
 
     Components are all that is found: two nodes that are in one already are never compared, so this gives
     neither the links nor their number.
     """
     out = _grouped(docs, id_col, text_col, n, percent)
-    return out.select(F.col("_id").alias(id_col), F.col("size").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("_id")).otherwise(F.col("smallest")).alias("component_id"))
+    return out.select(F.col("_id").alias(id_col), F.col("size").alias("n_shingles"), F.when(F.col("size") == 0, F.col("_id")).otherwise(F.col("smallest")).alias("component_id"))
+
+
+def _buckets(tokens: int) -> int:
+    return max(LEAST_BUCKETS, 1 << max(0, tokens // BUCKET).bit_length())
 
 
 def _grouped(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int) -> DataFrame:
-    """(_id, size, node, root, smallest) of every row; the last three are null for a row without words."""
+    """(_id, size, one, two, root, smallest) of every row; the last two are null for a row without words."""
     spark = docs.sparkSession
     docs = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").cast("string").alias("_text"))
-    seen = written(_first_pass(docs, n), "ngram-sets")
-    every = seen.where("kind = 0")
-    nodes = written(every.where("node is not null").groupBy("node").agg(F.min("_id").alias("rep"), F.first("size").alias("size"), F.first("sketch").alias("sketch")), "nodes")
-    counted = written(seen.where("kind = 1").groupBy("node").agg(F.sum("size").alias("n")).where(F.col("n") >= LEAST_FREQUENT), "frequent")
-    # One row for each power of two.
-    steps = sorted(counted.groupBy(F.floor(F.log2("n")).cast("int").alias("k")).count().collect(), reverse=True)
-    least, held = LEAST_FREQUENT, 0
-    for r in steps:
-        held += r["count"]
-        if held > MOST_FREQUENT:
-            least = 1 << (r["k"] + 1)
-            break
-    often = counted.where(F.col("n") >= least).toArrow()
-    token, holders = often.column(0).to_numpy().astype(np.uint32), often.column(1).to_numpy()
-    by_token, by_count = np.argsort(token), np.argsort(np.lexsort((token, holders)))
-    frequent = spark.sparkContext.broadcast((token[by_token], by_count[by_token].astype(np.uint32)))
-    stats = seen.where("kind = 2").groupBy("node").agg(F.sum("size").alias("seen"), F.sum("extra").alias("other")).collect()
-    boundary = choose_boundary([(r["node"], r["seen"], r["other"]) for r in stats], percent)
-
-    keys = _keys(docs, n, percent, boundary, frequent)
-    dealt = keys.repartition(F.col("token")).sortWithinPartitions("token", "size", "node")
-    lists = written(_shared(dealt), "lists")
-    # First meetings: each node with the hubs that it shares most lists with.
-    size_of = nodes.select(F.col("node").alias("a"), F.col("size").alias("size_a"))
-    hubs = lists.where("hub <> node").groupBy(F.col("hub").alias("a"), F.col("node").alias("b")).agg(F.count(F.lit(1)).alias("n"), F.first("size").alias("size_b"))
-    order = Window.partitionBy("b").orderBy(F.desc("n"), "a")
-    stars = hubs.withColumn("k", F.row_number().over(order)).where(F.col("k") <= HUBS).join(size_of, "a").select("a", "size_a", "b", "size_b")
-    links = written(_linked(stars, docs, nodes, n, percent), "links")
-    labels = written(components(links), "labels")
-
-    # Then nodes that share lists and are still apart meet at random, and last all that are left.
-    for seed in range(ROUNDS):
-        close = written(_linked(_across(lists, labels, percent, seed), docs, nodes, n, percent), "close-links")
-        links = written(links.unionByName(close), "all-links")
-        labels = written(components(links), "labels")
-    more = written(_linked(_across(lists, labels, percent), docs, nodes, n, percent), "more-links")
-    label = lambda c: F.coalesce(F.col(f"component_{c}"), F.col(c))
-    side = lambda c: labels.select(F.col("node").alias(c), F.col("component").alias(f"component_{c}"))
-    joined = more.join(side("a"), "a", "left").join(side("b"), "b", "left").select(label("a").alias("a"), label("b").alias("b"))
-    merged = components(joined).select(F.col("node").alias("component"), F.col("component").alias("root"))
-    grouped = nodes.select("node", "rep").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node")).join(merged, "component", "left").withColumn("root", F.coalesce("root", "component"))
-    grouped = written(grouped.select("node", "rep", "root"), "grouped")
+    every = written(_named(docs, n), "ngram-sets")
+    nodes = every.where("size > 0").groupBy("one", "two").agg(F.min("_id").alias("rep"), F.first("size").alias("size"))
+    nodes = written(nodes.select((F.monotonically_increasing_id() + 1).alias("node"), "*"), "nodes")
+    total = nodes.agg(F.sum("size")).first()[0] or 0
+    # About (100 - percent) / 100 + 1 / EXTRA of each set is dealt first.
+    alive = written(_alive(docs, nodes, n, percent, _buckets(total * (100 - percent) // 100 + total // EXTRA)), "alive")
+    left = alive.agg(F.sum("size")).first()[0] or 0
+    sets, counted = _shared(written(_sets(docs, alive, n), "alive-sets"), percent, _buckets(left))
+    frequent = _frequent(spark, counted)
+
+    # What lists would cost small sets decides the boundary.
+    small = written(_keys(sets.where(F.col("size") <= MOST_BOUNDARY), percent, 0, frequent).select("token", (F.col("size") / 4).cast("int").alias("class")), "small-lists")
+    holders = small.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    stats = small.join(holders, "token").groupBy("class").agg(F.count(F.lit(1)).alias("seen"), F.sum(F.col("n") - 1).alias("other")).collect()  # a row for each class
+    boundary = choose_boundary([(r["class"], r["seen"], r["other"]) for r in stats], percent)
+
+    lists = written(_keys(sets, percent, boundary, frequent), "lists")
+    stars = written(_overlap(_stars(lists, percent), sets), "stars")
+    labels = written(components(stars.where(F.col("shared") >= _needed("size_a", "size_b", percent))), "labels")
+    placed = lists.groupBy("node").agg(F.first("size").alias("size"), F.first("most").alias("most"))
+    hub = stars.select(F.col("a").alias("node"), F.col("b").alias("hub"), F.col("shared").alias("held"))
+    members = placed.join(labels, "node", "left").join(hub, "node", "left")
+    members = written(members.select("node", "size", "most", F.coalesce("component", "node").alias("label"), F.coalesce("hub", "node").alias("hub"), F.coalesce("held", "size").alias("held")), "placed")
+
+    apart = written(_outside(stars, members, percent).union(_again(lists, members, percent)).distinct(), "apart")
+    more = written(_overlap(apart, sets).where(F.col("shared") >= _needed("size_a", "size_b", percent)).select("a", "b"), "more-links")
+    side = lambda c: members.select(F.col("node").alias(c), F.col("label").alias(f"label_{c}"))
+    merged = components(more.join(side("a"), "a").join(side("b"), "b").select(F.col("label_a").alias("a"), F.col("label_b").alias("b"))).select(F.col("node").alias("label"), F.col("component").alias("root"))
+    rooted = members.select("node", "label").join(merged, "label", "left").select("node", F.coalesce("root", "label").alias("root"))
+    grouped = written(nodes.join(rooted, "node", "left").select("one", "two", "rep", F.coalesce("root", "node").alias("root")), "grouped")
     smallest = grouped.groupBy("root").agg(F.min("rep").alias("smallest"))
-    named = written(grouped.join(smallest, "root").select("node", "root", "smallest"), "named")
-    return every.select("_id", "size", "node").join(named, "node", "left").select("_id", "size", "node", "root", "smallest")
+    named = written(grouped.join(smallest, "root").select("one", "two", "root", "smallest"), "named")
+    return every.join(named, ["one", "two"], "left").select("_id", "size", "one", "two", "root", "smallest")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 75) -> DataFrame:
@@ -441,36 +554,39 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
     """
     spark = docs.sparkSession
     i = F.col(f"`{id_col}`")
-    found = written(_grouped(docs, id_col, text_col, n, percent).where("_id is not null and node is not null"), "near-duplicates")
-    keepers = written(found.where("_id = smallest").groupBy("_id", "root").agg(F.min("node").alias("_node")).select("_id", "_node"), "keepers")
-    rows = found.groupBy("_id", F.col("node").alias("_node")).agg(F.count(F.lit(1)).alias("n"))
-    going = rows.where("n > 1").select("_id").union(rows.join(keepers, ["_id", "_node"], "left_anti").select("_id"))
+    found = written(_grouped(docs, id_col, text_col, n, percent).where("_id is not null and size > 0"), "near-duplicates")
+    keepers = written(found.where("_id = smallest").groupBy("_id", "root").agg(F.min(F.struct("one", "two")).alias("k")).select("_id", "k.one", "k.two"), "keepers")
+    rows = found.groupBy("_id", "one", "two").agg(F.count(F.lit(1)).alias("n"))
+    going = rows.where("n > 1").select("_id").union(rows.join(keepers, ["_id", "one", "two"], "left_anti").select("_id"))
     packed = presence(spark, going.select(F.col("_id").alias("rep")))
 
     @F.pandas_udf("boolean")
     def maybe(bits):
         import pandas as pd
 
-        k = bits.to_numpy()
-        return pd.Series((packed.value[k >> 3] >> (7 - (k & 7)).astype(np.uint8) & 1).astype(bool))
+        return pd.Series(_marked(pa.Array.from_pandas(bits), packed.value))
 
-    @F.pandas_udf("struct<maybe:boolean,node:bigint>")
+    @F.pandas_udf("struct<maybe:boolean,one:bigint,two:bigint>")
     def look(bits, texts):
         import pandas as pd
 
-        shingles, table, out = Shingles(n), packed.value, []
-        for k, text in zip(bits, texts):
-            hit = bool(table[k >> 3] >> (7 - (k & 7)) & 1)
-            s = shingles(text) if hit else ()
-            out.append((hit, node_of(s) if len(s) else None))
-        return pd.DataFrame({"maybe": [h for h, _ in out], "node": pd.Series([x for _, x in out], dtype="Int64")})
+        hit = _marked(pa.Array.from_pandas(bits), packed.value)
+        one, two = np.zeros(len(hit), np.int64), np.zeros(len(hit), np.int64)
+        at = np.flatnonzero(hit)
+        batch = pa.RecordBatch.from_arrays([pa.array(texts.iloc[at], pa.string())], names=["t"])
+        done = 0
+        for part in cut(batch):
+            names = shingles.names(shingles.sets(part.column(0), n))
+            one[at[done : done + part.num_rows]], two[at[done : done + part.num_rows]] = names
+            done += part.num_rows
+        return pd.DataFrame({"maybe": hit, "one": one, "two": two})
 
     # One Python step in each branch, so that a task needs one worker.
     bit = F.coalesce(id_bit(i), F.lit(0))
     sure = docs.where(i.isNull() | ~maybe(bit))
-    looked = docs.where(i.isNotNull()).withColumn("_look", look(bit, F.col(f"`{text_col}`").cast("string"))).where("_look.maybe").withColumn("_node", F.col("_look.node"))
-    named = keepers.select(F.col("_id").alias("_keep"), F.col("_node").alias("_of"))
-    kept = looked.join(named, (i == F.col("_keep")) & (F.col("_node") == F.col("_of")))
-    once = kept.withColumn("_k", F.row_number().over(Window.partitionBy("_keep", "_of").orderBy(F.lit(1)))).where("_k = 1")
+    looked = docs.where(i.isNotNull()).withColumn("_look", look(bit, F.col(f"`{text_col}`").cast("string"))).where("_look.maybe").withColumns({"_one": F.col("_look.one"), "_two": F.col("_look.two")})
+    named = keepers.select(F.col("_id").alias("_keep"), F.col("one").alias("_of"), F.col("two").alias("_and"))
+    kept = looked.join(named, (i == F.col("_keep")) & (F.col("_one") == F.col("_of")) & (F.col("_two") == F.col("_and")))
+    once = kept.withColumn("_k", F.row_number().over(Window.partitionBy("_keep", "_of", "_and").orderBy(F.lit(1)))).where("_k = 1")
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    return sure.unionByName(looked.where("_node is null").select(columns)).unionByName(once.select(columns))
+    return sure.unionByName(looked.where("_one = 0 and _two = 0").select(columns)).unionByName(once.select(columns))

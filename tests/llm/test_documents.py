@@ -8,10 +8,11 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from panelframe.llm import ngram_join, quality_model, quality_rules, secret_scan, sharding
+from panelframe.llm import ngram_join, quality_model, quality_rules, secret_scan, sharding, shingles
 
 
 def github(body="Zk" * 15):
@@ -199,15 +200,64 @@ def test_shards(spark):
     assert sharding.interleave(docs.where("false")).count() == 0
 
 
-def test_long_sets_get_the_long_check(spark, monkeypatch):
-    """In two sets of a million, short hashes overstate the overlap by far more than in small ones."""
+def test_shingles_of_long_and_odd_texts():
+    """A text's set is the same alone, among others, and cut into pieces; unequal words have unequal hashes."""
+    rng = random.Random(5)
+    words = ["a", "b", "\u00e4\u00f6", "\u8a9e", "Zq", "x" * 300, "x" * 299 + "y", *(f"w{k}" for k in range(5000))]
+    long_text = " ".join(rng.choice(words) for _ in range(150_000))
+    giant = "k" * 700_000 + " one two three four five"
+    texts = [long_text, None, "", " \n\t", "one two", "ONE two", "one\x0btwo", "one\u00a0two", giant, "a b c d e", "e d c b a"]
+    got = shingles.sets(pa.array(texts, pa.string()), 5)
 
-    def overlap(pairs, docs, nodes, n, short):
-        # Short hashes give each pair ten more than is asked, long ones one less.
-        return pairs.withColumn("shared", F.col("least") + (10 if short else -1))
-
-    monkeypatch.setattr(ngram_join, "_overlap", overlap)
-    nodes = spark.createDataFrame([(k, [0, 0]) for k in range(4)], "node long, sketch array<long>")
-    pairs = spark.createDataFrame([(0, 10**6, 1, 10**6), (2, 1000, 3, 1000)], "a long, size_a int, b long, size_b int")
-    # Ten more are no chance hits in sets of a thousand, but well may be in those of a million.
-    assert [tuple(r) for r in ngram_join._linked(pairs, None, nodes, 5, 75).collect()] == [(2, 3)]
+    def brute(t):
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
+
+    assert [len(s) for s in got] == [len(brute(t)) for t in texts]
+    for t, s in zip(texts, got):
+        assert np.array_equal(shingles.sets(pa.array([t], pa.string()), 5)[0], s)
+        assert np.array_equal(shingles.sets(pa.array(["before", t, "after"], pa.large_string())[1:2], 5)[0], s)
+    assert got[4][0] == got[5][0] == got[6][0] != got[7][0] and got[9][0] != got[10][0]
+    halves = [" ".join(long_text.split()[:70_000]), " ".join(long_text.split()[69_996:])]
+    assert np.array_equal(np.union1d(*shingles.sets(pa.array(halves), 5)), got[0])
+    one, two = shingles.names(got)
+    assert len(set(zip(one.tolist(), two.tolist()))) == len({frozenset(brute(t)) for t in texts}) and one[1] == two[1] == 0
+
+
+def test_deal_and_gather():
+    """What the stretches and the buckets find shared is what at least two nodes hold; copies of one node share nothing."""
+    rng = np.random.default_rng(3)
+    sets = {k: np.unique(shingles.mix(rng.integers(1, 400, rng.integers(1, 60)).astype(np.uint64))) for k in range(1, 60)}
+    held = Counter(t for s in sets.values() for t in s.tolist())
+    want = {(k, t) for k, s in sets.items() for t in s.tolist() if held[t] > 1}
+    found, rows = set(), {}
+    for part in ([*range(1, 20)], [*range(20, 40)], [40], [*range(41, 60)]):
+        (owner, token), out = ngram_join.deal(np.array(part), [sets[k] for k in part], 4, False)
+        found |= {(part[o], t) for o, t in zip(owner.tolist(), token.tolist())}
+        for b, *row in out:
+            rows.setdefault(b, []).append(row)
+    often = {}
+    for r in rows.values():
+        node, token, frequent, holders = ngram_join.gather(r, False)
+        found |= set(zip(node.tolist(), token.tolist()))
+        often |= dict(zip(frequent.tolist(), holders.tolist()))
+    assert found == want and often == {t: n for t, n in held.items() if n >= ngram_join.LEAST_FREQUENT}
+    copies = [ngram_join.deal(np.array([7]), [sets[7]], 1, False)[1][0][1:] for _ in range(3)]
+    assert not len(ngram_join.gather(copies, False)[0])
+
+
+@pytest.mark.parametrize("base_in", [True, False])
+def test_near_duplicates_in_a_large_group(spark, base_in):
+    """Near copies of one text around the threshold, and texts that share a long passage and are not near."""
+    rng = random.Random(11)
+    base = [f"b{k}" for k in range(120)]
+    rows = [(0, " ".join(base))] if base_in else []
+    for _ in range(150):
+        copy = [*base]
+        for _ in range(rng.choice([1, 2, 3, 4, 5, 6])):
+            copy[rng.randrange(120)] = rng.choice(["same", f"new{len(rows)}", f"few{rng.randrange(9)}"])
+        rows.append((len(rows) + 1, " ".join(copy[: rng.choice([120, 120, 110, 95])])))
+    passage = [f"p{k}" for k in range(60)]
+    rows += [(1000 + k, " ".join([*passage, *(f"own{k}.{i}" for i in range(rng.choice([4, 12, 20, 30])))])) for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((tuple(r) for r in ngram_join.near_duplicates(docs).collect()), key=str) == brute_components(rows)
