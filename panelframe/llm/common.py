@@ -87,6 +87,21 @@ def slices(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     give_back()
 
 
+def text_column(column, out: T.DataType, values: Callable[[list], list]) -> F.Column:
+    """A column of values(texts) -> as many values, null texts among them; texts are taken in slices."""
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    arrow = to_arrow_type(out)
+
+    @F.arrow_udf(out)
+    def mapped(texts: pa.Array) -> pa.Array:
+        parts = [pa.array(values(part.column(0).to_pylist()), arrow) for part in cut(pa.RecordBatch.from_arrays([texts], names=["t"]))]
+        give_back()
+        return pa.concat_arrays(parts) if parts else pa.array([], arrow)
+
+    return mapped(column)
+
+
 def give_back() -> None:
     import ctypes
     import gc

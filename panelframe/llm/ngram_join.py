@@ -31,7 +31,7 @@ from panelframe.llm.components import components
 from panelframe.llm.shingles import P1, mix
 
 # Shingles that a task deals at once, and those that a bucket of the shuffle holds, about.
-STRETCH, BUCKET = 4_000_000, 3_000_000
+STRETCH, BUCKET = 1_500_000, 1_500_000
 LEAST_BUCKETS = 8
 # So many more of a set's shingles than the least are looked at first, and have to be shared: one in EXTRA.
 EXTRA = 10
