@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelframe.llm.common import written
+from panelframe.llm.common import text_column, written
 
 # The characters that count as symbols, those that end a sentence, and what a list item starts with.
 SYMBOLS = "#*$%&|<>"
@@ -20,11 +20,14 @@ _NO_LETTER = re.compile(rb"[^A-Za-z\x80-\xff]")
 _UPPER = re.compile(r"[A-Z]")
 _LETTER = re.compile(r"[^\W\d_]")
 _SENTENCE = re.compile(r"[.!?](?=\s|$)")
-# Accuracies stay within these, so that no rule is inverted or decides alone.
-LEAST_ACCURACY, MOST_ACCURACY = 0.55, 0.99
-PRIOR, ROUNDS = 0.85, 60
+_PLAIN = re.compile(rb"(?<![^\x20\x09-\x0D])[^A-Za-z\x80-\xff\x20\x09-\x0D]+(?![^\x20\x09-\x0D])")
+# On good documents a rule that votes is right so often; on bad ones at most so often, and it says bad there
+# no less often than on good ones, so that no vote speaks against its own meaning.
+LEAST_ACCURACY, MOST_ACCURACY = 0.55, 0.999
+# Where the estimates start, and the votes that stand behind that.
+PRIOR, START_GOOD, START_BAD, BEHIND_GOOD, BEHIND_BAD, ROUNDS = 0.85, 0.95, 0.3, 20, 2, 100
 
-STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_chars", "n_upper", "n_letters", "n_distinct", "n_sentences", "n_lines"]
+STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_chars", "n_upper", "n_letters", "n_distinct", "n_sentences", "n_lines", "n_plain"]
 
 
 def repeat_words(words: list[bytes]) -> int:
@@ -57,47 +60,53 @@ def measure(text: str) -> tuple:
     words = raw.split()  # bytes.split() cuts at exactly space and 0x09-0x0D
     lines = [x for x in raw.split(b"\n") if x.split()]
     space = sum(map(raw.count, (b" ", b"\t", b"\n", b"\r", b"\v", b"\f")))
-    return (len(words), len(text) - space, sum(map(text.count, SYMBOLS)), len(lines) - len(set(lines)), repeat_words(words), len(text), len(_UPPER.findall(text)) if not text.islower() else 0, len(raw) - len(_NO_LETTER.findall(raw)), len(set(words)), len(_SENTENCE.findall(text)), len(lines))
+    return (len(words), len(text) - space, sum(map(text.count, SYMBOLS)), len(lines) - len(set(lines)), repeat_words(words), len(text), len(_UPPER.findall(text)) if not text.islower() else 0, len(raw) - len(_NO_LETTER.findall(raw)), len(set(words)), len(_SENTENCE.findall(text)), len(lines), len(_PLAIN.findall(raw)))
 
 
 def votes(s: pd.DataFrame) -> np.ndarray:
     """A column for each rule: 1 good, -1 bad, 0 abstains."""
     w, c = s.n_words.clip(lower=1), s.n_chars.clip(lower=1)
     vote = lambda bad, good: np.where(bad, -1, np.where(good, 1, 0))
-    mean, symbols, dup, repeat = s.word_chars / w, s.n_symbols / w, s.n_dup_lines / s.n_lines.clip(lower=1), s.n_repeat_words / w
-    upper, letters, distinct, sentences = s.n_upper / s.n_letters.clip(lower=1), s.n_letters / c, s.n_distinct / w, s.n_sentences / w
+    mean, symbols, plain, dup, repeat = s.word_chars / w, s.n_symbols / w, s.n_plain / w, s.n_dup_lines / s.n_lines.clip(lower=1), s.n_repeat_words / w
+    upper, letters, sentences = s.n_upper / s.n_letters.clip(lower=1), s.n_letters / c, s.n_sentences / w
+    # Distinct words by the root of all: unlike their share, it does not fall as a text goes on.
+    rich = s.n_distinct / np.sqrt(w)
     return np.stack(
         [
-            vote(s.n_words < 20, s.n_words >= 50),
-            vote((mean < 2.5) | (mean > 15), (mean >= 3.5) & (mean <= 9)),
-            vote(symbols > 0.2, symbols < 0.02),
-            vote(dup > 0.4, dup < 0.1),
-            vote(repeat > 0.4, repeat < 0.15),
-            vote(upper > 0.4, upper < 0.15),
-            vote(letters < 0.55, letters > 0.7),
-            vote((distinct < 0.12) & (s.n_words < 5000), distinct > 0.3),
-            vote((sentences < 0.004) & (s.n_words >= 50), sentences > 0.02),
+            vote(s.n_words < 20, s.n_words >= 100),
+            vote((mean < 3) | (mean > 10), (mean >= 4) & (mean <= 7)),
+            vote(symbols > 0.1, symbols < 0.01),
+            vote(plain > 0.2, plain < 0.05),
+            vote(dup > 0.4, (dup < 0.05) & (s.n_lines >= 3)),
+            vote(repeat > 0.2, repeat < 0.05),
+            vote(upper > 0.3, upper < 0.1),
+            vote(letters < 0.7, letters > 0.75),
+            vote((rich < 4) & (s.n_words >= 50), rich > 6),
+            vote(((sentences < 0.01) & (s.n_words >= 50)) | (sentences > 0.4), (sentences > 0.02) & (sentences < 0.25)),
         ],
         axis=1,
     )
 
 
-RULES = 9
+RULES = 10
 
 
 def fit(patterns: np.ndarray, counts: np.ndarray, rounds: int = ROUNDS) -> dict:
     """Expectation-maximisation over vote patterns with counts: each rule's accuracy on good and on bad
-    documents when it votes, and the share of good ones. Rules are taken as independent given quality."""
+    documents when it votes, and the share of good ones. Rules are taken as independent given quality.
+
+    A rule that looks for one defect votes good on most bad documents, which have another one: its accuracy
+    on bad documents may be small, so that its good votes count for little and its rare bad ones for much.
+    """
     good, bad = patterns == 1, patterns == -1
-    share, right_good, right_bad = PRIOR, np.full(patterns.shape[1], 0.8), np.full(patterns.shape[1], 0.8)
+    share, right_good, right_bad = PRIOR, np.full(patterns.shape[1], START_GOOD), np.full(patterns.shape[1], START_BAD)
     for _ in range(rounds):
         p = posterior(patterns, {"share": share, "good": right_good, "bad": right_bad})
         w1, w0 = counts * p, counts * (1 - p)
-        share = float(np.clip(w1.sum() / max(counts.sum(), 1), 0.05, 0.95))
-        clip = lambda x: np.clip(x, LEAST_ACCURACY, MOST_ACCURACY)
-        # One imagined right and wrong vote each keep the estimate defined for rules that never vote.
-        right_good = clip((w1 @ good + 1) / (w1 @ (good | bad) + 2))
-        right_bad = clip((w0 @ bad + 1) / (w0 @ (good | bad) + 2))
+        share = float(np.clip(w1.sum() / max(counts.sum(), 1), 0.05, 0.99))
+        # The start's votes keep the estimate defined for rules that never vote.
+        right_good = np.clip((w1 @ good + START_GOOD * BEHIND_GOOD) / (w1 @ (good | bad) + BEHIND_GOOD), LEAST_ACCURACY, MOST_ACCURACY)
+        right_bad = np.clip((w0 @ bad + START_BAD * BEHIND_BAD) / (w0 @ (good | bad) + BEHIND_BAD), 1 - right_good, MOST_ACCURACY)
     return {"share": share, "good": right_good, "bad": right_bad}
 
 
@@ -113,12 +122,12 @@ _MEASURED = T.StructType([*(T.StructField(n, T.LongType()) for n in STATS), T.St
 
 
 def _measures(text_col: str):
-    @F.pandas_udf(_MEASURED)
-    def measured(texts: pd.Series) -> pd.DataFrame:
+    def measured(texts: list) -> list[dict]:
         s = pd.DataFrame([measure(t or "") for t in texts], columns=STATS)
-        return s.assign(votes=["".join("-0+"[v + 1] for v in row) for row in votes(s).tolist()] if len(s) else pd.Series([], dtype=str))
+        marks = ["".join("-0+"[v + 1] for v in row) for row in votes(s).tolist()]
+        return [r | {"votes": v} for r, v in zip(s.to_dict("records"), marks)]
 
-    return measured(F.col(f"`{text_col}`").cast("string"))
+    return text_column(F.col(f"`{text_col}`").cast("string"), _MEASURED, measured)
 
 
 def judge(docs: DataFrame, text_col: str = "text", least: float = 0.5) -> DataFrame:
@@ -129,8 +138,9 @@ def judge(docs: DataFrame, text_col: str = "text", least: float = 0.5) -> DataFr
     whatever the input, go to the driver for expectation-maximisation, and their probabilities come
     back as a table of that size.
 
-    A null or empty text has no words, so it fails the base rule.  Nulls elsewhere, repeated rows and
-    other columns stay as they are, but for a column named _rules, which is replaced; an empty table gives no rows.
+    A null or empty text has no words, so it fails the base rule; a very long one is measured whole, like any
+    other; equal texts have equal verdicts.  Nulls elsewhere, repeated rows and other columns stay as they are,
+    but for a column named _rules, which is replaced; an empty table gives no rows.
     """
     measured = written(docs.drop("_rules").withColumn("_rules", _measures(text_col)), "quality-rules")
     return _verdicts(measured, least)
