@@ -1,4 +1,6 @@
-"""Order-preserving packing: window cuts that minimise padding plus truncation, by dynamic programming."""
+"""Order-preserving packing: window cuts that minimise padding plus truncation, by dynamic programming.
+
+Cuts are at ends of documents and of sentences; only a sentence longer than a window is cut within."""
 
 from __future__ import annotations
 
@@ -17,8 +19,8 @@ from panelframe.llm.pretokens import VOCABULARY, Words, tokenizer_path, vocabula
 # Tokens of the documents that are cut together; a larger document is a block of its own.
 BLOCK_TOKENS = 1 << 20
 # What a cut costs, in tokens of padding: after a document, after a sentence, within one.
-AFTER_DOCUMENT, AFTER_SENTENCE, WITHIN = 0.0, 1.0, 8.0
-# Within a sentence a cut may come after every so many tokens.
+AFTER_DOCUMENT, AFTER_SENTENCE, WITHIN = 0.0, 100.0, 1000.0
+# A sentence longer than the window may be cut after every so many tokens.
 STRIDE = 64
 
 
@@ -54,59 +56,42 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def candidates(ends: np.ndarray, doc_ends: np.ndarray, stride: int = STRIDE) -> tuple[np.ndarray, np.ndarray]:
-    """(places where a cut may be, what each costs): 0 first, then document ends, sentence ends and strides in between."""
+def candidates(ends: np.ndarray, doc_ends: np.ndarray, window: int, stride: int = STRIDE) -> tuple[np.ndarray, np.ndarray]:
+    """(places where a cut may be, what each costs): 0 first, then the ends of documents and sentences.
+
+    Between two that are more than a window apart, and only there, every stride-th token is one too.
+    """
     n = int(doc_ends[-1])
     cost = np.full(n + 1, np.inf)
-    cost[::stride] = WITHIN
     cost[np.flatnonzero(ends) + 1] = AFTER_SENTENCE
     cost[doc_ends] = AFTER_DOCUMENT
     cost[0] = 0.0
     places = np.flatnonzero(np.isfinite(cost))
+    for i in np.flatnonzero(np.diff(places) > window).tolist():
+        cost[places[i] + stride : places[i + 1] : stride] = WITHIN
+    places = np.flatnonzero(np.isfinite(cost))
     return places, cost[places]
 
 
 def cuts(places: np.ndarray, cost: np.ndarray, window: int) -> np.ndarray:
     """The cut places of the cheapest division into windows of at most `window` tokens.
 
-    best[j] = cost[j] + the least over i of best[i] + padding(places[j] - places[i]), where padding is
-    window - length, or 0 for a length that is a power of two.  best[i] + places[i] over the reachable
-    i is a sliding-window minimum, held in a monotone queue; the powers of two are looked up.
+    best[j] = cost[j] + the least over i of best[i] + the room that is left, window - (places[j] - places[i]).
+    best[i] + places[i] over the reachable i is a sliding-window minimum, held in a monotone queue.  Two places
+    in a row are at most a window apart.  A short sequence costs all its empty room, whatever padding it gets.
     """
-    m = len(places)
-    index = np.full(int(places[-1]) + 1, -1, np.int32)
-    index[places] = np.arange(m)
-    to, start = [], []
-    power = 1
-    while power <= window:
-        j = np.searchsorted(places, power)
-        i = index[places[j:] - power]
-        hit = np.flatnonzero(i >= 0)
-        to.append(hit + j)
-        start.append(i[hit])
-        power *= 2
-    to, start = np.concatenate(to), np.concatenate(start)
-    order = np.argsort(to, kind="stable")
-    to, start = [*to[order].tolist(), m], start[order].tolist()
-    at, price = places.tolist(), cost.tolist()
-    best, back = [0.0] * m, [0] * m
-    key, head, queue, hits = [0.0] * m, 0, [0], 0
+    at, price, m = places.tolist(), cost.tolist(), len(places)
+    back, key = [0] * m, [0.0] * m
+    head, queue = 0, [0]
     for j in range(1, m):
         place = at[j]
         low = place - window
         while at[queue[head]] < low:
             head += 1
-        i = queue[head]
-        least = key[i] + window - place
-        while to[hits] == j:
-            k = start[hits]
-            if best[k] <= least:
-                least, i = best[k], k
-            hits += 1
-        best[j] = least = least + price[j]
-        back[j] = i
-        key[j] = least = least + place
-        while len(queue) > head and key[queue[-1]] >= least:
+        back[j] = queue[head]
+        # best[j] + places[j]
+        key[j] = mine = key[queue[head]] + window + price[j]
+        while len(queue) > head and key[queue[-1]] >= mine:
             queue.pop()
         queue.append(j)
     out, j = [], m - 1
@@ -126,7 +111,8 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window
     number times 2^33 plus a count.
 
     A null or empty text is a document of end_id alone; null ids stay null; repeated rows are packed
-    each; an empty table gives no rows; other columns are not read.  window must be at least STRIDE.
+    each; a very long text is a block of its own; of equally cheap divisions the one with the earlier cuts is
+    taken; an empty table gives no rows; other columns are not read.  window must be at least STRIDE.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -139,7 +125,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window
         tokens = np.frombuffer(b"".join(found), "<u4")
         doc_ends = np.cumsum([len(x) // 4 for x in found])
         doc_starts = np.concatenate([[0], doc_ends[:-1]])
-        cut = cuts(*candidates(encode.ends[tokens], doc_ends), window)
+        cut = cuts(*candidates(encode.ends[tokens], doc_ends, window), window)
         begins = np.union1d(cut[:-1], doc_starts)
         sizes = np.diff(np.append(begins, doc_ends[-1]))
         doc, seq = np.searchsorted(doc_starts, begins, "right") - 1, np.searchsorted(cut, begins, "right") - 1

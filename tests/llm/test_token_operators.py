@@ -74,24 +74,53 @@ def test_packing_loses_nothing(spark, library, window, block):
         assert sum(p["length"] for p in s) <= window
 
 
-def test_cuts_are_the_cheapest(spark):
-    def cost_of(length, window):
-        return 0 if length & (length - 1) == 0 else window - length
-
+def test_cuts_are_the_cheapest():
     rng = random.Random(4)
     for _ in range(60):
         window, n = 32, rng.randrange(1, 120)
         ends = np.array([rng.random() < 0.2 for _ in range(n)])
         doc_ends = np.unique([*(rng.randrange(1, n + 1) for _ in range(3)), n])
-        places, cost = packing.candidates(ends, doc_ends, stride=8)
+        places, cost = packing.candidates(ends, doc_ends, window, stride=8)
+        assert np.diff(places).max() <= window
         best = [0.0] + [np.inf] * (len(places) - 1)
         for j in range(1, len(places)):
             for i in range(j):
                 if (size := int(places[j] - places[i])) <= window:
-                    best[j] = min(best[j], best[i] + cost_of(size, window) + cost[j])
+                    best[j] = min(best[j], best[i] + window - size + cost[j])
         cut = packing.cuts(places, cost, window)
         index = {int(p): k for k, p in enumerate(places)}
-        assert sum(cost_of(int(b - a), window) + cost[index[int(b)]] for a, b in zip(cut, cut[1:])) == best[-1]
+        assert sum(window - int(b - a) + cost[index[int(b)]] for a, b in zip(cut, cut[1:])) == best[-1]
+
+
+def test_packing_cuts_at_sentences_and_wastes_little(spark):
+    """The whole query: few sequences, and within a sentence no cut unless it is longer than a window."""
+    from panelframe.llm import queries
+
+    folder = "/root/testdata/sf0.01"
+    rows = [r.asDict() for r in queries.QUERIES["op7_packing"](spark, folder).collect()]
+    pieces = packing.pack(spark.read.parquet(f"{folder}/documents.parquet")).collect()
+    assert sorted((r["doc_id"], r["start"], r["length"], r["ids_crc32"]) for r in rows) == sorted((p["doc_id"], p["start"], p["length"], zlib.crc32(p["ids"])) for p in pieces)
+    encode = packing.encoder(packing.tokenizer_path(packing.VOCABULARY))
+    of = {}
+    for p in pieces:
+        of.setdefault(p["doc_id"], []).append(p)
+    whole = 0
+    for mine in of.values():
+        mine.sort(key=lambda p: p["start"])
+        ids = np.frombuffer(b"".join(p["ids"] for p in mine), "<u4")
+        assert len(ids) == mine[0]["doc_tokens"]
+        stops = np.concatenate([[0], np.flatnonzero(encode.ends[ids]) + 1, [len(ids)]])
+        for p in mine[1:]:
+            k = np.searchsorted(stops, p["start"])
+            assert stops[k] == p["start"] or stops[k] - stops[k - 1] > 1024
+        whole += len(mine) == 1
+    sizes = {}
+    for r in rows:
+        sizes[r["sequence_id"]] = sizes.get(r["sequence_id"], 0) + r["length"]
+    total = sum(sizes.values())
+    assert max(sizes.values()) <= 1024 and len(sizes) <= 1.05 * total / 1024 + 1
+    assert sum(1024 - n for n in sizes.values()) < 0.05 * total
+    assert whole > len(of) / 2
 
 
 def test_digest_columns(spark, library):
