@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelframe.llm.common import map_rows, typed
+from panelframe.llm.common import map_rows, text_column, typed
 
 BASE_KINDS = ["assign", "access", "hex"]
 # The kinds that the checksum step adds.
@@ -36,6 +36,7 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 GITHUB = re.compile(r"gh[pousr]_[0-9A-Za-z]{36}(?![0-9A-Za-z])")
 NPM = re.compile(r"npm_[0-9A-Za-z]{36}(?![0-9A-Za-z])")
 JWT = re.compile(r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+")
+RUN = re.compile(r"[A-Za-z0-9_-]+")
 CARD = re.compile(r"(?<![0-9A-Za-z.-])[3-6][0-9]{3}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{2,4}(?![0-9A-Za-z])")
 BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 _LOWER = {c: c + 32 for c in range(65, 91)}
@@ -95,6 +96,9 @@ def spans(text: str) -> list[tuple[int, int, str]]:
             taken[kind] = m.end()
             if passes(m):
                 found.append((start, m.end(), kind))
+        elif kind == "jwt" and (run := RUN.match(text, start)):
+            # All hits of one run have the same part after it, so none of them matches.
+            taken[kind] = run.end()
     # Runs of digits have no keyword: a pattern of their own class finds them.
     found += [(*m.span(), "hex") for m in HEX.finditer(text)]
     found += [(*m.span(), "card") for m in CARD.finditer(text) if luhn_fits(m[0])]
@@ -105,8 +109,10 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(id, secrets array<struct<kind, start, end>>) for each input row, over the whole text.
 
     start and end are code points, end exclusive.  A null or empty text has no secrets (an empty
-    array); null ids stay null; repeated rows each give a row; an empty table gives none; other columns
-    are not read.  Matches of one kind never overlap; those of different kinds may.  No row is shuffled.
+    array); a very long one is read whole, in time that grows with its length; null ids stay null; repeated
+    rows each give a row; an empty table gives none; other columns are not read.  Matches of one kind never
+    overlap; those of different kinds may, and of two that start together the kind listed first in KINDS comes
+    first.  No row is shuffled.
     """
     item = T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
     out = T.StructType([typed(docs, id_col), T.StructField("secrets", T.ArrayType(item))])
@@ -124,11 +130,8 @@ def redact(docs: DataFrame, text_col: str = "text", mask: str = "[SECRET]") -> D
     All columns stay as they are but for the text; no row goes.  No shuffle: each row is scanned in place.
     """
 
-    @F.pandas_udf("string")
-    def masked(texts):
-        return texts.map(lambda t: _mask(t, mask) if t else t)
-
-    return docs.withColumn(text_col, masked(F.col(f"`{text_col}`")))
+    masked = text_column(F.col(f"`{text_col}`"), T.StringType(), lambda texts: [_mask(t, mask) if t else t for t in texts])
+    return docs.withColumn(text_col, masked)
 
 
 def _mask(text: str, mask: str) -> str:
