@@ -9,14 +9,18 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from panelframe.llm.common import text_column
 
 # Words of a passage.
 PASSAGE_WORDS = 64
 # The model is fitted on at most so many labelled documents, those first by a hash of their id.
 FIT_DOCUMENTS = 4000
+# Of each of these documents, at most so many passages, evenly spread over it; scores are of all passages.
+FIT_PASSAGES = 128
 WIDTH, ATTENTION, ROUNDS, RATE, DECAY = 16, 8, 250, 0.02, 1e-4
 # A document is rejected below this score.
 THRESHOLD = 0.3
@@ -140,12 +144,14 @@ def held_out(id_column) -> F.Column:
     return F.coalesce(F.crc32(id_column.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most: int = FIT_DOCUMENTS) -> Model:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most: int = FIT_DOCUMENTS, spread: int = FIT_PASSAGES) -> Model:
     """Fit on at most `most` labelled documents that are not held out: those first by a hash of their id.
 
-    The bound holds for the sample alone.  Labels are 0 or 1 (others and nulls are left out; repeated
-    ids count once, with their largest label); ids without a document are left out.  Passages are
-    encoded on the executors, whole texts, and their features are gathered.
+    The bounds hold for the sample alone: `most` documents, one row of each id (that with the smallest
+    features, so equal rows are as good as one), `spread` passages of each, evenly taken from the whole
+    text.  Labels are 0 or 1 (others and nulls are left out; repeated ids count once, with their largest
+    label); ids without a document are left out.  Passages are encoded on the executors, and at most
+    most * spread rows of features are gathered.
     """
     i = F.col(f"`{id_col}`")
     usable = labels.select(i.alias("_id"), F.col(f"`{label_col}`").cast("int").alias("_label")).where("_id is not null and _label in (0, 1)").where(~held_out(F.col("_id")))
@@ -153,32 +159,33 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     # At most `most` rows by the limit, so this side can be broadcast.
     chosen = usable.groupBy("_id").agg(F.max("_label").alias("_label")).orderBy(F.xxhash64("_id"), "_id").limit(most)
 
-    @F.pandas_udf("binary")
-    def features(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: passages(t or "").tobytes())
+    def features(texts: list) -> list[bytes]:
+        bags = (passages(t or "") for t in texts)
+        return [b[np.linspace(0, len(b) - 1, min(len(b), spread)).astype(int)].tobytes() for b in bags]
 
-    rows = known.join(F.broadcast(chosen), "_id").select("_id", "_label", features("_text").alias("_bag")).collect()
+    bag = text_column(F.col("_text"), T.BinaryType(), features)
+    rows = known.join(F.broadcast(chosen), "_id").select("_id", "_label", bag.alias("_bag")).groupBy("_id").agg(F.max("_label").alias("_label"), F.min("_bag").alias("_bag")).collect()
     rows.sort(key=lambda r: (str(r["_id"]), bytes(r["_bag"])))
     bags = [np.frombuffer(r["_bag"], np.float32).reshape(-1, FEATURES) for r in rows]
     return fit(bags, np.array([r["_label"] for r in rows], dtype=float))
 
 
 def score_column(model: Model, text_col: str = "text") -> F.Column:
-    @F.pandas_udf("double")
-    def scored(texts: pd.Series) -> pd.Series:
-        values = []
+    def scored(texts: list) -> list[float]:
+        out = []
         for k in range(0, len(texts), 200):
-            values.append(model.scores([passages(t or "") for t in texts.iloc[k : k + 200]]))
-        return pd.Series(np.concatenate(values) if values else [], dtype=float)
+            out += model.scores([passages(t or "") for t in texts[k : k + 200]]).tolist()
+        return out
 
-    return scored(F.col(f"`{text_col}`").cast("string"))
+    return text_column(F.col(f"`{text_col}`").cast("string"), T.DoubleType(), scored)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """(id, held_out, score, predicted) for every row, over the whole text.
 
-    A null or empty text is scored as one passage without words.  Null ids stay null and count as not
-    held out; repeated rows each give a row; an empty table gives none; other columns are not read.
+    A null or empty text is scored as one passage without words, a very long one by all its passages; equal
+    texts have equal scores.  Null ids stay null and count as not held out; repeated rows each give a row; an
+    empty table gives none; other columns are not read.
     """
     out = docs.select(F.col(f"`{id_col}`"), held_out(F.col(f"`{id_col}`")).alias("held_out"), score_column(model, text_col).alias("score"))
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
