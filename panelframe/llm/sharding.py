@@ -40,19 +40,21 @@ def interleave(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     A null text has size 1 and the checksum of the empty text; rows without a source form a source of
     their own; null ids and repeated rows are rows like any other (rows alike in id and checksum are
-    interchangeable); an empty table gives no rows; other columns are not read.  Texts are measured in
-    the scan and never shuffled.
+    interchangeable; their order, and with it the deal, follows how the files are split); an empty table
+    gives no rows; other columns are not read.  Texts, very long ones too, are measured in the scan and never
+    shuffled.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     rows = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{source_col}`").cast("string").alias("_source"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
     unit = lambda *c: (F.xxhash64(F.lit(seed), *c).bitwiseAND(F.lit((1 << 52) - 1)) / F.lit(float(1 << 52)))
     # One narrow row for each document, read by the count and both rankings.
-    rows = written(rows.withColumn("_u", unit(F.col("_id"), F.col("text_crc32"), F.col("size"))), "interleave")
+    # Each row has a number of its own, so that rows alike in all else are spread like others.
+    rows = written(rows.withColumn("_row", F.monotonically_increasing_id()).withColumn("_u", unit(F.col("_id"), F.col("text_crc32"), F.col("size"), F.col("_row"))), "interleave")
     counts = rows.groupBy("_source").agg(F.count(F.lit(1)).alias("_of")).withColumn("_shift", unit(F.lit("shift"), F.col("_source")))
     n = rows.count()
     buckets = max(LEAST_BUCKETS, -(-n // BUCKET_ROWS))
-    ranked = _ranked(rows, ["_source"], "_u", ["_id", "text_crc32", "size"], buckets, "_rank")
+    ranked = _ranked(rows, ["_source"], "_u", ["_id", "text_crc32", "size", "_row"], buckets, "_rank")
     placed = ranked.join(counts, ranked["_source"].eqNullSafe(counts["_source"])).select("_id", ranked["_source"], "size", "text_crc32", ((F.col("_rank") + F.col("_shift")) / F.col("_of")).alias("_place"))
     everything = _ranked(placed.withColumn("_all", F.lit(0)), ["_all"], "_place", ["_source", "_id", "text_crc32", "size"], buckets, "_at")
     # Shard k holds the ranks from ceil(k n / shards) on.
