@@ -8,6 +8,7 @@ all rows found there are ranked by their exact inner product.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -18,10 +19,11 @@ from pyspark.sql import functions as F
 
 from panelframe.llm.common import written
 
-# Vectors of the sample on which graph, parts and classifier are fitted (those first by a hash of their id).
-SAMPLE = 4000
-# Neighbours of each vector in the graph; parts at most; vectors of the sample in a part, about.
-GRAPH, MOST_PARTS, PART_SAMPLE = 12, 32, 100
+# Vectors of the sample on which graph, parts and classifier are fitted (those first by a hash of their id): so
+# many roots of the table's rows, within these bounds.  The parts grow with it.
+SAMPLE_ROOTS, LEAST_SAMPLE, MOST_SAMPLE = 8, 4000, 32_768
+# Neighbours of each vector in the graph; vectors of the sample in a part, about.
+GRAPH, PART_SAMPLE = 12, 125
 # Share of true neighbours of vectors kept out of the fitting that the probed parts must hold; at most so many are asked.
 AIM = 0.95
 MOST_ASKED = 1000
@@ -111,7 +113,7 @@ def fit_router(x: np.ndarray, kept: np.ndarray, k: int, aim: float = AIM, seed:
     kept are all there is, and neighbours come from both.
     """
     n, d = x.shape if x.ndim == 2 else (0, 0)
-    parts = min(MOST_PARTS, n // PART_SAMPLE)
+    parts = n // PART_SAMPLE
     if parts < 2:
         return Router(np.zeros((d, 1)), np.zeros(1), np.zeros((1, 1)), np.zeros(1), 1)
     rng = np.random.default_rng(seed)
@@ -151,10 +153,14 @@ def drawn(vectors: np.ndarray, sample: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(_id, _v array<double>) of the rows that take part: non-null ids with finite, non-zero vectors; one for each id."""
+    """(_id, _v array<double>) of the rows that take part: non-null ids with finite, non-zero vectors of the length
+    that most such rows have (the smaller one on ties); one for each id."""
     v = F.col(f"`{vector_col}`").cast("array<double>")
     rows = vectors.select(F.col(f"`{id_col}`").alias("_id"), v.alias("_v")).where("_id is not null and _v is not null")
     rows = rows.where("forall(_v, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(_v, x -> x <> 0)")
+    usual = rows.groupBy(F.size("_v").alias("n")).count().orderBy(F.desc("count"), "n").first()
+    if usual is not None:
+        rows = rows.where(F.size("_v") == usual["n"])
     return rows.groupBy("_id").agg(F.min("_v").alias("_v"))
 
 
@@ -162,20 +168,23 @@ def _matrix(column) -> np.ndarray:
     return np.array(list(column), dtype=np.float64)
 
 
-def search(vectors: DataFrame, asks: Callable[[Column], Column], id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, sample: int = SAMPLE, aim: float = AIM) -> DataFrame:
+def search(vectors: DataFrame, asks: Callable[[Column], Column], id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, sample: int | None = None, aim: float = AIM) -> DataFrame:
     """The k nearest found of every query: (query_id, rank, vec_id, score), by largest inner product in double precision.
 
     Queries are the rows for whose id asks(id) holds; candidates are all rows but the query's own id; ties
     go to the smaller id.  Every query looks through parts until they hold k candidates, or all that there are.
     Vectors that are null, zero, or hold null or non-finite components take no part; null ids neither; an id
-    that comes repeatedly takes part once, with its smallest vector; all vectors must have one length.
-    An empty table gives no rows; other columns are not read.
+    that comes repeatedly takes part once, with its smallest vector; of vectors of several lengths, those
+    of the commonest length take part.  An empty table gives no rows; other columns are not read.
+    The sample has SAMPLE_ROOTS roots of the rows, LEAST_SAMPLE at least and MOST_SAMPLE at most, if none is given.
 
     Rows of a part are cut into blocks of about BLOCK_ROWS and its queries into blocks of BLOCK_QUERIES; each task meets one
     of each, so a part that holds a third of all rows is many tasks.  What goes to the driver: the
     sample (at most twice `sample` vectors) and the row count of each part.
     """
     rows = written(usable(vectors, id_col, vector_col).withColumn("_query", F.coalesce(asks(F.col("_id")), F.lit(False))), "ann-rows")
+    if sample is None:
+        sample = min(max(SAMPLE_ROOTS * math.isqrt(rows.count()), LEAST_SAMPLE), MOST_SAMPLE)
     chosen = rows.orderBy(F.xxhash64("_id"), "_id").limit(2 * sample).select("_v").collect()
     x, kept = drawn(_matrix(r["_v"] for r in chosen) if chosen else np.empty((0, 1)), sample)
     router = fit_router(x, kept, k, aim, whole=len(chosen) < 2 * sample)
@@ -189,7 +198,7 @@ def search(vectors: DataFrame, asks: Callable[[Column], Column], id_col: str = "
         return pd.Series([r if q else r[:1] for r, q in zip(router.best(_matrix(v), parts).astype(np.int32), query)], index=v.index, dtype=object)
 
     filed = written(rows.withColumn("_parts", routed("_v", "_query")), "ann-filed")
-    # One count for each part: MOST_PARTS rows at most.
+    # One count for each part: MOST_SAMPLE / PART_SAMPLE rows at most.
     sizes = {r["_part"]: r["n"] for r in filed.groupBy(F.col("_parts")[0].alias("_part")).agg(F.count(F.lit(1)).alias("n")).collect()}
     size = F.array(*[F.lit(sizes.get(p, 0)).cast("long") for p in range(parts)])
     # A part is looked through if it is among the first, or the parts before it hold fewer than k rows besides the query's own.
