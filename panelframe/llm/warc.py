@@ -255,6 +255,8 @@ def read_archives(archives: DataFrame, payloads: bool = True) -> DataFrame:
             rows, held = [], 0
             for path, offset, length in zip(*(c.to_pylist() for c in batch.columns)):
                 if path != name:
+                    if f is not None:
+                        f.close()
                     fs, p = _store(path)
                     name, f = path, fs.open_input_file(p)
                 f.seek(offset)
@@ -268,6 +270,8 @@ def read_archives(archives: DataFrame, payloads: bool = True) -> DataFrame:
                     rows, held = [], 0
             if rows:
                 yield pa.RecordBatch.from_pylist(rows, schema=arrow)
+        if f is not None:
+            f.close()
 
     return dealt.mapInArrow(read, RECORD)
 

@@ -45,6 +45,41 @@ def test_checksums_decide():
     assert kinds(jwt) == ["jwt"] and kinds("4111 1111 1111 1111") == ["card"] and kinds("4111 1111 1111 1112") == []
 
 
+def test_secrets_in_very_long_texts():
+    """Runs of keywords that lead to no secret are read in time that grows with the text."""
+    import time
+
+    began = time.time()
+    for part in ("eyJ", "eyJa.", "eyJa.eyJ", "token", "token ", "AKIA", "ghp_", "npm_", "4111 ", "0123456789abcdef01234567 ", "password=", "a", "4111111111111111"):
+        secret_scan.spans(part * (1_200_000 // len(part)))
+    assert time.time() - began < 60
+    text = "x " * 500_000 + github() + " y" * 500_000
+    assert secret_scan.spans(text) == [(1_000_000, 1_000_040, "github")] and len(secret_scan._mask(text, "[SECRET]")) == len(text) - 32
+
+
+def test_rules_and_classifier_on_a_very_long_text(spark):
+    text = " ".join(f"word{i % 700} and more of it." for i in range(120_000))
+    rows = [(1, text), (2, "short one."), (3, None), (1, text)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["_rules"] for r in quality_rules.judge_narrow(docs).collect()}
+    assert got[1]["n_words"] == 600_000 and got[3]["n_words"] == 0
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    model = quality_model.train(docs, labels)
+    assert len({r["score"] for r in quality_model.score(docs, model).collect() if r["doc_id"] == 1}) == 1
+    assert quality_model.good(docs, model, threshold=0.0).count() == 4
+
+
+def test_the_fitting_sample_is_bounded(spark, monkeypatch):
+    docs = spark.range(3000).selectExpr("cast(1 as bigint) as doc_id", "concat('a b ', id) as text")
+    gathered = []
+    monkeypatch.setattr(quality_model, "fit", lambda bags, labels: gathered.append(bags))
+    quality_model.train(docs, spark.createDataFrame([(1, 1)], "doc_id long, quality int"), most=10)
+    assert len(gathered[0]) == 1
+    long = spark.createDataFrame([(1, "word " * 100_000)], "doc_id long, text string")
+    quality_model.train(long, spark.createDataFrame([(1, 1)], "doc_id long, quality int"), spread=50)
+    assert len(gathered[1][0]) == 50
+
+
 def test_secret_tables(spark):
     rows = [(1, f"a {github()} password=hunter22"), (2, None), (3, ""), (3, ""), (None, "token: abcdef")]
     docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, secrets string")
@@ -94,6 +129,26 @@ def test_expectation_maximisation_finds_the_good_rules():
     assert ((p > 0.5) == good)[np.abs(votes).sum(1) > 0].mean() > 0.9
 
 
+def test_rules_on_the_given_tables(spark):
+    """The whole query: base columns by brute force; the votes decide beyond the base rule, for the better."""
+    from panelframe.llm import queries
+
+    folder = "/root/testdata/sf0.01"
+    rows = {r["doc_id"]: r for r in queries.QUERIES["op6_quality_rules"](spark, folder).collect()}
+    docs = spark.read.parquet(f"{folder}/documents.parquet").collect()
+    assert len(rows) == len(docs)
+    for d in docs:
+        r = rows[d["doc_id"]]
+        n, *rest = brute_stats(d["text"] or "")
+        assert [r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]] == [n, *rest]
+        assert r["base_failed"] == (n < 50 or 100 * rest[3] > 50 * n) and not (r["base_failed"] and r["kept"])
+    labels = [(rows[x["doc_id"]], x["quality"]) for x in spark.read.parquet(f"{folder}/labels.parquet").collect() if x["doc_id"] in rows]
+    base, method = (np.mean([keep(r) == (q == 1) for r, q in labels]) for keep in (lambda r: not r["base_failed"], lambda r: r["kept"]))
+    assert sum(not r["base_failed"] and not r["kept"] for r in rows.values()) > 10 and method > base + 0.02
+    clean = [r["kept"] for r, q in labels if q == 1 and not r["base_failed"]]
+    assert np.mean(clean) > 0.98
+
+
 def test_classifier_on_held_out_documents(spark):
     folder = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
@@ -198,6 +253,10 @@ def test_shards(spark):
         share = Counter(r["shard"] for r in got if r["source"] == source)
         assert max(share.values()) <= n / 8 + 2 and min(share[k] for k in range(8)) >= n / 8 - 2
     assert sharding.interleave(docs.where("false")).count() == 0
+    # Equal rows are spread like others, over the buckets of the ranking too.
+    same = spark.range(4000).selectExpr("cast(null as bigint) as doc_id", "'' as text", "if(id < 3000, 'hot', 'cold') as source")
+    dealt = sharding.interleave(same).collect()
+    assert Counter(r["shard"] for r in dealt) == Counter({k: 500 for k in range(8)}) and all(abs(n - 375) <= 2 for n in Counter(r["shard"] for r in dealt if r["source"] == "hot").values())
 
 
 def test_shingles_of_long_and_odd_texts():

@@ -52,6 +52,28 @@ def test_recall_holds_outside_the_sample(spark):
     assert np.mean([len(got[q] & {i for i, _ in want[q]}) / k for q in want]) >= 0.95
 
 
+@pytest.mark.parametrize("scale", ["0.01", "0.1"])
+def test_recall_on_the_given_embeddings(spark, scale):
+    """The whole query against brute force."""
+    from panelframe.llm import queries
+
+    folder = f"/root/testdata/sf{scale}"
+    rows = spark.read.parquet(f"{folder}/embeddings.parquet").collect()
+    ids, x = np.array([r["vec_id"] for r in rows]), np.array([r["embedding"] for r in rows], float)
+    got = {}
+    for r in queries.QUERIES["op2_neighbours"](spark, folder).collect():
+        got.setdefault(r["query_id"], {})[r["vec_id"]] = r["score"]
+    want = brute(ids, x, {int(i) for i in ids if i % 20 == 0}, 20)
+    assert set(got) == set(want) and all(len(v) == 20 for v in got.values())
+    assert np.mean([len(got[q].keys() & {i for i, _ in want[q]}) / 20 for q in want]) >= 0.9
+
+
+def test_odd_vectors(spark):
+    rows = [(i, [float(i + 1), 1.0]) for i in range(6)] + [(20, [1.0, 2.0, 3.0]), (40, [1.0]), (60, [2.0, 2.0]), (60, None), (80, [])]
+    found = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), lambda i: i % 20 == 0).collect()
+    assert {r["query_id"] for r in found} == {0, 60} and {r["vec_id"] for r in found} == {*range(6), 60}
+
+
 def test_every_query_gets_k(spark):
     x = np.random.default_rng(4).normal(size=(500, 8))
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
