@@ -2,24 +2,30 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
 def absorbed(cuts: list[int], height: int, least: int) -> list[int]:
-    """Inner cuts without those beside too thin panels: the first thin one joins its taller neighbour, upwards on ties, until none is left."""
-    cuts = sorted(cuts)
-    while cuts:
-        edges = [0, *cuts, height]
-        tall = [b - a for a, b in zip(edges, edges[1:])]
-        thin = next((k for k, t in enumerate(tall) if t < least), None)
-        if thin is None:
-            break
-        above = tall[thin - 1] if thin else -1
-        below = tall[thin + 1] if thin + 1 < len(tall) else -1
-        del cuts[thin - 1 if above >= below else thin]
-    return cuts
+    """Inner cuts without those beside too thin panels: the first thin one joins its taller neighbour, upwards on ties, until none is left.
+
+    One pass from the top: what is above is never thin, so a thin panel either ends there or grows downwards.
+    """
+    bottoms, top = [], 0
+    ahead = [*sorted(cuts), height]
+    for k, bottom in enumerate(ahead):
+        if bottom - top < least:
+            taller = top - (bottoms[-2] if len(bottoms) > 1 else 0) if bottoms else -1
+            if k + 1 < len(ahead) and ahead[k + 1] - bottom > taller:
+                continue  # the one below takes it in
+            if bottoms:
+                bottoms.pop()  # the one above does
+        bottoms.append(bottom)
+        top = bottom
+    return bottoms[:-1]
 
 
 def absorb_thin(strips: DataFrame, least: int) -> DataFrame:
@@ -34,16 +40,31 @@ def absorb_thin(strips: DataFrame, least: int) -> DataFrame:
     return strips.groupBy("strip").applyInPandas(one, f"strip {kind}, k int, y0 long, y1 long")
 
 
-def pieces(y0: int, y1: int, name: str, gutters: list[int], most: int) -> list[tuple[str, int, int]]:
-    """A panel split at the gutter nearest its middle while it is too tall and both sides stay balanced; never blindly."""
-    if y1 - y0 <= most:
-        return [(name, y0, y1)]
+def _place(y0: int, y1: int, gutters: list[int]) -> int | None:
+    """The gutter within (y0, y1) nearest to the middle, the upper one on ties, if both sides keep a quarter and 50 rows."""
     middle, side = (y0 + y1) // 2, max(50, (y1 - y0) // 4)
-    inner = [g for g in gutters if y0 < g < y1]
-    row = min(inner, key=lambda g: (abs(g - middle), g), default=None)
-    if row is None or not y0 + side <= row <= y1 - side:
-        return [(name, y0, y1)]
-    return pieces(y0, row, name + "a", gutters, most) + pieces(row, y1, name + "b", gutters, most)
+    k = bisect_left(gutters, middle)
+    near = [g for g in gutters[max(k - 1, 0) : k + 1] if y0 + side <= g <= y1 - side]
+    return min(near, key=lambda g: (abs(g - middle), g), default=None)
+
+
+def pieces(y0: int, y1: int, name: str, gutters: list[int], most: int) -> list[tuple[str, int, int]]:
+    """A panel split at the gutter nearest its middle while it is too tall and both sides stay balanced; never blindly.
+
+    Panels are halved level by level; a half's name has one more letter.
+    """
+    gutters = sorted(gutters)
+    done, level = [], [(name, y0, y1)]
+    while level:
+        halves = []
+        for label, a, b in level:
+            row = _place(a, b, gutters) if b - a > most else None
+            if row is None:
+                done.append((label, a, b))
+            else:
+                halves += [(label + "a", a, row), (label + "b", row, b)]
+        level = halves
+    return sorted(done, key=lambda p: p[1])
 
 
 def split_oversized(panels: DataFrame, gutters: DataFrame, most: int) -> DataFrame:

@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelframe.operators.intervals import runs
+from panelframe.operators.intervals import overlapping, runs
 
 # Thresholds of the blank score and its weights.
 WINDOW = 16
@@ -20,38 +20,88 @@ MERGE_GAP, MIN_SHARE, MIN_PIXELS, GUTTER_SHARE = 2, 0.04, 24, 0.10
 BLANK, SUSPICIOUS, CONTENT_FOREGROUND, CONTENT_SHARE, MAX_DRIFT = 0.90, 0.65, 0.05, 0.02, 10.0
 WHITE, DARK, COLOUR_GAP = 215, 25, 25
 
-ROW = "strip string, y int, mean double, variance double, edge double, mono double, level double, span double, foreground double, white double, dark double, saturated double, entropy double, flat boolean"
+# Weights of a row's neighbours in the 3 x 3 blur of sigma 0.5.
+BLUR = 0.5
+BINS = 64
+
+ROW = (
+    "strip string, y int, mean double, variance double, edge double, mono double, level double, span double, foreground double, white double, dark double, saturated double, "
+    "entropy double, flat boolean, plain_variance double, plain_edge double, spread double, histogram array<int>"
+)
+
+
+def _framed(plane: np.ndarray) -> np.ndarray:
+    """plane with one more row and column on each side, mirrored about the outermost ones."""
+    for axis in (0, 1):
+        pad = [(0, 0), (0, 0)]
+        pad[axis] = (1, 1)
+        plane = np.pad(plane, pad, "reflect" if plane.shape[axis] > 1 else "edge")
+    return plane
+
+
+def blurred(gray: np.ndarray, sigma: float = BLUR) -> np.ndarray:
+    """A 3 x 3 Gaussian blur, in whole grey levels."""
+    side = np.exp(-1 / (2 * sigma * sigma))
+    k = np.array([side, 1, side]) / (1 + 2 * side)
+    p = _framed(gray)
+    rows = k[0] * p[:-2] + k[1] * p[1:-1] + k[2] * p[2:]
+    return np.rint(k[0] * rows[:, :-2] + k[1] * rows[:, 1:-1] + k[2] * rows[:, 2:])
+
+
+def sobel_x(gray: np.ndarray) -> np.ndarray:
+    """Horizontal edges by the 3 x 3 Sobel kernel."""
+    p = _framed(gray)
+    down = p[:-2] + 2 * p[1:-1] + p[2:]
+    return down[:, 2:] - down[:, :-2]
+
+
+def entropy_of(counts: np.ndarray) -> np.ndarray:
+    """Bits, along the last axis of counts."""
+    share = counts / np.maximum(counts.sum(-1, keepdims=True), 1)
+    return -(share * np.log2(np.where(share > 0, share, 1))).sum(-1)
+
+
+def _spreads(colour: np.ndarray, size: int) -> np.ndarray:
+    """For each row, how far the pixels of its window lie from the window's median colour: the deviation of the distances."""
+    out = np.zeros(len(colour))
+    for y in range(0, len(colour), size):
+        block = colour[y : y + size].reshape(-1, colour.shape[-1])
+        out[y : y + size] = np.sqrt(((block - np.median(block, axis=0)) ** 2).sum(1)).std()
+    return out
 
 
 def row_metrics(images: DataFrame) -> DataFrame:
-    """A row of metrics for each pixel row of spark.read.format('image') rows; strip is the image's origin."""
+    """A row of metrics for each pixel row of spark.read.format('image') rows; strip is the image's origin.
 
-    def decode(batches):
+    variance and edge are those of the blurred grey levels, as the cuts need them; plain_variance and plain_edge
+    those of the levels themselves, as the blank score does. spread is that of the row's window of WINDOW rows.
+    """
+
+    def one(origin: str, px: np.ndarray):
         import pandas as pd
 
+        h, w, c = px.shape
+        colour = px[..., : min(c, 3)]
+        blue, green, red = (px[..., min(k, c - 1)] for k in range(3))
+        exact = 0.114 * blue + 0.587 * green + 0.299 * red
+        gray = np.rint(exact)
+        soft = blurred(gray)
+        level = np.median(gray, axis=1)
+        away = np.abs(gray - level[:, None])
+        bins = np.stack([np.bincount(r, minlength=BINS) for r in (gray // (256 // BINS)).astype(int)])
+        gap, span = colour.max(-1) - colour.min(-1), gray.max(1) - gray.min(1)
+        share = lambda hit: hit.mean(1)
+        columns = {
+            "strip": origin, "y": np.arange(h), "mean": exact.mean(1), "variance": soft.var(1), "edge": np.abs(sobel_x(soft)).mean(1), "mono": share(away <= 8), "level": level, "span": span,
+            "foreground": share(away > 28), "white": share(colour.min(-1) > WHITE), "dark": share(colour.max(-1) < DARK), "saturated": share(gap > COLOUR_GAP), "entropy": entropy_of(bins), "flat": span <= 12,
+            "plain_variance": gray.var(1), "plain_edge": np.abs(sobel_x(gray)).mean(1), "spread": _spreads(colour, WINDOW), "histogram": [*bins.astype(np.int32)],
+        }
+        return pd.DataFrame(columns)
+
+    def decode(batches):
         for pdf in batches:
-            out = []
             for origin, h, w, c, data in zip(pdf["origin"], pdf["height"], pdf["width"], pdf["nChannels"], pdf["data"]):
-                px = np.frombuffer(data, np.uint8).reshape(h, w, c).astype(np.float64)
-                blue, green, red = (px[..., min(k, c - 1)] for k in range(3))
-                gray = 0.114 * blue + 0.587 * green + 0.299 * red
-                level = np.median(gray, axis=1)
-                bins = np.stack([np.bincount(r, minlength=64) for r in np.minimum(gray // 4, 63).astype(int)]) / w
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    entropy = -np.nansum(np.where(bins > 0, bins * np.log2(bins), 0), axis=1)
-                spread = px[..., :3].max(-1) - px[..., :3].min(-1)
-                span = gray.max(1) - gray.min(1)
-                out.append(
-                    pd.DataFrame(
-                        {
-                            "strip": origin, "y": np.arange(h), "mean": gray.mean(1), "variance": gray.var(1), "edge": np.abs(np.diff(gray, axis=1)).mean(1) if w > 1 else 0.0,
-                            "mono": (np.abs(gray - level[:, None]) <= 8).mean(1), "level": level, "span": span, "foreground": (np.abs(gray - level[:, None]) > 28).mean(1),
-                            "white": (px[..., :3].min(-1) > WHITE).mean(1), "dark": (px[..., :3].max(-1) < DARK).mean(1), "saturated": (spread > COLOUR_GAP).mean(1), "entropy": entropy, "flat": span <= 12,
-                        }
-                    )
-                )
-            if out:
-                yield pd.concat(out)
+                yield one(origin, np.frombuffer(data, np.uint8).reshape(h, w, c).astype(np.float64))
 
     return images.select("image.origin", "image.height", "image.width", "image.nChannels", "image.data").mapInPandas(decode, ROW)
 
@@ -65,10 +115,34 @@ def background(rows: DataFrame, margin: int = 12) -> DataFrame:
     return r.groupBy("strip").agg(F.coalesce(end, common, F.mode(F.round("level"), deterministic=True)).alias("background"))
 
 
+def _entropy(counts: list[Column]) -> Column:
+    """Bits of a histogram given bin by bin."""
+    total = sum(counts[1:], counts[0])
+    term = lambda n: F.when(n > 0, -n / total * F.log2(n / total)).otherwise(0.0)
+    terms = [term(n) for n in counts]
+    return sum(terms[1:], terms[0])
+
+
+def _summed(histogram: Column) -> list[Column]:
+    """The sums of a group's histograms, bin by bin."""
+    return [F.coalesce(F.sum(F.get(histogram, F.lit(b))), F.lit(0)) for b in range(BINS)]
+
+
 def windows(rows: DataFrame, size: int = WINDOW) -> DataFrame:
-    """Means of the metrics over windows of rows."""
-    names = ["variance", "edge", "entropy", "saturated", "foreground", "mean"]
-    return rows.groupBy("strip", F.floor(F.col("y") / size).alias("w")).agg(*[F.avg(n).alias(n) for n in names])
+    """The signals of windows of rows: means, the entropy of the window's own histogram, and what a coarser look needs.
+
+    That are, of every second row, the mean level, the mean square and the histogram.  Rows that fill no
+    whole window are left out, unless there is no other window.
+    """
+    w = F.floor(F.col("y") / size).alias("w")
+    half = (F.col("y") % size) % 2 == 0
+    levels = {"variance": "plain_variance", "edge": "plain_edge", "spread": "spread", "foreground": "foreground", "mean": "mean"}
+    means = [F.avg(c).alias(n) for n, c in levels.items()]
+    coarse = F.array(*_summed(F.when(half, F.col("histogram"))))
+    square = F.avg(F.when(half, F.col("plain_variance") + F.col("mean") * F.col("mean")))
+    out = rows.groupBy("strip", w).agg(*means, F.array(*_summed(F.col("histogram"))).alias("_h"), F.avg(F.when(half, F.col("mean"))).alias("coarse_mean"), square.alias("coarse_square"), coarse.alias("coarse"), F.count(F.lit(1)).alias("_n"))
+    out = out.withColumn("entropy", _entropy([F.get("_h", F.lit(b)) for b in range(BINS)])).drop("_h")
+    return out.where((F.col("_n") == size) | (F.col("w") == 0)).drop("_n")
 
 
 def blank_score(variance: Column, edge: Column, entropy: Column, spread: Column, foreground: Column) -> Column:
@@ -78,28 +152,49 @@ def blank_score(variance: Column, edge: Column, entropy: Column, spread: Column,
     return sum((F.lit(w) * under(v, t) for w, (v, t) in zip(WEIGHTS, signals)), F.lit(0.0))
 
 
-def blank_regions(windowed: DataFrame, heights: DataFrame, size: int = WINDOW) -> DataFrame:
-    """(strip, y0, y1, score, verdict): runs of empty windows, up to MERGE_GAP noisy ones within, tall enough and no gutters.
+# Presets of (least share of the height, score of a blank, foreground that counts as content).
+PRESETS = {"low": (0.08, 0.95, 0.03), "conservative": (MIN_SHARE, BLANK, CONTENT_FOREGROUND), "high": (0.025, 0.82, 0.07)}
+
+
+def blank_regions(windowed: DataFrame, heights: DataFrame, size: int = WINDOW, preset: str = "conservative") -> DataFrame:
+    """(strip, y0, y1, score, verdict, reasons): runs of empty windows, up to MERGE_GAP noisy ones within, tall enough and no gutters.
 
-    The last run ends at the last window if the noisy windows after it are within the gap.
+    The last run ends at the last window if the noisy windows after it are within the gap.  A run that shows
+    structure in every second row taken together, as a change from window to window does, has half its score.
     """
+    least_share, least_score, least_content = PRESETS[preset]
     empty = (F.col("variance") <= MAX_VARIANCE) & (F.col("edge") <= MAX_EDGE) & (F.col("entropy") <= MAX_ENTROPY)
     w = Window.partitionBy("strip").orderBy("w")
     on = windowed.withColumn("_last", F.max("w").over(Window.partitionBy("strip"))).where(empty)
     started = F.coalesce((F.col("w") - F.lag("w").over(w) > MERGE_GAP + 1).cast("int"), F.lit(1))
     spans = on.withColumn("_new", started).withColumn("run", F.sum("_new").over(w)).groupBy("strip", "run").agg(F.min("w").alias("w0"), F.max("w").alias("_end"), F.first("_last").alias("_last"))
     spans = spans.withColumn("w1", F.when(F.col("_last") - F.col("_end") <= MERGE_GAP, F.col("_last")).otherwise(F.col("_end")))
-    rows = spans.join(windowed, "strip").where("w between w0 and w1")
+    # Runs and windows of a strip meet by cells of windows.
+    near = overlapping(spans.withColumn("_r1", F.col("w1") + 1), windowed.withColumn("_w1", F.col("w") + 1), "strip", ("w0", "_r1"), ("w", "_w1"))
     mean = lambda c: F.avg(c).alias(c)
-    agg = rows.groupBy("strip", "w0", "w1").agg(*map(mean, ["variance", "edge", "entropy", "saturated", "foreground"]), (F.max("mean") - F.min("mean")).alias("drift"), F.avg((F.col("foreground") >= CONTENT_FOREGROUND).cast("double")).alias("content"))
+    coarse = F.array(*_summed(F.col("coarse")))
+    agg = near.groupBy("strip", "w0", "w1").agg(
+        *map(mean, ["variance", "edge", "entropy", "spread", "foreground", "coarse_mean", "coarse_square"]), coarse.alias("_h"), (F.max("mean") - F.min("mean")).alias("drift"), F.avg((F.col("foreground") >= least_content).cast("double")).alias("content")
+    )
     r = agg.join(heights, "strip").withColumn("y0", F.col("w0") * size).withColumn("y1", F.least((F.col("w1") + 1) * size, F.col("height")))
     tall = F.col("y1") - F.col("y0")
-    r = r.where(tall >= F.greatest(F.lit(MIN_PIXELS), (F.col("height") * MIN_SHARE).cast("int")))
-    r = r.withColumn("score", blank_score(F.col("variance"), F.col("edge"), F.col("entropy"), F.col("saturated"), F.col("foreground")))
-    blank = (F.col("score") >= BLANK) & (F.col("content") < CONTENT_SHARE) & (F.col("drift") <= MAX_DRIFT)
+    least_tall = F.greatest(F.lit(MIN_PIXELS), (F.col("height") * least_share).cast("int"))
+    r = r.where(tall >= least_tall)
+    plain = blank_score(F.col("variance"), F.col("edge"), F.col("entropy"), F.col("spread"), F.col("foreground"))
+    structure = (F.col("coarse_square") - F.col("coarse_mean") * F.col("coarse_mean") > 2 * MAX_VARIANCE) | (_entropy([F.get("_h", F.lit(b)) for b in range(BINS)]) > MAX_ENTROPY)
+    r = r.withColumn("_plain", plain).withColumn("_veto", (F.col("_plain") >= SUSPICIOUS) & structure)
+    r = r.withColumn("score", F.when(F.col("_veto"), F.col("_plain") / 2).otherwise(F.col("_plain")))
+    blank = (F.col("score") >= least_score) & (F.col("content") < CONTENT_SHARE) & (F.col("drift") <= MAX_DRIFT)
     r = r.withColumn("verdict", F.when(blank, "blank").when(F.col("score") >= SUSPICIOUS, "suspicious").otherwise("normal"))
+    said = [
+        (F.col("variance") <= MAX_VARIANCE, F.lit("low variance")), (F.col("edge") <= MAX_EDGE, F.lit("low edge density")), (F.col("entropy") <= MAX_ENTROPY, F.lit("low entropy")),
+        (F.col("spread") <= MAX_SPREAD, F.lit("low colour spread")), (F.col("foreground") < MIN_FOREGROUND, F.lit("low foreground occupancy")),
+        (F.col("content") >= CONTENT_SHARE, F.lit("sparse content")), (F.col("_veto"), F.lit("structure at coarse scale")),
+        (F.col("verdict") == "blank", F.format_string("height %d of at least %d", tall.cast("int"), least_tall)), (F.col("drift") > MAX_DRIFT, F.lit("row means drift")),
+    ]
+    r = r.withColumn("reasons", F.array_compact(F.array(*[F.when(c, text) for c, text in said])))
     gutter = tall <= (F.col("height") * GUTTER_SHARE).cast("int")
-    return r.where((F.col("verdict") != "normal") & ~((F.col("verdict") == "blank") & gutter)).select("strip", F.col("y0").cast("long"), F.col("y1").cast("long"), F.round("score", 3).alias("score"), "verdict")
+    return r.where((F.col("verdict") != "normal") & ~((F.col("verdict") == "blank") & gutter)).select("strip", F.col("y0").cast("long"), F.col("y1").cast("long"), F.round("score", 3).alias("score"), "verdict", "reasons")
 
 
 def trimmed(rows: DataFrame, most: float = 0.25, keep: int = 64, least: int = 8) -> DataFrame:

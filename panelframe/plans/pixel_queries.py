@@ -18,11 +18,12 @@ def metrics(spark, folder):
     v = F.col("value")
     return table(spark, folder, "events").select(
         F.col("user_id").alias("strip"), (F.row_number().over(w) - 1).cast("int").alias("y"), (v % 24).alias("variance"), (v % 12).alias("edge"), (v % 5).alias("entropy"), (v % 28).alias("saturated"),
+        (v % 12).alias("plain_edge"), (v % 24).alias("plain_variance"), (v % 28).alias("spread"), F.transform(F.sequence(F.lit(0), F.lit(63)), lambda b: (b == F.floor(v) % 64).cast("int") * 10).alias("histogram"),
         (v % 3 / 100).alias("foreground"), (v % 9 + 100).alias("mean"), F.round(v).alias("level"), (v < 30).alias("flat"), F.when(v < 60, 0.95).otherwise(0.4).alias("mono"), (v % 7 / 7).alias("white"), (v % 11 / 11).alias("dark"),
     )
 
 
-_M = """m AS (SELECT user_id AS strip, (row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1)::INTEGER AS y, value % 24 AS variance, value % 12 AS edge, value % 5 AS entropy, value % 28 AS saturated, value % 3 / 100 AS foreground, value % 9 + 100 AS mean,
+_M = """m AS (SELECT user_id AS strip, (row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1)::INTEGER AS y, value % 24 AS variance, value % 12 AS edge, value % 5 AS entropy, value % 28 AS saturated, value % 28 AS spread, floor(value)::BIGINT % 64 AS bin, value % 3 / 100 AS foreground, value % 9 + 100 AS mean,
   round(value) AS level, value < 30 AS flat, CASE WHEN value < 60 THEN 0.95 ELSE 0.4 END AS mono, value % 7 / 7 AS white, value % 11 / 11 AS dark FROM events)"""
 
 
@@ -32,9 +33,11 @@ def c03_background(spark, folder):
     return P.background(metrics(spark, folder))
 
 
-@query(f"WITH {_M} SELECT strip, (y // 4)::BIGINT AS w, round(avg(variance), 6) AS variance, round(avg(edge), 6) AS edge, round(avg(entropy), 6) AS entropy, round(avg(mean), 6) AS mean FROM m GROUP BY ALL")
+@query(f"""WITH {_M}, b AS (SELECT strip, y // 4 AS w, bin, count(*) AS n FROM m GROUP BY ALL), e AS (SELECT strip, w, sum(-n / t * log2(n / t)) AS entropy FROM (SELECT *, sum(n) OVER (PARTITION BY strip, w)::DOUBLE AS t FROM b) GROUP BY ALL)
+SELECT strip, w, round(avg(variance), 6) AS variance, round(avg(edge), 6) AS edge, round(any_value(e.entropy), 6) AS entropy, round(avg(spread), 6) AS spread, round(avg(mean), 6) AS mean,
+  round(avg(variance + mean * mean) FILTER (y % 2 = 0), 6) AS coarse_square FROM (SELECT *, (y // 4)::BIGINT AS w FROM m) JOIN e USING (strip, w) GROUP BY strip, w HAVING count(*) = 4 OR w = 0""")
 def c11_windows(spark, folder):
-    return P.windows(metrics(spark, folder), 4).select("strip", "w", *[F.round(c, 6).alias(c) for c in ("variance", "edge", "entropy", "mean")])
+    return P.windows(metrics(spark, folder), 4).select("strip", "w", *[F.round(c, 6).alias(c) for c in ("variance", "edge", "entropy", "spread", "mean", "coarse_square")])
 
 
 _UNDER = lambda v, t: f"least(greatest(1.0 - {v} / {t}, 0.0), 1.0)"
@@ -48,16 +51,23 @@ def b24_blank_score(spark, folder):
     return table(spark, folder, "embeddings").select("vec_id", F.round(score, 6).alias("score"))
 
 
-@query(f"""WITH {_M}, w AS (SELECT strip, y AS w, variance * 0.7 AS variance, edge * 0.7 AS edge, entropy * 0.6 AS entropy, saturated, foreground, mean FROM m),
+@query(f"""WITH {_M}, w AS (SELECT strip, y AS w, variance * 0.7 AS variance, edge * 0.7 AS edge, entropy * 0.6 AS entropy, saturated AS spread, foreground, mean, variance * 0.7 + mean * mean AS square, (bin > 24)::INT AS c0, bin % 3 AS c1 FROM m),
   o AS (SELECT *, w - lag(w) OVER (PARTITION BY strip ORDER BY w) AS d FROM w WHERE variance <= 12 AND edge <= 6 AND entropy <= 2.2), r AS (SELECT *, sum(CASE WHEN d IS NULL OR d > 3 THEN 1 ELSE 0 END) OVER (PARTITION BY strip ORDER BY w) AS run FROM o),
   l AS (SELECT strip, max(w) AS last, (max(w) + 1) * 16 AS height FROM w GROUP BY strip), s AS (SELECT r.strip, min(w) AS w0, CASE WHEN any_value(last) - max(w) <= 2 THEN any_value(last) ELSE max(w) END AS w1, any_value(height) AS height FROM r JOIN l USING (strip) GROUP BY r.strip, run),
-  a AS (SELECT s.strip, w0, w1, any_value(height) AS height, avg(variance) AS v, avg(edge) AS e, avg(entropy) AS n, avg(saturated) AS sa, avg(foreground) AS f, max(mean) - min(mean) AS drift, avg((foreground >= 0.05)::INT) AS content FROM s JOIN w ON w.strip = s.strip AND w.w BETWEEN w0 AND w1 GROUP BY s.strip, w0, w1),
-  b AS (SELECT *, w0 * 16 AS y0, least((w1 + 1) * 16, height) AS y1, {_SCORE('v', 'e', 'n', 'sa', 'f')} AS score FROM a), c AS (SELECT *, CASE WHEN score >= 0.90 AND content < 0.02 AND drift <= 10 THEN 'blank' WHEN score >= 0.65 THEN 'suspicious' ELSE 'normal' END AS verdict FROM b WHERE y1 - y0 >= greatest(24, (height * 0.04)::DOUBLE - 0.5))
+  a AS (SELECT s.strip, w0, w1, any_value(height) AS height, avg(variance) AS v, avg(edge) AS e, avg(entropy) AS n, avg(spread) AS sa, avg(foreground) AS f, max(mean) - min(mean) AS drift, avg((foreground >= 0.05)::INT) AS content,
+    avg(square) - avg(mean) * avg(mean) AS v2, sum(c0)::DOUBLE AS c0, sum(c1)::DOUBLE AS c1 FROM s JOIN w ON w.strip = s.strip AND w.w BETWEEN w0 AND w1 GROUP BY s.strip, w0, w1),
+  b AS (SELECT *, w0 * 16 AS y0, least((w1 + 1) * 16, height) AS y1, {_SCORE('v', 'e', 'n', 'sa', 'f')} AS whole, CASE WHEN c0 > 0 THEN -c0 / (c0 + c1) * log2(c0 / (c0 + c1)) ELSE 0 END + CASE WHEN c1 > 0 THEN -c1 / (c0 + c1) * log2(c1 / (c0 + c1)) ELSE 0 END AS n2 FROM a),
+  h AS (SELECT *, CASE WHEN whole >= 0.65 AND (v2 > 24 OR n2 > 2.2) THEN whole / 2 ELSE whole END AS score FROM b),
+  c AS (SELECT *, CASE WHEN score >= 0.90 AND content < 0.02 AND drift <= 10 THEN 'blank' WHEN score >= 0.65 THEN 'suspicious' ELSE 'normal' END AS verdict FROM h WHERE y1 - y0 >= greatest(24, (height * 0.04)::DOUBLE - 0.5))
 SELECT strip, y0::BIGINT AS y0, y1::BIGINT AS y1, round(score, 3) AS score, verdict FROM c WHERE verdict <> 'normal' AND NOT (verdict = 'blank' AND y1 - y0 <= trunc(height * 0.10))""")
 def c13_blank_regions(spark, folder):
     rows = metrics(spark, folder)
-    w = rows.select("strip", F.col("y").alias("w"), (F.col("variance") * 0.7).alias("variance"), (F.col("edge") * 0.7).alias("edge"), (F.col("entropy") * 0.6).alias("entropy"), "saturated", "foreground", "mean")
-    return P.blank_regions(w, w.groupBy("strip").agg(((F.max("w") + 1) * 16).alias("height")))
+    bin_ = F.array_position("histogram", 10) - 1
+    w = rows.select(
+        "strip", F.col("y").alias("w"), (F.col("variance") * 0.7).alias("variance"), (F.col("edge") * 0.7).alias("edge"), (F.col("entropy") * 0.6).alias("entropy"), "spread", "foreground", "mean",
+        F.col("mean").alias("coarse_mean"), (F.col("variance") * 0.7 + F.col("mean") * F.col("mean")).alias("coarse_square"), F.array((bin_ > 24).cast("long"), bin_ % 3).alias("coarse"),
+    )
+    return P.blank_regions(w, w.groupBy("strip").agg(((F.max("w") + 1) * 16).alias("height"))).drop("reasons")
 
 
 @query(f"""WITH {_M}, c AS (SELECT strip, y0, y0 + 7 AS y1 FROM (SELECT DISTINCT strip, y - y % 9 AS y0 FROM m) )

@@ -67,7 +67,7 @@ def a06_image_kind(spark, folder):
     return table(spark, folder, "pages").select("page_id", W.image_kind(head, kind, url).alias("kind"))
 
 
-@query("""SELECT page_id, array_to_string(list_transform(regexp_extract_all(lower(url), '\\d+|\\D+'), lambda p: CASE WHEN regexp_matches(p, '^\\d') THEN lpad(p, 20, '0') ELSE p END), '') AS key FROM pages""")
+@query("""SELECT page_id, array_to_string(list_transform(regexp_extract_all(lower(url), '\\d+|\\D+'), lambda p: CASE WHEN regexp_matches(p, '^\\d') THEN lpad(length(regexp_replace(p, '^0+(.)', '\\1'))::VARCHAR, 10, '0') || regexp_replace(p, '^0+(.)', '\\1') ELSE p END), '') AS key FROM pages""")
 def b28_natural_key(spark, folder):
     return table(spark, folder, "pages").select("page_id", W.natural_key(F.col("url")).alias("key"))
 

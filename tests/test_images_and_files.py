@@ -41,10 +41,54 @@ def test_row_metrics(rows):
     assert abs(red["mean"] - 0.299 * 200) < 1e-9 and red["saturated"] == 1.0  # channels come as blue, green, red
 
 
+def test_blur_and_edges_by_hand():
+    step = np.array([[0.0, 0, 0, 100, 100, 100]] * 4)
+    assert P.sobel_x(step).tolist() == [[0, 0, 400, 400, 0, 0]] * 4  # (1 + 2 + 1) times the step on both its sides
+    dot = np.zeros((5, 5))
+    dot[2, 2] = 200
+    side, middle = np.exp(-2) / (1 + 2 * np.exp(-2)), 1 / (1 + 2 * np.exp(-2))
+    soft = P.blurred(dot)
+    assert soft[2, 2] == round(200 * middle * middle) and soft[1, 2] == soft[2, 3] == round(200 * side * middle) and soft[1, 1] == round(200 * side * side) and soft[0].sum() == 0
+    assert P.sobel_x(np.array([[1.0, 2, 4]])).tolist() == [[0, 12, 0]]  # one row stands for its neighbours, the ends are mirrored
+    assert P.entropy_of(np.array([[4, 4, 0], [8, 0, 0]])).tolist() == [1.0, 0.0]
+
+
+def test_window_signals(spark, tmp_path):
+    """A window's entropy and colour spread are those of all its pixels, not of its rows."""
+    px = np.zeros((32, 10, 3))
+    px[:16] = 128
+    px[1:16:2] = 32  # rows of one level each, in turns
+    px[16:, :5], px[16:, 5:] = (90, 60, 60), (60, 60, 90)
+    write_png(tmp_path / "w.png", px)
+    rows = P.row_metrics(spark.read.format("image").load(f"file://{tmp_path}"))
+    assert rows.agg(F.max("entropy")).first()[0] == 1.0 and rows.where("y < 16").agg(F.max("entropy")).first()[0] == 0.0
+    first, second = P.windows(rows).orderBy("w").collect()
+    assert first["entropy"] == 1.0 and first["variance"] == 0.0 and first["coarse_mean"] == 128.0 and first["coarse_square"] == 128.0**2
+    gray = px[16:] @ [0.299, 0.587, 0.114]
+    block = px[16:].reshape(-1, 3)
+    assert abs(second["spread"] - np.sqrt(((block - np.median(block, 0)) ** 2).sum(1)).std()) < 1e-9
+    assert abs(second["mean"] - gray.mean()) < 1e-9
+
+
+def test_a_fade_and_stripes_are_no_blank(spark, tmp_path):
+    fade = np.repeat(np.linspace(40, 220, 640)[:, None, None], 40, 1).repeat(3, 2)
+    stripes = np.full((640, 40, 3), 200)
+    stripes[(np.arange(640) // 16) % 2 == 1] = 190
+    flat = np.full((640, 40, 3), 240)
+    for name, px in {"fade": fade, "stripes": stripes, "flat": flat}.items():
+        write_png(tmp_path / f"{name}.png", px)
+    rows = P.row_metrics(spark.read.format("image").load(f"file://{tmp_path}")).withColumn("strip", F.element_at(F.split("strip", "/"), -1))
+    got = {r["strip"]: r for r in P.blank_regions(P.windows(rows), rows.groupBy("strip").agg((F.max("y") + 1).alias("height"))).collect()}
+    assert got["flat.png"]["verdict"] == "blank" and got["flat.png"]["score"] == 1.0 and "low entropy" in got["flat.png"]["reasons"]
+    # The fade's levels vary at a coarse look by far more than 24, the stripes' by 25.
+    assert "fade.png" not in got and "stripes.png" not in got
+
+
 def test_margins_background_and_bands(rows):
     assert [tuple(r) for r in P.trimmed(rows).orderBy("strip").collect()] == [("art.png", 100, 300), ("red.png", 0, 60)]
     assert {r["strip"]: round(r["background"]) for r in P.background(rows).collect()} == {"art.png": 255, "red.png": 60}
-    assert [tuple(r) for r in P.text_band(rows).collect()] == [("art.png", 100, 299)]
+    # The edge kernel reaches one row beyond the art.
+    assert [tuple(r) for r in P.text_band(rows).collect()] == [("art.png", 99, 300)]
     assert sorted((r["lo"], r["hi"]) for r in P.gutter_rows(rows).where("strip = 'art.png'").collect()) == [(0, 99), (300, 399)]
 
 
