@@ -102,22 +102,33 @@ def clean_text(narration: Column, dialogue: Column) -> Column:
     return F.struct(strip_non_latin(narration).alias("narration"), bubbles["kept"].alias("dialogue"), bubbles["dropped"].alias("dropped"))
 
 
+def _hoisted(pattern: str) -> str:
+    """An alternation whose branches all begin at a word's boundary, with that looked for once."""
+    return pattern.replace(r"(?:\b", r"\b(?:", 1).replace(r"|\b", "|")
+
+
+# What every domain name has, which is found faster than the name.
+_ENDING = r"(?iu)\." + DOMAIN[DOMAIN.index("(?:") : DOMAIN.rindex(")") + 1]
+_DOMAIN, _PROMO, _CALL_TO_ACTION = ANY_CASE + DOMAIN, ANY_CASE + _hoisted(PROMO), ANY_CASE + _hoisted(CALL_TO_ACTION)
+
+
 def promo_reason(c: Column) -> Column:
     """The first domain name, else the first promo wording; null for a story text."""
-    found = lambda p: F.nullif(F.regexp_extract(text(c), f"{ANY_CASE}({p})", 1), F.lit(""))
-    return strip(F.coalesce(found(DOMAIN), found(PROMO)))
+    found = lambda t, p: let(F.regexp_extract(t, p, 0), lambda x: F.when(x != "", x))
+    return let(text(c), lambda t: strip(F.coalesce(F.when(t.rlike(_ENDING), found(t, _DOMAIN)), found(t, _PROMO))))
 
 
 def is_promo(c: Column) -> Column:
-    return text(c).rlike(ANY_CASE + DOMAIN) | text(c).rlike(ANY_CASE + PROMO)
+    """Whether promo_reason() gives one."""
+    return let(text(c), lambda t: (t.rlike(_ENDING) & t.rlike(_DOMAIN)) | t.rlike(_PROMO))
 
 
 def strip_promo(c: Column) -> Column:
     """Domains go before bare names, or a removed name would leave its suffix behind."""
-    c = text(c)
-    for p in (DOMAIN, PROMO, CALL_TO_ACTION):
-        c = F.regexp_replace(c, ANY_CASE + p, " ")
-    return tidy(c)
+    without = let(text(c), lambda t: F.when(t.rlike(_ENDING), F.regexp_replace(t, _DOMAIN, " ")).otherwise(t))
+    for p in (_PROMO, _CALL_TO_ACTION):
+        without = F.regexp_replace(without, p, " ")
+    return tidy(without)
 
 
 def is_non_lexical(c: Column) -> Column:
@@ -139,6 +150,12 @@ def speech_seconds(c: Column, wpm: int = 140) -> Column:
     return F.when(strip(text(c)) == "", 0.0).otherwise(word_count(c) / F.lit(wpm) * 60.0)
 
 
+def _leading(words: int, then: str = "") -> str:
+    """A pattern of a text's beginning with so many words in the sense of word_count(), and what follows."""
+    other = WORD.replace("[", "[^", 1).replace("]+", CJK[1:-1] + "]*+")
+    return rf"(?s)^(?:{other}(?:{WORD}+|{CJK})){{{words}}}+{then}"
+
+
 def fit_speech(c: Column, wpm: int = 140, target: float = 4.0, most: float = 4.6, hold: float = 12.0) -> Column:
     """Leading whole sentences within a word budget; a run-on past the holding time is cut at words."""
     budget = lambda s: max(1, int(s * wpm / 60))
@@ -160,7 +177,9 @@ def fit_speech(c: Column, wpm: int = 140, target: float = 4.0, most: float = 4.6
         short = let(F.aggregate(sentences, start, step), lambda f: normalise(F.when(f["words"] > hold_words, cut(f["kept"])).otherwise(f["kept"])))
         return let(short, lambda t: F.when(is_non_lexical(t), "").otherwise(t))
 
-    return let(text(c), lambda t: F.when((strip(t) == "") | (word_count(t) <= hold_words), t).otherwise(trimmed(t)))
+    # The fold ends at the first end of a sentence that has enough words before it: no more of a text is looked at.
+    enough = _leading(target_words, rf".*?(?:{TERMINAL}(?={SPACE})|$)")
+    return let(text(c), lambda t: F.when(t.rlike(_leading(hold_words + 1)), trimmed(F.regexp_extract(t, enough, 0))).otherwise(t))
 
 
 def tokens(c: Column) -> Column:

@@ -46,7 +46,7 @@ _FOUND = lambda p: f"nullif(regexp_extract({_HELD}, {p}), '')"
 
 @query(f"SELECT doc_id, {S.strip(f'coalesce({_FOUND(S.DOMAIN)}, {_FOUND(S.PROMO)})')} AS reason, regexp_matches({_HELD}, {S.DOMAIN}) OR regexp_matches({_HELD}, {S.PROMO}) AS is_promo FROM documents")
 def b05_promo_reason(spark, folder):
-    return table(spark, folder, "documents").select("doc_id", X.promo_reason(F.col("text")).alias("reason"), X.is_promo(F.col("text")).alias("is_promo"))
+    return table(spark, folder, "documents").select("doc_id", X.promo_reason(F.col("text")).alias("reason")).withColumn("is_promo", F.col("reason").isNotNull())
 
 
 _CLEAN = _HELD
