@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelframe.llm.common import Memo, slices, typed
+from panelframe.llm.common import Memo, map_batches, slices, typed
 from panelframe.llm.pretokens import MEMO_ENTRIES, PRETOKEN, Words, tokenizer_path, vocabulary
 
 
@@ -167,4 +167,4 @@ def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             decoded = pa.array([c.decode(x).decode("utf-8", "replace") for x in found], pa.string())
             yield pa.RecordBatch.from_arrays([batch.column(0), ids, decoded], schema=arrow)
 
-    return docs.select(F.col(f"`{id_col}`").alias("i"), F.col(f"`{text_col}`").alias("t")).mapInArrow(batches, out)
+    return map_batches(docs.select(F.col(f"`{id_col}`").alias("i"), F.col(f"`{text_col}`").alias("t")), batches, out)

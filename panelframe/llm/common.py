@@ -87,10 +87,26 @@ def slices(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     give_back()
 
 
+# Bytes of a batch that goes to a Python worker; one larger row is a batch of its own.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches() -> None:
+    """From now on the session's batches for Python workers are bounded in bytes: what the JVM, the worker and the
+    pipe between them hold does not grow with the texts."""
+    SparkSession.active().conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
+def map_batches(df: DataFrame, function: Callable, schema) -> DataFrame:
+    small_batches()
+    return df.mapInArrow(function, schema)
+
+
 def text_column(column, out: T.DataType, values: Callable[[list], list]) -> F.Column:
     """A column of values(texts) -> as many values, null texts among them; texts are taken in slices."""
     from pyspark.sql.pandas.types import to_arrow_type
 
+    small_batches()
     arrow = to_arrow_type(out)
 
     @F.arrow_udf(out)
@@ -130,7 +146,7 @@ def map_rows(df: DataFrame, columns: dict[str, str], out: T.StructType, rows: Ca
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*made), arrow)], schema=arrow)
 
     narrow = df.select(*[F.col(f"`{c}`").alias(n) for n, c in columns.items()])
-    return narrow.mapInArrow(batches, out)
+    return map_batches(narrow, batches, out)
 
 
 def typed(df: DataFrame, column: str, name: str | None = None) -> T.StructField:

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelframe.llm import shingles
-from panelframe.llm.common import cut, give_back, typed, written
+from panelframe.llm.common import cut, give_back, map_batches, small_batches, typed, written
 from panelframe.llm.components import components
 from panelframe.llm.shingles import P1, mix
 
@@ -79,7 +79,7 @@ def _named(docs: DataFrame, n: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0).cast(arrow.field(0).type), pa.array([len(s) for s in found], pa.int64()), *map(pa.array, shingles.names(found))], schema=arrow)
         give_back()
 
-    return docs.select("_id", "_text").mapInArrow(batches, out)
+    return map_batches(docs.select("_id", "_text"), batches, out)
 
 
 def deal(nodes: np.ndarray, sets: list[np.ndarray], buckets: int, short: bool):
@@ -216,10 +216,10 @@ def _alive(docs: DataFrame, nodes: DataFrame, n: int, percent: int, buckets: int
                 yield _batch(["one", "shared"], [node[k : k + 100_000], count[k : k + 100_000].astype(np.int64)])
         give_back()
 
-    dealt = docs.select("_text").mapInArrow(batches, _DEALT)
+    dealt = map_batches(docs.select("_text"), batches, _DEALT)
     # Bucket -1 is dealt over all tasks.
     dealt = dealt.repartition(buckets, F.when(F.col("bucket") < 0, -F.pmod(F.xxhash64("nodes"), F.lit(1 << 20)) - 1).otherwise(F.col("bucket"))).sortWithinPartitions("bucket")
-    shared = dealt.mapInArrow(credits, "one long, shared long").groupBy("one").agg(F.sum("shared").alias("shared"))
+    shared = map_batches(dealt, credits, "one long, shared long").groupBy("one").agg(F.sum("shared").alias("shared"))
     size = F.col("size")
     least = F.ceil(F.lit(percent) * size / F.lit(100))
     return nodes.where("size > 1").join(shared, "one").where(F.col("shared") >= F.least(F.floor(size / EXTRA) + 1, least)).drop("shared")
@@ -257,7 +257,7 @@ def _sets(docs: DataFrame, alive: DataFrame, n: int) -> DataFrame:
         give_back()
 
     read = docs.select("_text", F.when(F.col("_id").isNotNull(), id_bit(F.col("_id"))).alias("bit"))
-    found = read.mapInArrow(batches, "one long, two long, tokens binary").join(alive.select("one", "two", "node", "size"), ["one", "two"])
+    found = map_batches(read, batches, "one long, two long, tokens binary").join(alive.select("one", "two", "node", "size"), ["one", "two"])
     # Equal sets of several documents may come several times.
     return found.groupBy("node").agg(F.first("size").alias("size"), F.first("tokens").alias("tokens"))
 
@@ -307,9 +307,9 @@ def _shared(sets: DataFrame, percent: int, buckets: int) -> tuple[DataFrame, Dat
                     yield _batch(["node", "tokens", "holders"], [t, pa.nulls(len(t), pa.binary()), total[k : k + 100_000]])
         give_back()
 
-    dealt = sets.select("node", "tokens").mapInArrow(batches, _DEALT)
+    dealt = map_batches(sets.select("node", "tokens"), batches, _DEALT)
     dealt = dealt.repartition(buckets, F.when(F.col("bucket") < 0, -F.pmod(F.xxhash64("nodes"), F.lit(1 << 20)) - 1).otherwise(F.col("bucket"))).sortWithinPartitions("bucket")
-    found = written(dealt.mapInArrow(tokens, "node long, tokens binary, holders long"), "shared-shingles")
+    found = written(map_batches(dealt, tokens, "node long, tokens binary, holders long"), "shared-shingles")
     each = found.where("holders is null").groupBy("node").agg(F.collect_list("tokens").alias("parts"))
     size, held = F.col("size"), F.floor(F.aggregate("parts", F.lit(0), lambda s, x: s + F.octet_length(x)) / 8)
     kept = sets.select("node", "size").join(each, "node").where(F.ceil(F.lit(percent) * size / F.lit(100)) <= held)
@@ -322,7 +322,7 @@ def _shared(sets: DataFrame, percent: int, buckets: int) -> tuple[DataFrame, Dat
                 yield _batch(["node", "size", "tokens"], [part.column(0), part.column(1), pa.array(together, pa.binary())])
         give_back()
 
-    return written(kept.mapInArrow(joined, "node long, size long, tokens binary"), "sets"), found.where("holders is not null").select(F.col("node").alias("token"), "holders")
+    return written(map_batches(kept, joined, "node long, size long, tokens binary"), "sets"), found.where("holders is not null").select(F.col("node").alias("token"), "holders")
 
 
 def _frequent(spark, counted: DataFrame):
@@ -390,7 +390,7 @@ def _keys(sets: DataFrame, percent: int, boundary: int, frequent) -> DataFrame:
                         yield _batch(["token", "node", "size", "most", "share"], [whole[k : k + 200_000], *(c[k : k + 200_000] for c in columns)])
         give_back()
 
-    return sets.select("node", "size", "tokens").mapInArrow(batches, "token long, node long, size long, most long, share double")
+    return map_batches(sets.select("node", "size", "tokens"), batches, "token long, node long, size long, most long, share double")
 
 
 def _overlap(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -408,6 +408,7 @@ def _overlap(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             rest.append(x[~same].tobytes())
         return pd.DataFrame({"shared": pd.Series(shared, dtype="int64"), "rest": pd.Series(rest, dtype=object)})
 
+    small_batches()
     first, second = (sets.select(F.col("node").alias(c), F.col("tokens").alias(f"set_{c}")) for c in "ab")
     columns = [F.col(c) for c in pairs.columns]
     return pairs.join(first, "a").join(second, "b").select(*columns, compared("set_a", "set_b").alias("_c")).select(*columns, "_c.shared", "_c.rest")
@@ -463,7 +464,7 @@ def _outside(stars: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     hubs = loose.where("loose").select("hub").distinct()
     open_ = written(loose.join(hubs, "hub", "left_semi").select("node", "size", "most", "label", "hub", "held", "loose"), "open-nodes")
     rest = stars.select(F.col("a").alias("node"), "rest").join(open_.select("node"), "node", "left_semi")
-    entries = rest.mapInArrow(tokens, "node long, token long").join(open_, "node")
+    entries = map_batches(rest, tokens, "node long, token long").join(open_, "node")
     # The hub's number goes into the key: shingles meet within one hub's nodes only.
     entries = written(entries.withColumn("token", F.xxhash64("hub", "token")), "outside")
     met = _side(entries.where("loose"), "x", _ENTRY).join(_side(entries, "y", _ENTRY), "token").where(f"{_MAY} and hub_x = hub_y").where(F.least("held_x", "held_y") < _needed("size_x", "size_y", percent))
@@ -560,26 +561,25 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
     going = rows.where("n > 1").select("_id").union(rows.join(keepers, ["_id", "one", "two"], "left_anti").select("_id"))
     packed = presence(spark, going.select(F.col("_id").alias("rep")))
 
-    @F.pandas_udf("boolean")
-    def maybe(bits):
-        import pandas as pd
-
-        return pd.Series(_marked(pa.Array.from_pandas(bits), packed.value))
+    small_batches()
 
-    @F.pandas_udf("struct<maybe:boolean,one:bigint,two:bigint>")
-    def look(bits, texts):
-        import pandas as pd
+    @F.arrow_udf("boolean")
+    def maybe(bits: pa.Array) -> pa.Array:
+        return pa.array(_marked(bits, packed.value))
 
-        hit = _marked(pa.Array.from_pandas(bits), packed.value)
+    @F.arrow_udf("struct<maybe:boolean,one:bigint,two:bigint>")
+    def look(bits: pa.Array, texts: pa.Array) -> pa.Array:
+        hit = _marked(bits, packed.value)
         one, two = np.zeros(len(hit), np.int64), np.zeros(len(hit), np.int64)
         at = np.flatnonzero(hit)
-        batch = pa.RecordBatch.from_arrays([pa.array(texts.iloc[at], pa.string())], names=["t"])
+        batch = pa.RecordBatch.from_arrays([texts.take(pa.array(at))], names=["t"])
         done = 0
         for part in cut(batch):
             names = shingles.names(shingles.sets(part.column(0), n))
             one[at[done : done + part.num_rows]], two[at[done : done + part.num_rows]] = names
             done += part.num_rows
-        return pd.DataFrame({"maybe": hit, "one": one, "two": two})
+        give_back()
+        return pa.StructArray.from_arrays([pa.array(hit), pa.array(one), pa.array(two)], names=["maybe", "one", "two"])
 
     # One Python step in each branch, so that a task needs one worker.
     bit = F.coalesce(id_bit(i), F.lit(0))

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelframe.llm.common import slices, typed
+from panelframe.llm.common import give_back, map_batches, slices, typed
 from panelframe.llm.pretokens import VOCABULARY, Words, tokenizer_path, vocabulary
 
 # Tokens of the documents that are cut together; a larger document is a block of its own.
@@ -153,5 +153,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window
                     ids, found, held = [], [], 0
         if ids:
             yield from pieces(encode, ids, found, first)
+        encode.words.forget()
+        give_back()
 
-    return docs.select(F.col(f"`{id_col}`").alias("i"), F.col(f"`{text_col}`").alias("t")).mapInArrow(batches, out)
+    return map_batches(docs.select(F.col(f"`{id_col}`").alias("i"), F.col(f"`{text_col}`").alias("t")), batches, out)

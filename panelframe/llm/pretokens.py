@@ -18,7 +18,7 @@ PRETOKEN = regex.compile(
 )
 _SPACE_RUN = re.compile(f"[{SPACE}] [{SPACE}]")
 # Entries in each generation of a worker's table of known words; about 200 bytes each.
-MEMO_ENTRIES = 200_000
+MEMO_ENTRIES = 100_000
 
 
 def byte_symbols() -> dict[str, int]:
@@ -59,6 +59,11 @@ class Words:
         self.value = value
         self.memo = Memo(lambda piece: value(" " + piece), limit)
 
+    def forget(self) -> None:
+        """Give back what is kept: workers live on when their task is done."""
+        self.memo.clear()
+        self.memo.old = {}
+
     def __call__(self, text: str) -> list:
         if _SPACE_RUN.search(text):
             return [self.value(text)]

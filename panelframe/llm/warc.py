@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelframe.llm.common import shared_folder, written
+from panelframe.llm.common import map_batches, shared_folder, written
 
 # Member names, record fields and signatures of the formats.
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
@@ -146,7 +146,7 @@ def write_archives(pages: DataFrame, folder: str | None = None, id_col: str = "p
         if made:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*made)], names=["archive", "records", "bytes"])
 
-    return written(columns.mapInArrow(write, "archive string, records long, bytes long"), "warc-archives")
+    return written(map_batches(columns, write, "archive string, records long, bytes long"), "warc-archives")
 
 
 # Reading
@@ -216,7 +216,7 @@ def locate(archives: DataFrame) -> DataFrame:
                     part = lines[k : k + 10_000]
                     yield pa.RecordBatch.from_pydict({"archive": [path] * len(part), "offset": [have[DATA][0] + x["offset"] for x in part], "length": [x["length"] for x in part], "id": [x["id"] for x in part], "digest": [x["digest"] for x in part]})
 
-    return archives.select("archive").mapInArrow(read, "archive string, offset long, length long, id string, digest string")
+    return map_batches(archives.select("archive"), read, "archive string, offset long, length long, id string, digest string")
 
 
 def parse_record(packed: bytes) -> dict:
@@ -273,7 +273,7 @@ def read_archives(archives: DataFrame, payloads: bool = True) -> DataFrame:
         if f is not None:
             f.close()
 
-    return dealt.mapInArrow(read, RECORD)
+    return map_batches(dealt, read, RECORD)
 
 
 def archives_in(spark: SparkSession, folder: str) -> DataFrame:
