@@ -107,3 +107,13 @@ def sanitised(c: Column, most: int = 300) -> Column:
     return F.substring(F.trim(F.regexp_replace(F.regexp_replace(text(c), r"```", ""), r"[\r\n]+", " ")), 1, most)
 
 
+def bare_name(c: Column) -> Column:
+    """Letters and digits alone, in lower case."""
+    return F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]", "")
+
+
+def accepted_name(raw: Column, names: dict[str, list[str]], prefix: str) -> Column:
+    """The accepted name that raw means: itself if it has the accepted ones' prefix, the one whose own or other spelling it is, else raw."""
+    spelling = {"".join(ch for ch in s.lower() if ch.isalnum()): name for name, others in names.items() for s in (name, *others)}
+    known = F.create_map(*[F.lit(x) for pair in spelling.items() for x in pair])
+    return F.when(raw.startswith(prefix), raw).otherwise(F.coalesce(F.try_element_at(known, bare_name(raw)), raw))

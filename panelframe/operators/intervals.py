@@ -66,20 +66,64 @@ def spaced_cuts(cuts: Column, height: Column, least: int) -> Column:
     )[0]
 
 
-def nearest_run(boundaries: DataFrame, found: DataFrame, tolerances: list[int]) -> DataFrame:
-    """boundaries(strip, b) with the middle of the nearest run (strip, lo, hi) within the first tolerance that has one; null without."""
+def nearest_run(boundaries: DataFrame, found: DataFrame, tolerances: list[int], relaxed: DataFrame | None = None) -> DataFrame:
+    """boundaries(strip, b) with the middle of the nearest run (strip, lo, hi) within the first tolerance that has one; null without.
+
+    relaxed are runs under weaker thresholds; within the widest tolerance they stand in where no other run does.
+    """
     widest = max(tolerances)
     near = boundaries.withColumn("n0", F.col("b") - widest).withColumn("n1", F.col("b") + widest + 1)
-    ends = found.withColumn("end", F.col("hi") + 1)
-    pairs = overlapping(near, ends, "strip", ("n0", "n1"), ("lo", "end"))
+    every = found.select("strip", "lo", "hi", F.lit(False).alias("weak"))
+    if relaxed is not None:
+        every = every.unionByName(relaxed.select("strip", "lo", "hi", F.lit(True).alias("weak")))
+    pairs = overlapping(near, every.withColumn("end", F.col("hi") + 1), "strip", ("n0", "n1"), ("lo", "end"))
     distance = F.abs((F.col("lo") + F.col("hi")) / 2 - F.col("b"))
     level = F.lit(len(tolerances))
     for k, t in reversed([*enumerate(tolerances)]):
         level = F.when((F.col("hi") >= F.col("b") - t) & (F.col("lo") <= F.col("b") + t), k).otherwise(level)
-    best = pairs.groupBy("strip", "b").agg(F.min_by(F.floor((F.col("lo") + F.col("hi")) / 2), F.struct(level, distance, "lo")).alias("cut"))
+    place = F.when(F.col("weak"), len(tolerances) + 1).otherwise(level)
+    best = pairs.groupBy("strip", "b").agg(F.min_by(F.floor((F.col("lo") + F.col("hi")) / 2), F.struct(place, distance, "lo")).alias("cut"))
     return boundaries.join(best, ["strip", "b"], "left")
 
 
+def entry_boundaries(entries: DataFrame) -> DataFrame:
+    """(strip, k, b): between each entry(strip, k, y0, y1) and the next one the middle of their gap, or of their overlap; k is the lower one."""
+    w = Window.partitionBy("strip").orderBy("y0", "k")
+    above = F.lag("y1").over(w)
+    return entries.withColumn("b", F.floor((above + F.col("y0")) / 2)).where("b is not null").select("strip", "k", "b")
+
+
+def build_cuts(entries: DataFrame, heights: DataFrame, cuts: DataFrame) -> DataFrame:
+    """(strip, panel, y0, y1, text, members, top_snap, bottom_snap): entries between two cuts are one panel.
+
+    entries(strip, k, y0, y1, text), heights(strip, height), cuts(strip, k, b, cut) for the boundary above entry
+    k: without a cut the entry goes on with the one before it.  The first panel begins at the strip's top, the last
+    one ends at its height.  A snap is how far a cut is from its boundary, null at the strip's ends.  Texts are
+    joined in order, empty ones left out.
+    """
+    w = Window.partitionBy("strip").orderBy("y0", "k")
+    rows = entries.join(cuts.select("strip", "k", "b", "cut"), ["strip", "k"], "left")
+    rows = rows.withColumn("panel", F.sum(F.when(F.col("cut").isNotNull(), 1).otherwise(0)).over(w).cast("long"))
+    part = F.array_sort(F.collect_list(F.struct("y0", "k", F.btrim("text").alias("t"))))
+    texts = F.filter(F.transform(part, lambda p: p["t"]), lambda t: t != "")
+    groups = rows.groupBy("strip", "panel").agg(F.max("cut").alias("top"), F.max(F.abs(F.col("cut") - F.col("b"))).alias("top_snap"), F.array_join(texts, " ").alias("text"), F.transform(part, lambda p: p["k"]).alias("members"))
+    order = Window.partitionBy("strip").orderBy("panel")
+    groups = groups.withColumn("foot", F.lead("top").over(order)).withColumn("bottom_snap", F.lead("top_snap").over(order)).join(heights, "strip")
+    return groups.select("strip", "panel", F.coalesce("top", F.lit(0)).cast("long").alias("y0"), F.coalesce("foot", "height").cast("long").alias("y1"), "text", "members", "top_snap", "bottom_snap")
+
+
+def without_thin(cuts: DataFrame, kept: DataFrame) -> DataFrame:
+    """cuts(strip, k, b, cut) with null for those that are no longer an edge of kept(strip, y0), the panels after absorption.
+
+    Of several boundaries that have one cut, the topmost keeps it.
+    """
+    w = Window.partitionBy("strip", "cut").orderBy("b", "k")
+    first = cuts.withColumn("_first", (F.row_number().over(w) == 1) & F.col("cut").isNotNull())
+    left = kept.select("strip", F.col("y0").alias("cut"), F.lit(True).alias("_kept")).where("cut > 0")
+    rows = first.join(left, ["strip", "cut"], "left")
+    return rows.select("strip", "k", "b", F.when(F.col("_first") & F.col("_kept"), F.col("cut")).alias("cut"))
+
+
 def stitched(entries: Column) -> Column:
     """Entries of overlapping tiles, array<struct<y0, y1, text>>, merged top down where half of the shorter one overlaps.
 
@@ -149,3 +193,42 @@ def covered(panels: DataFrame, blanks: DataFrame) -> DataFrame:
     sums = pairs.groupBy("strip", "id").agg(F.sum(part).alias("_rows"), F.count(F.lit(1)).alias("regions"), F.max("score").alias("score"))
     out = panels.join(sums, ["strip", "id"], "left").withColumn("share", F.coalesce(F.col("_rows") / F.greatest(F.lit(1), F.col("p1") - F.col("p0")), F.lit(0.0)))
     return out.withColumn("regions", F.coalesce("regions", F.lit(0).cast("long"))).withColumn("dropped", F.col("share") >= 0.95).drop("_rows")
+
+
+def without_blanks(panels: DataFrame, regions: DataFrame) -> DataFrame:
+    """panels(strip, id, p0, p1) after regions(strip, b0, b1, score, verdict): (strip, id, p0, p1, flag, score).
+
+    A panel that blank ones cover by 95 % goes.  Blank bands at an end are trimmed, top down, with a slack for the
+    detector's windows and a part that always stays; one in the middle only marks the panel as suspicious.
+    What is left under 30 rows goes too.  Suspicious regions mark panels in strips without a blank one.
+    """
+    pairs = overlapping(panels, regions, "strip", ("p0", "p1"), ("b0", "b1"))
+    blank = F.col("verdict") == "blank"
+    region = F.struct("b0", "b1", "score")
+    any_blank = regions.where(blank).select("strip").distinct().withColumn("_blanks", F.lit(True))
+    found = pairs.groupBy("strip", "id").agg(
+        F.array_sort(F.collect_list(F.when(blank, region))).alias("_cut"), F.sum(F.when(blank, F.least("p1", "b1") - F.greatest("p0", "b0"))).alias("_rows"), F.min_by("score", F.struct("b0", "b1")).alias("_doubt")
+    )
+    rows = panels.join(found, ["strip", "id"], "left").join(any_blank, "strip", "left")
+    height = F.col("p1") - F.col("p0")
+    slack, keep = F.greatest(F.lit(48), F.floor(height * 0.02)), F.greatest(F.lit(30), F.floor(height * 0.1))
+
+    def step(a: Column, r: Column) -> Column:
+        top, foot = r["b0"] <= a["y0"] + slack, r["b1"] >= a["y1"] - slack
+        y0 = F.when(top, F.greatest(a["y0"], F.least(r["b1"], a["y1"] - keep))).otherwise(a["y0"])
+        y1 = F.when(foot, F.least(a["y1"], F.greatest(r["b0"], y0 + keep))).otherwise(a["y1"])
+        return F.struct(y0.cast("long").alias("y0"), y1.cast("long").alias("y1"), F.when(~top & ~foot, F.greatest(a["doubt"], r["score"])).otherwise(a["doubt"]).alias("doubt"))
+
+    start = F.struct(F.col("p0").cast("long").alias("y0"), F.col("p1").cast("long").alias("y1"), F.lit(None).cast("double").alias("doubt"))
+    rows = rows.withColumn("_t", F.aggregate(F.coalesce("_cut", F.array().cast("array<struct<b0:bigint,b1:bigint,score:double>>")), start, step))
+    doubt = F.when(F.col("_blanks"), F.col("_t.doubt")).otherwise(F.col("_doubt"))
+    covered = F.coalesce(F.col("_rows") / F.greatest(F.lit(1), height) >= 0.95, F.lit(False))
+    small = (F.size(F.coalesce("_cut", F.array())) > 0) & (F.col("_t.y1") - F.col("_t.y0") < F.least(F.lit(30), keep))
+    kept = rows.where(~covered & ~small)
+    return kept.select("strip", "id", F.col("_t.y0").alias("p0"), F.col("_t.y1").alias("p1"), F.when(doubt.isNotNull(), "suspicious").alias("flag"), doubt.alias("score"))
+
+
+def page_panels(cuts: DataFrame) -> DataFrame:
+    """Panels of a cut strip(strip, width, id, k, y0, y1, image_file) as panels of its one page, over the strip's whole width."""
+    box = F.struct(F.lit(0).cast("long").alias("x"), F.col("y0").cast("long").alias("y"), F.col("width").cast("long").alias("w"), (F.col("y1") - F.col("y0")).cast("long").alias("h"))
+    return cuts.select("strip", "id", F.lit(1).alias("page"), F.col("k").alias("index"), box.alias("bbox"), F.col("image_file").alias("source_image"), F.lit("top_to_bottom").alias("reading_order"))

@@ -83,6 +83,11 @@ def change_feed(log: DataFrame, key: str, order: str, watched: list[str], termin
     return rows.where(F.col("_was").isNull() | ~F.col("_was").eqNullSafe(state)).drop("_was")
 
 
+def once(log: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """Each event once, however often it was sent: the first by order of those with equal keys. Combined before the shuffle."""
+    return log.groupBy(*keys).agg(F.min_by(F.struct("*"), order).alias("_e")).select("_e.*")
+
+
 def newest(rows: DataFrame, key: str, order: str, n: int) -> DataFrame:
     """The newest n rows of each key."""
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))).where(F.col("_n") <= n).drop("_n")

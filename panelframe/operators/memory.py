@@ -75,3 +75,15 @@ def split_panel(panels: DataFrame, splits: DataFrame) -> DataFrame:
     whole = F.array(part("", F.col("y0"), F.col("y1")))
     two = F.array(part("a", F.col("y0"), cut), part("b", cut, F.col("y1")))
     return rows.select("strip", F.explode(F.when(F.col("fraction").isNull(), whole).otherwise(two)).alias("p")).select("strip", "p.*")
+
+
+def carried_forward(entries: DataFrame, chapters: DataFrame) -> DataFrame:
+    """(series, chapter, kind, name, first_seen, last_seen): what each chapter starts with.
+
+    entries(series, chapter, kind, name) of all chapters, chapters(series, chapter).  Whatever an earlier chapter
+    of the series brought in is kept, characters, places and threads alike, but for events; panel numbers
+    are a chapter's own, so the counters start at 0.
+    """
+    first = entries.where("kind <> 'event'").groupBy("series", "kind", "name").agg(F.min("chapter").alias("_from"))
+    rows = chapters.select("series", "chapter").distinct().join(first, "series").where("chapter > _from")
+    return rows.select("series", "chapter", "kind", "name", F.lit(0).alias("first_seen"), F.lit(0).alias("last_seen"))

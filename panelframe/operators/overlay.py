@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from panelframe.operators.tables import settled
+
 
 def latest(edits: DataFrame, keys: list[str], seq: str = "seq") -> DataFrame:
     """The newest edit of each key, by seq."""
@@ -53,20 +55,28 @@ def edited_view(baseline: DataFrame, custom: DataFrame, edits: DataFrame, key: s
     return rows.select(key, "id", F.when(~F.col("deleted"), place).cast("long").alias("display_order"), "deleted", F.when(F.col("deleted"), "deleted").otherwise(F.coalesce("review", F.lit("needs_review"))).alias("review_status"))
 
 
-def chains(spark: SparkSession, links: DataFrame, depth: int = 64) -> DataFrame:
-    """(session, ancestor, depth): each session's chain of earlier sessions, itself at depth 0.
+def chains(links: DataFrame) -> DataFrame:
+    """(session, ancestor, depth): each session's chain of earlier sessions, itself at depth 0, of any length.
 
-    links(session, earlier). A link back into the chain ends it, and so does `depth`.
+    links(session, earlier), one row for each session.  A link back into the chain ends it.  Each round
+    doubles the depth that is reached, so the rounds grow with the logarithm of the longest chain.
     """
-    links.createOrReplaceTempView("_chain_links")
-    return spark.sql(f"""
-      WITH RECURSIVE chain (session, ancestor, depth, visited) AS (
-        SELECT session, session, 0, array(session) FROM _chain_links
-        UNION ALL
-        SELECT c.session, l.earlier, c.depth + 1, concat(c.visited, array(l.earlier))
-        FROM chain c JOIN _chain_links l ON l.session = c.ancestor
-        WHERE l.earlier IS NOT NULL AND NOT array_contains(c.visited, l.earlier) AND c.depth < {depth})
-      SELECT session, ancestor, depth FROM chain""")
+    sessions = links.select("session").distinct()
+    known = links.where("earlier is not null")
+    ends = sessions.union(known.select("earlier")).distinct()
+    reached = settled(ends.select("session", F.col("session").alias("ancestor"), F.lit(0).alias("depth")))
+    jump = settled(known.select("session", F.col("earlier").alias("to")))
+    far, rows = 1, reached.count()
+    while True:
+        beyond = reached.select(F.col("session").alias("to"), "ancestor", (F.col("depth") + far).alias("depth"))
+        more = jump.join(beyond, "to").select("session", "ancestor", "depth")
+        # In a loop an ancestor is met again and again; the first time counts.
+        reached = settled(reached.unionByName(more).groupBy("session", "ancestor").agg(F.min("depth").alias("depth")))
+        before, rows = rows, reached.count()
+        if rows == before:
+            return reached.join(sessions, "session", "left_semi")
+        jump = settled(jump.join(jump.select(F.col("session").alias("to"), F.col("to").alias("next")), "to").select("session", F.col("next").alias("to")))
+        far *= 2
 
 
 def combined(chain: DataFrame, panels: DataFrame) -> DataFrame:
@@ -77,16 +87,19 @@ def combined(chain: DataFrame, panels: DataFrame) -> DataFrame:
     return rows.select("session", name.alias("id"), F.row_number().over(w).cast("long").alias("display_order"))
 
 
-def resolve_prefix(asked: DataFrame, known: DataFrame, width: int) -> DataFrame:
+def resolve_prefix(asked: DataFrame, known: DataFrame, least: int = 1) -> DataFrame:
     """asked(q) with the known(name) that it names: itself, else the only one that starts with it, else null.
 
-    Names are looked up by their first `width` characters, which every prefix must have.
+    A prefix of fewer than `least` characters names nothing.  Every name is looked up by each of its
+    beginnings that is asked for.
     """
-    exact = asked.join(known.select(F.col("name").alias("q"), F.col("name").alias("exact")), "q", "left")
-    cut = known.withColumn("head", F.substring("name", 1, width))
-    near = asked.where(F.length("q") >= width).withColumn("head", F.substring("q", 1, width)).join(cut, "head").where(F.col("name").startswith(F.col("q")))
-    only = near.groupBy("q").agg(F.count(F.lit(1)).alias("n"), F.first("name").alias("name")).where("n = 1")
-    return exact.join(only, "q", "left").select("q", F.coalesce("exact", "name").alias("name"))
+    names = known.select("name").distinct()
+    starts = names.where(F.length("name") >= least).select("name", F.explode(F.sequence(F.lit(least), F.length("name"))).alias("_n"))
+    starts = starts.select(F.expr("left(name, _n)").alias("q"), "name").join(asked.select("q").distinct(), "q", "left_semi")
+    only = starts.groupBy("q").agg(F.count(F.lit(1)).alias("n"), F.min("name").alias("only"))
+    exact = names.select(F.col("name").alias("q"), F.col("name").alias("same"))
+    out = asked.join(only, "q", "left").join(exact, "q", "left")
+    return out.select("q", F.coalesce("same", F.when(F.col("n") == 1, F.col("only"))).alias("name"))
 
 
 def overridden(panels: DataFrame, overrides: DataFrame) -> DataFrame:

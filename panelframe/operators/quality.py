@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,22 +56,36 @@ def verdict_counts(verdicts: DataFrame, key: str) -> DataFrame:
     return verdicts.groupBy(key).agg(F.count(F.lit(1)).alias("detected"), F.count_if(q == "normal").alias("accepted"), F.count_if(q == "suspicious").alias("suspicious"), F.count_if(q == "invalid").alias("rejected"))
 
 
-def near_hashes(panels: DataFrame, most: int = 6, bands: int = 7) -> DataFrame:
-    """panels(id, hash) with the first earlier panel whose 64-bit hash differs in at most `most` bits.
+def _agreeing(most: int, agree: int) -> list[int]:
+    """Masks of 64 bits cut into most + agree bands, one for each choice of `agree` of these."""
+    bands = most + agree
+    edge = [64 * k // bands for k in range(bands + 1)]
+    band = [(1 << edge[k + 1]) - (1 << edge[k]) for k in range(bands)]
+    masks = [sum(chosen) for chosen in itertools.combinations(band, agree)]
+    return [m - (1 << 64) if m >> 63 else m for m in masks]
+
+
+def near_hashes(panels: DataFrame, most: int = 6, valid: Column | None = None, agree: int | None = None) -> DataFrame:
+    """panels(id, hash) with the first earlier panel whose 64-bit hash differs in at most `most` bits; only valid panels count.
 
-    bands must be most + 1: by the pigeonhole principle two such hashes agree in one of the bands, which are the
-    join keys, so no pair is missed and no cross join is needed. Equal hashes are one node: many copies meet once.
+    Two such hashes agree in `agree` of most + agree bands at least, so each choice of that many bands is a
+    join key: no pair is missed and no cross join is needed.  More bands to agree on mean longer, rarer
+    keys; unless given, there are so many that a key has as many values as there are hashes, which
+    keeps what meets by chance in proportion to the table.  Equal hashes are one node: many copies meet once.
     """
-    groups = panels.groupBy("hash").agg(F.min("id").alias("first"))
-    width = 64 // bands
-    size = lambda k: width if k < bands - 1 else 64 - width * (bands - 1)
-    parts = F.array(*[F.struct(F.lit(k).alias("band"), F.shiftrightunsigned("hash", k * width).bitwiseAND(F.lit((1 << size(k)) - 1)).alias("bits")) for k in range(bands)])
-    cut = groups.withColumn("p", F.explode(parts)).select("hash", "first", "p.band", "p.bits")
-    other = cut.select("band", "bits", F.col("hash").alias("o_hash"), F.col("first").alias("o_first"))
-    near = cut.join(other, ["band", "bits"]).where((F.col("hash") != F.col("o_hash")) & (F.bit_count(F.col("hash").bitwiseXOR(F.col("o_hash"))) <= most))
+    used = panels.withColumn("_valid", F.coalesce(F.lit(True) if valid is None else valid, F.lit(False)))
+    groups = used.where("_valid").groupBy("hash").agg(F.min("id").alias("first"))
+    if agree is None:
+        count = max(groups.count(), 2)
+        agree = next((k for k in range(1, 6) if 64 * k // (most + k) >= math.log2(count)), 6)
+    masks = F.array(*[F.lit(m).cast("long") for m in _agreeing(most, agree)])
+    cut = groups.withColumn("mask", F.explode(masks)).withColumn("bits", F.col("hash").bitwiseAND(F.col("mask")))
+    other = cut.select("mask", "bits", F.col("hash").alias("o_hash"), F.col("first").alias("o_first"))
+    near = cut.join(other, ["mask", "bits"]).where((F.col("hash") != F.col("o_hash")) & (F.bit_count(F.col("hash").bitwiseXOR(F.col("o_hash"))) <= most))
     least = near.groupBy("hash").agg(F.min("o_first").alias("other"))
-    out = panels.join(groups, "hash").join(least, "hash", "left")
-    return out.select("id", F.nullif(F.least(F.when(F.col("first") < F.col("id"), F.col("first")), F.when(F.col("other") < F.col("id"), F.col("other"))), F.lit(None)).alias("duplicate_of"))
+    out = used.join(groups, "hash", "left").join(least, "hash", "left")
+    earlier = lambda c: F.when(F.col("_valid") & (F.col(c) < F.col("id")), F.col(c))
+    return out.select("id", F.least(earlier("first"), earlier("other")).alias("duplicate_of"))
 
 
 def effective(rows: DataFrame, decisions: DataFrame, key: str) -> DataFrame:

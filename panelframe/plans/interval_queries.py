@@ -62,14 +62,6 @@ def c05_spaced_cuts(spark, folder):
     return heights.join(mids, "strip", "left").select("strip", F.array_join(cuts.cast("array<string>"), ",").alias("cuts"))
 
 
-@query(f"""WITH {_GUTTERS}, b AS (SELECT DISTINCT user_id AS strip, event_id % 60 AS b FROM events WHERE event_id % 5 = 0),
-  p AS (SELECT b.strip, b, mid, lo, CASE WHEN hi >= b - 2 AND lo <= b + 2 THEN 0 WHEN hi >= b - 6 AND lo <= b + 6 THEN 1 ELSE 2 END AS level, abs((lo + hi) / 2.0 - b) AS d FROM b JOIN v ON v.strip = b.strip AND hi >= b - 15 AND lo <= b + 15),
-  q AS (SELECT strip, b, mid AS cut FROM p QUALIFY row_number() OVER (PARTITION BY strip, b ORDER BY level, d, lo) = 1)
-SELECT strip, b, cut FROM b LEFT JOIN q USING (strip, b)""")
-def c06_nearest_gutter(spark, folder):
-    return nearest_gutter(spark, folder, table(spark, folder, "events").where("event_id % 5 = 0"))
-
-
 @query(f"""WITH {_GUTTERS}, b AS (SELECT DISTINCT user_id AS strip, event_id % 60 AS b FROM events),
   p AS (SELECT b.strip, b, mid, lo, CASE WHEN hi >= b - 2 AND lo <= b + 2 THEN 0 WHEN hi >= b - 6 AND lo <= b + 6 THEN 1 ELSE 2 END AS level, abs((lo + hi) / 2.0 - b) AS d FROM b JOIN v ON v.strip = b.strip AND hi >= b - 15 AND lo <= b + 15),
   q AS (SELECT strip, b, mid AS cut FROM p QUALIFY row_number() OVER (PARTITION BY strip, b ORDER BY level, d, lo) = 1)
@@ -83,6 +75,49 @@ def nearest_gutter(spark, folder, events):
     return I.nearest_run(boundaries, I.gutters(row_metrics(spark, folder), marks(spark, folder)), [2, 6, 15])
 
 
+_ENTRIES = """e AS (SELECT user_id AS strip, k, k * 6 + k % 5 AS y0, k * 6 + 7 - k % 3 AS y1, event_type AS text FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS k FROM events) WHERE event_type <> 'error')"""
+
+
+def entries(spark, folder):
+    """Entries of strips in reading order, some of which overlap the next one."""
+    k = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")).cast("long") - 1
+    rows = table(spark, folder, "events").withColumn("k", k).where("event_type <> 'error'")
+    return rows.select(F.col("user_id").alias("strip"), "k", (F.col("k") * 6 + F.col("k") % 5).alias("y0"), (F.col("k") * 6 + 7 - F.col("k") % 3).alias("y1"), F.col("event_type").alias("text"))
+
+
+@query(f"""WITH {_GUTTERS}, {_ENTRIES}, tall AS (SELECT user_id AS strip, count(*) * 6 AS height FROM events GROUP BY user_id),
+  bounds AS (SELECT strip, k, (lag(y1) OVER (PARTITION BY strip ORDER BY y0, k) + y0) // 2 AS b FROM e QUALIFY b IS NOT NULL),
+  weak AS (SELECT strip, y0 AS lo, y0 + 1 AS hi FROM e WHERE text = 'view'),
+  near AS (SELECT t.strip, t.k, b, (lo + hi) // 2 AS mid, lo, CASE WHEN hi >= b - 2 AND lo <= b + 2 THEN 0 ELSE 1 END AS level, abs((lo + hi) / 2.0 - b) AS d FROM bounds t JOIN v ON v.strip = t.strip AND hi >= b - 4 AND lo <= b + 4
+    UNION ALL SELECT t.strip, t.k, b, (lo + hi) // 2, lo, 3, abs((lo + hi) / 2.0 - b) FROM bounds t JOIN weak w ON w.strip = t.strip AND hi >= b - 4 AND lo <= b + 4),
+  cut AS (SELECT strip, k, b, mid AS cut FROM near QUALIFY row_number() OVER (PARTITION BY strip, k ORDER BY level, d, lo) = 1),
+  placed AS (SELECT e.*, cut.b, cut.cut, count(cut.cut) OVER (PARTITION BY e.strip ORDER BY y0, e.k) AS panel FROM e LEFT JOIN cut ON cut.strip = e.strip AND cut.k = e.k),
+  groups_ AS (SELECT strip, panel, max(cut) AS top, max(abs(cut - b)) AS top_snap, string_agg(text, ' ' ORDER BY y0, k) AS text, count(*) AS members FROM placed GROUP BY strip, panel)
+SELECT strip, panel, coalesce(top, 0)::BIGINT AS y0, coalesce(lead(top) OVER w, height)::BIGINT AS y1, text, members, top_snap, lead(top_snap) OVER w AS bottom_snap FROM groups_ JOIN tall USING (strip) WINDOW w AS (PARTITION BY strip ORDER BY panel)""")
+def c08_build_cuts(spark, folder):
+    e = entries(spark, folder)
+    boundaries = I.entry_boundaries(e)
+    relaxed = e.where("text = 'view'").select("strip", F.col("y0").alias("lo"), (F.col("y0") + 1).alias("hi"))
+    cuts = I.nearest_run(boundaries, I.gutters(row_metrics(spark, folder), marks(spark, folder)), [2, 4], relaxed)
+    heights = table(spark, folder, "events").groupBy(F.col("user_id").alias("strip")).agg((F.count(F.lit(1)) * 6).alias("height"))
+    return I.build_cuts(e, heights, cuts).withColumn("members", F.size("members").cast("long"))
+
+
+@query(f"""WITH s AS (SELECT {_STRIP_SQL} FROM lineitem), b AS (SELECT strip, y0 + 60 * (k % 4 - 1) AS b0, y0 + 60 * (k % 4 - 1) + 90 + y1 % 900 AS b1, y0 % 100 / 100.0::DOUBLE AS score, CASE WHEN k % 5 = 0 THEN 'suspicious' ELSE 'blank' END AS verdict FROM s WHERE k % 3 = 0),
+  o AS (SELECT s.strip, s.k AS id, list({{'b0': b0, 'b1': b1, 'score': score}} ORDER BY b0, b1, score) FILTER (verdict = 'blank') AS cut, coalesce(sum(least(y1, b1) - greatest(y0, b0)) FILTER (verdict = 'blank'), 0) AS n, arg_min(score, (b0, b1)) AS doubt FROM s JOIN b ON b.strip = s.strip AND b0 < y1 AND y0 < b1 GROUP BY s.strip, s.k),
+  p AS (SELECT s.strip, s.k AS id, y0, y1, cut, coalesce(n, 0) AS n, doubt, greatest(48, floor((y1 - y0) * 0.02)::BIGINT) AS slack, greatest(30, floor((y1 - y0) * 0.1)::BIGINT) AS keep, s.strip IN (SELECT strip FROM b WHERE verdict = 'blank') AS blanks FROM s LEFT JOIN o ON o.strip = s.strip AND o.id = s.k),
+  t AS (SELECT *, list_reduce(coalesce(cut, []), lambda a, r: {{'b0': CASE WHEN r.b0 <= a.b0 + slack THEN greatest(a.b0, least(r.b1, a.b1 - keep)) ELSE a.b0 END,
+    'b1': CASE WHEN r.b1 >= a.b1 - slack THEN least(a.b1, greatest(r.b0, CASE WHEN r.b0 <= a.b0 + slack THEN greatest(a.b0, least(r.b1, a.b1 - keep)) ELSE a.b0 END + keep)) ELSE a.b1 END,
+    'score': CASE WHEN r.b0 > a.b0 + slack AND r.b1 < a.b1 - slack THEN greatest(a.score, r.score) ELSE a.score END}}, {{'b0': y0, 'b1': y1, 'score': NULL::DOUBLE}}) AS t FROM p)
+SELECT strip, id, t.b0::BIGINT AS p0, t.b1::BIGINT AS p1, CASE WHEN (CASE WHEN blanks THEN t.score ELSE doubt END) IS NOT NULL THEN 'suspicious' END AS flag, CASE WHEN blanks THEN t.score ELSE doubt END AS score
+FROM t WHERE n::DOUBLE / (y1 - y0) < 0.95 AND NOT (len(coalesce(cut, [])) > 0 AND t.b1 - t.b0 < least(30, keep))""")
+def c17_without_blanks(spark, folder):
+    s = spans(spark, folder)
+    b0 = F.col("y0") + 60 * (F.col("k") % 4 - 1)
+    regions = s.where("k % 3 = 0").select("strip", b0.alias("b0"), (b0 + 90 + F.col("y1") % 900).alias("b1"), (F.col("y0") % 100 / 100.0).alias("score"), F.when(F.col("k") % 5 == 0, "suspicious").otherwise("blank").alias("verdict"))
+    return I.without_blanks(s.select("strip", F.col("k").alias("id"), F.col("y0").alias("p0"), F.col("y1").alias("p1")), regions)
+
+
 @query(f"""WITH s AS (SELECT {_STRIP_SQL} FROM lineitem), f AS (SELECT strip, greatest(y0 - 20, 0) AS f0, y1 + 20 AS f1 FROM s WHERE k % 2 = 0 AND y1 - y0 <= 900)
 SELECT strip, k, y0, y1 FROM s WHERE k % 2 = 1 AND NOT EXISTS (SELECT 1 FROM f WHERE f.strip = s.strip AND f0 < y1 AND y0 < f1)""")
 def c07_free_of_bubbles(spark, folder):

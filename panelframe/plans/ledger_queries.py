@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from panelframe.operators import ledger as L
+from panelframe.operators import memory as M
 from panelframe.plans.registry import query, table
 
 
@@ -40,12 +41,6 @@ def h02_drift(spark, folder):
     return L.drifted(stored, d.select("doc_id", hashes(F.col("text")).alias("hashes")), ["doc_id"])
 
 
-@query(f"""WITH l AS (SELECT session, step, arg_max(status, seq) AS status FROM ({_LOG}) GROUP BY session, step), e AS (SELECT user_id AS session, min(CASE event_type WHEN 'purchase' THEN 9 WHEN 'signup' THEN 6 END) AS f FROM events WHERE user_id % 3 = 0 GROUP BY user_id)
-SELECT l.session, step, CASE WHEN status = 'success' AND step >= f THEN 'stale' ELSE status END AS status FROM l LEFT JOIN e USING (session)""")
-def h03_invalidation(spark, folder):
-    return invalidation(spark, folder, table(spark, folder, "events").where("user_id % 3 = 0"))
-
-
 @query(f"""WITH l AS (SELECT session, step, arg_max(status, seq) AS status FROM ({_LOG}) GROUP BY session, step), e AS (SELECT user_id AS session, min(CASE event_type WHEN 'purchase' THEN 9 WHEN 'signup' THEN 6 END) AS f FROM events GROUP BY user_id)
 SELECT l.session, step, CASE WHEN status = 'success' AND step >= f THEN 'stale' ELSE status END AS status FROM l LEFT JOIN e USING (session)""")
 def h03_invalidation_whole(spark, folder):
@@ -113,9 +108,10 @@ def h10_bursts(spark, folder):
     return rows.select("user_id", F.unix_micros("w.start").alias("start"), F.unix_micros("w.end").alias("end"), "n")
 
 
-@query("SELECT DISTINCT user_id, event_type, (event_id // 4) AS grp FROM events")
+@query("SELECT user_id, event_type, (event_id // 4) AS grp, min(event_id) AS event_id, arg_min(value, event_id) AS value FROM events GROUP BY user_id, event_type, grp")
 def h11_idempotent(spark, folder):
-    return table(spark, folder, "events").select("user_id", "event_type", F.floor(F.col("event_id") / 4).alias("grp")).dropDuplicates(["user_id", "event_type", "grp"])
+    log = table(spark, folder, "events").select("user_id", "event_type", F.floor(F.col("event_id") / 4).alias("grp"), "event_id", "value")
+    return L.once(log, ["user_id", "event_type", "grp"], "event_id")
 
 
 @query("SELECT event_id, user_id FROM events WHERE event_type = 'error' QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) <= 5")
@@ -147,21 +143,6 @@ def timeline(spark, folder):
     return table(spark, folder, "conversations").where("text is not null").select(F.col("conv_id").alias("chapter"), F.col("turn").alias("panel"), F.col("turn").alias("position"), (2.0 + F.length("text") % 30 / 10.0).alias("seconds"))
 
 
-@query("""WITH b AS (SELECT conv_id AS chapter, turn AS panel, turn AS position, 2.0 + length(text) % 30 / 10.0::DOUBLE AS seconds FROM conversations WHERE text IS NOT NULL),
-  e AS (SELECT event_id % 100 AS chapter, event_id // 100 % 6 AS panel, ['duration', 'position', 'removed'][event_id % 3 + 1] AS field, CASE event_id % 3 WHEN 2 THEN (value > 60)::INT::DOUBLE ELSE value / 10.0 END AS value, event_id AS seq FROM events WHERE event_id % 5 = 0),
-  l AS (SELECT chapter, panel, field, arg_max(value, seq) AS value FROM e WHERE seq <= 6000 GROUP BY ALL),
-  r AS (SELECT b.chapter, b.panel, coalesce(p.value, position::DOUBLE) AS position, coalesce(d.value, seconds) AS seconds FROM b LEFT JOIN l p ON p.chapter = b.chapter AND p.panel = b.panel AND p.field = 'position'
-    LEFT JOIN l d ON d.chapter = b.chapter AND d.panel = b.panel AND d.field = 'duration' LEFT JOIN l x ON x.chapter = b.chapter AND x.panel = b.panel AND x.field = 'removed' WHERE coalesce(x.value, 0) = 0)
-SELECT chapter, panel, row_number() OVER w AS "order", round(seconds, 6) AS seconds, round(coalesce(sum(seconds) OVER (PARTITION BY chapter ORDER BY position, panel ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0), 3) AS start FROM r WINDOW w AS (PARTITION BY chapter ORDER BY position, panel)""")
-def f11_edit_replay(spark, folder):
-    base = timeline(spark, folder)
-    i = F.col("event_id")
-    field = F.element_at(F.array(F.lit("duration"), F.lit("position"), F.lit("removed")), (i % 3 + 1).cast("int"))
-    value = F.when(i % 3 == 2, (F.col("value") > 60).cast("double")).otherwise(F.col("value") / 10.0)
-    edits = table(spark, folder, "events").where("event_id % 5 = 0").select((i % 100).alias("chapter"), F.floor(i / 100 % 6).alias("panel"), field.alias("field"), value.alias("value"), i.alias("seq"))
-    return L.replayed(base, edits, 6000).withColumn("seconds", F.round("seconds", 6))
-
-
 @query("""WITH b AS (SELECT conv_id AS chapter, turn AS panel, turn AS position, 2.0 + length(text) % 30 / 10.0::DOUBLE AS seconds FROM conversations WHERE text IS NOT NULL),
   c AS (SELECT conv_id AS chapter, max(turn) + 1 AS turns FROM conversations GROUP BY conv_id), m AS (SELECT max(conv_id) + 1 AS many FROM conversations),
   g AS (SELECT event_id % many AS chapter, event_id // many AS nth, event_type, value, event_id AS seq FROM events, m WHERE event_type IN ('view', 'click', 'purchase', 'signup', 'error')),
@@ -249,12 +230,14 @@ def g03_seed_ingest(spark, folder):
     return known.join(seeds, "c_custkey", "left_semi").withColumn("origin", F.lit("known")).unionByName(seeds.join(known, "c_custkey", "left_anti").withColumn("origin", F.lit("seed")))
 
 
-@query("SELECT conv_id, turn, role, coalesce(lag(role) OVER (PARTITION BY conv_id ORDER BY turn), '') AS carried, 0 AS last_panel FROM conversations")
+@query("""WITH e AS (SELECT conv_id AS series, turn AS chapter, CASE role WHEN 'system' THEN 'event' WHEN 'user' THEN 'character' ELSE 'thread' END AS kind, role || length(coalesce(text, '')) % 4 AS name FROM conversations),
+  f AS (SELECT series, kind, name, min(chapter) AS since FROM e WHERE kind <> 'event' GROUP BY ALL)
+SELECT c.series, c.chapter, kind, name, 0 AS first_seen, 0 AS last_seen FROM (SELECT DISTINCT series, chapter FROM e) c JOIN f ON f.series = c.series AND c.chapter > since""")
 def g04_carry_forward(spark, folder):
-    from pyspark.sql import Window
-
-    before = F.lag("role").over(Window.partitionBy("conv_id").orderBy("turn"))
-    return table(spark, folder, "conversations").select("conv_id", "turn", "role", F.coalesce(before, F.lit("")).alias("carried"), F.lit(0).alias("last_panel"))
+    kind = F.when(F.col("role") == "system", "event").when(F.col("role") == "user", "character").otherwise("thread")
+    name = F.concat("role", (F.length(F.coalesce("text", F.lit(""))) % 4).cast("string"))
+    entries = table(spark, folder, "conversations").select(F.col("conv_id").alias("series"), F.col("turn").alias("chapter"), kind.alias("kind"), name.alias("name"))
+    return M.carried_forward(entries, entries)
 
 
 @query("SELECT event_id, coalesce(props::JSON->>'k', '0') AS k, 'calm' AS mood, '3' AS version FROM events")

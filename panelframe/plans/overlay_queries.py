@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from panelframe.operators import intervals as I
 from panelframe.operators import overlay as O
 from panelframe.plans.registry import query, table
 
@@ -20,13 +22,6 @@ def turns(spark, folder):
     return table(spark, folder, "conversations").select(F.col("conv_id").alias("chapter"), F.col("turn").alias("idx"), "role", "text")
 
 
-@query("""SELECT conv_id AS chapter, turn AS idx, CASE WHEN role = 'assistant' THEN text ELSE left(text, 40) END AS text, CASE WHEN role = 'assistant' THEN 'script' ELSE 'caption' END AS source FROM conversations""")
-def e04_coverage_fill(spark, folder):
-    t = turns(spark, folder)
-    lines, _ = O.fill_missing(t.where("role = 'assistant'"), t, ["chapter", "idx"], t.withColumn("text", F.substring("text", 1, 40)))
-    return lines
-
-
 @query("""SELECT conv_id AS chapter, turn AS idx, text, CASE WHEN role = 'assistant' THEN 'script' ELSE 'caption' END AS source FROM conversations""")
 def e04_coverage_fill_whole(spark, folder):
     t = turns(spark, folder)
@@ -39,13 +34,6 @@ def e04_gap_batches(spark, folder):
     return O.fill_missing(t.where("role = 'assistant'"), t, ["chapter", "idx"], t, batch=2, most=3)[1]
 
 
-@query("""SELECT doc_id, benchmark_id, coalesce(part, 'beat') AS part FROM (SELECT doc_id % 1000 AS doc_id, doc_id AS benchmark_id, CASE WHEN quality = 1 THEN 'hook' END AS part, row_number() OVER (PARTITION BY doc_id % 1000 ORDER BY doc_id) AS n FROM labels)
-WHERE n = 1 AND doc_id IN (SELECT doc_id FROM documents WHERE lang = 'en')""")
-def e05_first_lines(spark, folder):
-    lines = table(spark, folder, "labels").select((F.col("doc_id") % 1000).alias("doc_id"), F.col("doc_id").alias("benchmark_id"), F.when(F.col("quality") == 1, "hook").alias("part"))
-    return O.first_lines(lines, table(spark, folder, "documents").where("lang = 'en'"), ["doc_id"], "benchmark_id")
-
-
 @query("""SELECT doc_id, doc_id AS benchmark_id, coalesce(part, 'beat') AS part FROM (SELECT doc_id, CASE WHEN quality = 1 THEN 'hook' END AS part, row_number() OVER (PARTITION BY doc_id ORDER BY quality DESC NULLS LAST) AS n FROM labels)
 WHERE n = 1 AND doc_id IN (SELECT doc_id FROM documents WHERE lang = 'en')""")
 def e05_first_lines_whole(spark, folder):
@@ -81,13 +69,13 @@ def e07_edited_view(spark, folder):
 
 _LINKS = "SELECT c_custkey AS session, CASE WHEN c_custkey % 7 <> 0 THEN c_custkey - c_custkey % 7 + (c_custkey + 1) % 7 END AS earlier FROM customer"
 _CHAIN = f"""RECURSIVE links AS ({_LINKS}), chain AS (SELECT session, session AS ancestor, 0 AS depth, [session] AS visited FROM links UNION ALL
-  SELECT c.session, l.earlier, c.depth + 1, list_append(visited, l.earlier) FROM chain c JOIN links l ON l.session = c.ancestor WHERE l.earlier IS NOT NULL AND NOT list_contains(visited, l.earlier) AND depth < 64)"""
+  SELECT c.session, l.earlier, c.depth + 1, list_append(visited, l.earlier) FROM chain c JOIN links l ON l.session = c.ancestor WHERE l.earlier IS NOT NULL AND NOT list_contains(visited, l.earlier))"""
 
 
 def chain(spark, folder):
     k = F.col("c_custkey")
     links = table(spark, folder, "customer").select(k.alias("session"), F.when(k % 7 != 0, k - k % 7 + (k + 1) % 7).alias("earlier"))
-    return O.chains(spark, links)
+    return O.chains(links)
 
 
 @query(f"WITH {_CHAIN} SELECT session, ancestor, depth FROM chain")
@@ -102,19 +90,6 @@ def e08_combined_view(spark, folder):
     return O.combined(chain(spark, folder), panels)
 
 
-_TEN = f"""WITH {_CHAIN}, o AS (SELECT o_custkey AS ancestor, o_orderkey::VARCHAR AS id, o_orderkey AS position, o_totalprice AS price FROM orders WHERE o_orderkey % 5 <> 0),
-  m AS (SELECT session, id AS raw, row_number() OVER (PARTITION BY session ORDER BY depth DESC, position, id) AS number FROM chain JOIN o USING (ancestor))
-SELECT session, raw, number, CASE WHEN raw::BIGINT % 2 = 0 THEN round(raw::BIGINT % 97 / 10.0::DOUBLE, 1) END AS audio_seconds FROM m"""
-
-
-@query(_TEN)
-def e10_continuation(spark, folder):
-    panels = table(spark, folder, "orders").where("o_orderkey % 5 <> 0").select(F.col("o_custkey").alias("session"), F.col("o_orderkey").cast("string").alias("id"), F.col("o_orderkey").alias("position"))
-    audio = panels.where("position % 2 = 0").select(F.col("id").alias("raw"), F.round(F.col("position") % 97 / 10.0, 1).alias("audio_seconds"))
-    merged = O.combined(chain(spark, folder), panels).select("session", F.regexp_replace("id", "^s[0-9a-f]{8}_", "").alias("raw"), F.col("display_order").alias("number"))
-    return merged.join(audio, "raw", "left")
-
-
 @query(f"""WITH {_CHAIN}, o AS (SELECT o_custkey AS ancestor, o_orderkey::VARCHAR AS id, o_orderkey AS position, o_orderstatus AS status FROM orders),
   m AS (SELECT session, id AS raw, status, row_number() OVER (PARTITION BY session ORDER BY depth DESC, position, id) AS number FROM chain JOIN o USING (ancestor))
 SELECT session, raw, number, CASE WHEN status <> 'O' THEN round(raw::BIGINT % 97 / 10.0::DOUBLE, 1) END AS audio_seconds FROM m""")
@@ -131,18 +106,12 @@ SELECT q, coalesce((SELECT max(name) FROM n WHERE name = q), (SELECT CASE WHEN c
 def e11_prefix(spark, folder):
     c = table(spark, folder, "customer")
     asked = c.select(F.expr("left(c_name, length(c_name) - cast(c_custkey % 3 as int))").alias("q")).distinct()
-    return O.resolve_prefix(asked, c.select(F.col("c_name").alias("name")), 12)
+    return O.resolve_prefix(asked, c.select(F.col("c_name").alias("name")))
 
 
 _OVER = "SELECT CASE WHEN doc_id % 2 = 0 THEN 's0123abcd_' || doc_id ELSE doc_id::VARCHAR END AS id, left(text, 60) AS narration FROM documents"
 
 
-@query(f"""WITH p AS ({_OVER}), o AS (SELECT doc_id::VARCHAR AS id, CASE WHEN quality = 1 THEN 'edited ' || doc_id ELSE ' ' END AS text FROM labels), c AS (SELECT * FROM o WHERE trim(text) <> '')
-SELECT p.id, coalesce(a.text, b.text, narration, '') AS text, coalesce(narration, '') AS ai_text, coalesce(a.text, b.text) IS NOT NULL AS edited FROM p LEFT JOIN c a ON a.id = p.id LEFT JOIN c b ON b.id = regexp_replace(p.id, '^s[0-9a-f]{{8}}_', '')""")
-def e12_overrides(spark, folder):
-    return overrides(spark, folder, F.substring("text", 1, 60))
-
-
 def overrides(spark, folder, narration):
     i = F.col("doc_id").cast("string")
     panels = table(spark, folder, "documents").select(F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("s0123abcd_"), i)).otherwise(i).alias("id"), narration.alias("narration"))
@@ -188,11 +157,6 @@ def e20_checked_operations(spark, folder):
     return O.checked_operations(ops, ops.where("user_id % 50 <> 7"), "batch", "user_id")
 
 
-@query(f"""SELECT source, id, row_number() OVER (PARTITION BY source ORDER BY display_order) AS number, CASE WHEN id % 3 = 0 THEN 'override ' || id ELSE left(text, 30) END AS narration FROM ({_VIEW}) v JOIN (SELECT doc_id, text FROM documents) d ON d.doc_id = v.id WHERE NOT deleted AND review_status = 'reviewed'""")
-def e21_confirmed(spark, folder):
-    return confirmed(spark, folder, F.substring("text", 1, 30))
-
-
 @query(f"""SELECT source, id, row_number() OVER (PARTITION BY source ORDER BY display_order) AS number, CASE WHEN id % 3 = 0 THEN 'override ' || id ELSE text END AS narration FROM ({_VIEW}) v JOIN (SELECT doc_id, text FROM documents) d ON d.doc_id = v.id WHERE NOT deleted AND review_status = 'reviewed'""")
 def e21_confirmed_whole(spark, folder):
     return confirmed(spark, folder, F.col("text"))
@@ -212,11 +176,6 @@ def e22_orphans(spark, folder):
     return O.orphans_removed(table(spark, folder, "labels"), table(spark, folder, "documents").where("lang <> 'fr'"), ["doc_id"]).select("doc_id", "quality")
 
 
-@query("""SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN reverse(left(text, 20)) ELSE left(text, 20) END AS caption, turn % 2 = 0 AND reverse(left(text, 20)) <> left(text, 20) AS changed FROM conversations WHERE text IS NOT NULL""")
-def e23_caption_sync(spark, folder):
-    return synced(spark, folder, F.substring("text", 1, 20))
-
-
 @query("""SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN reverse(text) ELSE text END AS caption, turn % 2 = 0 AND reverse(text) <> text AS changed FROM conversations WHERE text IS NOT NULL""")
 def e23_caption_sync_whole(spark, folder):
     return synced(spark, folder, F.col("text"))
@@ -227,6 +186,9 @@ def synced(spark, folder, caption):
     return O.synced_captions(rows, rows.where("turn % 2 = 0").select("conv_id", "turn", F.reverse("caption").alias("text")), ["conv_id", "turn"])
 
 
-@query("SELECT p_partkey AS id, 'guided' AS source, 0 AS x, p_size * 10 AS y, 800 AS w, p_size * 5 AS h FROM part")
+@query("""SELECT p_brand AS strip, p_partkey::VARCHAR AS id, p_partkey AS index, 0::BIGINT AS x, p_size * 10::BIGINT AS y, max(p_size) OVER (PARTITION BY p_brand) * 20::BIGINT AS w, p_size * 5::BIGINT AS h, p_partkey || '.png' AS source_image FROM part""")
 def e19_page_panels(spark, folder):
-    return table(spark, folder, "part").select(F.col("p_partkey").alias("id"), F.lit("guided").alias("source"), F.lit(0).alias("x"), (F.col("p_size") * 10).alias("y"), F.lit(800).alias("w"), (F.col("p_size") * 5).alias("h"))
+    y0 = (F.col("p_size") * 10).alias("y0")
+    width = (F.max("p_size").over(Window.partitionBy("p_brand")) * 20).alias("width")
+    cuts = table(spark, folder, "part").select(F.col("p_brand").alias("strip"), width, F.col("p_partkey").cast("string").alias("id"), F.col("p_partkey").alias("k"), y0, (y0 + F.col("p_size") * 5).alias("y1"), F.concat("p_partkey", F.lit(".png")).alias("image_file"))
+    return I.page_panels(cuts).select("strip", "id", "index", "bbox.x", "bbox.y", "bbox.w", "bbox.h", "source_image")

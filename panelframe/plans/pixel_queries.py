@@ -114,11 +114,6 @@ def a04_archive_limits(spark, folder):
     return D.archive_limits(pages, "conv_id", 4000, 150_000, 5).select("conv_id", F.array_join("problems", ",").alias("problems"))
 
 
-@query("""SELECT conv_id, turn, turn + 1 AS number, turn * 61.5::DOUBLE AS start, turn * 61.5::DOUBLE + 2.25 AS "end", trim(regexp_replace(left(text, 50), '\\s*\\n\\s*', ' ', 'g')) AS caption FROM (SELECT conv_id, turn, text FROM conversations WHERE text IS NOT NULL)""")
-def a10_srt_parse(spark, folder):
-    return parsed(spark, folder, F.substring("text", 1, 50))
-
-
 @query("""SELECT conv_id, turn, turn + 1 AS number, turn * 61.5::DOUBLE AS start, turn * 61.5::DOUBLE + 2.25 AS "end", trim(regexp_replace(text, '\\s*\\n\\s*', ' ', 'g')) AS caption FROM (SELECT conv_id, turn, text FROM conversations WHERE text IS NOT NULL)""")
 def a10_srt_parse_whole(spark, folder):
     return parsed(spark, folder, F.col("text"))

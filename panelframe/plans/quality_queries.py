@@ -38,14 +38,15 @@ def d02_verdict(spark, folder):
     return verdicts(spark, folder).drop("p_brand")
 
 
-@query("""WITH h AS (SELECT vec_id AS id, list_sum(list_transform(range(0, 64), lambda i: CASE WHEN embedding[i % len(embedding) + 1] > 0 THEN (1::HUGEINT << i::INT) ELSE 0 END))::HUGEINT AS hash FROM embeddings)
-SELECT a.id, min(b.id) AS duplicate_of FROM h a LEFT JOIN h b ON b.id < a.id AND bit_count(xor(a.hash, b.hash)) <= 6 GROUP BY a.id""")
+@query("""WITH h AS (SELECT vec_id AS id, list_sum(list_transform(range(0, 64), lambda i: CASE WHEN embedding[i % len(embedding) + 1] > 0 THEN (1::HUGEINT << i::INT) ELSE 0 END))::HUGEINT AS hash, coalesce(embedding[1] > -0.25, false) AS valid FROM embeddings)
+SELECT a.id, min(b.id) AS duplicate_of FROM h a LEFT JOIN h b ON b.id < a.id AND a.valid AND b.valid AND bit_count(xor(a.hash, b.hash)) <= 6 GROUP BY a.id""")
 def d03_near_hashes(spark, folder):
     bit = lambda i: F.when(F.get("embedding", F.lit(i) % F.size("embedding")) > 0, F.lit(1 << i if i < 63 else -(1 << 63)).cast("long")).otherwise(F.lit(0).cast("long"))
     bits = bit(0)
     for i in range(1, 64):
         bits = bits.bitwiseOR(bit(i))
-    return Q.near_hashes(table(spark, folder, "embeddings").select(F.col("vec_id").alias("id"), bits.alias("hash")))
+    panels = table(spark, folder, "embeddings").select(F.col("vec_id").alias("id"), bits.alias("hash"), (F.col("embedding")[0] > F.lit(-0.25).cast("float")).alias("valid"))
+    return Q.near_hashes(panels, valid=F.col("valid"))
 
 
 @query(f"SELECT p_brand, count(*) AS detected, count(*) FILTER (quality = 'normal') AS accepted, count(*) FILTER (quality = 'suspicious') AS suspicious, count(*) FILTER (quality = 'invalid') AS rejected FROM ({_VERDICT}) GROUP BY p_brand")

@@ -11,10 +11,13 @@ ORACLE: dict[str, str] = {}
 
 
 def query(sql: str | None = None):
+    """Register a query; one whose name ends in _whole, from when there was another form, under the plain name too."""
+
     def register(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE[f.__name__] = sql
+        for name in {f.__name__, f.__name__.removesuffix("_whole")}:
+            QUERIES[name] = f
+            if sql:
+                ORACLE[name] = sql
         return f
 
     return register

@@ -136,17 +136,17 @@ def f06_alternating_split(spark, folder):
     return TL.alternating_direction(parts, F.col("p_size") % 3 == 0).select("p_partkey", "split_dir")
 
 
-def bank(spark, folder, every=False):
-    """A sound bank: parts by type stand for files of the three kinds, one in 25 or every one."""
+def bank(spark, folder):
+    """A sound bank: parts by type stand for files of the three kinds."""
     kind = F.element_at(F.array(F.lit("transition"), F.lit("action"), F.lit("reveal")), (F.col("p_size") % 3 + 1).cast("int"))
     parts = table(spark, folder, "part")
-    files = (parts if every else parts.where("p_partkey % 25 = 0")).select(kind.alias("kind"), F.concat(kind, F.lit("/"), "p_partkey", F.lit(".wav")).alias("source"))
+    files = parts.select(kind.alias("kind"), F.concat(kind, F.lit("/"), "p_partkey", F.lit(".wav")).alias("source"))
     w = Window.partitionBy("kind")
     return files.withColumn("k", (F.row_number().over(w.orderBy("source")) - 1).cast("long")).withColumn("n", F.count(F.lit(1)).over(w))
 
 
 _BANK = """bank AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY source) - 1 AS k, count(*) OVER (PARTITION BY kind) AS n FROM (
-    SELECT kind, kind || '/' || p_partkey || '.wav' AS source FROM (SELECT p_partkey, ['transition', 'action', 'reveal'][p_size % 3 + 1] AS kind FROM part WHERE p_partkey % 25 = 0)))"""
+    SELECT kind, kind || '/' || p_partkey || '.wav' AS source FROM (SELECT p_partkey, ['transition', 'action', 'reveal'][p_size % 3 + 1] AS kind FROM part)))"""
 _CUE_SQL = f"""WITH {TIMELINE}, {_BANK},
   r AS (SELECT *, sum(duration_seconds) OVER (PARTITION BY chapter) AS total, lower(regexp_extract(coalesce(text, ''), {S.SFX}, 1)) AS word,
       list_position(list_transform(CASE WHEN audio_seconds IS NULL THEN [] ELSE {_W} END, lambda x: lower(trim(x, '.,!?…"''“”’ '))), lower(regexp_extract(coalesce(text, ''), {S.SFX}, 1))) AS pos FROM t WHERE start_seconds IS NOT NULL),
@@ -161,29 +161,15 @@ SELECT chapter, panel_id, kind, round(least(greatest(round(moment, 3), 0.0), gre
 
 
 @query(_CUE_SQL)
-def f07_sound_cues(spark, folder):
-    return TL.sound_cues(timed(told(spark, folder)), bank(spark, folder))
-
-
-@query(f"SELECT chapter, panel_id, kind, source FROM ({_CUE_SQL}) WHERE source IN (SELECT kind || '/' || p_partkey || '.wav' FROM (SELECT p_partkey, ['transition', 'action', 'reveal'][p_size % 3 + 1] AS kind FROM part WHERE p_partkey % 50 = 0))")
-def f08_known_cues(spark, folder):
-    found = bank(spark, folder).where(F.regexp_extract("source", r"/(\d+)\.", 1).cast("long") % 50 == 0)
-    return TL.known_cues(TL.sound_cues(timed(told(spark, folder)), bank(spark, folder)), found).select("chapter", "panel_id", "kind", "source")
-
-
-_CUE_SQL_WHOLE = _CUE_SQL.replace(" FROM part WHERE p_partkey % 25 = 0", " FROM part")
-
-
-@query(_CUE_SQL_WHOLE)
 def f07_sound_cues_whole(spark, folder):
-    return TL.sound_cues(timed(told(spark, folder)), bank(spark, folder, every=True))
+    return TL.sound_cues(timed(told(spark, folder)), bank(spark, folder))
 
 
-@query(f"SELECT chapter, panel_id, kind, source FROM ({_CUE_SQL_WHOLE}) WHERE source IN (SELECT ['transition', 'action', 'reveal'][p_size % 3 + 1] || '/' || p_partkey || '.wav' FROM part WHERE NOT starts_with(p_type, 'PROMO'))")
+@query(f"SELECT chapter, panel_id, kind, source FROM ({_CUE_SQL}) WHERE source IN (SELECT ['transition', 'action', 'reveal'][p_size % 3 + 1] || '/' || p_partkey || '.wav' FROM part WHERE NOT starts_with(p_type, 'PROMO'))")
 def f08_known_cues_whole(spark, folder):
     """Files of all parts are in the bank; those of promoted types are no longer there."""
     there = table(spark, folder, "part").where("not startswith(p_type, 'PROMO')").select(F.col("p_partkey").alias("_part"))
-    every = bank(spark, folder, every=True)
+    every = bank(spark, folder)
     found = every.withColumn("_part", F.regexp_extract("source", r"/(\d+)\.", 1).cast("long")).join(there, "_part", "left_semi")
     return TL.known_cues(TL.sound_cues(timed(told(spark, folder)), every), found).select("chapter", "panel_id", "kind", "source")
 

@@ -142,27 +142,24 @@ def b40_finish_reason(spark, folder):
     return table(spark, folder, "events").select("event_id", G.finish_label(reason).alias("label"), G.is_truncated(reason).alias("truncated"))
 
 
-@query("SELECT l_orderkey, l_linenumber, count(DISTINCT 1) AS same FROM lineitem GROUP BY ALL")
+@query("""SELECT l_orderkey, l_linenumber, sha256('{"a":"' || l_returnflag || '","n":' || l_linenumber || '}') AS hash, true AS same, l_linenumber = 1 AS as_first FROM lineitem""")
 def b35_config_hash(spark, folder):
-    a = G.config_hash({"q": F.col("l_quantity"), "d": F.col("l_discount"), "color": F.col("l_tax")}, {"color"})
-    b = G.config_hash({"d": F.col("l_discount"), "color": F.lit(0), "q": F.col("l_quantity")}, {"color"})
-    return table(spark, folder, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.countDistinct(a == b).alias("same"))
+    """The hash itself; one of the fields in another order and style, and one of another number."""
+    flag, number = F.col("l_returnflag"), F.col("l_linenumber")
+    a = G.config_hash({"n": number, "a": flag, "color": F.col("l_tax")}, {"color"})
+    b = G.config_hash({"a": flag, "color": F.lit(0), "n": number}, {"color"})
+    first = G.config_hash({"n": F.lit(1), "a": flag}, set())
+    return table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", a.alias("hash"), (a == b).alias("same"), (a == first).alias("as_first"))
 
 
-_MODELS = {"gpt4": "gpt-4", "gpt-4-latest": "gpt-4", "flash": "gemini-flash", "gemini-flash-001": "gemini-flash"}
+_MODELS = {"model-2.5-large": ["Large 2.5", "2.5"], "model-2.0-small": ["Small 2.0", "2.0"]}
 
 
-@query("""SELECT event_id, CASE event_type WHEN 'click' THEN 'gpt-4' WHEN 'view' THEN 'gemini-flash' ELSE event_type END AS model FROM events""")
+@query("""SELECT event_id, CASE event_type WHEN 'click' THEN 'model-2.5-large' WHEN 'view' THEN 'model-2.0-small' WHEN 'error' THEN 'model-x' ELSE event_type END AS model FROM events""")
 def b36_model_names(spark, folder):
-    raw = F.when(F.col("event_type") == "click", " GPT4 ").when(F.col("event_type") == "view", "Gemini_Flash_001").otherwise(F.col("event_type"))
-    names = F.create_map(*[F.lit(x) for kv in _MODELS.items() for x in kv])
-    clean = F.regexp_replace(F.lower(F.trim(raw)), "[_ ]+", "-")
-    return table(spark, folder, "events").select("event_id", F.coalesce(F.try_element_at(names, clean), clean).alias("model"))
-
-
-@query("""SELECT conv_id, turn, '#' || turn || ' [' || role || '] ' || left(coalesce(text, ''), 60) AS row, coalesce(array_to_string(list(role) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), ' | '), '') AS context FROM conversations""")
-def b37_prompt_rows(spark, folder):
-    return prompt_rows(spark, folder, F.substring(X.text(F.col("text")), 1, 60))
+    t = F.col("event_type")
+    raw = F.when(t == "click", F.when(F.col("event_id") % 2 == 0, " LARGE-2.5!").otherwise("2_5")).when(t == "view", "small 2 0").when(t == "error", "model-x").otherwise(t)
+    return table(spark, folder, "events").select("event_id", G.accepted_name(raw, _MODELS, "model-").alias("model"))
 
 
 @query("""SELECT conv_id, turn, '#' || turn || ' [' || role || '] ' || coalesce(text, '') AS row, coalesce(array_to_string(list(role) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), ' | '), '') AS context FROM conversations""")

@@ -85,4 +85,4 @@ def test_no_row_is_left_out(spark, tmp_path):
     got = whole(spark, tmp_path, "e05_first_lines_whole", documents=docs, labels=([(1003, 1, 0), (2003, 0, 0)], LABELS))
     assert {(r["doc_id"], r["part"]) for r in got} == {(1003, "hook"), (2003, "beat")}
     spark.range(1, 101).selectExpr("id as p_partkey", "cast(id % 7 as int) as p_size").write.parquet(f"{tmp_path}/part.parquet")
-    assert bank(spark, str(tmp_path), every=True).count() == 100
+    assert bank(spark, str(tmp_path)).count() == 100
