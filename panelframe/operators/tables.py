@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame
@@ -10,9 +11,12 @@ from pyspark.sql import DataFrame
 def settled(df: DataFrame) -> DataFrame:
     """df worked out and kept in the folder that all executors share, so that its lineage ends there.
 
-    That is spark.checkpoint.dir; where it is unset, as in tests, a new local folder.
+    That is spark.checkpoint.dir; where it is unset, a new local folder for a local session, and an error on a cluster.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.match(r"local(\[|$)", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(folder or "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     return df.checkpoint()
