@@ -5,9 +5,12 @@ from __future__ import annotations
 from bisect import bisect_left
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelframe.functions.text import let
+from panelframe.operators.intervals import spaced_cuts
+
 
 def absorbed(cuts: list[int], height: int, least: int) -> list[int]:
     """Inner cuts without those beside too thin panels: the first thin one joins its taller neighbour, upwards on ties, until none is left.
@@ -78,3 +81,21 @@ def split_oversized(panels: DataFrame, gutters: DataFrame, most: int) -> DataFra
     kind = panels.schema["strip"].dataType.simpleString()
     other = gutters.select(F.col("strip").alias("of"), "mid")
     return panels.groupBy("strip").cogroup(other.groupBy("of")).applyInPandas(one, f"strip {kind}, id string, y0 long, y1 long")
+
+
+def fallback_plan(rows: DataFrame, found: DataFrame, least: int, most: int, tiny: int = 5) -> DataFrame:
+    """(strip, panel_index, y0, y1, panel_type, confidence): panels of a strip of which nothing is known but its rows.
+
+    rows(strip, y) give the heights and found(strip, mid) the gutters.  Cuts are at least `least` rows apart, panels
+    under `tiny` rows go, those over `most` are split at gutters within; a strip with a single cut has no panel.
+    The confidence is 0: nothing was read.
+    """
+    heights = rows.groupBy("strip").agg((F.max("y") + 1).cast("long").alias("h"))
+    mids = found.groupBy("strip").agg(F.collect_list(F.col("mid").cast("long")).alias("mids"))
+    cuts = spaced_cuts(F.coalesce("mids", F.array().cast("array<bigint>")), F.col("h"), least)
+    pair = lambda c: F.transform(F.slice(c, F.lit(1), F.size(c) - 1), lambda y, i: F.struct(y.alias("y0"), F.element_at(c, i + 2).alias("y1")))
+    panels = heights.join(mids, "strip", "left").select("strip", F.posexplode(let(cuts, pair)).alias("n", "p"))
+    panels = panels.select("strip", F.format_string("%05d", "n").alias("id"), "p.y0", "p.y1").where(F.col("y1") - F.col("y0") >= tiny)
+    pieces_ = split_oversized(panels, found.select("strip", F.col("mid").cast("long")), most)
+    index = F.row_number().over(Window.partitionBy("strip").orderBy("y0")).cast("long")
+    return pieces_.select("strip", index.alias("panel_index"), "y0", "y1", F.lit("unknown").alias("panel_type"), F.lit(0.0).alias("confidence"))

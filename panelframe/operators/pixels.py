@@ -230,3 +230,55 @@ def text_band(rows: DataFrame, gap: int = 4) -> DataFrame:
 
 def gutter_rows(rows: DataFrame, least: float = 0.7) -> DataFrame:
     return runs(rows, ["strip"], "y", F.col("mono") >= least)
+
+
+REGION = "strip string, id string, variance double, edge_density double, fg_ratio double, entropy double, height int, width int"
+
+
+def _region(gray: np.ndarray, y0: int, y1: int) -> tuple:
+    """(variance, edges, share of pixels far from the frame's median, entropy) of rows y0 to y1."""
+    part = gray[max(0, y0) : max(0, y1)]
+    if not part.size:
+        return 0.0, 0.0, 0.0, 0.0
+    thick = min(4, max(1, len(part) // 2))
+    frame = [part[:thick], part[-thick:]] + ([part[:, :4], part[:, -4:]] if part.shape[1] >= 8 else [])
+    border = np.median(np.concatenate([f.ravel() for f in frame]))
+    counts = np.bincount((part // (256 // BINS)).astype(int).ravel(), minlength=BINS)
+    return round(float(part.var()), 2), round(float(np.abs(sobel_x(part)).mean()), 2), round(float((np.abs(part - border) > 28).mean()), 4), round(float(entropy_of(counts)), 3)
+
+
+def region_metrics(images: DataFrame, panels: DataFrame) -> DataFrame:
+    """Content metrics of each of panels(strip, id, y0, y1) on its strip's image (see row_metrics for images); zeros outside of it."""
+
+    def measure(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            for origin, h, w, c, data, regions in zip(pdf["origin"], pdf["height"], pdf["width"], pdf["nChannels"], pdf["data"], pdf["regions"]):
+                px = np.frombuffer(data, np.uint8).reshape(h, w, c).astype(np.float64)
+                gray = np.rint(px[..., : min(c, 3)] @ np.array([0.114, 0.587, 0.299][: min(c, 3)] if c > 1 else [1.0]))
+                found = [(origin, r["id"], *_region(gray, r["y0"], r["y1"]), r["y1"] - r["y0"], w) for r in regions]
+                yield pd.DataFrame(found, columns=[f.split()[0] for f in REGION.split(", ")])
+
+    asked = panels.groupBy("strip").agg(F.collect_list(F.struct(F.col("id").cast("string").alias("id"), F.col("y0").cast("int").alias("y0"), F.col("y1").cast("int").alias("y1"))).alias("regions"))
+    rows = images.select("image.origin", "image.height", "image.width", "image.nChannels", "image.data").join(asked.withColumnRenamed("strip", "origin"), "origin")
+    return rows.mapInPandas(measure, REGION)
+
+
+def black_padding(rows: DataFrame) -> DataFrame:
+    """(strip, top, bottom): each image without the rows at its ends in which every pixel is dark; a wholly dark one stays whole."""
+    lit = F.when(F.col("dark") < 1, F.col("y"))
+    s = rows.groupBy("strip").agg(F.min(lit).alias("a"), F.max(lit).alias("b"), (F.max("y") + 1).alias("h"))
+    return s.select("strip", F.coalesce("a", F.lit(0)).cast("int").alias("top"), F.coalesce(F.col("b") + 1, F.col("h")).cast("int").alias("bottom"))
+
+
+def source_of_scores(panels: DataFrame, crops: DataFrame, files: DataFrame, names: list[str]) -> DataFrame:
+    """panels(strip, id) with the scores `names` and their method: those of the strip's crop, else of the panel's own file without padding, else missing.
+
+    crops(strip, id, y0, y1, ...) count if they have rows and scores; files(strip, id, ...) if they have scores.
+    """
+    usable = crops.where((F.col("y1") > F.col("y0")) & F.col(names[0]).isNotNull()).select("strip", "id", F.struct(*names).alias("_crop"))
+    own = files.where(F.col(names[0]).isNotNull()).select("strip", "id", F.struct(*names).alias("_file"))
+    rows = panels.join(usable, ["strip", "id"], "left").join(own, ["strip", "id"], "left")
+    method = F.when(F.col("_crop").isNotNull(), "strip_crop").when(F.col("_file").isNotNull(), "padding_stripped").otherwise("missing")
+    return rows.select("strip", "id", *(F.coalesce(F.col(f"_crop.{n}"), F.col(f"_file.{n}")).alias(n) for n in names), method.alias("method"))

@@ -100,6 +100,33 @@ def c10_split(spark, folder):
     return folds.split_oversized(panels.withColumn("y1", F.col("y1") * 40), intervals.gutters(rows, IQ.marks(spark, folder)).withColumn("mid", F.col("mid") * 40), 1600)
 
 
+@query(f"""WITH RECURSIVE {IQ._GUTTERS}, hs AS (SELECT strip, max(y) + 1 AS h FROM r GROUP BY strip),
+  o AS (SELECT strip, mid, row_number() OVER (PARTITION BY strip ORDER BY mid) AS n FROM v),
+  f AS (SELECT strip, 0::BIGINT AS n, 0::BIGINT AS last, [0::BIGINT] AS cuts FROM hs UNION ALL
+    SELECT f.strip, o.n, CASE WHEN mid - last >= 8 THEN mid ELSE last END, CASE WHEN mid - last >= 8 THEN list_append(cuts, mid) ELSE cuts END FROM f JOIN o ON o.strip = f.strip AND o.n = f.n + 1),
+  e AS (SELECT strip, h, CASE WHEN cuts[-1] < h - 8 THEN list_append(cuts, h) WHEN cuts[-1] <> h THEN list_append(cuts[1:len(cuts) - 1], h) ELSE cuts END AS c FROM (SELECT strip, arg_max(cuts, n) AS cuts FROM f GROUP BY strip) JOIN hs USING (strip)),
+  p AS (SELECT strip, c[i] AS y0, c[i + 1] AS y1 FROM (SELECT *, unnest(range(1, len(c))) AS i FROM e))
+SELECT strip, row_number() OVER (PARTITION BY strip ORDER BY y0) AS panel_index, y0, y1, 'unknown' AS panel_type, 0.0::DOUBLE AS confidence FROM p WHERE y1 - y0 >= 5""")
+def c21_fallback_plan(spark, folder):
+    """No panel of these strips is over the greatest height; splits are tested apart."""
+    rows = IQ.row_metrics(spark, folder)
+    return folds.fallback_plan(rows, intervals.gutters(rows, IQ.marks(spark, folder)), 8, 1 << 40)
+
+
+@query(f"""WITH {_M}, c AS (SELECT strip, y0, y0 + 7 AS y1 FROM (SELECT DISTINCT strip, y - y % 9 AS y0 FROM m)), l AS (SELECT strip, max(y) + 1 AS h FROM m GROUP BY strip),
+  s AS (SELECT c.strip, c.y0, avg(variance) AS variance, avg(edge) AS edge FROM c JOIN m ON m.strip = c.strip AND y >= y0 AND y < y1 JOIN l ON l.strip = c.strip AND c.y1 <= h WHERE y0 % 2 = 0 GROUP BY ALL), f AS (SELECT strip, y0, y0 / 2.0::DOUBLE AS variance, 1.0::DOUBLE AS edge FROM c WHERE y0 % 3 = 0)
+SELECT c.strip, c.y0 AS id, round(coalesce(s.variance, f.variance), 6) AS variance, round(coalesce(s.edge, f.edge), 6) AS edge, CASE WHEN s.variance IS NOT NULL THEN 'strip_crop' WHEN f.variance IS NOT NULL THEN 'padding_stripped' ELSE 'missing' END AS method
+FROM c LEFT JOIN s ON s.strip = c.strip AND s.y0 = c.y0 LEFT JOIN f ON f.strip = c.strip AND f.y0 = c.y0""")
+def c23_score_sources(spark, folder):
+    """Every second panel has no rows of its own in the strip, every third one a file."""
+    rows = metrics(spark, folder)
+    panels = rows.select("strip", (F.col("y") - F.col("y") % 9).cast("int").alias("id")).distinct()
+    crops = P.crop_scores(rows, panels.select("strip", "id", F.col("id").alias("y0"), (F.col("id") + F.when(F.col("id") % 2 == 0, 7).otherwise(0)).alias("y1")))
+    files = panels.where("id % 3 = 0").select("strip", "id", (F.col("id") / 2).alias("variance"), F.lit(1.0).alias("edge"))
+    scored = P.source_of_scores(panels, crops, files, ["variance", "edge"])
+    return scored.select("strip", "id", F.round("variance", 6).alias("variance"), F.round("edge", 6).alias("edge"), "method")
+
+
 @query("""SELECT conv_id, turn, h, coalesce(sum(h) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS y_offset, max(w) OVER (PARTITION BY conv_id) AS strip_width FROM (SELECT conv_id, turn, 100 + length(text) % 900 AS h, 300 + length(text) % 500 AS w FROM conversations WHERE text IS NOT NULL)""")
 def a05_stitched_offsets(spark, folder):
     n = F.length("text").cast("long")

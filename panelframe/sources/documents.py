@@ -50,11 +50,33 @@ def write_blocks(blocks: DataFrame, path: str) -> None:
     ordered.select("chapter", "block").write.partitionBy("chapter").text(path)
 
 
-def with_provenance(rows: DataFrame, generator: str, config_hash: str, version: int = 1) -> DataFrame:
-    meta = F.struct(F.lit(version).alias("schema_version"), F.lit(generator).alias("generator"), F.lit(config_hash).alias("config_hash"))
+def with_provenance(rows: DataFrame, generator: str, config_hash: str, version: int = 1, inputs: dict[str, str] | None = None) -> DataFrame:
+    """rows with meta: who made them, of which configuration, and the hashes of the named inputs."""
+    hashes = F.map_from_arrays(F.array(*map(F.lit, inputs)), F.array(*map(F.lit, inputs.values()))) if inputs else F.create_map().cast("map<string,string>")
+    meta = F.struct(F.lit(version).alias("schema_version"), F.lit(generator).alias("generator"), F.lit(config_hash).alias("config_hash"), hashes.alias("input_hashes"))
     return rows.withColumn("meta", meta)
 
 
+SEGMENT = "struct<seg:int,t0:double,t1:double,dur:double,zoom:double,matchScore:double,dx:double,dy:double,dxps:double,dyps:double>"
+TEMPLATE = f"name string, reference_width double, reference_height double, static_speed_threshold_px_per_s double, low_confidence_threshold double, low_confidence_damping double, segments array<{SEGMENT}>"
+
+
+def motion_templates(spark: SparkSession, path: str) -> DataFrame:
+    """Motion template files, one row each with defaults filled in and segments in order; one without segments, or with a value missing in one, is an error."""
+    docs = spark.read.schema(TEMPLATE).option("multiLine", True).option("mode", "FAILFAST").json(path).withColumn("path", F.col("_metadata.file_path"))
+    # What a template that leaves them out has.
+    defaults = {"name": "reference_v1", "reference_width": 1312.0, "reference_height": 2332.0, "static_speed_threshold_px_per_s": 5.0, "low_confidence_threshold": 0.85, "low_confidence_damping": 0.6}
+    whole = lambda s: F.forall(F.array(*[s[f] for f in ("t0", "t1", "dur", "zoom", "matchScore", "dx", "dy", "dxps", "dyps")]), lambda v: v.isNotNull()) & s["seg"].isNotNull()
+    fine = (F.size(F.coalesce("segments", F.array().cast(f"array<{SEGMENT}>"))) > 0) & F.forall("segments", whole)
+    checked = F.when(F.coalesce(fine, F.lit(False)), F.array_sort("segments")).otherwise(F.raise_error(F.concat(F.lit("no whole segments in "), F.col("path"))).cast(f"array<{SEGMENT}>"))
+    return docs.fillna(defaults).withColumn("segments", checked)
+
+
+def template_segments(templates: DataFrame) -> DataFrame:
+    """A row for each segment of motion_templates(), in order."""
+    return templates.select("path", "name", F.posexplode("segments").alias("pos", "s")).select("path", "name", "pos", "s.*")
+
+
 def keep_first_backup(rows: DataFrame, path: str) -> None:
     """Rejected rows beside the kept ones; a backup that is there already stays as it is."""
     rows.write.mode("ignore").parquet(path)

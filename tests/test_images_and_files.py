@@ -105,6 +105,54 @@ def test_crop_scores(spark, rows):
     assert got[3]["method"] == "missing"
 
 
+def test_region_metrics(spark, tmp_path):
+    px = np.full((40, 20, 3), 50)
+    px[10:20, 8:12] = 150
+    write_png(tmp_path / "r.png", px)
+    images = spark.read.format("image").load(f"file://{tmp_path}")
+    origin = images.select("image.origin").first()[0]
+    panels = spark.createDataFrame([(origin, "a", 5, 25), (origin, "b", 25, 40), (origin, "c", 60, 70), ("none", "d", 0, 5)], "strip string, id string, y0 int, y1 int")
+    got = {r["id"]: r for r in P.region_metrics(images, panels).collect()}
+    gray = px[5:25, :, 0].astype(float)
+    assert got["a"]["variance"] == round(gray.var(), 2) and got["a"]["fg_ratio"] == 0.1 and got["a"]["width"] == 20 and got["a"]["height"] == 20
+    assert got["a"]["entropy"] == round(-(0.1 * np.log2(0.1) + 0.9 * np.log2(0.9)), 3)
+    # Four edge columns of height 8, weighted 4 within and 3 and 1 about the two ends: (8 * 4 + 2 * 3 + 2 * 1) * 100 * 4 / 400.
+    assert got["a"]["edge_density"] == 40.0
+    assert got["b"]["variance"] == got["b"]["edge_density"] == got["b"]["entropy"] == 0.0 and got["c"]["fg_ratio"] == 0.0 and set(got) == {"a", "b", "c"}
+
+
+def test_padding_and_sources_of_scores(spark):
+    rows = spark.createDataFrame([("s", y, 1.0 if y < 3 or y > 7 else 0.5) for y in range(10)] + [("t", y, 1.0) for y in range(4)], "strip string, y int, dark double")
+    assert sorted(tuple(r) for r in P.black_padding(rows).collect()) == [("s", 3, 8), ("t", 0, 4)]
+    panels = spark.createDataFrame([("s", 1), ("s", 2), ("s", 3), ("s", 4)], "strip string, id int")
+    crops = spark.createDataFrame([("s", 1, 0, 5, 1.0), ("s", 2, 5, 5, 2.0), ("s", 3, 0, 5, None)], "strip string, id int, y0 int, y1 int, v double")
+    files = spark.createDataFrame([("s", 1, 9.0), ("s", 2, 8.0), ("s", 4, None)], "strip string, id int, v double")
+    got = {r["id"]: (r["v"], r["method"]) for r in P.source_of_scores(panels, crops, files, ["v"]).collect()}
+    assert got == {1: (1.0, "strip_crop"), 2: (8.0, "padding_stripped"), 3: (None, "missing"), 4: (None, "missing")}
+
+
+def test_fallback_plan_splits_and_drops(spark):
+    rows = spark.createDataFrame([("s", y) for y in range(1000)] + [("t", y) for y in range(30)], "strip string, y int")
+    found = spark.createDataFrame([("s", 100), ("s", 103), ("s", 500), ("s", 997)], "strip string, mid long")
+    got = sorted(tuple(r) for r in folds.fallback_plan(rows, found, 4, 450).collect())
+    assert [(r[0], r[1], r[2], r[3]) for r in got] == [("s", 1, 0, 100), ("s", 2, 100, 500), ("s", 3, 500, 1000), ("t", 1, 0, 30)] and {r[4:] for r in got} == {("unknown", 0.0)}
+    got = sorted(tuple(r)[:4] for r in folds.fallback_plan(rows, found, 450, 300).collect())
+    # 100 and 103 are too far from the middle; the strip under the least distance has one cut alone, so no panel.
+    assert got == [("s", 1, 0, 500), ("s", 2, 500, 1000)]
+
+
+def test_motion_templates(spark, tmp_path):
+    segment = lambda n: {"seg": n, "t0": 0, "t1": 1, "dur": 1, "zoom": 1, "matchScore": 0.9, "dx": 0, "dy": 1, "dxps": 0, "dyps": 1}
+    (tmp_path / "a.json").write_text(json.dumps({"name": "x", "reference_width": 100, "segments": [segment(3), segment(1), segment(2)]}))
+    t = D.motion_templates(spark, f"file://{tmp_path}/a.json")
+    assert (t.first()["reference_width"], t.first()["reference_height"], t.first()["low_confidence_damping"]) == (100.0, 2332.0, 0.6)
+    assert [r["seg"] for r in D.template_segments(t).orderBy("pos").collect()] == [1, 2, 3]
+    for k, bad in enumerate(({"name": "x"}, {"segments": []}, {"segments": [{"seg": 1}]})):
+        (tmp_path / f"bad{k}.json").write_text(json.dumps(bad))
+        with pytest.raises(Exception, match="no whole segments"):
+            D.motion_templates(spark, f"file://{tmp_path}/bad{k}.json").collect()
+
+
 def test_thin_panels_join_the_taller_neighbour():
     assert folds.absorbed([100, 110, 300], 500, 50) == [100, 300]
     assert folds.absorbed([10], 500, 50) == [] and folds.absorbed([], 20, 50) == []
@@ -150,4 +198,5 @@ def test_first_backup_wins(spark, tmp_path):
     D.keep_first_backup(spark.range(3), path)
     D.keep_first_backup(spark.range(9), path)
     assert spark.read.parquet(path).count() == 3
-    assert D.with_provenance(spark.range(1), "g", "h").first()["meta"]["generator"] == "g"
+    meta = D.with_provenance(spark.range(1), "g", "h", inputs={"strip": "abc"}).first()["meta"]
+    assert meta["generator"] == "g" and meta["input_hashes"] == {"strip": "abc"} and D.with_provenance(spark.range(1), "g", "h").first()["meta"]["input_hashes"] == {}
