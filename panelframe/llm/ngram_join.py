@@ -65,21 +65,21 @@ def choose_boundary(stats: list[tuple[int, float, float]], percent: int) -> int:
 
 
 def _named(docs: DataFrame, n: int) -> DataFrame:
-    """(_id, size, one, two) of docs(_id, _text): the size and the 128-bit name of every row's set."""
+    """(_id, _mark, size, one, two) of docs(_id, _mark, _text): the size and the 128-bit name of every row's set."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
     long = T.LongType()
-    out = T.StructType([typed(docs, "_id"), *(T.StructField(c, long) for c in ("size", "one", "two"))])
+    out = T.StructType([typed(docs, "_id"), *(T.StructField(c, long) for c in ("_mark", "size", "one", "two"))])
     arrow = to_arrow_schema(out)
 
     def batches(source):
         for batch in source:
             for part in cut(batch):
-                found = shingles.sets(part.column(1), n)
-                yield pa.RecordBatch.from_arrays([part.column(0).cast(arrow.field(0).type), pa.array([len(s) for s in found], pa.int64()), *map(pa.array, shingles.names(found))], schema=arrow)
+                found = shingles.sets(part.column(2), n)
+                yield pa.RecordBatch.from_arrays([part.column(0).cast(arrow.field(0).type), part.column(1), pa.array([len(s) for s in found], pa.int64()), *map(pa.array, shingles.names(found))], schema=arrow)
         give_back()
 
-    return map_batches(docs.select("_id", "_text"), batches, out)
+    return map_batches(docs.select("_id", "_mark", "_text"), batches, out)
 
 
 def deal(nodes: np.ndarray, sets: list[np.ndarray], buckets: int, short: bool):
@@ -508,9 +508,10 @@ def _buckets(tokens: int) -> int:
 
 
 def _grouped(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int) -> DataFrame:
-    """(_id, size, one, two, root, smallest) of every row; the last two are null for a row without words."""
+    """(_id, _mark, size, root, smallest) of every row, _mark a hash of its text; the last two are null for a row without words."""
     spark = docs.sparkSession
-    docs = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").cast("string").alias("_text"))
+    text = F.col(f"`{text_col}`").cast("string")
+    docs = docs.select(F.col(f"`{id_col}`").alias("_id"), F.xxhash64(text).alias("_mark"), text.alias("_text"))
     every = written(_named(docs, n), "ngram-sets")
     nodes = every.where("size > 0").groupBy("one", "two").agg(F.min("_id").alias("rep"), F.first("size").alias("size"))
     nodes = written(nodes.select((F.monotonically_increasing_id() + 1).alias("node"), "*"), "nodes")
@@ -543,7 +544,7 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int)
     grouped = written(nodes.join(rooted, "node", "left").select("one", "two", "rep", F.coalesce("root", "node").alias("root")), "grouped")
     smallest = grouped.groupBy("root").agg(F.min("rep").alias("smallest"))
     named = written(grouped.join(smallest, "root").select("one", "two", "root", "smallest"), "named")
-    return every.join(named, ["one", "two"], "left").select("_id", "size", "one", "two", "root", "smallest")
+    return every.join(named, ["one", "two"], "left").select("_id", "_mark", "size", "root", "smallest")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 75) -> DataFrame:
@@ -554,39 +555,26 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
     id may be among those to go are shuffled: a fixed-size presence filter passes the others through.
     """
     spark = docs.sparkSession
-    i = F.col(f"`{id_col}`")
+    i, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`").cast("string")
     found = written(_grouped(docs, id_col, text_col, n, percent).where("_id is not null and size > 0"), "near-duplicates")
-    keepers = written(found.where("_id = smallest").groupBy("_id", "root").agg(F.min(F.struct("one", "two")).alias("k")).select("_id", "k.one", "k.two"), "keepers")
-    rows = found.groupBy("_id", "one", "two").agg(F.count(F.lit(1)).alias("n"))
-    going = rows.where("n > 1").select("_id").union(rows.join(keepers, ["_id", "one", "two"], "left_anti").select("_id"))
+    keepers = written(found.where("_id = smallest").groupBy("_id", "root").agg(F.min("_mark").alias("_mark")).select("_id", "_mark"), "keepers")
+    rows = found.groupBy("_id", "_mark").agg(F.count(F.lit(1)).alias("n"))
+    going = rows.where("n > 1").select("_id").union(rows.join(keepers, ["_id", "_mark"], "left_anti").select("_id"))
     packed = presence(spark, going.select(F.col("_id").alias("rep")))
 
-    small_batches()
-
+    # Only the number of a bit goes to Python, and no task needs two workers.
     @F.arrow_udf("boolean")
     def maybe(bits: pa.Array) -> pa.Array:
         return pa.array(_marked(bits, packed.value))
 
-    @F.arrow_udf("struct<maybe:boolean,one:bigint,two:bigint>")
-    def look(bits: pa.Array, texts: pa.Array) -> pa.Array:
-        hit = _marked(bits, packed.value)
-        one, two = np.zeros(len(hit), np.int64), np.zeros(len(hit), np.int64)
-        at = np.flatnonzero(hit)
-        batch = pa.RecordBatch.from_arrays([texts.take(pa.array(at))], names=["t"])
-        done = 0
-        for part in cut(batch):
-            names = shingles.names(shingles.sets(part.column(0), n))
-            one[at[done : done + part.num_rows]], two[at[done : done + part.num_rows]] = names
-            done += part.num_rows
-        give_back()
-        return pa.StructArray.from_arrays([pa.array(hit), pa.array(one), pa.array(two)], names=["maybe", "one", "two"])
-
-    # One Python step in each branch, so that a task needs one worker.
+    small_batches()
     bit = F.coalesce(id_bit(i), F.lit(0))
+    words = F.coalesce(text, F.lit("")).rlike(r"[^\x20\x09-\x0D]")
     sure = docs.where(i.isNull() | ~maybe(bit))
-    looked = docs.where(i.isNotNull()).withColumn("_look", look(bit, F.col(f"`{text_col}`").cast("string"))).where("_look.maybe").withColumns({"_one": F.col("_look.one"), "_two": F.col("_look.two")})
-    named = keepers.select(F.col("_id").alias("_keep"), F.col("one").alias("_of"), F.col("two").alias("_and"))
-    kept = looked.join(named, (i == F.col("_keep")) & (F.col("_one") == F.col("_of")) & (F.col("_two") == F.col("_and")))
-    once = kept.withColumn("_k", F.row_number().over(Window.partitionBy("_keep", "_of", "_and").orderBy(F.lit(1)))).where("_k = 1")
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    return sure.unionByName(looked.where("_one = 0 and _two = 0").select(columns)).unionByName(once.select(columns))
+    looked = docs.where(i.isNotNull() & maybe(bit))
+    named = keepers.select(F.col("_id").alias("_keep"), F.col("_mark").alias("_of"))
+    # The row as one value, so that no name clashes.
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    kept = looked.where(words).select(whole, i.alias("_i"), F.xxhash64(text).alias("_m")).join(named, (F.col("_i") == F.col("_keep")) & (F.col("_m") == F.col("_of")))
+    once = kept.withColumn("_k", F.row_number().over(Window.partitionBy("_keep", "_of").orderBy(F.lit(1)))).where("_k = 1")
+    return sure.unionByName(looked.where(~words)).unionByName(once.select("_row.*"))

@@ -31,7 +31,8 @@ class Encoder:
         import tiktoken
         from public_tokenizers import PATTERN
 
-        ids, _, self.special = vocabulary(path)
+        # Not from the cache: of the vocabulary, only what is kept below is needed.
+        ids, _, self.special = vocabulary.__wrapped__(path)
         with open(path.removesuffix(".json") + ".tiktoken", "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         core = tiktoken.Encoding("pack", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})

@@ -227,10 +227,11 @@ def test_near_duplicates_equal_brute_force(spark, seed):
     # A chain: each text is near the next one only.
     words = [f"c{k}" for k in range(90)]
     rows += [(1000 + k, " ".join(words[3 * k : 3 * k + 40])) for k in range(12)]
-    docs = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, node string, size int")
+    docs = spark.createDataFrame([(*r, "x", 1, "y") for r in rows], "doc_id long, text string, node string, _k int, _of string")
     got = [tuple(r) for r in ngram_join.near_duplicates(docs).collect()]
     assert sorted(got, key=str) == brute_components(rows)
     kept = ngram_join.keep_one(docs).collect()
+    assert kept[0].asDict().keys() == set(docs.columns) and {(r["node"], r["_k"], r["_of"]) for r in kept} == {("x", 1, "y")}
     want = brute_components(rows)
     assert sorted(r["doc_id"] for r in kept if r["doc_id"] is not None) == sorted({d for d, n, c in want if d is not None and (d == c or not n)})
 
