@@ -124,3 +124,60 @@ def output_size(width: Column, height: Column, target: int = 390, tallest: int =
     """struct(w, h) of the normalised panel: scaled to the target width, left as it is where that is too tall."""
     h = F.bround(height * target / width).cast("int")
     return F.struct(F.when(h > tallest, width).otherwise(target).cast("int").alias("w"), F.when(h > tallest, height).otherwise(h).cast("int").alias("h"))
+
+
+# Framing of a contained panel on its blurred copy, and when a strip is shown as two bands.
+TALL_SCALE, NORMAL_SCALE, NARROW_FILL = 2.2, 2.0, 0.5
+SWEEP, SLIDE = 0.35, 0.08
+SPLIT_ASPECT, SPLIT_COLUMNS = 3.0, 2
+LARGEST = 4.0
+
+
+def panel_motion(width: Column, height: Column, segment: Column, canvas: tuple[int, int] = CANVAS, strength: float = 1.0, blurred: bool = True) -> Column:
+    """struct(kind, scaled_w, scaled_h, travel_px, pan_x_px, pan_y_px, tall, panel_scale, split_columns, zoom_strength): a segment's move on one panel.
+
+    segment: struct(zoom, match_score, dx, dy, dxps, dyps).  Blurred: the panel stands within the canvas,
+    enlarged, and sweeps a fixed part of the frame; a very tall strip is two still bands.  Else it covers the
+    canvas and moves as far as the segment does, damped, within what hangs over; a move of two pixels or
+    less is a hold.  Null for a panel without positive size.
+    """
+    cw, ch = canvas
+    kind = segment_kind(segment["zoom"], segment["dx"], segment["dy"], segment["dxps"], segment["dyps"])
+    whole = lambda c: F.greatest(F.lit(1), F.ceil(c).cast("int"))
+
+    def moved(kind: Column, along_x: Column, along_y: Column, **rest: Column) -> Column:
+        signed = lambda plus, minus, n: F.when(kind == plus, n).when(kind == minus, -n).otherwise(0).cast("double")
+        x, y = signed("pan_right", "pan_left", along_x), signed("pan_down", "pan_up", along_y)
+        fields = rest | {"kind": kind, "travel_px": F.abs(x + y).cast("int"), "pan_x_px": x, "pan_y_px": y}
+        return F.struct(*[fields[n].alias(n) for n in ("kind", "scaled_w", "scaled_h", "travel_px", "pan_x_px", "pan_y_px", "tall", "panel_scale", "split_columns", "zoom_strength")])
+
+    pushed = zoom_strength(segment["zoom"])
+    if blurred:
+        contain = F.least(F.lit(cw) / width, F.lit(ch) / height, F.lit(LARGEST))
+        narrow = width * contain / cw < NARROW_FILL
+        split = narrow & (height / width >= SPLIT_ASPECT)
+        scale = F.when(split, 1.0).when(narrow, TALL_SCALE).otherwise(NORMAL_SCALE)
+        band = F.least(F.lit(cw) / (width * SPLIT_COLUMNS), F.lit(ch) / (height / SPLIT_COLUMNS), F.lit(LARGEST))
+        shown = F.when(split, "static").otherwise(kind)
+        w = F.when(split, whole(width * SPLIT_COLUMNS * band)).otherwise(whole(width * contain * scale))
+        h = F.when(split, whole(height / SPLIT_COLUMNS * band)).otherwise(whole(height * contain * scale))
+        out = moved(
+            shown, F.bround(F.lit(cw * SLIDE)), F.bround((scale - 1.0) * ch * SWEEP), scaled_w=w, scaled_h=h, tall=narrow, panel_scale=scale,
+            split_columns=F.when(split, SPLIT_COLUMNS).otherwise(0), zoom_strength=F.when(shown == "static", 0.0).otherwise(pushed),
+        )
+    else:
+        force = damping(segment["match_score"]) * max(0.0, float(strength))
+        cover = F.least(F.greatest(F.lit(cw) / width, F.lit(ch) / height), F.lit(LARGEST))
+        wish = lambda d, frame, size: F.abs(segment[d] / frame * size * force)
+        room = lambda n, size: F.greatest(F.lit(0), n - size - 2)
+        w0, h0 = F.ceil(width * cover), F.ceil(height * cover)
+        along = lambda w, h: (F.bround(F.least(wish("dx", FRAME[0], cw), room(w, cw))), F.bround(F.least(wish("dy", FRAME[1], ch), room(h, ch))))
+        x0, y0 = along(w0, h0)
+        short = F.when(kind.isin("pan_down", "pan_up"), y0 <= 2).when(kind.isin("pan_right", "pan_left"), x0 <= 2).otherwise(False)
+        hold = F.when(segment["zoom"] >= 1.1, "zoom_in").when(segment["zoom"] <= 0.95, "zoom_out").otherwise("static")
+        shown = F.when(short, hold).otherwise(kind)
+        # A pan that zooms in too is a little closer, and may go further.
+        closer = F.when(shown.startswith("pan_") & (segment["zoom"] >= 1.1), 1.0 + F.least(F.lit(0.25), (segment["zoom"] - 1.0) * 0.5)).otherwise(1.0)
+        w, h = F.ceil(w0 * closer), F.ceil(h0 * closer)
+        out = moved(shown, *along(w, h), scaled_w=w.cast("int"), scaled_h=h.cast("int"), tall=F.lit(False), panel_scale=F.lit(1.0), split_columns=F.lit(0), zoom_strength=pushed)
+    return F.when((width > 0) & (height > 0), out)

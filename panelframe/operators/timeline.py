@@ -208,3 +208,18 @@ def render_chunks(timeline: DataFrame, size: int = 12) -> DataFrame:
     w = Window.partitionBy("chapter")
     large = (F.count(F.lit(1)).over(w) > 25) | (F.sum("duration_seconds").over(w) > 150)
     return rows.withColumn("chunk", F.floor((F.col("order") - 1) / size).cast("long")).withColumn("strategy", F.when(large, "chunked").otherwise("direct"))
+
+
+def motion_report(entries: DataFrame, segments: DataFrame, preset: str = "reference_v1", canvas: tuple[int, int] = G.CANVAS) -> DataFrame:
+    """A row for each timeline entry that has a segment: what moves it, how far, and how sure the segment was measured.
+
+    entries(chapter, order, panel_id, duration_seconds, width, height, seg); segments as in geometry.SEGMENTS, a small table.
+    """
+    s = F.struct(*[c for c in segments.columns if c != "seg"]).alias("_s")
+    rows = entries.join(segments.select("seg", s), "seg")
+    rows = rows.withColumn("_m", G.panel_motion(F.col("width"), F.col("height"), F.col("_s"), canvas)).where("_m is not null")
+    own = [F.col(f"_s.{n}").alias(n) for n in ("zoom", "dx", "dy", "dxps", "dyps")]
+    normal = [(F.col("_s.dx") / G.FRAME[0]).alias("ndx"), (F.col("_s.dy") / G.FRAME[1]).alias("ndy")]
+    move = [F.col("_m.kind").alias("pan_kind"), *(F.col(f"_m.{n}").alias(n) for n in ("travel_px", "pan_x_px", "pan_y_px", "zoom_strength"))]
+    still = G.is_static(F.col("_s.dxps"), F.col("_s.dyps")).alias("static")
+    return rows.select("chapter", "order", "panel_id", F.lit(preset).alias("preset"), "seg", "duration_seconds", F.col("_s.dur").alias("reference_dur"), *own, *normal, *move, F.col("_s.match_score").alias("confidence"), still)

@@ -262,6 +262,37 @@ def b22_segment_math(spark, folder):
     return rows.select("p_partkey", "seg", F.round(c("dx") / G.FRAME[0], 9).alias("ndx"), F.round(c("dy") / G.FRAME[1], 9).alias("ndy"), G.segment_kind(c("zoom"), c("dx"), c("dy"), c("dxps"), c("dyps")).alias("kind"), F.round(G.zoom_strength(c("zoom")), 9).alias("strength"), G.damping(c("match_score")).alias("damping"))
 
 
+_KIND = """CASE WHEN sqrt(dxps * dxps + dyps * dyps) < 5 THEN CASE WHEN zoom >= 1.1 THEN 'zoom_in' WHEN zoom <= 0.95 THEN 'zoom_out' ELSE 'static' END
+    WHEN abs(dy) >= abs(dx) THEN CASE WHEN dy > 0 THEN 'pan_down' ELSE 'pan_up' END ELSE CASE WHEN dx > 0 THEN 'pan_right' ELSE 'pan_left' END END"""
+# Every part is a panel, from wide to very tall ones, with the segment of its number.
+_MOVED = f"""WITH s AS (SELECT *, {_KIND} AS k FROM {_SEG}), p AS (SELECT p_partkey, p_size * 9 % 700 + 40 AS w, p_partkey * 37 % 1900 + 60 AS h, p_partkey % 8 + 1 AS seg FROM part),
+  c AS (SELECT *, least(1080.0::DOUBLE / w, 1920.0::DOUBLE / h, 4.0) AS fit FROM p JOIN s USING (seg)), n AS (SELECT *, w * fit / 1080 < 0.5 AS tall FROM c), d AS (SELECT *, tall AND h::DOUBLE / w >= 3.0 AS split FROM n),
+  m AS (SELECT *, CASE WHEN split THEN 'static' ELSE k END AS kind, CASE WHEN split THEN 1.0 WHEN tall THEN 2.2 ELSE 2.0 END::DOUBLE AS scale, least(1080.0::DOUBLE / (w * 2), 1920.0::DOUBLE / (h / 2), 4.0) AS band FROM d),
+  x AS (SELECT *, CASE kind WHEN 'pan_right' THEN round_even(1080 * 0.08::DOUBLE, 0) WHEN 'pan_left' THEN -round_even(1080 * 0.08::DOUBLE, 0) ELSE 0.0 END::DOUBLE AS pan_x_px,
+    CASE kind WHEN 'pan_down' THEN round_even((scale - 1.0) * 1920 * 0.35::DOUBLE, 0) WHEN 'pan_up' THEN -round_even((scale - 1.0) * 1920 * 0.35::DOUBLE, 0) ELSE 0.0 END::DOUBLE AS pan_y_px FROM m)"""
+
+
+@query(f"""{_MOVED} SELECT p_partkey, kind, CASE WHEN split THEN ceil(w * 2 * band) ELSE ceil(w * fit * scale) END::INTEGER AS scaled_w, CASE WHEN split THEN ceil(h / 2 * band) ELSE ceil(h * fit * scale) END::INTEGER AS scaled_h, abs(pan_x_px + pan_y_px)::INTEGER AS travel_px, pan_x_px, pan_y_px, tall,
+  scale AS panel_scale, CASE WHEN split THEN 2 ELSE 0 END::INTEGER AS split_columns, CASE WHEN kind = 'static' THEN 0.0 ELSE round(least(0.4, greatest(0.0, 0.15::DOUBLE + (zoom::DOUBLE - 1.0) * 0.5)), 9) END::DOUBLE AS zoom_strength FROM x""")
+def b23_panel_motion(spark, folder):
+    m = moving_parts(spark, folder).select("p_partkey", G.panel_motion(F.col("width"), F.col("height"), F.struct("zoom", "match_score", "dx", "dy", "dxps", "dyps")).alias("m")).select("p_partkey", "m.*")
+    return m.withColumn("zoom_strength", F.round("zoom_strength", 9))
+
+
+def moving_parts(spark, folder):
+    parts = table(spark, folder, "part").select("p_partkey", "p_brand", (F.col("p_size") * 9 % 700 + 40).alias("width"), (F.col("p_partkey") * 37 % 1900 + 60).alias("height"), (F.col("p_partkey") % 8 + 1).cast("int").alias("seg"))
+    return parts.join(F.broadcast(spark.createDataFrame(G.SEGMENTS, G.SEGMENT_COLUMNS)), "seg")  # eight rows
+
+
+@query(f"""{_MOVED} SELECT p_brand AS chapter, p_partkey AS "order", p_partkey::VARCHAR AS panel_id, 'reference_v1' AS preset, seg::INTEGER AS seg, p_size / 2.0::DOUBLE AS duration_seconds, seg_dur::DOUBLE AS reference_dur, round(dx / 1312.0::DOUBLE, 9) AS ndx, round(dy / 2332.0::DOUBLE, 9) AS ndy, kind AS pan_kind,
+  abs(pan_x_px + pan_y_px)::INTEGER AS travel_px, pan_x_px, pan_y_px, match_score::DOUBLE AS confidence, sqrt(dxps * dxps + dyps * dyps) < 5 AS static FROM x JOIN part USING (p_partkey)""")
+def f16_motion_report(spark, folder):
+    rows = moving_parts(spark, folder).select(F.col("p_brand").alias("chapter"), F.col("p_partkey").alias("order"), F.col("p_partkey").cast("string").alias("panel_id"), "width", "height", "seg")
+    entries = rows.join(table(spark, folder, "part").select(F.col("p_partkey").alias("order"), (F.col("p_size") / 2.0).alias("duration_seconds")), "order")
+    report = TL.motion_report(entries, F.broadcast(spark.createDataFrame(G.SEGMENTS, G.SEGMENT_COLUMNS)))  # eight rows
+    return report.select("chapter", "order", "panel_id", "preset", "seg", "duration_seconds", "reference_dur", F.round("ndx", 9).alias("ndx"), F.round("ndy", 9).alias("ndy"), "pan_kind", "travel_px", "pan_x_px", "pan_y_px", "confidence", "static")
+
+
 @query("""SELECT l_orderkey, l_linenumber, least(greatest(round_even(l_quantity * 20 * 3000 / 1000.0::DOUBLE, 0), 0), 3000)::INTEGER AS y, CASE WHEN h > 800 THEN w ELSE 390 END::INTEGER AS out_w, CASE WHEN h > 800 THEN ph ELSE h END::INTEGER AS out_h
 FROM (SELECT *, round_even(ph * 390::DOUBLE / w, 0) AS h FROM (SELECT *, (200 + l_partkey % 900) AS w, (100 + l_suppkey * 7 % 2000) AS ph FROM lineitem))""")
 def b34_rescale(spark, folder):

@@ -143,3 +143,18 @@ def test_reader_images(spark):
 def test_range_specs(spark, spec, kept):
     rows = spark.range(1, 6).withColumnRenamed("id", "n")
     assert sorted(r["n"] for r in O.in_ranges(rows, "n", spec).collect()) == kept
+
+
+def test_panel_motion_over_the_canvas(spark):
+    """Covering panels move as far as their segment does, within what hangs over; small moves are holds."""
+    down, right, both = (1.0, 0.99, 0.0, 233.2, 0.0, 60.0), (1.0, 0.9, 131.2, 0.0, 68.0, 0.0), (1.2, 0.99, 0.0, -466.4, 0.0, -80.0)
+    rows = [(1, 1080, 3000, *down), (2, 1080, 1922, *down), (3, 2000, 1920, *right), (4, 1080, 1920, *both), (5, 1080, 2300, *both), (6, 0, 5, *down), (7, 10, 10, *right)]
+    df = spark.createDataFrame(rows, "id int, w int, h int, zoom double, match_score double, dx double, dy double, dxps double, dyps double")
+    m = G.panel_motion(F.col("w"), F.col("h"), F.struct("zoom", "match_score", "dx", "dy", "dxps", "dyps"), blurred=False)
+    got = {r["id"]: r["m"] for r in df.select("id", m.alias("m")).collect()}
+    short = lambda r: (r["kind"], r["scaled_w"], r["scaled_h"], r["travel_px"], r["pan_x_px"], r["pan_y_px"])
+    assert short(got[1]) == ("pan_down", 1080, 3000, 192, 0.0, 192.0) and short(got[2]) == ("static", 1080, 1922, 0, 0.0, 0.0)
+    assert short(got[3]) == ("pan_right", 2000, 1920, 86, 86.0, 0.0)  # a tenth of the width, damped to 0.8
+    assert short(got[4]) == ("zoom_in", 1080, 1920, 0, 0.0, 0.0)  # nothing hangs over
+    assert short(got[5]) == ("pan_up", 1188, 2530, 384, 0.0, -384.0)  # a tenth closer
+    assert got[6] is None and (got[7]["scaled_w"], got[7]["kind"]) == (40, "static")
