@@ -460,7 +460,7 @@ def _outside(stars: DataFrame, members: DataFrame, percent: int) -> DataFrame:
         give_back()
 
     # A node is loose if it is not linked with its hub, by whatever way.
-    loose = members.where("hub <> node").join(members.select(F.col("node").alias("hub"), F.col("label").alias("hub_label")), "hub").withColumn("loose", F.col("label") != F.col("hub_label"))
+    loose = members.where("hub <> node").withColumnRenamed("away", "loose")
     hubs = loose.where("loose").select("hub").distinct()
     open_ = written(loose.join(hubs, "hub", "left_semi").select("node", "size", "most", "label", "hub", "held", "loose"), "open-nodes")
     rest = stars.select(F.col("a").alias("node"), "rest").join(open_.select("node"), "node", "left_semi")
@@ -473,10 +473,9 @@ def _outside(stars: DataFrame, members: DataFrame, percent: int) -> DataFrame:
 
 def _again(lists: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     """Pairs in different components that share a list, of different hubs or both holding as much of theirs as they must share."""
-    hub_label = members.select(F.col("node").alias("hub"), F.col("label").alias("hub_label"))
     least = F.ceil(F.lit(percent) * F.col("size") / F.lit(100))
     # Two nodes that hold that much of one hub, one of which is not linked with it.
-    known = written(members.join(hub_label, "hub").withColumn("full", (F.col("label") != F.col("hub_label")) & (F.col("held") >= least)).drop("hub_label"), "members")
+    known = members.withColumn("full", F.col("away") & (F.col("held") >= least)).drop("away")
     at = written(lists.select("token", "node").join(known, "node"), "labelled")
     shares = at.groupBy("token", "hub").agg(F.count(F.lit(1)).alias("n"), F.max("full").alias("full"), F.min("label").alias("low"), F.max("label").alias("high"))
     open_ = shares.groupBy("token").agg(F.max_by("hub", F.struct("n", "hub")).alias("main"), F.max("full").alias("full"), F.count(F.lit(1)).alias("hubs"), F.min("low").alias("low"), F.max("high").alias("high")).where("low <> high and (hubs > 1 or full)").select("token", "main")
@@ -535,6 +534,9 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int)
     hub = stars.select(F.col("a").alias("node"), F.col("b").alias("hub"), F.col("shared").alias("held"))
     members = placed.join(labels, "node", "left").join(hub, "node", "left")
     members = written(members.select("node", "size", "most", F.coalesce("component", "node").alias("label"), F.coalesce("hub", "node").alias("hub"), F.coalesce("held", "size").alias("held")), "placed")
+    # Whether a node is in another component than its hub. A table of its own, so that a hub's many nodes can be dealt over tasks.
+    hub_label = members.select(F.col("node").alias("hub"), F.col("label").alias("_of_hub"))
+    members = written(members.join(hub_label, "hub").withColumn("away", F.col("label") != F.col("_of_hub")).drop("_of_hub"), "members")
 
     apart = written(_outside(stars, members, percent).union(_again(lists, members, percent)).distinct(), "apart")
     more = written(_overlap(apart, sets).where(F.col("shared") >= _needed("size_a", "size_b", percent)).select("a", "b"), "more-links")
