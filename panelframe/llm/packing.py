@@ -24,6 +24,10 @@ AFTER_DOCUMENT, AFTER_SENTENCE, WITHIN = 0.0, 100.0, 1000.0
 STRIDE = 64
 
 
+# Words in each generation of the table of known ones: fewer than elsewhere, as other stages run in the same workers.
+KNOWN_WORDS = 100_000
+
+
 class Encoder:
     """Texts to ids as little-endian bytes; kept word by word. Ranks file and vocabulary file are the same vocabulary."""
 
@@ -40,7 +44,7 @@ class Encoder:
         self.id_of = np.zeros(max(ranks.values()) + 1, "<u4")
         for name, r in ranks.items():
             self.id_of[r] = ids[name]
-        self.words = Words(lambda piece: self.id_of[core.encode_ordinary(piece)].tobytes() if piece else b"")
+        self.words = Words(lambda piece: self.id_of[core.encode_ordinary(piece)].tobytes() if piece else b"", KNOWN_WORDS)
         self.ends = np.zeros(len(ids) + len(self.special), bool)
         for name, i in ids.items():
             self.ends[i] = name.rstrip(b'"\')')[-1:] in (b".", b"!", b"?", b"\n")
