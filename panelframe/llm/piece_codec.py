@@ -84,19 +84,6 @@ class CharacterMap:
                 found = self.unit[base] & 0x7FFFFFFF, k + 1 - at
         return found and (self.text[found[0] : self.text.index(b"\0", found[0])], found[1])
 
-    def holds(self, byte: int) -> bool:
-        """Whether a rule has this byte after its first one."""
-        if not self.unit:
-            return False
-        todo = [n for b in self.first if (n := self._step(self._base(0), b)) is not None]
-        while todo:
-            base = self._base(todo.pop())
-            after = [b for b in range(1, 256) if self._step(base, b) is not None]
-            if byte in after:
-                return True
-            todo += [base ^ b for b in after]
-        return False
-
 
 def _one_each(error: UnicodeDecodeError) -> tuple[str, int]:
     return "�" * (error.end - error.start), error.end
@@ -151,7 +138,7 @@ class PieceCodec:
         # Where no piece holds a visible space after another character, no merge crosses that border.
         apart = not self.own and not any(re.search(f"[^{BLANK}]{BLANK}", n) for n in self.ids)
         self.part = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+") if apart and self.escape else None
-        self.cuts = apart and not self.suffix_space and not self.map.holds(0x20)
+        self.cuts = apart and not self.suffix_space and not self.map.unit
         self.memo = Memo(self._encode_part, MEMO_ENTRIES)
 
     def normalise(self, text: str, first: bool = True, last: bool = True, after_space: bool = False) -> tuple[bytes, np.ndarray]:
@@ -298,7 +285,7 @@ class PieceCodec:
         return b"".join(out)
 
     def _stretches(self, text: str):
-        """text in parts cut before a space that follows another character, where nothing reaches over such a border."""
+        """text in parts cut before a space that follows another character, where nothing reaches over such a border: no piece and no rule."""
         at = 0
         while self.cuts and len(text) - at > STRETCH:
             cut = at + STRETCH
@@ -366,7 +353,8 @@ def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     character the last has its span and the others are empty, and so is a space that the model puts in front.
     A null text counts as empty: no pieces, an empty decoded text.  Null ids stay null; repeated rows each give a
     row; an empty table gives none; other columns of any name are not read.  A very long text is taken in stretches
-    cut at spaces that no piece and no rule of the map reaches over.  No row is shuffled.
+    cut at spaces that no piece reaches over; with a map that
+    has rules, it is taken whole.  No row is shuffled.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
