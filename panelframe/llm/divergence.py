@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 
 import numpy as np
@@ -21,7 +20,7 @@ STRETCH, HELD = 1 << 20, 400_000
 # Rows that a task takes before it cuts its bands, and pairs of sources that it works out at once.
 BAND_ROWS, PAIR_ROWS = 100_000, 1 << 20
 # Terms of a block are held against the band at once.
-BLOCK = 512
+BLOCK = 128
 # Tasks that the bands of one group meet in before they meet in one.
 SALTS = 32
 
@@ -46,13 +45,15 @@ def term_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
 
         def out():
             nonlocal total
-            rows = [(l, s, t, n, d[t]) for (l, s), (c, d) in counts.items() for t, n in c.items()]
-            rows += [(l, s, None, 0, 0) for l, s in counts]
+            for (l, s), (n, d) in counts.items():
+                # The group by itself, without a term, then its terms.
+                terms = [None, *n]
+                many = [0, *n.values()]
+                docs = [0, *map(d.__getitem__, n)]
+                columns = [pa.repeat(pa.scalar(l, pa.string()), len(terms)), pa.repeat(pa.scalar(s, pa.string()), len(terms)), pa.array(terms, pa.binary()).cast(pa.string()), pa.array(many, pa.int64()), pa.array(docs, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names=["lang", "source", "term", "n", "docs"])
             counts.clear()
             total = 0
-            for k in range(0, len(rows), 50_000):
-                l, s, t, n, d = zip(*rows[k : k + 50_000])
-                yield pa.RecordBatch.from_arrays([pa.array(l, pa.string()), pa.array(s, pa.string()), pa.array(t, pa.binary()).cast(pa.string()), pa.array(n, pa.int64()), pa.array(d, pa.int64())], names=["lang", "source", "term", "n", "docs"])
 
         for batch in slices(source):
             for text, lang, src in zip(batch.column(0).cast(pa.binary()).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
@@ -60,11 +61,12 @@ def term_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
                     counts[lang, src] = Counter(), Counter()
                 n, docs_of = counts[lang, src]
                 before = len(n)
-                own = Counter()
+                own = set()
                 for part in _stretches(text):
-                    own.update(part.translate(_TERM).split())
-                n.update(own)
-                docs_of.update(own.keys())
+                    words = part.translate(_TERM).split()
+                    n.update(words)
+                    own.update(words)
+                docs_of.update(own)
                 total += len(n) - before
                 if total >= HELD:
                     yield from out()
@@ -87,8 +89,9 @@ def band(held: np.ndarray, wide: np.ndarray, name: np.ndarray, k: int) -> np.nda
     fresh = np.concatenate([[True], (h[1:] != h[:-1]) | (w[1:] != w[:-1])])
     start = np.flatnonzero(fresh)
     order = order[np.arange(len(order)) - np.repeat(start, np.diff(np.append(start, len(order)))) < k]
-    rank = np.empty(len(name), np.int64)
+    rank = np.empty(len(name), np.int32)
     rank[np.argsort(name, kind="stable")] = np.arange(len(name))
+    wide = np.unique(wide, return_inverse=True)[1].astype(np.int32)
     kept = np.empty(0, np.int64)
     for at in range(0, len(order), BLOCK):
         block = order[at : at + BLOCK]
@@ -96,7 +99,7 @@ def band(held: np.ndarray, wide: np.ndarray, name: np.ndarray, k: int) -> np.nda
         beats = (wide[over, None] <= wide[None, block]) & (rank[over, None] < rank[None, block])
         # Of two in a block, the later in the order dominates none of the earlier ones.
         beats[len(kept) :] &= np.triu(np.ones((len(block), len(block)), bool), 1)
-        kept = np.concatenate([kept, block[beats.sum(0) < k]])
+        kept = np.concatenate([kept, block[np.count_nonzero(beats, axis=0) < k]])
     return kept
 
 
@@ -231,13 +234,13 @@ def audit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sourc
     # The share of a term that the group has not; 0 where the language keeps no term, and then unused.
     groups = written(groups.withColumn("none", F.when(F.col("terms") > 0, _share(zero, F.col("group_n"), F.col("terms"))).otherwise(zero)), "divergence-groups")
 
-    # Part term: bands of each task, of each group's salts, of each group; then the exact ranks.
-    found = _skyband(exploded(held, "term", "total"), top)
-    salted = found.repartition("lang", "source", F.pmod(F.xxhash64("term"), F.lit(SALTS)))
-    found = _skyband(_skyband(salted, top).repartition("lang", "source"), top)
-    known = found.join(groups, ["lang", "source"])
+    # Part term: of the terms that the group holds more of, bands of each task, of each group's salts, of each group; then the
+    # exact ranks. What dominates such a term is one itself.
     p, q = _share(F.col("n"), F.col("group_n"), F.col("terms")), _share(F.col("total"), F.col("lang_n"), F.col("terms"))
-    valued = known.select("lang", "source", F.col("term").alias("item"), p.alias("p"), q.alias("q")).where("p > q").select("lang", "source", F.lit("term").alias("part"), "item", _apart(F.col("p"), F.col("q")).alias("value"))
+    more = exploded(held, "term", "total").join(groups, ["lang", "source"]).where(p > q).select("lang", "source", "term", "n", "total")
+    salted = _skyband(more, top).repartition("lang", "source", F.pmod(F.xxhash64("term"), F.lit(SALTS)))
+    found = _skyband(_skyband(salted, top).repartition("lang", "source"), top)
+    valued = found.join(groups, ["lang", "source"]).select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), _apart(p, q).alias("value"))
 
     # Part pair: as if no term were held, then what terms that one side holds change, then what terms of both do.
     wide = lambda c: c.cast("decimal(38,0)")
