@@ -192,3 +192,56 @@ def e19_page_panels(spark, folder):
     width = (F.max("p_size").over(Window.partitionBy("p_brand")) * 20).alias("width")
     cuts = table(spark, folder, "part").select(F.col("p_brand").alias("strip"), width, F.col("p_partkey").cast("string").alias("id"), F.col("p_partkey").alias("k"), y0, (y0 + F.col("p_size") * 5).alias("y1"), F.concat("p_partkey", F.lit(".png")).alias("image_file"))
     return I.page_panels(cuts).select("strip", "id", "index", "bbox.x", "bbox.y", "bbox.w", "bbox.h", "source_image")
+
+
+# Six documents are a strip, four strips a chain, three changes a batch; what a document's own length says is changed at
+# another document before it, which may be none of its chain.
+_REVIEWS = """RECURSIVE docs AS (SELECT doc_id AS d, doc_id // 6 AS s, coalesce(n_chars, 0) AS n FROM documents),
+  ops AS (SELECT o.d AS seq, o.s AS session, o.d // 3 AS batch, o.n % 6 AS k, o.d - o.n % 17 AS target, t.s AS owner,
+      CASE o.n % 6 WHEN 2 THEN ['needs_review', 'reviewed', 'edited', 'lost'][(o.d % 4 + 1)::INT] END AS status FROM docs o LEFT JOIN docs t ON t.d = o.d - o.n % 17),
+  marked AS (SELECT *, CASE WHEN k < 4 AND (owner IS NULL OR owner // 4 <> session // 4) THEN 'unknown panel' WHEN k = 2 AND status = 'lost' THEN 'invalid status' END AS problem FROM ops),
+  good AS (SELECT * FROM marked WHERE batch NOT IN (SELECT batch FROM marked WHERE problem IS NOT NULL)),
+  steps AS (SELECT *, row_number() OVER (PARTITION BY strip ORDER BY seq) AS step FROM (
+    SELECT owner AS strip, seq, k, target, status FROM good WHERE k < 4
+    UNION ALL SELECT c.s, g.seq, g.k, NULL, NULL FROM good g JOIN (SELECT DISTINCT s FROM docs) c ON c.s // 4 = g.session // 4 AND c.s <= g.session WHERE g.k >= 4)),
+  state AS (
+    SELECT s AS strip, 0::BIGINT AS step, list({'id': d, 'gone': false, 'said': NULL::VARCHAR} ORDER BY n, d::VARCHAR) AS p, []::BIGINT[] AS locked, NULL::BIGINT AS confirmed FROM docs GROUP BY s
+    UNION ALL
+    SELECT strip, step, CASE WHEN k IN (0, 1, 3) THEN list_transform(p, lambda x: CASE WHEN x.id = target THEN {'id': x.id, 'gone': k = 0, 'said': x.said} ELSE x END)
+      WHEN k = 2 THEN list_transform(p, lambda x: CASE WHEN x.id = target THEN {'id': x.id, 'gone': x.gone, 'said': status} ELSE x END)
+      WHEN k = 5 THEN list_transform(p, lambda x: CASE WHEN list_contains(next, x.id) THEN {'id': x.id, 'gone': x.gone, 'said': coalesce(x.said, 'reviewed')} ELSE x END) ELSE p END,
+      CASE WHEN k >= 4 AND len(next) > 0 THEN next ELSE locked END,
+      CASE WHEN k IN (0, 1, 3) THEN NULL WHEN k >= 4 AND len(next) > 0 THEN seq ELSE confirmed END
+    FROM (SELECT *, CASE WHEN len(kept) > 0 THEN kept ELSE live END AS next FROM (
+      SELECT t.strip, t.step, t.seq, t.k, t.target, t.status, a.p, a.locked, a.confirmed, list_transform(list_filter(a.p, lambda x: NOT x.gone), lambda x: x.id) AS live,
+        list_filter(a.locked, lambda i: list_contains(list_transform(list_filter(a.p, lambda x: NOT x.gone), lambda x: x.id), i)) AS kept
+      FROM state a JOIN steps t ON t.strip = a.strip AND t.step = a.step + 1))),
+  last AS (SELECT strip, arg_max(struct_pack(p := p, locked := locked, confirmed := confirmed), step) AS z FROM state GROUP BY strip)"""
+
+
+def _reviews(spark, folder):
+    from panelframe.operators import review as R
+
+    docs = table(spark, folder, "documents").select(F.col("doc_id").alias("d"), F.floor(F.col("doc_id") / 6).alias("session"), F.coalesce("n_chars", F.lit(0)).alias("n"))
+    panels = docs.select("session", F.col("d").cast("string").alias("id"), F.col("n").alias("y_start"))
+    links = docs.select("session").distinct().withColumn("earlier", F.when(F.col("session") % 4 != 0, F.col("session") - 1))
+    target = F.col("d") - F.col("n") % 17
+    owner = F.floor(target / 6)
+    k = (F.col("n") % 6).cast("int")
+    op = F.element_at(F.array(*map(F.lit, ["delete", "restore", "status", "restore", "confirm", "confirm_all"])), k + 1)
+    name = F.when(owner == F.col("session"), target.cast("string")).otherwise(F.concat(F.lit("s"), F.substring(R.session_name(owner), 1, 8), F.lit("_"), target.cast("string")))
+    status = F.when(k == 2, F.element_at(F.array(*map(F.lit, [*R.STATUSES, "lost"])), (F.col("d") % 4 + 1).cast("int")))
+    log = docs.select(F.floor(F.col("d") / 3).alias("batch"), F.col("d").alias("seq"), "session", op.alias("op"), F.when(k < 4, name).alias("id"), status.alias("status"))
+    return R.review_changes(panels, links, log)
+
+
+@query(f"""WITH {_REVIEWS}
+SELECT strip AS session, x.id::VARCHAR AS id, x.gone AS deleted, coalesce(x.said, 'needs_review') AS review_status, list_position(z.locked, x.id)::BIGINT AS position, z.confirmed AS confirmed
+FROM (SELECT strip, z, unnest(z.p) AS x FROM last)""")
+def e20_review_changes(spark, folder):
+    return _reviews(spark, folder)[0]
+
+
+@query(f"WITH {_REVIEWS} SELECT batch, arg_min(seq, seq) AS seq, arg_min(problem, seq) AS problem FROM marked WHERE problem IS NOT NULL GROUP BY batch")
+def e20_refused_batches(spark, folder):
+    return _reviews(spark, folder)[1]
