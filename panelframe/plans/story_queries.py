@@ -32,3 +32,50 @@ def g02_threads(spark, folder):
     closes = F.coalesce(F.col("event_type").isin("purchase", "error"), F.lit(False))
     updates = e.select(F.col("user_id").alias("series"), F.col("event_id").alias("idx"), F.when(closes, F.array(said)).alias("resolved"), F.when(~closes, F.array(said)).alias("opened"))
     return S.story(updates).where("kind = 'thread'").select("series", "pos", "name", "description", "status", "first_seen", "last_seen")
+
+
+# Every turn is a panel and six edits of its conversation's timeline, told by a hash.
+_EDITS = """c AS (SELECT conv_id AS chapter, turn, 2.0 + length(coalesce(text, '')) % 30 / 10.0::DOUBLE AS s FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+  n AS (SELECT chapter, max(turn) + 1 AS many FROM c GROUP BY chapter),
+  h AS (SELECT chapter, turn * 6 + j AS seq, many, ('0x' || substr(sha256(chapter || ':' || turn || ':' || j), 1, 8))::BIGINT AS v FROM c JOIN n USING (chapter), (SELECT unnest(range(6)) AS j)),
+  e AS (SELECT chapter, row_number() OVER (PARTITION BY chapter ORDER BY seq) AS step,
+      CASE WHEN v % 97 = 0 THEN 'reset' ELSE ['duration', 'remove', 'add', 'reorder', 'undo', 'undo', 'redo', 'duration'][(v % 8 + 1)::INT] END AS op, 'p' || (v // 8 % many) AS panel,
+      CASE WHEN v // 64 % (many + 1) < many THEN 'p' || (v // 64 % (many + 1)) END AS other, greatest(v // 512 % 80 / 10.0::DOUBLE, 0.1::DOUBLE) AS number, list_transform(range(many), lambda x: 'p' || ((many - 1 - x + v // 8) % many)) AS "order" FROM h)"""
+
+
+@query(f"""WITH RECURSIVE {_EDITS},
+  f AS (SELECT chapter, list({{'id': 'p' || turn, 's': s}} ORDER BY turn) AS t FROM c GROUP BY chapter),
+  z AS (
+    SELECT chapter, 0::BIGINT AS step, t, t AS f, CAST([] AS STRUCT(b STRUCT(id VARCHAR, s DOUBLE)[], a STRUCT(id VARCHAR, s DOUBLE)[])[]) AS hist, 0::BIGINT AS done FROM f
+    UNION ALL
+    SELECT chapter, step, next, f, CASE WHEN op = 'reset' THEN [] WHEN told THEN list_append(hist[1:done], {{'b': t, 'a': next}})[-200:] ELSE hist END,
+      CASE WHEN op = 'reset' THEN 0 WHEN told THEN least(done + 1, 200) WHEN op = 'undo' AND done > 0 THEN done - 1 WHEN op = 'redo' AND done < len(hist) THEN done + 1 ELSE done END
+    FROM (SELECT *, CASE WHEN op = 'reset' THEN f
+        WHEN op = 'undo' AND done > 0 THEN hist[done].b
+        WHEN op = 'redo' AND done < len(hist) THEN hist[done + 1].a
+        WHEN op = 'remove' THEN list_filter(t, lambda x: x.id <> panel)
+        WHEN op = 'reorder' THEN list_filter(list_transform("order", lambda i: list_filter(t, lambda x: x.id = i)[-1]), lambda x: x IS NOT NULL)
+        WHEN op = 'add' AND own IS NOT NULL THEN list_concat(list_concat(t[1:k], [own]), t[k + 1:])
+        WHEN op = 'duration' THEN list_transform(t, lambda x, i: CASE WHEN i = at_ THEN {{'id': x.id, 's': number}} ELSE x END)
+        ELSE t END AS next, op IN ('remove', 'reorder') OR op = 'add' AND own IS NOT NULL OR op = 'duration' AND at_ > 0 AS told
+      FROM (SELECT e.chapter, e.step, e.op, e.panel, e.number, e."order", z.t, z.f, z.hist, z.done, list_filter(z.f, lambda x: x.id = e.panel)[1] AS own,
+          coalesce(list_position(list_transform(z.t, lambda x: x.id), e.panel), 0) AS at_,
+          CASE WHEN e.other IS NULL THEN len(z.t) ELSE coalesce(list_position(list_transform(z.t, lambda x: x.id), e.other), 0) END AS k
+        FROM z JOIN e ON e.chapter = z.chapter AND e.step = z.step + 1))),
+  g AS (SELECT chapter, arg_max(t, step) AS t FROM z GROUP BY chapter)
+SELECT chapter, place::BIGINT AS place, x.id AS id, round(coalesce(list_sum(list_transform(t[1:place - 1], lambda y: y.s)), 0), 3) AS start, round(x.s, 6) AS seconds
+FROM (SELECT chapter, t, unnest(t) AS x, unnest(range(1, len(t) + 1)) AS place FROM g)""")
+def f11_editor(spark, folder):
+    from panelframe.operators import editor as E
+
+    c = table(spark, folder, "conversations").where("conv_id is not null and turn is not null").select(F.col("conv_id").alias("chapter"), "turn", (2.0 + F.length(F.coalesce("text", F.lit(""))) % 30 / 10.0).alias("seconds"))
+    many = c.groupBy("chapter").agg((F.max("turn") + 1).alias("many"))
+    panels = c.select("chapter", F.concat(F.lit("p"), "turn").alias("panel"), F.col("turn").alias("position"), "seconds")
+    h = c.join(many, "chapter").select("chapter", "turn", "many", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("j"))
+    h = h.withColumn("v", F.conv(F.substring(F.sha2(F.concat_ws(":", "chapter", "turn", "j"), 256), 1, 8), 16, 10).cast("long"))
+    op = F.element_at(F.array(*map(F.lit, ["duration", "remove", "add", "reorder", "undo", "undo", "redo", "duration"])), (F.col("v") % 8 + 1).cast("int"))
+    place = F.expr("v div 64 % (many + 1)")
+    order = F.expr("transform(sequence(0, many - 1), x -> concat('p', (many - 1 - x + v div 8) % many))")
+    edits = h.select("chapter", (F.col("turn") * 6 + F.col("j")).alias("seq"), F.when(F.col("v") % 97 == 0, "reset").otherwise(op).alias("op"), F.expr("concat('p', v div 8 % many)").alias("panel"), F.when(place < F.col("many"), F.concat(F.lit("p"), place)).alias("other"), F.lit(None).cast("string").alias("text"), (F.expr("v div 512 % 80") / 10.0).alias("number"), order.alias("order"))
+    out = E.edited(panels, None, edits).where("kind = 'panel'")
+    return out.select("chapter", "place", "id", "start", F.round("seconds", 6).alias("seconds"))
