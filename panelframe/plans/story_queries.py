@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from panelframe.functions import nested as N
 from panelframe.operators import story as S
 from panelframe.plans.registry import query, table
 
@@ -79,3 +80,62 @@ def f11_editor(spark, folder):
     edits = h.select("chapter", (F.col("turn") * 6 + F.col("j")).alias("seq"), F.when(F.col("v") % 97 == 0, "reset").otherwise(op).alias("op"), F.expr("concat('p', v div 8 % many)").alias("panel"), F.when(place < F.col("many"), F.concat(F.lit("p"), place)).alias("other"), F.lit(None).cast("string").alias("text"), (F.expr("v div 512 % 80") / 10.0).alias("number"), order.alias("order"))
     out = E.edited(panels, None, edits).where("kind = 'panel'")
     return out.select("chapter", "place", "id", "start", F.round("seconds", 6).alias("seconds"))
+
+
+# A stored memory of each document: five objects deep, some without a version, of one too new, or with one that is no number.
+_STORED = """SELECT doc_id, CASE WHEN n_chars % 11 = 0 THEN '{"cut":' ELSE json_object('chapter', source, 'characters', json_object('Ann', json_object('role', lang, 'seen', json_object('first', json_object('panel', n_chars, 'word', text)))),
+  '_meta', CASE n_chars % 5 WHEN 0 THEN json_object('last_panel', doc_id) WHEN 1 THEN json_object('version', 3) WHEN 2 THEN json_object('version', '9') ELSE json_object('version', 1, 'seed_built', true) END)::VARCHAR END AS stored,
+  CASE WHEN n_chars % 11 = 0 THEN 'broken' WHEN n_chars % 5 = 1 THEN 'reset' ELSE 'loaded' END AS state, lang, n_chars, text, source FROM documents"""
+
+
+@query(f"""SELECT doc_id, state, CASE WHEN state = 'loaded' THEN source END AS chapter, CASE WHEN state = 'loaded' THEN lang END AS role, CASE WHEN state = 'loaded' THEN n_chars END AS panel, CASE WHEN state = 'loaded' THEN sha256(coalesce(text, '')) END AS word,
+  CASE WHEN state = 'loaded' AND n_chars % 5 = 0 THEN doc_id ELSE 0 END AS last_panel, state = 'loaded' AND n_chars % 5 NOT IN (0, 2) AS seed_built, 2::BIGINT AS version, '' AS title FROM ({_STORED})""")
+def g05_stored_memory(spark, folder):
+    """Five levels deep over the scaffold, with the gate on versions."""
+    n = F.col("n_chars")
+    pack = lambda **c: F.to_json(F.struct(*[v.alias(k) for k, v in c.items()]))
+    ann = F.struct(F.col("lang").alias("role"), F.struct(F.struct(n.alias("panel"), F.col("text").alias("word")).alias("first")).alias("seen"))
+    meta = F.when(n % 5 == 0, pack(last_panel=F.col("doc_id"))).when(n % 5 == 1, F.lit('{"version":3}')).when(n % 5 == 2, F.lit('{"version":"9"}')).otherwise(F.lit('{"version":1,"seed_built":true}'))
+    whole = N.merged_json(pack(chapter=F.col("source"), characters=F.struct(ann.alias("Ann"))), F.concat(F.lit('{"_meta":'), meta, F.lit("}")))
+    stored = F.when(n % 11 == 0, F.lit('{"cut":')).otherwise(whole)
+    docs = table(spark, folder, "documents").select("doc_id", N.loaded_context(stored).alias("c")).select("doc_id", "c.state", F.try_parse_json("c.context").alias("v"))
+    get = lambda path, kind="string": F.try_variant_get("v", path, kind)
+    word = F.when(F.col("state") == "loaded", F.sha2(F.coalesce(get("$.characters.Ann.seen.first.word"), F.lit("")), 256))
+    return docs.select("doc_id", "state", get("$.chapter").alias("chapter"), get("$.characters.Ann.role").alias("role"), get("$.characters.Ann.seen.first.panel", "bigint").alias("panel"), word.alias("word"), get("$._meta.last_panel", "bigint").alias("last_panel"), get("$._meta.seed_built", "boolean").alias("seed_built"), get("$._meta.version", "bigint").alias("version"), get("$.series_title").alias("title"))
+
+
+@query("""SELECT doc_id, sha256(coalesce(text, '')) AS text, CASE WHEN lang = 'en' THEN '***REDACTED***' ELSE source END AS named, source AS author, '***REDACTED***' AS deep, coalesce(lang, '') AS kept, CASE WHEN coalesce(source, '') <> '' THEN '' ELSE coalesce(source, 'none') END AS blanked FROM documents""")
+def b27_nested_redaction(spark, folder):
+    """Keys within objects within lists; texts under plain keys stay as they are."""
+    d = table(spark, folder, "documents")
+    inner = F.struct(F.col("lang").alias("kept"), F.struct(F.array(F.struct(F.struct(F.col("text").alias("refreshToken")).alias("of"))).alias("all")).alias("in"))
+    packed = F.to_json(F.struct(F.col("text").alias("text"), F.when(F.col("lang") == "en", F.struct(F.col("source").alias("x-api-key"), F.lit(None).cast("string").alias("monkeys"))).alias("a"), F.when(~F.coalesce(F.col("lang") == "en", F.lit(False)), F.struct(F.col("source").alias("monkeys"))).alias("b"), F.struct(F.col("source").alias("author")).alias("c"), F.array(inner).alias("list")))
+    config = F.to_json(F.struct(F.coalesce("source", F.lit("none")).alias("authKey"), F.lit("x").alias("title")))
+    config = F.when(F.col("source").isNull(), F.lit('{"title":"none"}')).otherwise(config)
+    rows = d.select("doc_id", F.try_parse_json(N.redacted_json(packed)).alias("v"), F.try_parse_json(N.blanked_config(config)).alias("w"))
+    get = lambda path, of="v": F.try_variant_get(of, path, "string")
+    return rows.select("doc_id", F.sha2(F.coalesce(get("$.text"), F.lit("")), 256).alias("text"), F.coalesce(get("$.a['x-api-key']"), get("$.b.monkeys")).alias("named"), get("$.c.author").alias("author"), F.coalesce(get("$.list[0].in.all[0].of.refreshToken"), F.lit("***REDACTED***")).alias("deep"), F.coalesce(get("$.list[0].kept"), F.lit("")).alias("kept"), F.coalesce(get("$.authKey", "w"), get("$.title", "w")).alias("blanked"))
+
+
+def _measured(rows):
+    """Stands for a model: words and vowels of a text."""
+    import pandas as pd
+
+    texts = rows["text"].fillna("")
+    return pd.DataFrame({"words": texts.str.count(r"[^ \t-\r]+").astype("int64"), "vowels": texts.str.count("[aeiou]").astype("int64")})
+
+
+@query("""SELECT doc_id, CASE WHEN d.lang <> 'en' AND c.doc_id IS NOT NULL THEN 'cache' ELSE 'model' END AS origin,
+  CASE WHEN d.lang <> 'en' AND c.doc_id IS NOT NULL THEN -1 ELSE len(regexp_extract_all(coalesce(text, ''), '[^ \\t-\\r]+')) END::BIGINT AS words,
+  CASE WHEN d.lang <> 'en' AND c.doc_id IS NOT NULL THEN -1 ELSE len(regexp_extract_all(coalesce(text, ''), '[aeiou]')) END::BIGINT AS vowels
+FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) c USING (doc_id)""")
+def h05_model_hook(spark, folder):
+    """Labelled documents are cached, English ones under another hash."""
+    from pyspark.sql import types as T
+
+    from panelframe.operators import recompute as R
+
+    wanted = table(spark, folder, "documents").select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("hash"), "lang", "text")
+    cached = wanted.join(table(spark, folder, "labels").select("doc_id").distinct(), "doc_id").select("doc_id", F.when(F.col("lang") == "en", "old").otherwise(F.col("hash")).alias("hash"), F.lit(-1).cast("long").alias("words"), F.lit(-1).cast("long").alias("vowels"))
+    answer = T.StructType([T.StructField("words", T.LongType()), T.StructField("vowels", T.LongType())])
+    return R.recomputed(wanted.drop("lang"), cached, ["doc_id"], _measured, answer).select("doc_id", "origin", "words", "vowels")
