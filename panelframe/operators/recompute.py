@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelframe.operators.ledger import incremental
-from panelframe.operators.tables import settled, shared_folder
+from panelframe.operators.tables import shared_folder
 from panelframe.sources import files
 
 
@@ -43,14 +43,15 @@ def recomputed(wanted: DataFrame, cache: DataFrame, keys: list[str], model: Call
 
     Finished slices are kept in the journal, a folder of the shared store, by the keys, hashes and place of their
     rows: a task that is lost, or a job that is run again with the same journal, asks for none of them again.
-    Without a journal, a new one in spark.checkpoint.dir is used.  What is missing is written first, so that a task
-    that runs again gets the same slices.
+    Without a journal, a new one in spark.checkpoint.dir is used.  Wanted rows are dealt by their keys to a fixed
+    number of tasks, where the cached ones go, and sorted: whoever runs again gets the same slices.
 
     Null keys match no cached row; equal rows are asked for each; no wanted rows give none.
     """
     spark = wanted.sparkSession
-    reused, missing = incremental(wanted, cache, keys)
-    missing = settled(missing)
+    reused, _ = incremental(wanted, cache, keys)
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    missing = wanted.repartition(tasks, *keys, "hash").join(cache.select(*keys, "hash").distinct(), [*keys, "hash"], "left_anti").sortWithinPartitions(*keys, "hash")
     folder = (journal or f"{shared_folder(spark)}/model-journal-{hashlib.sha1(str(time.time_ns()).encode()).hexdigest()}").rstrip("/")
     names = [f.name for f in answer.fields]
     out = T.StructType([*(missing.schema[k] for k in [*keys, "hash"]), *answer.fields, T.StructField("origin", T.StringType()), T.StructField("error", T.StringType()), T.StructField("attempts", T.IntegerType())])
