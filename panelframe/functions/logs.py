@@ -9,10 +9,10 @@ from panelframe.functions.text import STOP_WORDS, let, text
 
 # What marks limits, passing faults, credentials and cut-off responses.
 RATE_LIMIT = "429|rate_limit|resource_exhausted|quota|too many requests"
-TRANSIENT = "timeout|connection reset|connection aborted|timed out|temporarily|try again|overloaded|unavailable|500|502|503|504"
-SENSITIVE_WORDS = "key token password passwd secret credential credentials bearer auth apikey apisecret authorization accesstoken refreshtoken".split()
+TRANSIENT = "connection reset|connection aborted|timed out|timeout|temporarily|try again|overloaded|unavailable|500|502|503|504"
+SENSITIVE_WORDS = ["key", "token", "password", "passwd", "secret", "credential", "credentials", "bearer", "auth", "apikey", "apisecret", "authorization", "accesstoken", "refreshtoken"]
 SENSITIVE_PARTS = "apikey|token|password|passwd|secret|credential|bearer|auth"
-INNOCENT = "author authors authored authorname".split()
+INNOCENT = ["author", "authors", "authored", "authorname"]
 KEY_SHAPES = [
     r"sk-[A-Za-z0-9_\-]{8,}",
     r"AIza[A-Za-z0-9_\-]{20,}",
@@ -88,7 +88,7 @@ def json_part(response: Column) -> Column:
 
 def thread_words(c: Column) -> Column:
     words = F.regexp_extract_all(F.lower(text(c)), F.lit("([a-z0-9']+)"), 1)
-    return F.array_distinct(F.filter(words, lambda w: ~w.isin(STOP_WORDS.split())))
+    return F.array_distinct(F.filter(words, lambda w: ~w.isin(STOP_WORDS)))
 
 
 def thread_match(hint: Column, summary: Column, least: float = 0.6) -> Column:

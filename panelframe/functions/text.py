@@ -49,7 +49,7 @@ WORD = r"[A-Za-z0-9']+"
 CJK = r"[\x{3040}-\x{30ff}\x{ac00}-\x{d7af}\x{4e00}-\x{9fff}]"
 TERMINAL = r"[.!?\x{2026}\"'\x{201d}\x{2019}]"
 LEAST_RATIO, LEAST_LETTERS = 0.6, 2
-STOP_WORDS = "the a an is are was were to of in and or for his her their its with at by on as be been this that it"
+STOP_WORDS = ["the", "a", "an", "is", "are", "was", "were", "to", "of", "in", "and", "or", "for", "his", "her", "their", "its", "with", "at", "by", "on", "as", "be", "been", "this", "that", "it"]
 
 # Java reads \b, \w and \s as ASCII unless told otherwise.
 UNICODE, ANY_CASE = "(?U)", "(?iU)"

@@ -1,14 +1,14 @@
-"""Per-strip fixpoints: thin panels absorbed, oversized ones split. Each group is one strip, whose size the chapter bounds."""
+"""Per-strip fixpoints: thin panels absorbed, oversized ones split. A group is one strip: its cuts, not its rows, are in memory at once."""
 
 from __future__ import annotations
 
 from bisect import bisect_left
+from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelframe.functions.text import let
 from panelframe.operators.intervals import spaced_cuts
 
 
@@ -91,11 +91,20 @@ def fallback_plan(rows: DataFrame, found: DataFrame, least: int, most: int, tiny
     The confidence is 0: nothing was read.
     """
     heights = rows.groupBy("strip").agg((F.max("y") + 1).cast("long").alias("h"))
-    mids = found.groupBy("strip").agg(F.collect_list(F.col("mid").cast("long")).alias("mids"))
-    cuts = spaced_cuts(F.coalesce("mids", F.array().cast("array<bigint>")), F.col("h"), least)
-    pair = lambda c: F.transform(F.slice(c, F.lit(1), F.size(c) - 1), lambda y, i: F.struct(y.alias("y0"), F.element_at(c, i + 2).alias("y1")))
-    panels = heights.join(mids, "strip", "left").select("strip", F.posexplode(let(cuts, pair)).alias("n", "p"))
-    panels = panels.select("strip", F.format_string("%05d", "n").alias("id"), "p.y0", "p.y1").where(F.col("y1") - F.col("y0") >= tiny)
-    pieces_ = split_oversized(panels, found.select("strip", F.col("mid").cast("long")), most)
-    index = F.row_number().over(Window.partitionBy("strip").orderBy("y0")).cast("long")
-    return pieces_.select("strip", index.alias("panel_index"), "y0", "y1", F.lit("unknown").alias("panel_type"), F.lit(0.0).alias("confidence"))
+    mids = found.groupBy("strip").agg(F.array_sort(F.collect_list(F.col("mid").cast("long"))).alias("mids"))
+    # One row for each strip: its gutters cut it and split what is too tall.
+    strips = heights.join(mids, "strip", "left").withColumn("mids", F.coalesce("mids", F.array().cast("array<bigint>")))
+    strips = strips.withColumn("cuts", spaced_cuts(F.col("mids"), F.col("h"), least))
+    kind = rows.schema["strip"].dataType.simpleString()
+
+    def split(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            made = []
+            for strip, gutters, cuts in pdf[["strip", "mids", "cuts"]].itertuples(index=False):
+                panels = [(int(a), int(b)) for a, b in zip(cuts, cuts[1:]) if b - a >= tiny]
+                parts = [p for a, b in panels for p in pieces(a, b, "", [int(g) for g in gutters], most)]
+                made += [(strip, k, a, b) for k, (_, a, b) in enumerate(sorted(parts, key=lambda p: p[1]), 1)]
+            yield pd.DataFrame(made, columns=["strip", "panel_index", "y0", "y1"])
+
+    out = strips.select("strip", "mids", "cuts").mapInPandas(split, f"strip {kind}, panel_index long, y0 long, y1 long")
+    return out.select("strip", "panel_index", "y0", "y1", F.lit("unknown").alias("panel_type"), F.lit(0.0).alias("confidence"))

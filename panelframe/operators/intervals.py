@@ -22,11 +22,11 @@ def tiles(height: Column, size: int = 2000, overlap: int = 200) -> Column:
     return F.when(height > 0, F.transform(F.sequence(F.lit(0), count - 1), tile)).otherwise(F.array().cast("array<struct<k:int,y0:int,y1:int>>"))
 
 
-def runs(rows: DataFrame, keys: list[str], pos: str, flag: Column) -> DataFrame:
-    """(keys, lo, hi, rows): maximal runs of consecutive positions where flag holds."""
+def runs(rows: DataFrame, keys: list[str], pos: str, flag: Column, *more: Column) -> DataFrame:
+    """(keys, lo, hi, rows): maximal runs of consecutive positions where flag holds; with more aggregates of a run's rows."""
     w = Window.partitionBy(*keys).orderBy(pos)
-    on = rows.where(flag).select(*keys, pos, (F.col(pos) - F.row_number().over(w)).alias("_island"))
-    return on.groupBy(*keys, "_island").agg(F.min(pos).alias("lo"), F.max(pos).alias("hi"), F.count(F.lit(1)).alias("rows")).drop("_island")
+    on = rows.where(flag).withColumn("_island", F.col(pos) - F.row_number().over(w))
+    return on.groupBy(*keys, "_island").agg(F.min(pos).alias("lo"), F.max(pos).alias("hi"), F.count(F.lit(1)).alias("rows"), *more).drop("_island")
 
 
 def cells(df: DataFrame, y0: str, y1: str, name: str = "cell") -> DataFrame:
@@ -47,8 +47,7 @@ def gutters(rows: DataFrame, forbidden: DataFrame, least: int = 3, most: int = 1
 
     rows: (strip, y, mono, level, background); forbidden: (strip, f0, f1).
     """
-    found = runs(rows, ["strip"], "y", F.col("mono")).where(F.col("rows").between(least, most))
-    level = rows.join(found, "strip").where("y between lo and hi").groupBy("strip", "lo", "hi").agg(F.percentile("level", F.lit(0.5)).alias("median"), F.first("background").alias("background"))
+    level = runs(rows, ["strip"], "y", F.col("mono"), F.percentile("level", F.lit(0.5)).alias("median"), F.first("background").alias("background")).where(F.col("rows").between(least, most))
     level = level.where(F.abs(F.col("median") - F.col("background")) <= tolerance).withColumn("end", F.col("hi") + 1)
     hit = overlapping(level, forbidden, "strip", ("lo", "end"), ("f0", "f1")).select("strip", "lo", "hi")
     return level.join(hit, ["strip", "lo", "hi"], "left_anti").select("strip", "lo", "hi", F.floor((F.col("lo") + F.col("hi")) / 2).alias("mid"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelframe.operators.ranks import top
+
 LAST_STEP = 12
 # The first step that a changed artifact invalidates.
 INVALIDATES = {"panels.json": 4, "panels_edit.json": 5, "panels_validation.json": 5, "panels_confirmed.json": 7, "narration_edit.json": 8, "voice.json": 9, "order": 6}
@@ -40,12 +42,16 @@ def invalidated(ledger: DataFrame, edits: DataFrame) -> DataFrame:
     return ledger.join(starts, "session", "left").withColumn("status", F.when(stale, "stale").otherwise(F.col("status"))).drop("_first")
 
 
-def completeness(rules: DataFrame, listing: DataFrame) -> DataFrame:
-    """(step, problems, soft) from rules(step, artifact, required) and listing(artifact, bytes): missing or empty artifacts."""
-    rows = rules.join(listing, "artifact", "left").withColumn("bad", F.when(F.col("bytes").isNull(), "missing").when(F.col("bytes") == 0, "empty"))
+def completeness(rules: DataFrame, listing: DataFrame, session: str | None = None) -> DataFrame:
+    """(step, problems, soft) from rules(step, artifact, required) and listing(artifact, bytes): missing or empty artifacts.
+
+    With `session`, both have it, and so does the result: the rules are those of each session.
+    """
+    keys = [session] if session else []
+    rows = rules.join(listing, [*keys, "artifact"], "left").withColumn("bad", F.when(F.col("bytes").isNull(), "missing").when(F.col("bytes") == 0, "empty"))
     told = F.concat("artifact", F.lit(" "), "bad")
     names = lambda c: F.array_join(F.array_sort(F.collect_list(F.when(c & F.col("bad").isNotNull(), told))), ",")
-    return rows.groupBy("step").agg(names(F.col("required")).alias("problems"), names(~F.col("required")).alias("soft"))
+    return rows.groupBy(*keys, "step").agg(names(F.col("required")).alias("problems"), names(~F.col("required")).alias("soft"))
 
 
 def incremental(wanted: DataFrame, cache: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -109,10 +115,11 @@ def capped(rows: DataFrame, key: str, order: str, text: str, budget: int) -> Dat
 
 def head_and_tail(rows: DataFrame, key: str, order: str, head: int, tail: int) -> DataFrame:
     """The first and last rows of each key, with how many are left out between."""
-    w = Window.partitionBy(key)
-    n = F.count(F.lit(1)).over(w)
-    up, down = F.row_number().over(w.orderBy(order)), F.row_number().over(w.orderBy(F.desc(order)))
-    return rows.withColumn("_u", up).withColumn("_d", down).withColumn("left_out", F.greatest(n - (head + tail), F.lit(0))).where((F.col("_u") <= head) | (F.col("_d") <= tail)).drop("_u", "_d")
+    ends = top(rows, [key], [F.col(order)], head).withColumn("_end", F.lit(0)).unionByName(top(rows, [key], [F.desc(order)], tail).withColumn("_end", F.lit(1)))
+    # A row at both ends is there once; rows of a key are told apart by their order.
+    once = top(ends, [key, order], [F.col("_end")], 1).drop("_end")
+    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    return once.join(counts, key).withColumn("left_out", F.greatest(F.col("_n") - (head + tail), F.lit(0))).drop("_n")
 
 
 def in_force(log: DataFrame, key: str, seq: str, undo: Column) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from panelframe.operators.ranks import numbered
 from panelframe.operators.tables import settled
 
 
@@ -37,9 +38,11 @@ def first_lines(lines: DataFrame, panels: DataFrame, keys: list[str], seq: str)
 
 def same_members(order: DataFrame, active: DataFrame, key: str) -> DataFrame:
     """(key, valid): whether each session's order names every active id once and no other."""
-    named = order.groupBy(key).agg(F.count("id").alias("n"), F.array_sort(F.collect_set("id")).alias("ids"))
-    there = active.groupBy(key).agg(F.array_sort(F.collect_set("id")).alias("active"))
-    return there.join(named, key, "left").select(key, F.coalesce((F.col("n") == F.size("ids")) & (F.col("ids") == F.col("active")), F.lit(False)).alias("valid"))
+    # Counted id by id, so that no session's members are in one value.
+    named = order.where("id is not null").groupBy(key, "id").agg(F.count(F.lit(1)).alias("_named"))
+    there = active.where("id is not null").groupBy(key, "id").agg(F.lit(True).alias("_there"))
+    both = there.join(named, [key, "id"], "full").groupBy(key).agg(F.bool_and(F.coalesce((F.col("_named") == 1) & F.col("_there"), F.lit(False))).alias("valid"), F.bool_or(F.coalesce("_there", F.lit(False))).alias("_any"))
+    return both.where("_any").select(key, "valid")
 
 
 def edited_view(baseline: DataFrame, custom: DataFrame, edits: DataFrame, key: str) -> DataFrame:
@@ -51,7 +54,8 @@ def edited_view(baseline: DataFrame, custom: DataFrame, edits: DataFrame, key: s
     base = baseline.select(key, "id", F.struct(F.lit(0).alias("c"), F.col("y_start").cast("long").alias("a"), F.col("panel_index").cast("long").alias("b")).alias("at"))
     own = custom.select(key, "id", F.struct(F.lit(1).alias("c"), F.col("seq").cast("long").alias("a"), F.lit(0).cast("long").alias("b")).alias("at"))
     rows = base.unionByName(own).join(edits, [key, "id"], "left").withColumn("deleted", F.coalesce("deleted", F.lit(False)))
-    place = F.row_number().over(Window.partitionBy(key, "deleted").orderBy(F.col("position").asc_nulls_last(), "at", "id"))
+    rows = numbered(rows, [key, "deleted"], [F.col("position").isNull(), F.col("position"), F.col("at"), F.col("id")], "_place")
+    place = F.col("_place")
     return rows.select(key, "id", F.when(~F.col("deleted"), place).cast("long").alias("display_order"), "deleted", F.when(F.col("deleted"), "deleted").otherwise(F.coalesce("review", F.lit("needs_review"))).alias("review_status"))
 
 
@@ -104,11 +108,12 @@ def resolve_prefix(asked: DataFrame, known: DataFrame, least: int = 1) -> DataFr
 
 def overridden(panels: DataFrame, overrides: DataFrame) -> DataFrame:
     """panels(id, narration) with the override of its id, or of its id without the session prefix: (id, narration, ai_text, edited)."""
-    clean = overrides.where(F.trim("text") != "")
-    raw = F.regexp_replace("id", "^s[0-9a-f]{8}_", "")
-    a, b = clean.select("id", F.col("text").alias("_own")), clean.select(F.col("id").alias("_raw"), F.col("text").alias("_plain"))
-    rows = panels.withColumn("_raw", raw).join(a, "id", "left").join(b, "_raw", "left")
-    text = F.coalesce("_own", "_plain")
+    clean = overrides.where(F.trim("text") != "").groupBy("id").agg(F.min("text").alias("text"))
+    # Which panel has which override is found on ids alone; the texts of the panels meet what was found once.
+    ids = panels.select("id", F.explode(F.array(F.struct(F.lit(0).alias("k"), F.col("id").alias("by")), F.struct(F.lit(1).alias("k"), F.regexp_replace("id", "^s[0-9a-f]{8}_", "").alias("by")))).alias("n"))
+    chosen = ids.select("id", "n.k", "n.by").join(clean.select(F.col("id").alias("by"), "text"), "by").groupBy("id").agg(F.min_by("text", "k").alias("_text"))
+    rows = panels.join(chosen, "id", "left")
+    text = F.col("_text")
     return rows.select("id", F.coalesce(text, "narration", F.lit("")).alias("text"), F.coalesce("narration", F.lit("")).alias("ai_text"), text.isNotNull().alias("edited"))
 
 

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelframe.functions import text as X
+from panelframe.operators.ranks import numbered, top
+from panelframe.operators.tables import settled
 
 # Geometry and content limits of a verdict.
 MIN_HEIGHT, MIN_AREA, THIN_SHARE, TALL_ASPECT = 24, 900, 0.015, 6.0
@@ -17,8 +19,10 @@ BLANK_VARIANCE, BLANK_EDGE, BLANK_FOREGROUND = 4.0, 9.0, 0.02
 FEWEST, FIXED_COLOR, FIXED_WHITE, EDGE_FLOOR = 6, 0.05, 0.80, 0.003
 BW_MEDIAN, IQR_FACTOR, COLOR_CAP, WHITE_PERCENT = 0.02, 1.5, 0.15, 0.65
 BLANK_SCORE, UNIFORM, TWO_TONE, RESCUED = 0.70, 0.92, 0.88, 3
+# Bands that near hashes have to agree in, at most.
+MOST_AGREEING = 3
 # The kinds of panel that a plan may name.
-KINDS = "single tall_scenic transition_gutter multi_sub_panel unknown".split()
+KINDS = ["single", "tall_scenic", "transition_gutter", "multi_sub_panel", "unknown"]
 
 
 def rules(**broken: Column) -> Column:
@@ -70,16 +74,19 @@ def near_hashes(panels: DataFrame, most: int = 6, valid: Column | None = None, a
 
     Two such hashes agree in `agree` of most + agree bands at least, so each choice of that many bands is a
     join key: no pair is missed and no cross join is needed.  More bands to agree on mean longer, rarer
-    keys; unless given, there are so many that a key has as many values as there are hashes, which
-    keeps what meets by chance in proportion to the table.  Equal hashes are one node: many copies meet once.
+    keys; unless given, there are so many that a key has as many values as there are hashes, but at most MOST_AGREEING:
+    a hash is 84 rows then, and beyond some two million hashes more of them meet by chance.  Keys that one hash
+    alone has go before the hashes meet.  Equal hashes are one node: many copies meet once.
     """
     used = panels.withColumn("_valid", F.coalesce(F.lit(True) if valid is None else valid, F.lit(False)))
     groups = used.where("_valid").groupBy("hash").agg(F.min("id").alias("first"))
     if agree is None:
         count = max(groups.count(), 2)
-        agree = next((k for k in range(1, 6) if 64 * k // (most + k) >= math.log2(count)), 6)
+        agree = next((k for k in range(1, MOST_AGREEING) if 64 * k // (most + k) >= math.log2(count)), MOST_AGREEING)
     masks = F.array(*[F.lit(m).cast("long") for m in _agreeing(most, agree)])
     cut = groups.withColumn("mask", F.explode(masks)).withColumn("bits", F.col("hash").bitwiseAND(F.col("mask")))
+    several = cut.groupBy("mask", "bits").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
+    cut = settled(cut.join(several, ["mask", "bits"]))
     other = cut.select("mask", "bits", F.col("hash").alias("o_hash"), F.col("first").alias("o_first"))
     near = cut.join(other, ["mask", "bits"]).where((F.col("hash") != F.col("o_hash")) & (F.bit_count(F.col("hash").bitwiseXOR(F.col("o_hash"))) <= most))
     least = near.groupBy("hash").agg(F.min("o_first").alias("other"))
@@ -129,24 +136,27 @@ def decide(rows: DataFrame, thresholds: DataFrame, key: str) -> DataFrame:
 
 
 def rescue(decided: DataFrame, key: str, order: str) -> DataFrame:
-    """decided, with the least blank rows kept where a session would keep none."""
-    w = Window.partitionBy(key)
-    none = F.count_if(F.col("decision") == "keep").over(w) == 0
-    present = F.count_if(F.col("decision") != "blank").over(w) > 0
-    pool = ~present | (F.col("decision") != "blank")
-    rank = F.row_number().over(w.orderBy(F.when(pool, 0).otherwise(1), F.coalesce("blank_score", F.lit(0.5)), order))
-    marked = decided.withColumn("_none", none & pool).withColumn("_rank", rank)
-    return marked.withColumn("decision", F.when(F.col("_none") & (F.col("_rank") <= RESCUED), "keep_rescued").otherwise(F.col("decision"))).drop("_none", "_rank")
+    """decided, with the least blank rows kept where a session would keep none. Rows of a session are told apart by `order`."""
+    sessions = decided.groupBy(key).agg((F.count_if(F.col("decision") == "keep") == 0).alias("_none"), (F.count_if(F.col("decision") != "blank") > 0).alias("_present"))
+    pool = decided.join(sessions.where("_none"), key).where(~F.col("_present") | (F.col("decision") != "blank"))
+    kept = top(pool, [key], [F.coalesce("blank_score", F.lit(0.5)), F.col(order)], RESCUED).select(key, order, F.lit(True).alias("_kept"))
+    rows = decided.join(kept, [key, order], "left")
+    return rows.select(*[F.when(F.col("_kept"), "keep_rescued").otherwise(F.col("decision")).alias(c) if c == "decision" else F.col(c) for c in decided.columns])
 
 
 def renumber(rows: DataFrame, key: str, order: str) -> DataFrame:
-    return rows.withColumn("number", F.row_number().over(Window.partitionBy(key).orderBy(order)).cast("long"))
+    return numbered(rows, [key], [F.col(order)], "number")
 
 
 def digest(rows: DataFrame, key: str, *columns: str) -> DataFrame:
-    """A short hash of each session's decisions, whatever their order."""
-    lines = F.array_sort(F.collect_list(F.concat_ws(":", *columns)))
-    return rows.groupBy(key).agg(F.substring(F.sha1(F.array_join(lines, "\n")), 1, 12).alias("hash"))
+    """A short hash of each session's decisions, whatever their order: of how many there are and of the sum of their hashes.
+
+    The sum is made up in the tasks, so a session is never in one value.
+    """
+    line = F.concat_ws(":", *columns)
+    part = F.conv(F.substring(F.sha1(line), 1, 15), 16, 10).cast("decimal(20,0)")
+    s = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), F.sum(part).alias("_s"))
+    return s.select(key, F.substring(F.sha1(F.concat_ws(":", "_n", F.col("_s").cast("string"))), 1, 12).alias("hash"))
 
 
 def low_confidence(entries: DataFrame, plans: DataFrame, key: str, below: float = 0.5, most: float = 0.30) -> DataFrame:

@@ -24,7 +24,7 @@ UPDATE = "seen array<string>, cast array<struct<name:string,role:string,descript
 FIELDS = ["seen", "cast", "places_seen", "places", "resolved", "opened", "events"]
 ENTRY = ["kind", "pos", "name", "role", "description", "aliases", "status", "first_seen", "last_seen"]
 ENTRY_TYPES = "kind string, pos long, name string, role string, description string, aliases array<string>, status string, first_seen long, last_seen long"
-_WORD, _STOP = re.compile("[a-z0-9']+"), frozenset(STOP_WORDS.split())
+_WORD, _STOP = re.compile("[a-z0-9']+"), frozenset(STOP_WORDS)
 
 
 def one_line(text: str | None, most: int = LONGEST) -> str:

@@ -140,10 +140,10 @@ def f13_head_and_tail(spark, folder):
 
 
 def timeline(spark, folder):
-    return table(spark, folder, "conversations").where("text is not null").select(F.col("conv_id").alias("chapter"), F.col("turn").alias("panel"), F.col("turn").alias("position"), (2.0 + F.length("text") % 30 / 10.0).alias("seconds"))
+    return table(spark, folder, "conversations").select(F.col("conv_id").alias("chapter"), F.col("turn").alias("panel"), F.col("turn").alias("position"), (2.0 + F.length(F.coalesce("text", F.lit(""))) % 30 / 10.0).alias("seconds"))
 
 
-@query("""WITH b AS (SELECT conv_id AS chapter, turn AS panel, turn AS position, 2.0 + length(text) % 30 / 10.0::DOUBLE AS seconds FROM conversations WHERE text IS NOT NULL),
+@query("""WITH b AS (SELECT conv_id AS chapter, turn AS panel, turn AS position, 2.0 + length(coalesce(text, '')) % 30 / 10.0::DOUBLE AS seconds FROM conversations),
   c AS (SELECT conv_id AS chapter, max(turn) + 1 AS turns FROM conversations GROUP BY conv_id), m AS (SELECT max(conv_id) + 1 AS many FROM conversations),
   g AS (SELECT event_id % many AS chapter, event_id // many AS nth, event_type, value, event_id AS seq FROM events, m WHERE event_type IN ('view', 'click', 'purchase', 'signup', 'error')),
   s AS (SELECT *, sum(CASE event_type WHEN 'error' THEN -1 ELSE 1 END) OVER (PARTITION BY chapter ORDER BY seq) AS total FROM g),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from panelframe.operators import intervals as I
 from panelframe.operators import overlay as O
+from panelframe.operators.ranks import numbered
 from panelframe.plans.registry import query, table
 
 
@@ -163,12 +164,11 @@ def e21_confirmed_whole(spark, folder):
 
 
 def confirmed(spark, folder, narration):
-    from pyspark.sql import Window
-
     docs = table(spark, folder, "documents").select(F.col("doc_id").alias("id"), narration.alias("narration"))
-    rows = view(spark, folder).where("not deleted and review_status = 'reviewed'").join(docs, "id")
+    # Numbered on ids alone, before the texts come in.
+    rows = numbered(view(spark, folder).where("not deleted and review_status = 'reviewed'"), ["source"], [F.col("display_order")], "number").join(docs, "id")
     text = F.when(F.col("id") % 3 == 0, F.concat(F.lit("override "), F.col("id").cast("string"))).otherwise(F.col("narration"))
-    return rows.select("source", "id", F.row_number().over(Window.partitionBy("source").orderBy("display_order")).cast("long").alias("number"), text.alias("narration"))
+    return rows.select("source", "id", "number", text.alias("narration"))
 
 
 @query("SELECT doc_id, quality FROM labels WHERE doc_id IN (SELECT doc_id FROM documents WHERE lang <> 'fr')")
@@ -176,13 +176,13 @@ def e22_orphans(spark, folder):
     return O.orphans_removed(table(spark, folder, "labels"), table(spark, folder, "documents").where("lang <> 'fr'"), ["doc_id"]).select("doc_id", "quality")
 
 
-@query("""SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN reverse(text) ELSE text END AS caption, turn % 2 = 0 AND reverse(text) <> text AS changed FROM conversations WHERE text IS NOT NULL""")
+@query("""SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN reverse(text) ELSE text END AS caption, turn % 2 = 0 AND coalesce(reverse(text) <> text, false) AS changed FROM conversations""")
 def e23_caption_sync_whole(spark, folder):
     return synced(spark, folder, F.col("text"))
 
 
 def synced(spark, folder, caption):
-    rows = table(spark, folder, "conversations").where("text is not null").select("conv_id", "turn", caption.alias("caption"))
+    rows = table(spark, folder, "conversations").select("conv_id", "turn", caption.alias("caption"))
     return O.synced_captions(rows, rows.where("turn % 2 = 0").select("conv_id", "turn", F.reverse("caption").alias("text")), ["conv_id", "turn"])
 
 

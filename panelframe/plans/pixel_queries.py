@@ -100,17 +100,25 @@ def c10_split(spark, folder):
     return folds.split_oversized(panels.withColumn("y1", F.col("y1") * 40), intervals.gutters(rows, IQ.marks(spark, folder)).withColumn("mid", F.col("mid") * 40), 1600)
 
 
+# The gutter nearest to the middle of what is over 400 rows, the upper one on ties, that leaves both sides a quarter and 50 rows.
+_SPLIT = """CASE WHEN y1 - y0 > 400 THEN list_sort(list_transform(list_filter(g, lambda m: m BETWEEN y0 + greatest(50, (y1 - y0) // 4) AND y1 - greatest(50, (y1 - y0) // 4)), lambda m: {'d': abs(m - (y0 + y1) // 2), 'm': m}))[1].m END"""
+
+
 @query(f"""WITH RECURSIVE {IQ._GUTTERS}, hs AS (SELECT strip, max(y) + 1 AS h FROM r GROUP BY strip),
   o AS (SELECT strip, mid, row_number() OVER (PARTITION BY strip ORDER BY mid) AS n FROM v),
   f AS (SELECT strip, 0::BIGINT AS n, 0::BIGINT AS last, [0::BIGINT] AS cuts FROM hs UNION ALL
     SELECT f.strip, o.n, CASE WHEN mid - last >= 8 THEN mid ELSE last END, CASE WHEN mid - last >= 8 THEN list_append(cuts, mid) ELSE cuts END FROM f JOIN o ON o.strip = f.strip AND o.n = f.n + 1),
   e AS (SELECT strip, h, CASE WHEN cuts[-1] < h - 8 THEN list_append(cuts, h) WHEN cuts[-1] <> h THEN list_append(cuts[1:len(cuts) - 1], h) ELSE cuts END AS c FROM (SELECT strip, arg_max(cuts, n) AS cuts FROM f GROUP BY strip) JOIN hs USING (strip)),
-  p AS (SELECT strip, c[i] AS y0, c[i + 1] AS y1 FROM (SELECT *, unnest(range(1, len(c))) AS i FROM e))
-SELECT strip, row_number() OVER (PARTITION BY strip ORDER BY y0) AS panel_index, y0, y1, 'unknown' AS panel_type, 0.0::DOUBLE AS confidence FROM p WHERE y1 - y0 >= 5""")
+  mids AS (SELECT strip, list(mid * 40) AS g FROM v GROUP BY strip),
+  p AS (SELECT strip, c[i] * 40 AS y0, c[i + 1] * 40 AS y1, coalesce(g, []) AS g FROM (SELECT *, unnest(range(1, len(c))) AS i FROM e) LEFT JOIN mids USING (strip)),
+  t AS (SELECT strip, y0, y1, g, 0 AS level FROM p WHERE y1 - y0 >= 5
+    UNION ALL SELECT strip, unnest([y0, cut]), unnest([cut, y1]), g, level + 1 FROM (SELECT *, {_SPLIT} AS cut FROM t) WHERE cut IS NOT NULL)
+SELECT strip, row_number() OVER (PARTITION BY strip ORDER BY y0) AS panel_index, y0, y1, 'unknown' AS panel_type, 0.0::DOUBLE AS confidence FROM t WHERE {_SPLIT} IS NULL""")
 def c21_fallback_plan(spark, folder):
-    """No panel of these strips is over the greatest height; splits are tested apart."""
+    """Each row stands for 40; panels over 400 are split where a gutter leaves both sides enough."""
     rows = IQ.row_metrics(spark, folder)
-    return folds.fallback_plan(rows, intervals.gutters(rows, IQ.marks(spark, folder)), 8, 1 << 40)
+    found = intervals.gutters(rows, IQ.marks(spark, folder))
+    return folds.fallback_plan(rows.select("strip", (F.col("y") * 40 + 39).alias("y")), found.select("strip", (F.col("mid") * 40).alias("mid")), 320, 400)
 
 
 @query(f"""WITH {_M}, c AS (SELECT strip, y0, y0 + 7 AS y1 FROM (SELECT DISTINCT strip, y - y % 9 AS y0 FROM m)), l AS (SELECT strip, max(y) + 1 AS h FROM m GROUP BY strip),
@@ -127,23 +135,23 @@ def c23_score_sources(spark, folder):
     return scored.select("strip", "id", F.round("variance", 6).alias("variance"), F.round("edge", 6).alias("edge"), "method")
 
 
-@query("""SELECT conv_id, turn, h, coalesce(sum(h) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS y_offset, max(w) OVER (PARTITION BY conv_id) AS strip_width FROM (SELECT conv_id, turn, 100 + length(text) % 900 AS h, 300 + length(text) % 500 AS w FROM conversations WHERE text IS NOT NULL)""")
+@query("""SELECT conv_id, turn, h, coalesce(sum(h) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS y_offset, max(w) OVER (PARTITION BY conv_id) AS strip_width FROM (SELECT conv_id, turn, 100 + length(coalesce(text, '')) % 900 AS h, 300 + length(coalesce(text, '')) % 500 AS w FROM conversations)""")
 def a05_stitched_offsets(spark, folder):
-    n = F.length("text").cast("long")
-    pages = table(spark, folder, "conversations").where("text is not null").select("conv_id", "turn", (100 + n % 900).alias("h"), (300 + n % 500).alias("w"))
+    n = F.length(F.coalesce("text", F.lit(""))).cast("long")
+    pages = table(spark, folder, "conversations").select("conv_id", "turn", (100 + n % 900).alias("h"), (300 + n % 500).alias("w"))
     return D.stitched_offsets(pages, "conv_id", "turn").select("conv_id", "turn", "h", "y_offset", "strip_width")
 
 
-@query("""SELECT conv_id, array_to_string(list_filter([CASE WHEN sum(n) > 4000 THEN 'bytes' END, CASE WHEN max(n % 500 * (n % 900)) > 150000 THEN 'pixels' END, CASE WHEN count(*) > 5 THEN 'images' END], lambda x: x IS NOT NULL), ',') AS problems FROM (SELECT conv_id, length(text) AS n FROM conversations WHERE text IS NOT NULL) GROUP BY conv_id""")
+@query("""SELECT conv_id, array_to_string(list_filter([CASE WHEN sum(n) > 4000 THEN 'bytes' END, CASE WHEN max(n % 500 * (n % 900)) > 150000 THEN 'pixels' END, CASE WHEN count(*) > 5 THEN 'images' END], lambda x: x IS NOT NULL), ',') AS problems FROM (SELECT conv_id, length(coalesce(text, '')) AS n FROM conversations) GROUP BY conv_id""")
 def a04_archive_limits(spark, folder):
-    n = F.length("text").cast("long")
-    pages = table(spark, folder, "conversations").where("text is not null").select("conv_id", n.alias("bytes"), (n % 500).alias("w"), (n % 900).alias("h"))
+    n = F.length(F.coalesce("text", F.lit(""))).cast("long")
+    pages = table(spark, folder, "conversations").select("conv_id", n.alias("bytes"), (n % 500).alias("w"), (n % 900).alias("h"))
     return D.archive_limits(pages, "conv_id", 4000, 150_000, 5).select("conv_id", F.array_join("problems", ",").alias("problems"))
 
 
-@query("""SELECT conv_id, turn, turn + 1 AS number, turn * 61.5::DOUBLE AS start, turn * 61.5::DOUBLE + 2.25 AS "end", trim(regexp_replace(text, '\\s*\\n\\s*', ' ', 'g')) AS caption FROM (SELECT conv_id, turn, text FROM conversations WHERE text IS NOT NULL)""")
+@query("""SELECT conv_id, turn, turn + 1 AS number, turn * 61.5::DOUBLE AS start, turn * 61.5::DOUBLE + 2.25 AS "end", trim(regexp_replace(coalesce(text, ''), '\\s*\\n\\s*', ' ', 'g')) AS caption FROM conversations""")
 def a10_srt_parse_whole(spark, folder):
-    return parsed(spark, folder, F.col("text"))
+    return parsed(spark, folder, F.coalesce("text", F.lit("")))
 
 
 def parsed(spark, folder, caption):
@@ -151,7 +159,7 @@ def parsed(spark, folder, caption):
 
     t = F.col("turn")
     blocks = F.concat_ws("\n", t + 1, F.concat(srt_time(t * 61.5), F.lit(" --> "), srt_time(t * 61.5 + 2.25)), caption)
-    rows = table(spark, folder, "conversations").where("text is not null").select("conv_id", "turn", blocks.alias("block"))
+    rows = table(spark, folder, "conversations").select("conv_id", "turn", blocks.alias("block"))
     return D.srt_cues(rows).drop("block")
 
 

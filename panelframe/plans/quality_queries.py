@@ -12,11 +12,11 @@ from panelframe.plans.registry import query, table
 
 @query("""SELECT strip, idx, array_to_string(list_filter([CASE WHEN y0 >= y1 THEN 'degenerate' END, CASE WHEN y0 < 0 OR y1 > 2400 THEN 'out_of_strip' END, CASE WHEN kind NOT IN ('single', 'tall_scenic', 'transition_gutter', 'multi_sub_panel', 'unknown') THEN 'unknown_kind' END,
   CASE WHEN y0 < lag(y0) OVER w THEN 'not_monotonic' END, CASE WHEN idx <> row_number() OVER w THEN 'not_contiguous' END], lambda x: x IS NOT NULL), ',') AS problems
-FROM (SELECT conv_id AS strip, turn AS idx, turn * 300 + length(text) % 500 AS y0, turn * 300 + length(text) % 700 AS y1, CASE role WHEN 'user' THEN 'single' WHEN 'assistant' THEN 'unknown' ELSE role END AS kind FROM conversations WHERE text IS NOT NULL) WINDOW w AS (PARTITION BY strip ORDER BY idx)""")
+FROM (SELECT conv_id AS strip, turn AS idx, turn * 300 + length(coalesce(text, '')) % 500 AS y0, turn * 300 + length(coalesce(text, '')) % 700 AS y1, CASE role WHEN 'user' THEN 'single' WHEN 'assistant' THEN 'unknown' ELSE role END AS kind FROM conversations) WINDOW w AS (PARTITION BY strip ORDER BY idx)""")
 def d01_plan_problems(spark, folder):
-    n = F.length("text")
+    n = F.length(X.text(F.col("text")))
     kind = F.when(F.col("role") == "user", "single").when(F.col("role") == "assistant", "unknown").otherwise(F.col("role"))
-    rows = table(spark, folder, "conversations").where("text is not null").select(F.col("conv_id").alias("strip"), F.col("turn").alias("idx"), (F.col("turn") * 300 + n % 500).alias("y0"), (F.col("turn") * 300 + n % 700).alias("y1"), F.lit(2400).alias("height"), kind.alias("kind"))
+    rows = table(spark, folder, "conversations").select(F.col("conv_id").alias("strip"), F.col("turn").alias("idx"), (F.col("turn") * 300 + n % 500).alias("y0"), (F.col("turn") * 300 + n % 700).alias("y1"), F.lit(2400).alias("height"), kind.alias("kind"))
     return Q.plan_problems(rows).select("strip", "idx", F.array_join("problems", ",").alias("problems"))
 
 
@@ -69,7 +69,7 @@ def d06_effective(spark, folder):
 
 _SCORES = f"""SELECT doc_id, source, text, coalesce({S.count("text", S.lit('[A-Z]'))} / nullif(length(text), 0)::DOUBLE, 0.0) AS color, coalesce({S.count("text", S.lit('[ .,]'))} * 4.0 / nullif(length(text), 0)::DOUBLE, 0.0) AS white,
   coalesce({S.count("text", S.lit('[^A-Za-z .,]'))} / nullif(length(text), 0)::DOUBLE, 0.0) AS edge, doc_id % 100 / 100.0::DOUBLE AS blank_score, doc_id % 97 = 0 AS confirmed,
-  doc_id * 7 % 100 / 100.0::DOUBLE AS two_tone, doc_id * 13 % 100 / 100.0::DOUBLE AS uniform FROM documents WHERE text IS NOT NULL"""
+  doc_id * 7 % 100 / 100.0::DOUBLE AS two_tone, doc_id * 13 % 100 / 100.0::DOUBLE AS uniform FROM documents"""
 _PERCENT = f"""SELECT source, count(*) AS n, quantile_cont(color, 0.5) AS median, quantile_cont(color, 0.25) AS q1, quantile_cont(color, 0.75) AS q3, quantile_cont(white, 0.65) AS w FROM ({_SCORES}) GROUP BY source"""
 _CALIBRATED = f"""SELECT source, n, CASE WHEN n < 6 THEN 'fixed' ELSE 'adaptive' END AS method, CASE WHEN n < 6 OR median < {Q.BW_MEDIAN} THEN {Q.FIXED_COLOR}::DOUBLE ELSE round(least(greatest(0.0, q1 - {Q.IQR_FACTOR} * (q3 - q1)), {Q.COLOR_CAP}), 5) END AS color_below,
   CASE WHEN n < 6 THEN {Q.FIXED_WHITE}::DOUBLE ELSE round(least(w + 0.04, 0.97), 5) END AS white_above, {Q.EDGE_FLOOR}::DOUBLE AS edge_above, n >= 6 AND median < 0.02 AS bw FROM ({_PERCENT})"""
@@ -79,7 +79,7 @@ def scores(spark, folder):
     t, n = F.col("text"), F.nullif(F.length("text"), F.lit(0))
     share = lambda p, k: F.coalesce(F.regexp_count(t, F.lit(p)) * k / n, F.lit(0.0))
     d = F.col("doc_id")
-    return table(spark, folder, "documents").where("text is not null").select("doc_id", "source", "text", share("[A-Z]", 1.0).alias("color"), share("[ .,]", 4.0).alias("white"), share("[^A-Za-z .,]", 1.0).alias("edge"), (d % 100 / 100.0).alias("blank_score"), (d % 97 == 0).alias("confirmed"), (d * 7 % 100 / 100.0).alias("two_tone"), (d * 13 % 100 / 100.0).alias("uniform"))
+    return table(spark, folder, "documents").select("doc_id", "source", "text", share("[A-Z]", 1.0).alias("color"), share("[ .,]", 4.0).alias("white"), share("[^A-Za-z .,]", 1.0).alias("edge"), (d % 100 / 100.0).alias("blank_score"), (d % 97 == 0).alias("confirmed"), (d * 7 % 100 / 100.0).alias("two_tone"), (d * 13 % 100 / 100.0).alias("uniform"))
 
 
 @query(_CALIBRATED)
@@ -88,7 +88,7 @@ def d07_calibration(spark, folder):
 
 
 _PROMO = f"(regexp_matches(text, {S.DOMAIN}) OR regexp_matches(text, {S.PROMO}))"
-_DECIDED = f"""SELECT doc_id, source, blank_score, CASE WHEN confirmed THEN 'keep' WHEN blank_score >= 0.70 THEN 'blank' WHEN {_PROMO.replace('text', "CASE WHEN doc_id % 3 = 0 THEN text ELSE '' END")} THEN 'context_only'
+_DECIDED = f"""SELECT doc_id, source, blank_score, CASE WHEN confirmed THEN 'keep' WHEN blank_score >= 0.70 THEN 'blank' WHEN {_PROMO.replace('text', "CASE WHEN doc_id % 3 = 0 THEN coalesce(text, '') ELSE '' END")} THEN 'context_only'
   WHEN uniform >= {Q.UNIFORM} OR ((bw OR color < color_below) AND white > white_above AND edge > edge_above) THEN 'context_only' WHEN two_tone >= {Q.TWO_TONE} AND (bw OR color <= color_below) AND edge >= edge_above THEN 'context_only' ELSE 'keep' END AS decision
   FROM ({_SCORES}) JOIN ({_CALIBRATED}) USING (source)"""
 
@@ -125,7 +125,7 @@ def d10_renumber(spark, folder):
     return Q.renumber(rescued(spark, folder).where("decision like 'keep%'"), "session", "doc_id").select("doc_id", "session", "number")
 
 
-@query(f"SELECT source, substr(sha1(string_agg(line, chr(10) ORDER BY line)), 1, 12) AS hash FROM (SELECT source, doc_id || ':' || decision AS line FROM ({_DECIDED})) GROUP BY source")
+@query(f"SELECT source, substr(sha1(count(*) || ':' || sum(('0x' || substr(sha1(line), 1, 15))::HUGEINT)), 1, 12) AS hash FROM (SELECT source, doc_id || ':' || decision AS line FROM ({_DECIDED})) GROUP BY source")
 def d11_digest(spark, folder):
     return Q.digest(decided(spark, folder), "source", "doc_id", "decision")
 

@@ -11,13 +11,13 @@ ORACLE: dict[str, str] = {}
 
 
 def query(sql: str | None = None):
-    """Register a query; one whose name ends in _whole, from when there was another form, under the plain name too."""
+    """Register a query; an ending _whole, from when there was another form, is no part of its name."""
 
     def register(f):
-        for name in {f.__name__, f.__name__.removesuffix("_whole")}:
-            QUERIES[name] = f
-            if sql:
-                ORACLE[name] = sql
+        name = f.__name__.removesuffix("_whole")
+        QUERIES[name] = f
+        if sql:
+            ORACLE[name] = sql
         return f
 
     return register

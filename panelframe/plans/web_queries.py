@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from panelframe.functions import logs as G
@@ -116,12 +117,15 @@ def b27_map_redaction(spark, folder):
     return table(spark, folder, "events").select("event_id", F.map_values(G.redacted_map(F.create_map(key, F.col("event_type"))))[0].alias("value"))
 
 
-_TW = lambda e: f"list_distinct(list_filter(regexp_extract_all(lower({e}), '[a-z0-9'']+'), lambda w: NOT list_contains({X.STOP_WORDS.split()}, w)))"
+_TW = lambda e: f"list_distinct(list_filter(regexp_extract_all(lower({e}), '[a-z0-9'']+'), lambda w: NOT list_contains({X.STOP_WORDS}, w)))"
 
 
-@query(f"""SELECT conv_id, turn, len(h) >= 2 AND len(s) > 0 AND len(list_intersect(h, s))::DOUBLE / nullif(len(h), 0) >= 0.6 AS matched FROM (SELECT conv_id, turn, {_TW("left(coalesce(text, ''), 60)")} AS h, {_TW("coalesce(text, '')")} AS s FROM conversations)""")
+@query(f"""SELECT conv_id, turn, len(h) >= 2 AND len(s) > 0 AND len(list_intersect(h, s))::DOUBLE / nullif(len(h), 0) >= 0.6 AS matched FROM (SELECT conv_id, turn, {_TW("coalesce(said, '')")} AS h, {_TW("coalesce(text, '')")} AS s FROM (SELECT *, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS said FROM conversations))""")
 def b13_thread_match(spark, folder):
-    return table(spark, folder, "conversations").select("conv_id", "turn", G.thread_match(F.substring("text", 1, 60), F.col("text")).alias("matched"))
+    """Whether each turn has enough of the words of the one before."""
+    before = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))
+    rows = table(spark, folder, "conversations").withColumn("said", before)
+    return rows.select("conv_id", "turn", G.thread_match(F.col("said"), F.col("text")).alias("matched"))
 
 
 @query("""SELECT doc_id, left(trim(regexp_replace(replace(coalesce(text, ''), '```', ''), '[\\r\\n]+', ' ', 'g')), 300) AS line FROM documents""")

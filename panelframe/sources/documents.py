@@ -7,6 +7,8 @@ import math
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from panelframe.operators.ranks import numbered
+
 PANEL = "struct<id:string,panel_index:int,y_start:int,y_end:int,narration:string,dialogue:string,panel_type:string,confidence:double,image_file:string,bbox:struct<x:int,y:int,w:int,h:int>>"
 ENTRY = "struct<panel_index:int,y_start:int,y_end:int,narration:string,dialogue:string,panel_type:string,confidence:double>"
 DOCUMENT = f"source string, width int, height int, panels array<{PANEL}>, entries array<{ENTRY}>, _corrupt_record string"
@@ -88,9 +90,9 @@ def sound_bank(files: DataFrame, kinds: list[str]) -> DataFrame:
     own = audio.where(F.col("folder").isin(kinds)).select(F.col("folder").alias("kind"), "source")
     wanted = audio.sparkSession.createDataFrame([(k,) for k in kinds], "kind string")
     rest = wanted.join(own.select("kind").distinct(), "kind", "left_anti").crossJoin(audio.where("folder = 'default'").select("source"))  # a few kinds
-    w = Window.partitionBy("kind")
     rows = own.unionByName(rest)
-    return rows.withColumn("k", (F.row_number().over(w.orderBy("source")) - 1).cast("long")).withColumn("n", F.count(F.lit(1)).over(w))
+    counts = rows.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+    return numbered(rows, ["kind"], [F.col("source")], "k").withColumn("k", F.col("k") - 1).join(counts, "kind")
 
 
 def salvaged(rows: DataFrame, key: str, text: str) -> DataFrame:

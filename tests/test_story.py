@@ -15,7 +15,7 @@ SCHEMA = f"series string, idx long, ts timestamp, {S.UPDATE}, kind int"
 
 def plain(updates):
     """The rows of S.story by looking through whole lists."""
-    words = lambda x: set(re.findall("[a-z0-9']+", x.lower())) - set(STOP_WORDS.split())
+    words = lambda x: set(re.findall("[a-z0-9']+", x.lower())) - set(STOP_WORDS)
     cut = lambda x, n=200: (x or "").strip().replace("\n", " ")[:n]
     out = []
     for series in {u["series"] for u in updates if u["series"] is not None}:

@@ -42,7 +42,7 @@ def test_edits_of_any_event_reach_any_conversation(spark, tmp_path):
     # Chapter 149, panel 7: event ids 149 + 150 n with n % 8 = 7, far past 6000 and none a multiple of 5.
     nth = lambda n: 149 + chapters * n
     events = [(nth(8 * 700 + 7), at, 0, "view", 55.0, None), (nth(8 * 701 + 6), at, 0, "purchase", 1.0, None), (nth(8 * 702 + 5), at, 0, "purchase", 1.0, None), (nth(8 * 703), at, 0, "error", 1.0, None)]
-    got = whole(spark, tmp_path, "f11_edit_replay_whole", conversations=(talk, "conv_id long, turn int, role string, text string"), events=(events, "event_id long, ts timestamp, user_id long, event_type string, value double, props string"))
+    got = whole(spark, tmp_path, "f11_edit_replay", conversations=(talk, "conv_id long, turn int, role string, text string"), events=(events, "event_id long, ts timestamp, user_id long, event_type string, value double, props string"))
     last = {r["panel"]: r["seconds"] for r in got if r["chapter"] == 149}
     assert last == {0: 3.0, 1: 3.0, 2: 3.0, 3: 3.0, 4: 3.0, 5: 3.0, 7: 5.5}  # 6 is removed, 5's removal undone
     assert len(got) == chapters * turns - 1
@@ -58,15 +58,15 @@ def test_texts_keep_their_ends(spark, tmp_path):
     talk = ([(0, 0, "user", text), (0, 1, "user", text), (0, 2, "user", "a" * 20 + "b")], TALK)
     docs = ([(1, text, "en", "s", 9), (2, text, "en", "s", 9)], DOCS)
     get = lambda name, **t: {(r[0], r[1]): r for r in whole(spark, tmp_path, name, **t)}
-    assert get("e04_coverage_fill_whole", conversations=talk)[0, 0]["text"] == text
-    assert get("b37_prompt_rows_whole", conversations=talk)[0, 1]["row"] == f"#1 [user] {text}"
-    assert get("a10_srt_parse_whole", conversations=talk)[0, 1]["caption"] == text
-    synced = get("e23_caption_sync_whole", conversations=talk)
+    assert get("e04_coverage_fill", conversations=talk)[0, 0]["text"] == text
+    assert get("b37_prompt_rows", conversations=talk)[0, 1]["row"] == f"#1 [user] {text}"
+    assert get("a10_srt_parse", conversations=talk)[0, 1]["caption"] == text
+    synced = get("e23_caption_sync", conversations=talk)
     assert synced[0, 0]["caption"] == text[::-1] and synced[0, 2]["changed"]
     labels = ([(1, 1, 0), (2, 0, 0)], LABELS)
-    rows = {r["id"]: r for r in whole(spark, tmp_path, "e12_overrides_whole", documents=docs, labels=labels)}
+    rows = {r["id"]: r for r in whole(spark, tmp_path, "e12_overrides", documents=docs, labels=labels)}
     assert (rows["1"]["text"], rows["1"]["ai_text"], rows["s0123abcd_2"]["text"]) == ("edited 1", text, text)
-    assert get("e21_confirmed_whole", documents=docs, labels=labels)["s", 1]["narration"] == text
+    assert get("e21_confirmed", documents=docs, labels=labels)["s", 1]["narration"] == text
 
 
 EVENTS = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
@@ -74,15 +74,15 @@ EVENTS = "event_id long, ts timestamp, user_id long, event_type string, value do
 
 def test_no_row_is_left_out(spark, tmp_path):
     orders = ([(5, 1, "F"), (6, 1, "O"), (10, 2, "P")], "o_orderkey long, o_custkey long, o_orderstatus string")
-    got = whole(spark, tmp_path, "e10_continuation_whole", orders=orders, customer=([(7,), (1,), (2,)], "c_custkey long"))
+    got = whole(spark, tmp_path, "e10_continuation", orders=orders, customer=([(7,), (1,), (2,)], "c_custkey long"))
     assert {r["raw"] for r in got} == {"5", "6", "10"} and {r["audio_seconds"] for r in got if r["raw"] in "56"} == {0.5, None}
     at = datetime(2024, 1, 1)
     events = ([(i, at, 1, "purchase" if i == 9 else "view", 50.0, None) for i in range(7, 13)], EVENTS)
-    got = whole(spark, tmp_path, "h03_invalidation_whole", events=events)
+    got = whole(spark, tmp_path, "h03_invalidation", events=events)
     assert {r["step"]: r["status"] for r in got} == {8: "success", 9: "stale", 10: "stale", 11: "stale", 12: "stale", 1: "success"}
-    assert {r["b"] for r in whole(spark, tmp_path, "c06_nearest_gutter_whole", events=events)} == set(range(7, 13))
+    assert {r["b"] for r in whole(spark, tmp_path, "c06_nearest_gutter", events=events)} == set(range(7, 13))
     docs = ([(d, "t", "en", "s", 1) for d in (3, 1003, 2003)], DOCS)
-    got = whole(spark, tmp_path, "e05_first_lines_whole", documents=docs, labels=([(1003, 1, 0), (2003, 0, 0)], LABELS))
+    got = whole(spark, tmp_path, "e05_first_lines", documents=docs, labels=([(1003, 1, 0), (2003, 0, 0)], LABELS))
     assert {(r["doc_id"], r["part"]) for r in got} == {(1003, "hook"), (2003, "beat")}
     spark.range(1, 101).selectExpr("id as p_partkey", "cast(id % 7 as int) as p_size").write.parquet(f"{tmp_path}/part.parquet")
     assert bank(spark, str(tmp_path)).count() == 100
