@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -120,12 +122,48 @@ def from_thousandths(v: Column, size: Column) -> Column:
     return F.least(F.greatest(F.bround(v * size / 1000.0), F.lit(0)), size).cast("int")
 
 
+# Fixed value: how far the shapes of a plan's strip and of the strip may be from each other.
+ASPECT_GAP = 0.05
+
+
+def rescaled(entries: Column, plan: tuple[Column, Column], strip: tuple[Column, Column]) -> Column:
+    """struct(entries, scaled, problem): a plan's entries, array<struct<y0, y1, boxes array<struct<x, y, w, h>>>>, in pixels of the strip.
+
+    plan and strip are widths and heights. Equal ones leave the entries; shapes more than ASPECT_GAP apart are of another
+    image: no entries and the problem 'aspect'; sizes that are none or null the problem 'size'. Halves round to even.
+    """
+    # A size that is no size is null from here on.
+    w, h, pw, ph = (F.when(c > 0, c.cast("double")) for c in (*strip, *plan))
+    sane = w.isNotNull() & h.isNotNull() & pw.isNotNull() & ph.isNotNull()
+    same, gap = (w == pw) & (h == ph), F.abs(pw / ph - w / h) / (pw / ph)
+    at = lambda v, scale: F.bround(v * scale).cast("long")
+    whole = lambda v: v.cast("long")
+
+    def entry(x: Callable, y: Callable) -> Callable:
+        box = lambda b: F.struct(x(b["x"]).alias("x"), y(b["y"]).alias("y"), x(b["w"]).alias("w"), y(b["h"]).alias("h"))
+        return lambda e: F.struct(y(e["y0"]).alias("y0"), y(e["y1"]).alias("y1"), F.transform(e["boxes"], box).alias("boxes"))
+
+    made = F.when(sane & same, F.transform(entries, entry(whole, whole))).when(sane & (gap <= ASPECT_GAP), F.transform(entries, entry(lambda v: at(v, w / pw), lambda v: at(v, h / ph))))
+    problem = F.when(~sane, "size").when(~same & (gap > ASPECT_GAP), "aspect")
+    return F.struct(made.alias("entries"), F.coalesce(sane & ~same & (gap <= ASPECT_GAP), F.lit(False)).alias("scaled"), problem.alias("problem"))
+
+
 def output_size(width: Column, height: Column, target: int = 390, tallest: int = 800) -> Column:
     """struct(w, h) of the normalised panel: scaled to the target width, left as it is where that is too tall."""
     h = F.bround(height * target / width).cast("int")
     return F.struct(F.when(h > tallest, width).otherwise(target).cast("int").alias("w"), F.when(h > tallest, height).otherwise(h).cast("int").alias("h"))
 
 
+# Fixed value: lower pieces are debris of gutters, not panels.
+LEAST_HEIGHT = 30
+
+
+def saved_range(y0: Column, y1: Column, height: Column) -> Column:
+    """struct(y0, y1) of a panel within its image; null for what is too low to be one, or outside."""
+    a, b = F.greatest(y0, F.lit(0)), F.least(y1, height)
+    return F.when(b - a >= LEAST_HEIGHT, F.struct(a.cast("long").alias("y0"), b.cast("long").alias("y1")))
+
+
 # Framing of a contained panel on its blurred copy, and when a strip is shown as two bands.
 TALL_SCALE, NORMAL_SCALE, NARROW_FILL = 2.2, 2.0, 0.5
 SWEEP, SLIDE = 0.35, 0.08

@@ -218,6 +218,12 @@ def round_ms_up(seconds: Column) -> Column:
     return F.ceil(F.bround(seconds * 1000.0, 6)) / F.lit(1000.0)
 
 
+def progress_seconds(line: Column) -> Column:
+    """Finished seconds of an encoder's status line, '... time=00:01:23.45 ...'; null without such a time."""
+    part = lambda k: F.regexp_extract(line, r"time=(\d+):(\d{2}):(\d{2}(?:[.,]\d+)?)", k)
+    return part(1).try_cast("bigint") * 3600.0 + part(2).try_cast("bigint") * 60 + F.replace(part(3), F.lit(","), F.lit(".")).try_cast("double")
+
+
 def srt_time(seconds: Column) -> Column:
     ms = F.bround(F.greatest(seconds, F.lit(0.0)) * 1000).cast("long")
     part = lambda over, of: F.floor(ms / over) % of if of else F.floor(ms / over)

@@ -123,33 +123,50 @@ def without_thin(cuts: DataFrame, kept: DataFrame) -> DataFrame:
     return rows.select("strip", "k", "b", F.when(F.col("_first") & F.col("_kept"), F.col("cut")).alias("cut"))
 
 
-def stitched(entries: Column) -> Column:
+def stitched(entries: Column, boxes: bool = False) -> Column:
     """Entries of overlapping tiles, array<struct<y0, y1, text>>, merged top down where half of the shorter one overlaps.
 
-    The test is against the growing union, so this is a fold; the text of the longest single entry stays.
+    The test is against the growing union, so this is a fold; the text of the longest single entry stays.  With boxes,
+    entries have an array of these last, in rows of the strip, and a merged one gets those of all its entries in order.
     """
-    # The last merged range is held apart from those before it, with the ordinal of the entry whose text it keeps.
-    span = lambda y0, y1, n, longest, best: F.struct(y0.alias("y0"), y1.alias("y1"), n.alias("n"), longest.alias("longest"), best.alias("best"))
+    # The last merged range is held apart from those before it, with the ordinals of its first and last entry and of the
+    # one whose text it keeps: what is merged is next to each other.
+    names = ["y0", "y1", "first", "n", "longest", "best"]
+    span = lambda *c: F.struct(*[x.alias(n) for n, x in zip(names, c)])
     zero = F.lit(0).cast("long")
-    start = F.struct(F.array().cast("array<struct<y0:bigint,y1:bigint,best:bigint>>").alias("done"), span(zero, zero, zero, zero, zero).alias("last"))
-    close = lambda a: F.concat(a["done"], F.array(F.struct(a["last"]["y0"].alias("y0"), a["last"]["y1"].alias("y1"), a["last"]["best"].alias("best"))))
+    kind = "struct<" + ",".join(f"{n}:bigint" for n in names) + ">"
+    start = F.struct(F.array().cast(f"array<{kind}>").alias("done"), span(*[zero] * 6).alias("last"))
+    close = lambda a: F.concat(a["done"], F.array(a["last"]))
 
     def step(a: Column, e: Column) -> Column:
         p, n = a["last"], e["y1"] - e["y0"]
         k = p["n"] + 1
         inter = F.least(p["y1"], e["y1"]) - F.greatest(p["y0"], e["y0"])
         same = (p["n"] > 0) & (inter > 0) & (2 * inter >= F.least(p["y1"] - p["y0"], n))
-        both = span(F.least(p["y0"], e["y0"]), F.greatest(p["y1"], e["y1"]), k, F.greatest(p["longest"], n), F.when(n > p["longest"], k).otherwise(p["best"]))
-        apart = F.struct(F.when(p["n"] > 0, close(a)).otherwise(a["done"]).alias("done"), span(e["y0"], e["y1"], k, n, k).alias("last"))
+        both = span(F.least(p["y0"], e["y0"]), F.greatest(p["y1"], e["y1"]), p["first"], k, F.greatest(p["longest"], n), F.when(n > p["longest"], k).otherwise(p["best"]))
+        apart = F.struct(F.when(p["n"] > 0, close(a)).otherwise(a["done"]).alias("done"), span(e["y0"], e["y1"], k, k, n, k).alias("last"))
         return F.when(same, F.struct(a["done"].alias("done"), both.alias("last"))).otherwise(apart)
 
     def merged(ordered: Column) -> Column:
-        texts = lambda r: F.struct(r["y0"].alias("y0"), r["y1"].alias("y1"), F.get(ordered, (r["best"] - 1).cast("int"))["text"].alias("text"))
-        return F.aggregate(ordered, start, step, lambda a: F.transform(F.when(a["last"]["n"] > 0, close(a)).otherwise(a["done"]), texts))
+        def whole(r: Column) -> Column:
+            fields = [r["y0"].alias("y0"), r["y1"].alias("y1"), F.get(ordered, (r["best"] - 1).cast("int"))["text"].alias("text")]
+            if boxes:
+                own = F.slice(ordered, r["first"].cast("int"), (r["n"] - r["first"] + 1).cast("int"))
+                fields.append(F.flatten(F.transform(own, lambda e: e["boxes"])).alias("boxes"))
+            return F.struct(*fields)
+
+        return F.aggregate(ordered, start, step, lambda a: F.transform(F.when(a["last"]["n"] > 0, close(a)).otherwise(a["done"]), whole))
 
     return let(F.array_sort(F.filter(entries, lambda e: e["y0"] < e["y1"])), merged)
 
 
+def on_strip(base: Column, height: Column, entries: Column) -> Column:
+    """A tile's entries, array<struct<y0, y1, text, boxes>>, in rows of the strip: moved by the tile's base, cut at the strip's ends, boxes moved alike."""
+    long = lambda c: c.cast("long")
+    moved = lambda b: F.struct(b["x"].alias("x"), (b["y"] + base).alias("y"), b["w"].alias("w"), b["h"].alias("h"))
+    return F.transform(entries, lambda e: F.struct(long(F.greatest(e["y0"] + base, F.lit(0))).alias("y0"), long(F.least(e["y1"] + base, height)).alias("y1"), e["text"].alias("text"), F.transform(F.coalesce(e["boxes"], F.array()), moved).alias("boxes")))
+
+
 def best_overlap(panels: DataFrame, entries: DataFrame) -> DataFrame:
     """panels(strip, id, p0, p1) with the text of the entry(strip, k, e0, e1, text) that overlaps most; the first one on ties, null without."""
     pairs = overlapping(panels, entries, "strip", ("p0", "p1"), ("e0", "e1"))

@@ -5,8 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelframe.operators.ranks import top
+
 # How many entities each step of the ladder shows, and after how many panels one is stale.
 LADDER, STALE = [10, 6, 4, 2, 1], 60
+# How many characters, places, threads and events each step shows, and what the block says around them.
+STEPS = [(10, 5, 5, 3), (6, 3, 4, 2), (4, 2, 3, 1), (2, 1, 2, 0), (1, 0, 1, 0), (1, 0, 5, 0), (1, 0, 2, 0), (1, 0, 1, 0), (0, 0, 1, 0)]
+TITLES = {"character": "Characters:", "place": "Locations:", "thread": "Ongoing threads:", "event": "Recent events:"}
+FOOTER = "If you recognise any of these characters or locations, refer to them by their established name and maintain continuity (do not introduce them as new).\n[/STORY MEMORY]"
+SHOWN_TEXT, SHOWN_ALIASES = 100, 3
 
 
 def ranked_entities(roster: DataFrame, now: Column) -> DataFrame:
@@ -28,6 +35,44 @@ def fitting_memory(ranked: DataFrame, line: Column, budget: int) -> DataFrame:
     return s.select("series", F.size(kept).cast("long").alias("shown"), F.array_join(kept, "\n").alias("block"))
 
 
+def memory_block(entries: DataFrame, now: Column, budget: int = 1200) -> DataFrame:
+    """(series, step, block): what a series remembers, as text, by the first of STEPS whose block fits the budget, the last one if none does.
+
+    entries as of story.story; now is the panel that asks.  Characters come fresh ones first, then those not seen yet,
+    then stale ones, each newest first; places newest first, active threads and events latest first.  A series without
+    characters, places and active threads has no block.  Every task passes on no more than the largest step shows.
+    """
+    c = F.col
+    seen, kind = F.coalesce(c("last_seen"), F.lit(0)), c("kind")
+    klass = F.when(kind == "character", F.when(seen == 0, 1).when(now - seen > STALE, 2).otherwise(0)).otherwise(0)
+    lately = F.when(kind.isin("character", "place"), -seen).otherwise(-c("pos"))
+    short = F.substring(F.coalesce("description", F.lit("")), 1, SHOWN_TEXT)
+    known = F.coalesce("aliases", F.array().cast("array<string>"))
+    also = F.when(F.size(known) > 0, F.concat(F.lit(" (also: "), F.array_join(F.slice(known, 1, SHOWN_ALIASES), ", "), F.lit(")"))).otherwise("")
+    panel = seen.cast("string")
+    tag = F.when(seen <= 0, "(pre-read cast, not yet seen)").when(now - seen > STALE, F.concat(F.lit("[last seen panel "), panel, F.lit("]"))).otherwise(F.concat(F.lit("(panel "), panel, F.lit(")")))
+    line = (
+        F.when(kind == "character", F.concat(F.lit("  - "), "name", also, F.lit(" ["), F.coalesce("role", F.lit("?")), F.lit("]"), tag, F.lit(": "), short, F.lit(".")))
+        .when(kind == "place", F.concat(F.lit("  - "), "name", F.lit(" (panel "), panel, F.lit("): "), short))
+        .when(kind == "thread", F.concat(F.lit("  - "), F.coalesce("description", F.lit(""))))
+        .otherwise(F.concat(F.lit("  - panel "), F.coalesce(c("first_seen").cast("string"), F.lit("?")), F.lit(": "), short))
+    )
+    rows = entries.where((kind != "thread") | (c("status") == "active")).withColumn("_now", now).withColumn("_line", line).withColumn("_at", F.struct(klass.alias("k"), lately.alias("l"), c("pos").alias("p")))
+    most = [max(s[k] for s in STEPS) for k in range(4)]
+    kept = top(rows, ["series", "kind"], [c("_at")], max(most))
+    listed = kept.groupBy("series").agg(F.max("_now").alias("_now"), *[F.array_sort(F.collect_list(F.when(kind == k, F.struct("_at", "_line")))).alias(k) for k in TITLES])
+    listed = listed.where((F.size("character") > 0) | (F.size("place") > 0) | (F.size("thread") > 0))
+
+    def block(step: tuple) -> Column:
+        part = lambda k, n: F.when((F.size(k) > 0) & F.lit(n > 0), F.concat(F.lit(f"{TITLES[k]}\n"), F.array_join(F.transform(F.slice(k, 1, max(n, 1)), lambda x: x["_line"]), "\n")))
+        sections = F.array_compact(F.array(*[part(k, n) for k, n in zip(TITLES, step)]))
+        return F.concat(F.lit("[STORY MEMORY -- panel "), F.col("_now").cast("string"), F.lit("]\n"), F.array_join(sections, "\n"), F.lit(f"\n{FOOTER}"))
+
+    made = F.array(*[F.struct(F.lit(k + 1).alias("step"), block(s).alias("block")) for k, s in enumerate(STEPS)])
+    chosen = F.coalesce(F.get(F.filter("_made", lambda m: F.length(m["block"]) <= budget), F.lit(0)), F.element_at("_made", -1))
+    return listed.withColumn("_made", made).select("series", chosen.alias("_c")).select("series", "_c.step", "_c.block")
+
+
 def as_strings(json: Column) -> Column:
     """The texts of a JSON value: those of an array, or the value itself; other types go."""
     v = F.try_parse_json(json)

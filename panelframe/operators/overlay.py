@@ -154,6 +154,13 @@ def in_ranges(rows: DataFrame, number: str, spec: str, last: bool = True) -> Dat
     return rows.where(keep)
 
 
+def missing_numbers(rows: DataFrame, number: str, spec: str) -> DataFrame:
+    """(number): the numbers that a spec names one by one and that no row has; its ranges, 'last' and 'all' ask for none."""
+    asked = sorted({float(t) for t in (x.strip() for x in (spec or "").split(",")) if t.replace(".", "", 1).isdigit()})
+    named = rows.sparkSession.createDataFrame([(n,) for n in asked], "number double")
+    return named.join(rows.select(F.col(number).cast("double").alias("number")), "number", "left_anti")
+
+
 def orphans_removed(edits: DataFrame, baseline: DataFrame, keys: list[str]) -> DataFrame:
     """Edits whose panel is still in the baseline."""
     return edits.join(baseline.select(*keys).distinct(), keys, "left_semi")

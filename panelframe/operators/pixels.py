@@ -6,6 +6,8 @@ batches; all rules after that are expressions.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -282,3 +284,87 @@ def source_of_scores(panels: DataFrame, crops: DataFrame, files: DataFrame, name
     rows = panels.join(usable, ["strip", "id"], "left").join(own, ["strip", "id"], "left")
     method = F.when(F.col("_crop").isNotNull(), "strip_crop").when(F.col("_file").isNotNull(), "padding_stripped").otherwise("missing")
     return rows.select("strip", "id", *(F.coalesce(F.col(f"_crop.{n}"), F.col(f"_file.{n}")).alias(n) for n in names), method.alias("method"))
+
+
+# Luminance in thousandths of a level; what is dark, and how much of a line has to be.
+LUMINANCE, BAR_LEVEL, BAR_SHARE = (299, 587, 114), 12, 0.95
+PROFILE = "strip string, axis string, k int, dark double"
+SHADES = "strip string, pixels long, red long, green long, blue long, light long, squares decimal(38,0), saturation double, shades array<struct<shade:int,n:long>>"
+
+
+def _decoded(pdf):
+    for origin, h, w, c, data in zip(pdf["origin"], pdf["height"], pdf["width"], pdf["nChannels"], pdf["data"]):
+        px = np.frombuffer(data, np.uint8).reshape(h, w, c).astype(np.int64)
+        # Spark has blue, green, red.
+        yield origin, np.stack([px[..., min(k, c - 1)] for k in (2, 1, 0)] if c > 1 else [px[..., 0]] * 3, axis=-1)
+
+
+def _light(colour: np.ndarray) -> np.ndarray:
+    return colour @ np.array(LUMINANCE)
+
+
+def line_profiles(images: DataFrame) -> DataFrame:
+    """(strip, axis, k, dark): the share of dark pixels of each row and each column of spark.read.format('image') rows."""
+
+    def measure(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            for origin, colour in _decoded(pdf):
+                dark = _light(colour) < BAR_LEVEL * 1000
+                for axis, share in (("row", dark.mean(1)), ("column", dark.mean(0))):
+                    yield pd.DataFrame({"strip": origin, "axis": axis, "k": np.arange(len(share)), "dark": share})
+
+    return images.select("image.origin", "image.height", "image.width", "image.nChannels", "image.data").mapInPandas(measure, PROFILE)
+
+
+def bars(profiles: DataFrame) -> DataFrame:
+    """(strip, top, bottom, left, right): how many lines at each edge of an image are all but wholly dark; a wholly dark image is all of them from each side."""
+    s = profiles.groupBy("strip", "axis").agg(F.min(F.when(F.col("dark") <= BAR_SHARE, F.col("k"))).alias("a"), F.max(F.when(F.col("dark") <= BAR_SHARE, F.col("k"))).alias("b"), (F.max("k") + 1).alias("n"))
+    of = lambda axis, c: F.max(F.when(F.col("axis") == axis, c)).cast("int")
+    first, last = F.coalesce(F.col("a"), F.col("n")), F.coalesce(F.col("n") - 1 - F.col("b"), F.col("n"))
+    return s.groupBy("strip").agg(of("row", first).alias("top"), of("row", last).alias("bottom"), of("column", first).alias("left"), of("column", last).alias("right"))
+
+
+def shade_parts(images: DataFrame, rows: int = 256) -> DataFrame:
+    """Sums and exact luminance histograms, in thousandths of a level, of every `rows` rows of each image: parts that add up."""
+
+    def measure(batches):
+        import pandas as pd
+
+        names = [f.split()[0] for f in SHADES.split(", ")]
+        for pdf in batches:
+            for origin, colour in _decoded(pdf):
+                made = []
+                for y in range(0, len(colour), rows):
+                    block = colour[y : y + rows]
+                    light = _light(block)
+                    most, least = block.max(-1), block.min(-1)
+                    shade, n = np.unique(light, return_counts=True)
+                    made.append((origin, light.size, *(int(block[..., k].sum()) for k in range(3)), int(light.sum()), Decimal(int((light**2).sum())), float(np.where(most > 0, (most - least) / np.maximum(most, 1), 0).sum()), [{"shade": int(a), "n": int(b)} for a, b in zip(shade, n)]))
+                yield pd.DataFrame(made, columns=names)
+
+    return images.select("image.origin", "image.height", "image.width", "image.nChannels", "image.data").mapInPandas(measure, SHADES)
+
+
+def colour_stats(parts: DataFrame) -> DataFrame:
+    """(strip, red, green, blue, brightness, contrast, saturation, p5, p95) from shade_parts, whatever rows they are of.
+
+    Means, deviation and percentiles (between neighbours in proportion) are those of all pixels: each part's histogram
+    is added to the others shade by shade.
+    """
+    total = lambda c: F.sum(c)
+    n = F.col("n")
+    sums = parts.groupBy("strip").agg(total("pixels").alias("n"), *[total(c).alias(c) for c in ("red", "green", "blue", "light", "squares", "saturation")])
+    mean = F.col("light") / n
+    spread = F.sqrt(F.greatest((F.col("squares").cast("double") / n - mean * mean), F.lit(0.0))) / 1000
+    shades = parts.select("strip", F.explode("shades").alias("s")).groupBy("strip", "s.shade").agg(F.sum("s.n").alias("m"))
+    w = Window.partitionBy("strip").orderBy("shade")
+    placed = shades.withColumn("_to", F.sum("m").over(w)).join(sums.select("strip", "n"), "strip")
+    # The place of a percentile is between two pixels in order; each is of the first shade that reaches it.
+    place = lambda p: (n - 1) * p / 100
+    at = lambda k: F.min(F.when(F.col("_to") > k, F.col("shade")))
+    cuts = placed.groupBy("strip").agg(F.first("n").alias("_n"), *[at(F.floor(place(p)) if low else F.ceil(place(p))).alias(f"_{p}_{low}") for p in (5, 95) for low in (1, 0)])
+    between = lambda p: (F.col(f"_{p}_1") + (F.col(f"_{p}_0") - F.col(f"_{p}_1")) * (place(p) - F.floor(place(p)))) / 1000
+    out = sums.join(cuts.drop("_n"), "strip")
+    return out.select("strip", *[F.round(F.col(c) / n, 1).alias(c) for c in ("red", "green", "blue")], F.round(mean / 1000, 1).alias("brightness"), F.round(spread, 1).alias("contrast"), F.round(F.col("saturation") / n, 3).alias("saturation"), F.round(between(5), 1).alias("p5"), F.round(between(95), 1).alias("p95"))

@@ -31,8 +31,17 @@ def rules(**broken: Column) -> Column:
 
 
 def plan_problems(entries: DataFrame) -> DataFrame:
-    """entries(strip, idx, y0, y1, height, kind) with problems: degenerate or overrunning ranges, unknown kinds, order, gaps in numbering."""
+    """entries(strip, idx, y0, y1, height, kind) with problems: degenerate or overrunning ranges, unknown kinds, order, gaps in numbering.
+
+    Where entries have a confidence, it has to be within 0 and 1; where they have context_only and blank_flag, a panel that
+    is kept as context is not blank.
+    """
     w = Window.partitionBy("strip").orderBy("idx")
+    more = {}
+    if "confidence" in entries.columns:
+        more["confidence_bounds"] = ~F.coalesce(F.col("confidence").between(0.0, 1.0), F.lit(False))
+    if {"context_only", "blank_flag"} <= set(entries.columns):
+        more["blank_context"] = F.coalesce(F.col("context_only") & (F.col("blank_flag") == "blank"), F.lit(False))
     return entries.withColumn(
         "problems",
         rules(
@@ -41,6 +50,7 @@ def plan_problems(entries: DataFrame) -> DataFrame:
             unknown_kind=~F.coalesce(F.col("kind").isin(KINDS), F.lit(False)),
             not_monotonic=F.coalesce(F.col("y0") < F.lag("y0").over(w), F.lit(False)),
             not_contiguous=F.col("idx") != F.row_number().over(w),
+            **more,
         ),
     )
 

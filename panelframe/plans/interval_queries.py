@@ -195,3 +195,38 @@ def c19_motion_grammar(spark, folder):
     kind = F.when(d.isNull(), "first").when(d < 0.02, "static").when(d > 0.25, "cut").otherwise("motion")
     shots = table(spark, folder, "embeddings").withColumn("kind", kind).withColumn("grp", F.sum((F.col("kind") == "cut").cast("int")).over(w))
     return shots.select("vec_id", "kind", F.count(F.lit(1)).over(Window.partitionBy("label", "grp")).alias("shot_frames"))
+
+
+_TILED = """SELECT conv_id AS strip, turn AS k, turn * 1800 AS base, length(coalesce(text, '')) AS n, sha256(coalesce(text, '')) AS text FROM conversations"""
+
+
+@query(f"""WITH RECURSIVE t AS ({_TILED}), raw AS (SELECT strip, base, text, n, 0 AS j FROM t UNION ALL SELECT strip, base, text, n, 1 FROM t),
+  e AS (SELECT strip, greatest(base + j * 1700 - n % 300, 0) AS y0, least(base + j * 1700 + 250 + n % 400, 9000) AS y1, text, [{{'x': n % 90, 'y': base + n % 70, 'w': 10::BIGINT, 'h': 20 + j}}] AS boxes FROM raw),
+  s AS (SELECT *, row_number() OVER (PARTITION BY strip ORDER BY y0, y1, text) AS n FROM e WHERE y0 < y1),
+  f AS (SELECT strip, 1::BIGINT AS n, y0, y1, text, y1 - y0 AS longest, boxes, 1::BIGINT AS idx FROM s WHERE n = 1 UNION ALL
+    SELECT f.strip, s.n, CASE WHEN same THEN least(f.y0, s.y0) ELSE s.y0 END, CASE WHEN same THEN greatest(f.y1, s.y1) ELSE s.y1 END, CASE WHEN same AND s.y1 - s.y0 <= longest THEN f.text ELSE s.text END,
+      CASE WHEN same THEN greatest(longest, s.y1 - s.y0) ELSE s.y1 - s.y0 END, CASE WHEN same THEN list_concat(f.boxes, s.boxes) ELSE s.boxes END, CASE WHEN same THEN idx ELSE idx + 1 END
+    FROM f JOIN s ON s.strip = f.strip AND s.n = f.n + 1, LATERAL (SELECT least(f.y1, s.y1) - greatest(f.y0, s.y0) > 0 AND (least(f.y1, s.y1) - greatest(f.y0, s.y0))::DOUBLE / least(f.y1 - f.y0, s.y1 - s.y0) >= 0.5 AS same) l),
+  m AS (SELECT strip, idx, arg_max(y0, n) AS y0, arg_max(y1, n) AS y1, arg_max(text, n) AS text, arg_max(boxes, n) AS boxes FROM f GROUP BY strip, idx)
+SELECT strip, idx, y0, y1, text, array_to_string(list_transform(boxes, lambda b: concat_ws(' ', b.x, b.y, b.w, b.h)), ',') AS boxes FROM m""")
+def e03_stitched_boxes(spark, folder):
+    """Every turn is a tile of 2000 rows with an entry at its top and one at its foot."""
+    t = table(spark, folder, "conversations").select(F.col("conv_id").alias("strip"), (F.col("turn") * 1800).alias("base"), F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text"))
+    entry = lambda j: F.struct((j * 1700 - F.col("n") % 300).alias("y0"), (j * 1700 + 250 + F.col("n") % 400).alias("y1"), "text", F.array(F.struct((F.col("n") % 90).alias("x"), (F.col("n") % 70).alias("y"), F.lit(10).cast("long").alias("w"), F.lit(20 + j).cast("long").alias("h"))).alias("boxes"))
+    moved = t.select("strip", I.on_strip(F.col("base"), F.lit(9000).cast("long"), F.array(entry(0), entry(1))).alias("e"))
+    strips = moved.groupBy("strip").agg(F.flatten(F.collect_list("e")).alias("e")).select("strip", F.posexplode(I.stitched(F.col("e"), boxes=True)).alias("i", "m"))
+    boxes = F.array_join(F.transform("m.boxes", lambda b: F.concat_ws(" ", b["x"], b["y"], b["w"], b["h"])), ",")
+    return strips.select("strip", (F.col("i") + 1).cast("long").alias("idx"), "m.y0", "m.y1", "m.text", boxes.alias("boxes"))
+
+
+@query("""WITH d AS (SELECT doc_id, 400 + doc_id % 7 * 100 AS w, 1000 + doc_id % 11 * 300 AS h, 800 AS pw, 2000 AS ph, n_chars AS n FROM documents),
+  g AS (SELECT *, abs(pw::DOUBLE / ph - w::DOUBLE / h) / (pw::DOUBLE / ph) AS gap FROM d)
+SELECT doc_id, CASE WHEN w = pw AND h = ph OR gap <= 0.05 THEN round_even(n * (h::DOUBLE / ph), 0)::BIGINT END AS y0, CASE WHEN w = pw AND h = ph OR gap <= 0.05 THEN round_even(n % 97 * (w::DOUBLE / pw), 0)::BIGINT END AS x,
+  NOT (w = pw AND h = ph) AND gap <= 0.05 AS scaled, CASE WHEN NOT (w = pw AND h = ph) AND gap > 0.05 THEN 'aspect' END AS problem FROM g""")
+def b34_plan_to_strip(spark, folder):
+    from panelframe.functions import geometry as G
+
+    n = F.col("n_chars")
+    entries = F.array(F.struct(n.alias("y0"), (n + 10).alias("y1"), F.array(F.struct((n % 97).alias("x"), n.alias("y"), F.lit(1).alias("w"), F.lit(2).alias("h"))).alias("boxes")))
+    d = table(spark, folder, "documents").withColumn("r", G.rescaled(entries, (F.lit(800), F.lit(2000)), (400 + F.col("doc_id") % 7 * 100, 1000 + F.col("doc_id") % 11 * 300)))
+    return d.select("doc_id", F.get("r.entries", F.lit(0))["y0"].alias("y0"), F.get(F.get("r.entries", F.lit(0))["boxes"], F.lit(0))["x"].alias("x"), "r.scaled", "r.problem")

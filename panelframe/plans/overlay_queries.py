@@ -245,3 +245,8 @@ def e20_review_changes(spark, folder):
 @query(f"WITH {_REVIEWS} SELECT batch, arg_min(seq, seq) AS seq, arg_min(problem, seq) AS problem FROM marked WHERE problem IS NOT NULL GROUP BY batch")
 def e20_refused_batches(spark, folder):
     return _reviews(spark, folder)[1]
+
+
+@query("SELECT n::DOUBLE AS number FROM (SELECT unnest([7, 33, 14000, 999999999]) AS n) WHERE n NOT IN (SELECT o_orderkey FROM orders)")
+def e16_missing_numbers(spark, folder):
+    return O.missing_numbers(table(spark, folder, "orders"), "o_orderkey", "10-20, 7, 33, 14000, 999999999, last, 5-")

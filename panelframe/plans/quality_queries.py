@@ -158,3 +158,13 @@ def d15_coverage(spark, folder):
 @query(f"SELECT conv_id, count(*) AS panels, count(*) FILTER ({S.strip(chr(99) + 'oalesce(text, ' + chr(39) * 2 + ')')} = '') AS empty, bool_or(role = 'system') AS provenance, count(*) FILTER (role = 'system') = 0 AS safety_skipped FROM conversations GROUP BY conv_id")
 def d16_run_report(spark, folder):
     return table(spark, folder, "conversations").groupBy("conv_id").agg(F.count(F.lit(1)).alias("panels"), F.count_if(X.strip(X.text(F.col("text"))) == "").alias("empty"), F.bool_or(F.col("role") == "system").alias("provenance"), (F.count_if(F.col("role") == "system") == 0).alias("safety_skipped"))
+
+
+@query("""SELECT strip, idx, array_to_string(list_filter([CASE WHEN y0 >= y1 THEN 'degenerate' END, CASE WHEN y1 > 30000 THEN 'out_of_strip' END, CASE WHEN y0 < lag(y0) OVER w THEN 'not_monotonic' END, CASE WHEN idx <> row_number() OVER w THEN 'not_contiguous' END,
+  CASE WHEN confidence IS NULL OR confidence > 1 THEN 'confidence_bounds' END, CASE WHEN context AND blank THEN 'blank_context' END], lambda x: x IS NOT NULL), ',') AS problems
+FROM (SELECT doc_id // 8 AS strip, doc_id % 8 + 1 AS idx, n_chars AS y0, n_chars + 50 - n_chars % 60 AS y1, CASE WHEN n_chars % 13 > 0 THEN n_chars % 130 / 100.0::DOUBLE END AS confidence, coalesce(lang = 'en', false) AS context, n_chars % 3 = 0 AS blank FROM documents) WINDOW w AS (PARTITION BY strip ORDER BY idx)""")
+def d01_record_problems(spark, folder):
+    """Eight documents are a strip."""
+    n = F.col("n_chars")
+    rows = table(spark, folder, "documents").select(F.floor(F.col("doc_id") / 8).alias("strip"), (F.col("doc_id") % 8 + 1).alias("idx"), n.alias("y0"), (n + 50 - n % 60).alias("y1"), F.lit(30_000).alias("height"), F.lit("single").alias("kind"), F.when(n % 13 > 0, n % 130 / 100.0).alias("confidence"), (F.col("lang") == "en").alias("context_only"), F.when(n % 3 == 0, "blank").otherwise("normal").alias("blank_flag"))
+    return Q.plan_problems(rows).select("strip", "idx", F.array_join("problems", ",").alias("problems"))

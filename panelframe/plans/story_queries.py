@@ -139,3 +139,43 @@ def h05_model_hook(spark, folder):
     cached = wanted.join(table(spark, folder, "labels").select("doc_id").distinct(), "doc_id").select("doc_id", F.when(F.col("lang") == "en", "old").otherwise(F.col("hash")).alias("hash"), F.lit(-1).cast("long").alias("words"), F.lit(-1).cast("long").alias("vowels"))
     answer = T.StructType([T.StructField("words", T.LongType()), T.StructField("vowels", T.LongType())])
     return R.recomputed(wanted.drop("lang"), cached, ["doc_id"], _measured, answer).select("doc_id", "origin", "words", "vowels")
+
+
+# Users are a conversation's characters, short turns of assistants its places, the others its threads, what the system says its events.
+_REMEMBERED = """SELECT conv_id AS series, turn + 1 AS pos, CASE role WHEN 'user' THEN 'character' WHEN 'system' THEN 'event' ELSE CASE WHEN length(coalesce(text, '')) % 3 = 0 THEN 'place' ELSE 'thread' END END AS kind, role || ' ' || turn AS name,
+  left(replace(trim(coalesce(text, '')), chr(10), ' '), 300) AS description, length(coalesce(text, '')) % 5 = 0 AS closed, CASE WHEN length(coalesce(text, '')) % 4 = 0 THEN 0 ELSE turn * 20 END AS last_seen FROM conversations"""
+
+
+def _block_sql(step: tuple) -> str:
+    from panelframe.operators.memory import FOOTER, TITLES
+
+    part = lambda k, n: f"CASE WHEN len({k}s) > 0 AND {n} > 0 THEN '{TITLES[k]}' || chr(10) || array_to_string({k}s[1:{n}], chr(10)) END"
+    sections = ", ".join(part(k, n) for k, n in zip(TITLES, step))
+    footer = FOOTER.replace("\n", "' || chr(10) || '")
+    return f"('[STORY MEMORY -- panel 140]' || chr(10) || array_to_string(list_filter([{sections}], lambda x: x IS NOT NULL), chr(10)) || chr(10) || '{footer}')"
+
+
+def _memory_sql() -> str:
+    from panelframe.operators.memory import STEPS
+
+    pick = " ".join(f"WHEN length({_block_sql(s)}) <= 900 THEN {k + 1}" for k, s in enumerate(STEPS))
+    blocks = ", ".join(_block_sql(s) for s in STEPS)
+    tag = "CASE WHEN last_seen <= 0 THEN '(pre-read cast, not yet seen)' WHEN 140 - last_seen > 60 THEN '[last seen panel ' || last_seen || ']' ELSE '(panel ' || last_seen || ')' END"
+    return f"""WITH r AS ({_REMEMBERED}),
+  l AS (SELECT *, CASE kind WHEN 'character' THEN '  - ' || name || ' (also: ' || left(name, 1) || pos || ') [user]' || {tag} || ': ' || left(description, 100) || '.' WHEN 'place' THEN '  - ' || name || ' (panel ' || last_seen || '): ' || left(description, 100)
+      WHEN 'thread' THEN '  - ' || description ELSE '  - panel ' || pos || ': ' || left(description, 100) END AS line,
+    CASE WHEN kind = 'character' THEN CASE WHEN last_seen = 0 THEN 1 WHEN 140 - last_seen > 60 THEN 2 ELSE 0 END ELSE 0 END AS k, CASE WHEN kind IN ('character', 'place') THEN -last_seen ELSE -pos END AS o FROM r WHERE kind <> 'thread' OR NOT closed),
+  g AS (SELECT series, {", ".join(f"coalesce(list(line ORDER BY k, o, pos) FILTER (kind = '{k}'), []) AS {k}s" for k in ("character", "place", "thread", "event"))} FROM l GROUP BY series),
+  b AS (SELECT series, CASE {pick} ELSE {len(STEPS)} END::INTEGER AS step, [{blocks}] AS blocks FROM g WHERE len(characters) + len(places) + len(threads) > 0)
+SELECT series, step, blocks[step] AS block FROM b"""
+
+
+@query(_memory_sql())
+def f12_memory_block(spark, folder):
+    from panelframe.operators import memory as M
+
+    n = F.length(F.coalesce("text", F.lit("")))
+    kind = F.when(F.col("role") == "user", "character").when(F.col("role") == "system", "event").when(n % 3 == 0, "place").otherwise("thread")
+    name = F.concat_ws(" ", "role", "turn")
+    rows = table(spark, folder, "conversations").select(F.col("conv_id").alias("series"), kind.alias("kind"), (F.col("turn") + 1).alias("pos"), name.alias("name"), F.lit("user").alias("role"), F.substring(F.translate(F.trim(F.coalesce("text", F.lit(""))), "\n", " "), 1, 300).alias("description"), F.array(F.concat(F.substring(name, 1, 1), (F.col("turn") + 1).cast("string"))).alias("aliases"), F.when(n % 5 == 0, "resolved").otherwise("active").alias("status"), (F.col("turn") + 1).alias("first_seen"), F.when(n % 4 == 0, 0).otherwise(F.col("turn") * 20).alias("last_seen"))
+    return M.memory_block(rows, F.lit(140), 900)

@@ -192,3 +192,21 @@ def b38_defaults(spark, folder):
 def b39_script_input(spark, folder):
     t = F.col("text")
     return table(spark, folder, "conversations").where("role <> 'system'").select("conv_id", "turn", F.substring(X.strip_non_latin(t), 1, 120).alias("line"), X.is_non_lexical(t).alias("placeholder"))
+
+
+@query("""SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'not an image' WHEN strlen(coalesce(html, '')) + 8 < 1500 THEN 'too small' END AS problem FROM pages""")
+def a06_fetch_problems(spark, folder):
+    """Two pages of three are images by their first bytes."""
+    body = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
+    content = F.when(F.col("page_id") % 3 == 0, body).otherwise(F.concat(F.unhex(F.lit("89504E470D0A1A0A")), body))
+    return table(spark, folder, "pages").select("page_id", W.fetch_problem(content, W.image_kind(content, F.lit("text/html"), F.col("url"))).alias("problem"))
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 4 > 0 THEN (event_id // 3600) * 3600 + (event_id // 60 % 60) * 60 + round(event_id % 60 + value % 1, 2) END AS seconds FROM events""")
+def b25_progress(spark, folder):
+    from panelframe.functions.text import progress_seconds
+
+    i = F.col("event_id")
+    last = F.format_string("%05.2f", F.round(i % 60 + F.col("value") % 1, 2))
+    line = F.concat(F.lit("frame= 7 time="), F.when(i % 4 > 0, F.format_string("%02d:%02d:", F.floor(i / 3600), F.floor(i / 60) % 60)).otherwise("N/A"), F.when(i % 2 == 0, last).otherwise(F.replace(last, F.lit("."), F.lit(","))), F.lit(" bitrate=1"))
+    return table(spark, folder, "events").select("event_id", progress_seconds(line).alias("seconds"))

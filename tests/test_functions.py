@@ -158,3 +158,14 @@ def test_panel_motion_over_the_canvas(spark):
     assert short(got[4]) == ("zoom_in", 1080, 1920, 0, 0.0, 0.0)  # nothing hangs over
     assert short(got[5]) == ("pan_up", 1188, 2530, 384, 0.0, -384.0)  # a tenth closer
     assert got[6] is None and (got[7]["scaled_w"], got[7]["kind"]) == (40, "static")
+
+
+def test_small_rules(spark):
+    from panelframe.functions import geometry as G
+    from panelframe.functions.text import progress_seconds
+
+    lines = [("x time=01:02:03.5 y",), ("time=1:00:00,25",), ("time=N/A",), (None,), ("time=0:61:99",)]
+    assert [r[0] for r in spark.createDataFrame(lines, "l string").coalesce(1).select(progress_seconds(F.col("l"))).collect()] == [3723.5, 3600.25, None, None, 3759.0]
+    ranges = [(-5, 25, 100), (-5, 24, 100), (80, 200, 109), (80, 200, 110), (50, 40, 100)]
+    got = [r[0] for r in spark.createDataFrame(ranges, "a int, b int, h int").coalesce(1).select(G.saved_range(F.col("a"), F.col("b"), F.col("h"))).collect()]
+    assert [None if r is None else tuple(r) for r in got] == [None, None, None, (80, 110), None]

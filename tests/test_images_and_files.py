@@ -200,3 +200,46 @@ def test_first_backup_wins(spark, tmp_path):
     assert spark.read.parquet(path).count() == 3
     meta = D.with_provenance(spark.range(1), "g", "h", inputs={"strip": "abc"}).first()["meta"]
     assert meta["generator"] == "g" and meta["input_hashes"] == {"strip": "abc"} and D.with_provenance(spark.range(1), "g", "h").first()["meta"]["input_hashes"] == {}
+
+
+def test_bars_and_colours(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    framed = np.zeros((300, 120, 3))
+    framed[20:290, 15:113] = rng.integers(0, 256, (270, 98, 3))
+    framed[100, :] = 0  # a dark line within
+    framed[5, 40:44] = 250  # a bar may have a few lit pixels: 4 of 120
+    plain = rng.integers(0, 256, (17, 9, 3)).astype(float)
+    images = {"framed": framed, "plain": plain, "dark": np.zeros((30, 10, 3)), "grey": np.full((4, 4, 3), 99.0)}
+    for name, px in images.items():
+        write_png(tmp_path / f"{name}.png", px)
+    read = spark.read.format("image").load(f"file://{tmp_path}")
+    short = lambda r: r["strip"].rsplit("/", 1)[1][:-4]
+    got = {short(r): tuple(r)[1:] for r in P.bars(P.line_profiles(read)).collect()}
+    assert got == {"framed": (20, 10, 15, 7), "plain": (0, 0, 0, 0), "dark": (30, 30, 10, 10), "grey": (0, 0, 0, 0)}
+    for rows in (7, 256):
+        stats = {short(r): r for r in P.colour_stats(P.shade_parts(read, rows)).collect()}
+        for name, px in images.items():
+            px = px.astype(np.uint8).astype(float)
+            light, most, least, r = px @ np.array([0.299, 0.587, 0.114]), px.max(2), px.min(2), stats[name]
+            near = lambda c, v, to=0.051: abs(r[c] - v) <= to
+            assert near("brightness", light.mean()) and near("contrast", light.std()) and near("red", px[..., 0].mean()) and near("blue", px[..., 2].mean())
+            assert near("p5", np.percentile(light, 5)) and near("p95", np.percentile(light, 95))
+            assert near("saturation", np.where(most > 0, (most - least) / np.maximum(most, 1), 0).mean(), 0.00051)
+
+
+def test_plans_of_other_sizes(spark):
+    from panelframe.functions import geometry as G
+
+    entry = "array(named_struct('y0', 10, 'y1', 21, 'boxes', array(named_struct('x', 1, 'y', 3, 'w', 5, 'h', 7))))"
+    cases = [(100, 200, 100, 200), (100, 200, 50, 100), (100, 200, 50, 104), (100, 200, 50, 120), (100, 0, 50, 100), (None, 200, 50, 100)]
+    df = spark.createDataFrame([(k, *c) for k, c in enumerate(cases)], "k int, pw int, ph int, w int, h int")
+    got = [r["r"] for r in df.select("k", G.rescaled(F.expr(entry), (F.col("pw"), F.col("ph")), (F.col("w"), F.col("h"))).alias("r")).orderBy("k").collect()]
+    flat = lambda r: None if r["entries"] is None else (r["entries"][0]["y0"], r["entries"][0]["y1"], *r["entries"][0]["boxes"][0])
+    assert [(flat(r), r["scaled"], r["problem"]) for r in got] == [
+        ((10, 21, 1, 3, 5, 7), False, None),
+        ((5, 10, 0, 2, 2, 4), True, None),
+        ((5, 11, 0, 2, 2, 4), True, None),
+        (None, False, "aspect"),
+        (None, False, "size"),
+        (None, False, "size"),
+    ]
