@@ -2,7 +2,7 @@
 
 import importlib
 
-FAMILIES = ["text_queries", "timeline_queries", "interval_queries", "quality_queries", "overlay_queries", "ledger_queries", "web_queries", "pixel_queries", "memory_queries", "story_queries"]
+FAMILIES = ["text_queries", "timeline_queries", "interval_queries", "quality_queries", "overlay_queries", "ledger_queries", "web_queries", "pixel_queries", "memory_queries", "story_queries", "file_queries"]
 
 
 def load() -> None:
