@@ -6,9 +6,12 @@ from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelframe.functions import text as X
+from panelframe.operators.timeline import caption_cues
+
 # Steps that can be undone, the shortest time a panel is shown, and what joins two panels unless said.
 MOST_STEPS, SHORTEST, JOIN = 200, 0.1, ("cut", 0.5)
 PART = ["chapter", "kind", "place", "id", "other", "text", "start", "seconds"]
@@ -229,3 +232,37 @@ def edited(panels: DataFrame, captions: DataFrame | None, edits: DataFrame) -> D
 
     out = f"chapter {kind}, kind string, place long, id string, other string, text string, start double, seconds double"
     return rows.select("chapter", "op", "panel", "other", "text", "number", "more", "order").mapInPandas(fold, out)
+
+
+def bootstrap(timeline: DataFrame, srt: DataFrame | None = None) -> DataFrame:
+    """(chapter, kind, place, id, other, text, start, seconds, own_start, own_seconds): what the edits of each chapter begin with.
+
+    timeline is build_timeline's, with words (see caption_cues). Panels that are shown come in order, with their automated
+    times beside them; captions from the spoken words, but not those of a panel that says what the one before said; plain
+    transitions between neighbours; each panel's pan as its effect.  Captions of a chapter without any audio are those of
+    srt(chapter, number, start, end, caption), if there are.  A chapter without an image has no project.
+
+    A null text says nothing; rows without a chapter take no part; an empty timeline gives no rows.
+    """
+    c = F.col
+    null = lambda t: F.lit(None).cast(t)
+    rows = timeline.where(c("chapter").isNotNull()).withColumn("_said", X.strip(X.text(c("text"))))
+    chapters = rows.groupBy("chapter").agg(F.bool_or(X.text(c("image_file")) != "").alias("_shown"), F.bool_or(c("audio_seconds").isNotNull()).alias("_spoken"))
+    order = Window.partitionBy("chapter").orderBy("order")
+    used = rows.join(chapters.where("_shown"), "chapter").where(c("order").isNotNull())
+    used = used.withColumn("_before", F.lag("_said").over(order)).withColumn("_next", F.lead("panel_id").over(order))
+    part = lambda df, kind, place, key, other, text, start, seconds: df.select("chapter", F.lit(kind).alias("kind"), place.cast("long").alias("place"), key.alias("id"), other.alias("other"), text.alias("text"), start.cast("double").alias("start"), seconds.cast("double").alias("seconds"), (start if kind in ("panel", "caption") else null("double")).cast("double").alias("own_start"), (seconds if kind in ("panel", "caption") else null("double")).cast("double").alias("own_seconds"))
+    panels = part(used, "panel", c("order"), c("panel_id"), null("string"), null("string"), c("start_seconds"), c("duration_seconds"))
+    joins = part(used.where("_next is not null"), "transition", c("order"), c("panel_id"), c("_next"), F.lit(JOIN[0]), null("double"), F.lit(JOIN[1]))
+    effects = part(used, "effect", c("order"), c("panel_id"), null("string"), F.coalesce("pan.kind", F.lit("static")), null("double"), c("duration_seconds"))
+    spoken = used.where(c("_spoken") & ((c("_said") == "") | c("_before").isNull() | (c("_said") != c("_before"))))
+    cues = caption_cues(spoken).join(used.select("chapter", "idx", "panel_id"), ["chapter", "idx"])
+    found = cues.select("chapter", c("panel_id").alias("panel"), F.struct("idx", "cue").alias("at"), F.round("start", 3).alias("start"), F.round("end", 3).alias("end"), "caption")
+    if srt is not None:
+        silent = srt.join(chapters.where("_shown and not _spoken").select("chapter"), "chapter")
+        kind = dict(found.dtypes)["at"]
+        found = found.unionByName(silent.select("chapter", F.lit("").alias("panel"), F.struct(c("number").alias("idx"), F.lit(0).alias("cue")).cast(kind).alias("at"), F.round("start", 3).alias("start"), F.round("end", 3).alias("end"), "caption"))
+    number = F.row_number().over(Window.partitionBy("chapter").orderBy("at"))
+    found = found.withColumn("_n", number)
+    captions = part(found, "caption", c("_n"), F.format_string("cap_%03d", "_n"), c("panel"), c("caption"), c("start"), F.round(c("end") - c("start"), 3))
+    return panels.unionByName(captions).unionByName(joins).unionByName(effects)

@@ -299,3 +299,16 @@ def b34_rescale(spark, folder):
     w, h = 200 + F.col("l_partkey") % 900, 100 + F.col("l_suppkey") * 7 % 2000
     size = G.output_size(w, h)
     return table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", G.from_thousandths(F.col("l_quantity") * 20, F.lit(3000)).alias("y"), size["w"].alias("out_w"), size["h"].alias("out_h"))
+
+
+@query(f"""{_CUES}, shown AS (SELECT *, lag(said) OVER w AS before, lead(panel_id) OVER w AS next FROM (SELECT *, {S.strip("coalesce(text, '')")} AS said FROM t WHERE "order" IS NOT NULL) WINDOW w AS (PARTITION BY chapter ORDER BY "order")),
+  spoken AS (SELECT chapter FROM t GROUP BY chapter HAVING count(audio_seconds) > 0),
+  caps AS (SELECT c.chapter, d.panel_id, row_number() OVER (PARTITION BY c.chapter ORDER BY c.idx, cue) AS n, round(s, 3) AS s, round(e, 3) AS e, caption FROM cues c JOIN shown d ON d.chapter = c.chapter AND d.idx = c.idx SEMI JOIN spoken ON spoken.chapter = c.chapter WHERE said = '' OR before IS NULL OR said <> before)
+SELECT chapter, 'panel' AS kind, "order" AS place, panel_id AS id, NULL::VARCHAR AS other, NULL::VARCHAR AS text, start_seconds AS start, duration_seconds AS seconds, start_seconds AS own_start, duration_seconds AS own_seconds FROM shown
+UNION ALL SELECT chapter, 'caption', n, printf('cap_%03d', n), panel_id, caption, s, round(e - s, 3), s, round(e - s, 3) FROM caps
+UNION ALL SELECT chapter, 'transition', "order", panel_id, next, 'cut', NULL, 0.5::DOUBLE, NULL, NULL FROM shown WHERE next IS NOT NULL
+UNION ALL SELECT chapter, 'effect', "order", panel_id, NULL, 'static', NULL, duration_seconds, NULL, NULL FROM shown""")
+def f17_bootstrap(spark, folder):
+    from panelframe.operators import editor
+
+    return editor.bootstrap(timed(told(spark, folder)))

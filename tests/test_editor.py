@@ -161,3 +161,34 @@ def test_empty_and_null_rows(spark):
     log = [(1, 1, None, "a", None, None, None, None), (1, 2, "duration", "a", None, None, None, None), (1, 2, "reorder", None, None, None, None, None), (1, 3, "undo", None, None, None, None, None), (None, 4, "remove", "a", None, None, None, None)]
     got = run(spark, panels, [(1, "c", None, None, None, None)], log)
     assert [r[3] for r in got if r[1] == "panel"] == ["a", "b", "b"] and [r[5] for r in got if r[1] == "caption"] == [""]
+
+
+def test_a_project_begins_with_what_is_shown(spark):
+    words = [{"start": 0.0, "end": 0.4, "text": "Run "}, {"start": 0.5, "end": 0.9, "text": "now"}]
+    pan = {"kind": "up", "travel_px": 3}
+    rows = [
+        ("a", 1, "a1", 1, 0.0, 2.0, pan, "Run now", "1.png", 1.0, words),
+        ("a", 2, "a2", 2, 2.0, 2.0, None, " Run now", "2.png", 1.0, words),
+        ("a", 3, "a3", None, None, None, None, "skipped", "", None, None),
+        ("a", 4, "a4", 3, 4.0, 1.5, pan, None, "4.png", None, None),
+        ("silent", 1, "s1", 1, 0.0, 3.0, pan, "unheard", "1.png", None, None),
+        ("no image", 1, "n1", 1, 0.0, 3.0, pan, "x", "", None, None),
+        (None, 1, "z", 1, 0.0, 3.0, pan, "x", "1.png", None, None),
+    ]
+    kind = "chapter string, idx long, panel_id string, order long, start_seconds double, duration_seconds double, pan struct<kind:string,travel_px:int>, text string, image_file string, audio_seconds double, words array<struct<start:double,end:double,text:string>>"
+    srt = spark.createDataFrame([("silent", 1, 0.5, 1.25, "from a file"), ("a", 1, 0.0, 1.0, "unused")], "chapter string, number long, start double, end double, caption string")
+    got = [tuple(r) for r in E.bootstrap(spark.createDataFrame(rows, kind), srt).orderBy("chapter", "kind", "place").collect()]
+    assert got == [
+        ("a", "caption", 1, "cap_001", "a1", "Run now", 0.0, 1.05, 0.0, 1.05),
+        ("a", "effect", 1, "a1", None, "up", None, 2.0, None, None),
+        ("a", "effect", 2, "a2", None, "static", None, 2.0, None, None),
+        ("a", "effect", 3, "a4", None, "up", None, 1.5, None, None),
+        ("a", "panel", 1, "a1", None, None, 0.0, 2.0, 0.0, 2.0),
+        ("a", "panel", 2, "a2", None, None, 2.0, 2.0, 2.0, 2.0),
+        ("a", "panel", 3, "a4", None, None, 4.0, 1.5, 4.0, 1.5),
+        ("a", "transition", 1, "a1", "a2", "cut", None, 0.5, None, None),
+        ("a", "transition", 2, "a2", "a4", "cut", None, 0.5, None, None),
+        ("silent", "caption", 1, "cap_001", "", "from a file", 0.5, 0.75, 0.5, 0.75),
+        ("silent", "effect", 1, "s1", None, "up", None, 3.0, None, None),
+        ("silent", "panel", 1, "s1", None, None, 0.0, 3.0, 0.0, 3.0),
+    ]
