@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelframe.functions import text as X
-from panelframe.operators.ranks import numbered, top
+from panelframe.operators.ranks import numbered, percentiles, top
 from panelframe.operators.tables import settled
 
 # Geometry and content limits of a verdict.
@@ -114,8 +114,11 @@ def effective(rows: DataFrame, decisions: DataFrame, key: str) -> DataFrame:
 
 def calibrate(scores: DataFrame, key: str) -> DataFrame:
     """Thresholds of each session from its own scores(color, white): fixed below FEWEST panels, else by quartile fence and percentile."""
-    q = lambda c, p: F.percentile(c, F.lit(p))
-    s = scores.groupBy(key).agg(F.count(F.lit(1)).alias("n"), q("color", 0.5).alias("median"), q("color", 0.25).alias("q1"), q("color", 0.75).alias("q3"), q("white", WHITE_PERCENT).alias("w"))
+    # Written narrow, so that what the scores are made of is read once.
+    narrow = settled(scores.select(key, "color", "white"))
+    colours = percentiles(narrow, key, "color", {"median": 0.5, "q1": 0.25, "q3": 0.75})
+    whites = percentiles(narrow, key, "white", {"w": WHITE_PERCENT}).drop("n").withColumnRenamed(key, "_key")
+    s = colours.join(whites, colours[key].eqNullSafe(whites["_key"])).drop("_key")
     few, bw = F.col("n") < FEWEST, F.col("median") < BW_MEDIAN
     fence = F.least(F.greatest(F.lit(0.0), F.col("q1") - IQR_FACTOR * (F.col("q3") - F.col("q1"))), F.lit(COLOR_CAP))
     return s.select(
@@ -146,7 +149,11 @@ def decide(rows: DataFrame, thresholds: DataFrame, key: str) -> DataFrame:
 
 
 def rescue(decided: DataFrame, key: str, order: str) -> DataFrame:
-    """decided, with the least blank rows kept where a session would keep none. Rows of a session are told apart by `order`."""
+    """decided, with the least blank rows kept where a session would keep none. Rows of a session are told apart by `order`.
+
+    The rows are written once, as they are read thrice: without their texts, best.
+    """
+    decided = settled(decided)
     sessions = decided.groupBy(key).agg((F.count_if(F.col("decision") == "keep") == 0).alias("_none"), (F.count_if(F.col("decision") != "blank") > 0).alias("_present"))
     pool = decided.join(sessions.where("_none"), key).where(~F.col("_present") | (F.col("decision") != "blank"))
     kept = top(pool, [key], [F.coalesce("blank_score", F.lit(0.5)), F.col(order)], RESCUED).select(key, order, F.lit(True).alias("_kept"))

@@ -31,3 +31,24 @@ def top(rows: DataFrame, keys: list[str], order: list[Column], n: int) -> DataFr
     """The first n rows of each value of keys by `order`; each task passes on no more than n of a value."""
     w = Window.partitionBy(*keys).orderBy(*order)
     return rows.withColumn("_top", F.row_number().over(w)).where(F.col("_top") <= n).drop("_top")
+
+
+def percentiles(rows: DataFrame, key: str, column: str, shares: dict[str, float]) -> DataFrame:
+    """(key, n, names...): exact percentiles of a column in each value of key, between neighbours in proportion; nulls do not count.
+
+    The values are numbered over ranges and those at the places of a percentile picked, so that no key's values are in one
+    place.  n counts all rows of the key; a key without values has null percentiles.
+    """
+    rows = rows.select(F.col(key), F.col(column).alias("_v"))
+    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.count("_v").alias("_m"))
+    placed = numbered(rows.where("_v is not null"), [key], [F.col("_v")], "_k").withColumnRenamed(key, "_key")
+    near = placed.join(counts, placed["_key"].eqNullSafe(counts[key]))
+    place = {name: (F.col("_m") - 1) * p for name, p in shares.items()}
+    at = lambda k: F.max(F.when(F.col("_k") - 1 == k, F.col("_v")))
+    wanted = F.lit(False)
+    for c in place.values():
+        wanted = wanted | (F.col("_k") - 1 == F.floor(c)) | (F.col("_k") - 1 == F.ceil(c))
+    ends = near.where(wanted).groupBy("_key").agg(F.first("_m").alias("_m"), *[at(f(c)).alias(f"_{side}_{name}") for name, c in place.items() for side, f in (("low", F.floor), ("high", F.ceil))])
+    between = lambda name, c: (F.col(f"_low_{name}") + (F.col(f"_high_{name}") - F.col(f"_low_{name}")) * (c - F.floor(c))).alias(name)
+    found = ends.select("_key", *[between(name, c) for name, c in place.items()])
+    return counts.join(found, counts[key].eqNullSafe(found["_key"]), "left").select(key, "n", *shares)

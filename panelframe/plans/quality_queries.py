@@ -111,7 +111,7 @@ _RESCUED = f"""SELECT doc_id, session, CASE WHEN none AND rank <= 3 THEN 'keep_r
 
 
 def rescued(spark, folder):
-    hard = decided(spark, folder).where("decision <> 'keep' or source in ('src1', 'src2')").withColumn("session", F.col("source"))
+    hard = decided(spark, folder).where("decision <> 'keep' or source in ('src1', 'src2')").select("doc_id", F.col("source").alias("session"), "blank_score", "decision")
     return Q.rescue(hard, "session", "doc_id")
 
 

@@ -148,3 +148,16 @@ def test_gutters_meet_no_rows_and_plans_split(spark):
         assert r["y1"] - r["y0"] <= 300 or folds._place(r["y0"], r["y1"], sorted(mids)) is None
     tall = sorted((r["y0"], r["y1"]) for r in plan if r["strip"] == "tall")
     assert all(a[1] == b[0] for a, b in zip(tall, tall[1:])) and max(b - a for a, b in tall) < 4000
+
+
+def test_percentiles_of_whole_sessions(spark):
+    import numpy as np
+
+    rows = [(s, i, None if v is None else v * 7 % 11) for s, i, v in hot(900)] + [("one", 1, 4), ("none", 2, None)]
+    got = {r["session"]: r for r in ranks.percentiles(table(spark, rows), "session", "value", {"a": 0.25, "b": 0.5, "c": 0.65}).collect()}
+    assert set(got) == {r[0] for r in rows} and got["none"]["a"] is None and got["none"]["n"] == 1
+    for s, r in got.items():
+        values = [v for t, _, v in rows if t == s and v is not None]
+        assert r["n"] == sum(t == s for t, _, _ in rows)
+        if values:
+            assert [r["a"], r["b"], r["c"]] == pytest.approx(np.percentile(values, [25, 50, 65]).tolist())
