@@ -117,12 +117,11 @@ def background(rows: DataFrame, margin: int = 12) -> DataFrame:
     return r.groupBy("strip").agg(F.coalesce(end, common, F.mode(F.round("level"), deterministic=True)).alias("background"))
 
 
-def _entropy(counts: list[Column]) -> Column:
-    """Bits of a histogram given bin by bin."""
-    total = sum(counts[1:], counts[0])
+def _array_entropy(counts: Column) -> Column:
+    """Bits of a histogram in one array: an expression as small as the array is long."""
+    total = F.aggregate(counts, F.lit(0.0), lambda a, n: a + n)
     term = lambda n: F.when(n > 0, -n / total * F.log2(n / total)).otherwise(0.0)
-    terms = [term(n) for n in counts]
-    return sum(terms[1:], terms[0])
+    return F.aggregate(counts, F.lit(0.0), lambda a, n: a + term(n))
 
 
 def _summed(histogram: Column) -> list[Column]:
@@ -143,7 +142,7 @@ def windows(rows: DataFrame, size: int = WINDOW) -> DataFrame:
     coarse = F.array(*_summed(F.when(half, F.col("histogram"))))
     square = F.avg(F.when(half, F.col("plain_variance") + F.col("mean") * F.col("mean")))
     out = rows.groupBy("strip", w).agg(*means, F.array(*_summed(F.col("histogram"))).alias("_h"), F.avg(F.when(half, F.col("mean"))).alias("coarse_mean"), square.alias("coarse_square"), coarse.alias("coarse"), F.count(F.lit(1)).alias("_n"))
-    out = out.withColumn("entropy", _entropy([F.get("_h", F.lit(b)) for b in range(BINS)])).drop("_h")
+    out = out.withColumn("entropy", _array_entropy(F.col("_h"))).drop("_h")
     return out.where((F.col("_n") == size) | (F.col("w") == 0)).drop("_n")
 
 
@@ -183,7 +182,7 @@ def blank_regions(windowed: DataFrame, heights: DataFrame, size: int = WINDOW, p
     least_tall = F.greatest(F.lit(MIN_PIXELS), (F.col("height") * least_share).cast("int"))
     r = r.where(tall >= least_tall)
     plain = blank_score(F.col("variance"), F.col("edge"), F.col("entropy"), F.col("spread"), F.col("foreground"))
-    structure = (F.col("coarse_square") - F.col("coarse_mean") * F.col("coarse_mean") > 2 * MAX_VARIANCE) | (_entropy([F.get("_h", F.lit(b)) for b in range(BINS)]) > MAX_ENTROPY)
+    structure = (F.col("coarse_square") - F.col("coarse_mean") * F.col("coarse_mean") > 2 * MAX_VARIANCE) | (_array_entropy(F.col("_h")) > MAX_ENTROPY)
     r = r.withColumn("_plain", plain).withColumn("_veto", (F.col("_plain") >= SUSPICIOUS) & structure)
     r = r.withColumn("score", F.when(F.col("_veto"), F.col("_plain") / 2).otherwise(F.col("_plain")))
     blank = (F.col("score") >= least_score) & (F.col("content") < CONTENT_SHARE) & (F.col("drift") <= MAX_DRIFT)

@@ -85,7 +85,14 @@ def c16_trimmed(spark, folder):
     return P.trimmed(metrics(spark, folder), keep=16, least=1)
 
 
-@query()
+# The first thin panel joins its taller neighbour, the upper one on ties, again and again.
+@query(f"""WITH RECURSIVE {IQ._GUTTERS}, hs AS (SELECT strip, max(y) + 1 AS h FROM r GROUP BY strip),
+  b AS (SELECT strip, list_concat(list_concat([0::BIGINT], coalesce(list_sort(list(DISTINCT mid) FILTER (mid > 0 AND mid < h)), [])), [max(h)]) AS e FROM hs LEFT JOIN v USING (strip) GROUP BY strip),
+  z AS (SELECT strip, e, 0 AS n FROM b UNION ALL
+    SELECT strip, list_concat(e[1:gone - 1], e[gone + 1:]), n + 1 FROM (SELECT *, CASE WHEN coalesce(e[i] - e[nullif(i - 1, 0)], -1) >= coalesce(e[i + 2] - e[i + 1], -1) THEN i ELSE i + 1 END AS gone
+      FROM (SELECT *, CASE WHEN len(e) > 2 THEN list_min(list_filter(range(1, len(e)), lambda i: e[i + 1] - e[i] < 8)) END AS i FROM z)) WHERE i IS NOT NULL),
+  l AS (SELECT strip, arg_max(e, n) AS e FROM z GROUP BY strip)
+SELECT strip, k::INTEGER AS k, e[k + 1] AS y0, e[k + 2] AS y1 FROM (SELECT *, unnest(range(0, len(e) - 1)) AS k FROM l)""")
 def c09_absorbed(spark, folder):
     rows = IQ.row_metrics(spark, folder)
     heights = rows.groupBy("strip").agg((F.max("y") + 1).alias("height"))
@@ -93,17 +100,21 @@ def c09_absorbed(spark, folder):
     return folds.absorb_thin(cuts, 8)
 
 
-@query()
+# The gutter nearest to the middle of what is over so many rows, the upper one on ties, that leaves both sides a quarter and 50 rows.
+_split = lambda most: f"""CASE WHEN y1 - y0 > {most} THEN list_sort(list_transform(list_filter(g, lambda m: m BETWEEN y0 + greatest(50, (y1 - y0) // 4) AND y1 - greatest(50, (y1 - y0) // 4)), lambda m: {{'d': abs(m - (y0 + y1) // 2), 'm': m}}))[1].m END"""
+_SPLIT = _split(400)
+
+
+@query(f"""WITH RECURSIVE {IQ._GUTTERS}, mids AS (SELECT strip, list(mid * 40) AS g FROM v GROUP BY strip),
+  t AS (SELECT strip, 'p' AS id, 0::BIGINT AS y0, h * 40 AS y1, coalesce(g, []) AS g FROM (SELECT strip, max(y) + 1 AS h FROM r GROUP BY strip) LEFT JOIN mids USING (strip)
+    UNION ALL SELECT strip, unnest([id || 'a', id || 'b']), unnest([y0, cut]), unnest([cut, y1]), g FROM (SELECT *, {_split(1600)} AS cut FROM t) WHERE cut IS NOT NULL)
+SELECT strip, id, y0, y1 FROM t WHERE {_split(1600)} IS NULL""")
 def c10_split(spark, folder):
     rows = IQ.row_metrics(spark, folder)
     panels = rows.groupBy("strip").agg((F.max("y") + 1).alias("y1")).select("strip", F.lit("p").alias("id"), F.lit(0).cast("long").alias("y0"), "y1")
     return folds.split_oversized(panels.withColumn("y1", F.col("y1") * 40), intervals.gutters(rows, IQ.marks(spark, folder)).withColumn("mid", F.col("mid") * 40), 1600)
 
 
-# The gutter nearest to the middle of what is over 400 rows, the upper one on ties, that leaves both sides a quarter and 50 rows.
-_SPLIT = """CASE WHEN y1 - y0 > 400 THEN list_sort(list_transform(list_filter(g, lambda m: m BETWEEN y0 + greatest(50, (y1 - y0) // 4) AND y1 - greatest(50, (y1 - y0) // 4)), lambda m: {'d': abs(m - (y0 + y1) // 2), 'm': m}))[1].m END"""
-
-
 @query(f"""WITH RECURSIVE {IQ._GUTTERS}, hs AS (SELECT strip, max(y) + 1 AS h FROM r GROUP BY strip),
   o AS (SELECT strip, mid, row_number() OVER (PARTITION BY strip ORDER BY mid) AS n FROM v),
   f AS (SELECT strip, 0::BIGINT AS n, 0::BIGINT AS last, [0::BIGINT] AS cuts FROM hs UNION ALL
