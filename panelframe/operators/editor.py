@@ -19,7 +19,8 @@ PART = ["chapter", "kind", "place", "id", "other", "text", "start", "seconds"]
 
 class Chapter:
     """One chapter under edit.  A panel's entry is [panel, seconds, automated seconds, automated start]; every edit leaves a
-    pair of actions, one that takes it back and one that does it again, so that no step keeps a copy of the timeline."""
+    pair of actions, one that takes it back and one that does it again, so that no step keeps a copy of the timeline.
+    Steps keep entries themselves, not copies: what later edits do to an entry, their own steps take back, wherever it is."""
 
     def __init__(self, name):
         self.name = name
@@ -73,7 +74,7 @@ class Chapter:
 
     def _insert(self, at: list[tuple[int, list]]) -> None:
         for k, e in at:
-            self.timeline.insert(k, list(e))
+            self.timeline.insert(k, e)
         self._join()
 
     def _take(self, places: list[int]) -> None:
@@ -129,7 +130,6 @@ class Chapter:
             self._join()
             self.steps, self.done = deque(), 0
         elif op == "reorder":
-            # Entries themselves, not copies: what later edits do to them, later steps take back.
             before, by_id = self.timeline, {e[0]: e for e in self.timeline}
             self._set_order([by_id[p] for p in order or [] if p in by_id])
             self._record((self._set_order, before), (self._set_order, self.timeline[:]))
@@ -142,7 +142,7 @@ class Chapter:
                 self._record((self._last, panel, before), (self._last, panel, after))
         elif op == "remove":
             places = [k for k, e in enumerate(self.timeline) if e[0] == panel]
-            gone = [(k, list(self.timeline[k])) for k in places]
+            gone = [(k, self.timeline[k]) for k in places]
             self._take(places)
             self.captions = {i: c for i, c in self.captions.items() if c["panel"] != panel}
             self.effects.pop(panel, None)
@@ -153,8 +153,9 @@ class Chapter:
                 # After a panel that is not there, at the front; after none, at the end.
                 k = len(self.timeline) if not other else -1 if (k := self._find(other)) is None else k
                 k = k if not other else k + 1
+                entry = list(entry)
                 self._insert([(k, entry)])
-                self._record((self._take, [k]), (self._insert, [(k, list(entry))]))
+                self._record((self._take, [k]), (self._insert, [(k, entry)]))
         elif op == "effect" and panel is not None:
             before = self.effects.get(panel, ("static", 0.0))
             self.effects[panel] = text, round(number or 0.0, 3)

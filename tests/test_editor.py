@@ -192,3 +192,18 @@ def test_a_project_begins_with_what_is_shown(spark):
         ("silent", "effect", 1, "s1", None, "up", None, 3.0, None, None),
         ("silent", "panel", 1, "s1", None, None, 0.0, 3.0, 0.0, 3.0),
     ]
+
+
+def test_a_step_before_a_removal_is_taken_back_whole():
+    chapter = E.Chapter(1)
+    for panel, seconds in (("a", 2.0), ("b", 3.0)):
+        chapter.panel(panel, seconds)
+    edits = [("reorder", None, None, ["b", "a"]), ("duration", "a", 9.0, None), ("remove", "a", None, None), ("add", "a", None, None), ("duration", "a", 5.0, None)]
+    for op, panel, number, order in edits:
+        chapter.apply(op, panel, None, None, number, order)
+    seen = [[e[:2] for e in chapter.timeline]]
+    for op in ["undo"] * 5 + ["redo"] * 5:
+        chapter.apply(op, None, None, None, None, None)
+        seen.append([e[:2] for e in chapter.timeline])
+    back = [[["b", 3.0], ["a", 5.0]], [["b", 3.0], ["a", 2.0]], [["b", 3.0]], [["b", 3.0], ["a", 9.0]], [["b", 3.0], ["a", 2.0]], [["a", 2.0], ["b", 3.0]]]
+    assert seen == back + back[-2::-1]
