@@ -6,6 +6,7 @@ batches; all rules after that are expressions.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from decimal import Decimal
 
 import numpy as np
@@ -157,11 +158,12 @@ def blank_score(variance: Column, edge: Column, entropy: Column, spread: Column,
 PRESETS = {"low": (0.08, 0.95, 0.03), "conservative": (MIN_SHARE, BLANK, CONTENT_FOREGROUND), "high": (0.025, 0.82, 0.07)}
 
 
-def blank_regions(windowed: DataFrame, heights: DataFrame, size: int = WINDOW, preset: str = "conservative") -> DataFrame:
+def blank_regions(windowed: DataFrame, heights: DataFrame, size: int = WINDOW, preset: str = "conservative", whole: Callable[[Column], Column] = lambda c: c.cast("int")) -> DataFrame:
     """(strip, y0, y1, score, verdict, reasons): runs of empty windows, up to MERGE_GAP noisy ones within, tall enough and no gutters.
 
     The last run ends at the last window if the noisy windows after it are within the gap.  A run that shows
     structure in every second row taken together, as a change from window to window does, has half its score.
+    whole makes the least height, a share of the strip's, whole rows: cut off unless given.
     """
     least_share, least_score, least_content = PRESETS[preset]
     empty = (F.col("variance") <= MAX_VARIANCE) & (F.col("edge") <= MAX_EDGE) & (F.col("entropy") <= MAX_ENTROPY)
@@ -179,7 +181,7 @@ def blank_regions(windowed: DataFrame, heights: DataFrame, size: int = WINDOW, p
     )
     r = agg.join(heights, "strip").withColumn("y0", F.col("w0") * size).withColumn("y1", F.least((F.col("w1") + 1) * size, F.col("height")))
     tall = F.col("y1") - F.col("y0")
-    least_tall = F.greatest(F.lit(MIN_PIXELS), (F.col("height") * least_share).cast("int"))
+    least_tall = F.greatest(F.lit(MIN_PIXELS), whole(F.col("height") * least_share))
     r = r.where(tall >= least_tall)
     plain = blank_score(F.col("variance"), F.col("edge"), F.col("entropy"), F.col("spread"), F.col("foreground"))
     structure = (F.col("coarse_square") - F.col("coarse_mean") * F.col("coarse_mean") > 2 * MAX_VARIANCE) | (_array_entropy(F.col("_h")) > MAX_ENTROPY)

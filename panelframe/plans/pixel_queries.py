@@ -67,7 +67,7 @@ def c13_blank_regions(spark, folder):
         "strip", F.col("y").alias("w"), (F.col("variance") * 0.7).alias("variance"), (F.col("edge") * 0.7).alias("edge"), (F.col("entropy") * 0.6).alias("entropy"), "spread", "foreground", "mean",
         F.col("mean").alias("coarse_mean"), (F.col("variance") * 0.7 + F.col("mean") * F.col("mean")).alias("coarse_square"), F.array((bin_ > 24).cast("long"), bin_ % 3).alias("coarse"),
     )
-    return P.blank_regions(w, w.groupBy("strip").agg(((F.max("w") + 1) * 16).alias("height"))).drop("reasons")
+    return P.blank_regions(w, w.groupBy("strip").agg(((F.max("w") + 1) * 16).alias("height")), whole=lambda c: F.ceil(c - 0.5)).drop("reasons")
 
 
 @query(f"""WITH {_M}, c AS (SELECT strip, y0, y0 + 7 AS y1 FROM (SELECT DISTINCT strip, y - y % 9 AS y0 FROM m) )

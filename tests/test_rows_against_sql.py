@@ -30,3 +30,10 @@ def test_promo_after_a_foreign_letter(spark, differing, name, columns):
     texts = ["story laépatreon tale", "story patreoné tale", "tale éx.com", "tale é-x.comé", "tale of\x0bpatreons", "read at home", "reread\tat home", "Ko-fi", "plain", None]
     docs = spark.createDataFrame([(3 * k + 300 * n, t, "en", f"src{n}", len(t or "")) for n in (1, 2) for k, t in enumerate(texts, 1)], "doc_id long, text string, lang string, source string, n_chars long")
     assert not differing(name, columns, documents=docs)
+
+
+def test_least_height_of_a_blank(spark, differing):
+    """51 windows of 16 rows: 0.04 of 816 is 32.64; two empty windows have 32 rows."""
+    rows = [(1, y + 1, 120.3 if y in (10, 11) else 23.9) for y in range(51)] + [(2, y + 100, 120.3 if y in (10, 11) else 23.9) for y in range(50)]
+    events = spark.createDataFrame(rows, "user_id long, event_id long, value double")
+    assert not differing("c13_blank_regions", ["strip", "y0", "y1", "verdict"], events=events)
