@@ -34,13 +34,18 @@ def absorbed(cuts: list[int], height: int, least: int) -> list[int]:
 def absorb_thin(strips: DataFrame, least: int) -> DataFrame:
     """(strip, k, y0, y1) of strips(strip, cut, height) after thin panels are absorbed."""
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        height = int(pdf["height"].iloc[0])
-        edges = [0, *absorbed([int(c) for c in pdf["cut"].dropna().unique() if 0 < c < height], height, least), height]
-        return pd.DataFrame({"strip": pdf["strip"].iloc[0], "k": range(len(edges) - 1), "y0": edges[:-1], "y1": edges[1:]})
+    def join(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            made = []
+            for strip, height, cuts in pdf.itertuples(index=False):
+                edges = [0, *absorbed([int(c) for c in cuts if 0 < c < height], int(height), least), int(height)]
+                made += [(strip, k, a, b) for k, (a, b) in enumerate(zip(edges, edges[1:]))]
+            yield pd.DataFrame(made, columns=["strip", "k", "y0", "y1"])
 
     kind = strips.schema["strip"].dataType.simpleString()
-    return strips.groupBy("strip").applyInPandas(one, f"strip {kind}, k int, y0 long, y1 long")
+    # One row for each strip: a frame for each would cost more than its panels.
+    rows = strips.groupBy("strip").agg(F.first("height").alias("height"), F.collect_set(F.col("cut").cast("long")).alias("cuts"))
+    return rows.mapInPandas(join, f"strip {kind}, k int, y0 long, y1 long")
 
 
 def _place(y0: int, y1: int, gutters: list[int]) -> int | None:
@@ -73,14 +78,21 @@ def pieces(y0: int, y1: int, name: str, gutters: list[int], most: int) -> list[t
 def split_oversized(panels: DataFrame, gutters: DataFrame, most: int) -> DataFrame:
     """(strip, id, y0, y1) of panels(strip, id, y0, y1) split at gutters(strip, mid)."""
 
-    def one(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        cuts = sorted(int(m) for m in right["mid"])
-        rows = [(s, *p) for s, i, a, b in left[["strip", "id", "y0", "y1"]].itertuples(index=False) for p in pieces(int(a), int(b), str(i), cuts, most)]
-        return pd.DataFrame(rows, columns=["strip", "id", "y0", "y1"])
+    def split(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            made = []
+            for strip, panels_, mids in pdf.itertuples(index=False):
+                cuts = [] if mids is None else [int(m) for m in mids]
+                made += [(strip, *p) for panel in panels_ for p in pieces(panel["y0"], panel["y1"], panel["id"], cuts, most)]
+            yield pd.DataFrame(made, columns=["strip", "id", "y0", "y1"])
 
     kind = panels.schema["strip"].dataType.simpleString()
-    other = gutters.select(F.col("strip").alias("of"), "mid")
-    return panels.groupBy("strip").cogroup(other.groupBy("of")).applyInPandas(one, f"strip {kind}, id string, y0 long, y1 long")
+    # One row for each strip: a frame for each would cost more than its panels.
+    panel = F.struct(F.col("id").cast("string").alias("id"), F.col("y0").cast("long").alias("y0"), F.col("y1").cast("long").alias("y1"))
+    left = panels.groupBy("strip").agg(F.collect_list(panel).alias("panels"))
+    right = gutters.groupBy(F.col("strip").alias("of")).agg(F.collect_list(F.col("mid").cast("long")).alias("mids"))
+    rows = left.join(right, left["strip"].eqNullSafe(right["of"]), "left").select("strip", "panels", "mids")
+    return rows.mapInPandas(split, f"strip {kind}, id string, y0 long, y1 long")
 
 
 def fallback_plan(rows: DataFrame, found: DataFrame, least: int, most: int, tiny: int = 5) -> DataFrame:

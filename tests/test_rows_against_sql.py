@@ -1,5 +1,7 @@
 """Queries on a few rows of their own against their SQL."""
 
+import tempfile
+
 import pytest
 
 from panelframe.plans import load, registry
@@ -37,3 +39,14 @@ def test_least_height_of_a_blank(spark, differing):
     rows = [(1, y + 1, 120.3 if y in (10, 11) else 23.9) for y in range(51)] + [(2, y + 100, 120.3 if y in (10, 11) else 23.9) for y in range(50)]
     events = spark.createDataFrame(rows, "user_id long, event_id long, value double")
     assert not differing("c13_blank_regions", ["strip", "y0", "y1", "verdict"], events=events)
+
+
+@pytest.mark.parametrize("name", ["c09_absorbed", "c10_split"])
+def test_strips_have_no_frame_each(spark, differing, name):
+    rows = [(s, 100 * (s or 9) + y, "error" if y % (5 + (s or 3)) == 0 else "view", 30.0) for s in (1, 2, 4) for y in range(90)] + [(7, 5, "error", 30.0)]
+    events = spark.createDataFrame(rows, "user_id long, event_id long, event_type string, value double")
+    columns = ["strip", "k", "y0", "y1"] if name == "c09_absorbed" else ["strip", "id", "y0", "y1"]
+    events.write.parquet("{}/events.parquet".format(folder := tempfile.mkdtemp(prefix="spark-", dir="/tmp")))
+    plan = registry.QUERIES[name](spark, folder)._jdf.queryExecution().optimizedPlan().toString()
+    assert "InPandas" in plan and "GroupsInPandas" not in plan
+    assert not differing(name, columns, events=events)
