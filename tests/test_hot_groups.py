@@ -113,6 +113,21 @@ def test_near_hashes_of_a_crowded_key(spark):
     assert quality.near_hashes(table(spark, [], "id long, hash long")).count() == 0
 
 
+def test_near_hashes_are_not_broadcast(spark, monkeypatch):
+    plans = []
+
+    def final(df):
+        df.collect()
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return df
+
+    settled = quality.settled
+    monkeypatch.setattr(quality, "settled", lambda df: settled(final(df)))
+    rng = random.Random(9)
+    final(quality.near_hashes(table(spark, [(k, rng.getrandbits(12)) for k in range(300)], "id long, hash long")))
+    assert len(plans) == 2 and all("isFinalPlan=true" in p and "Join" in p and "Broadcast" not in p.split("Initial Plan")[0] for p in plans)
+
+
 def test_overrides_meet_texts_once(spark):
     panels = [(f"s0123abcd_p{k}" if k % 2 else f"p{k}", None if k == 4 else f"text {k}") for k in range(60)]
     overrides = [("p1", "plain"), ("s0123abcd_p1", "own"), ("p3", "plain three"), ("s9999ffff_p5", "another's"), ("p2", "two"), ("p6", "  ")]
