@@ -1,4 +1,4 @@
-"""A sink for scripts: each chapter's text and its index, together or not at all."""
+"""Scripts: a sink that writes each chapter's text and its index, together or not at all, and a source that reads them."""
 
 from __future__ import annotations
 
@@ -8,12 +8,17 @@ import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 from panelframe.sources.files import opened
+from panelframe.sources.files import read as content
+
+# Characters of a batch of rows on their way from a task's Python, unless one script alone is longer.
+BATCH = 1 << 22
 
 
 @dataclass
@@ -69,6 +74,37 @@ class _Scripts(DataSourceWriter):
             fs.delete_dir(staging)
 
 
+class _Folders(DataSourceReader):
+    """A task for each folder that a task has written: the driver lists these folders alone, never the chapters within."""
+
+    def __init__(self, options: dict):
+        self.uri = options["path"]
+
+    def partitions(self) -> list[InputPartition]:
+        fs, base = opened(self.uri)
+        found = sorted(f.base_name for f in fs.get_file_info(pafs.FileSelector(base)) if f.base_name.startswith("part-"))
+        return [InputPartition(name) for name in found or [None]]
+
+    def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
+        if partition.value is None:
+            return
+        fs, base = opened(self.uri)
+        rows, held = [], 0
+        out = lambda: pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows)], ["chapter", "script", "lines"])
+        for folder in fs.get_file_info(pafs.FileSelector(f"{base.rstrip('/')}/{partition.value}")):
+            index = content(fs, f"{folder.path}/script.index.json")
+            if index is None:
+                continue
+            index, script = json.loads(index), (content(fs, f"{folder.path}/script.txt") or b"").decode()
+            rows.append((index["chapter"], script, json.dumps(index["lines"], ensure_ascii=False, separators=(",", ":"))))
+            held += len(script) + len(rows[-1][2])
+            if held >= BATCH:
+                yield out()
+                rows, held = [], 0
+        if rows:
+            yield out()
+
+
 class Scripts(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -77,6 +113,9 @@ class Scripts(DataSource):
     def schema(self) -> str:
         return "chapter string, script string, lines string"
 
+    def reader(self, schema) -> DataSourceReader:
+        return _Folders(dict(self.options))
+
     def writer(self, schema, overwrite: bool) -> DataSourceWriter:
         return _Scripts(dict(self.options), overwrite)
 
@@ -97,8 +136,5 @@ def write(rows: DataFrame, path: str, mode: str = "append") -> None:
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """(chapter, script, lines) of what is written at path."""
-    texts = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "script.txt").text(f"{path}/part-*", wholetext=True)
-    index = spark.read.option("recursiveFileLookup", "true").option("multiLine", "true").option("pathGlobFilter", "script.index.json").schema("chapter string, lines array<struct<line:int,panel:string,chars:int>>").json(f"{path}/part-*")
-    at = F.regexp_extract(F.input_file_name(), "^(.*)/script[^/]*$", 1).alias("at")
-    rows = index.select(at, "chapter", F.to_json("lines").alias("lines")).join(texts.select(at, F.col("value").alias("script")), "at", "left")
-    return rows.select("chapter", F.coalesce("script", F.lit("")).alias("script"), "lines")
+    spark.dataSource.register(Scripts)
+    return spark.read.format("scripts").option("path", path).load()

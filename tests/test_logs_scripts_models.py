@@ -109,6 +109,22 @@ def test_text_and_index_come_together(spark, tmp_path):
     assert [r["chapter"] for r in scripts.read(spark, path).collect()] == ["c"]
 
 
+def test_scripts_are_read_by_the_folders_of_tasks(spark, tmp_path, monkeypatch):
+    path = f"file://{tmp_path}/out"
+    df = spark.range(300).select(F.concat(F.lit("c "), "id").alias("chapter"), F.repeat(F.lit("é\r\n"), F.col("id").cast("int")).alias("script"), F.lit('[{"line":1,"panel":"p","chars":2}]').alias("lines"))
+    scripts.write(df.repartition(3), path)
+    got = scripts.read(spark, path)
+    assert got.rdd.getNumPartitions() == 3
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, df.collect()))
+    # Nor does a batch hold more than its due, whatever a task has.
+    monkeypatch.setattr(scripts, "BATCH", 100)
+    reader = scripts.Scripts({"path": path}).reader(None)
+    batches = [b.num_rows for p in reader.partitions() for b in reader.read(p)]
+    assert sum(batches) == 300 and max(batches) < 10 and len(reader.partitions()) == 3
+    scripts.write(df.where("false"), path, "overwrite")
+    assert scripts.read(spark, path).count() == 0
+
+
 def test_a_failed_task_leaves_neither(spark, tmp_path):
     df = spark.createDataFrame([(f"c{k}", "text", "[]" if k < 9 else "{broken") for k in range(10)], scripts.Scripts({}).schema()).repartition(5)
     with pytest.raises(Exception):
