@@ -5,6 +5,7 @@ import os
 import random
 
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -219,3 +220,15 @@ def test_versions_of_a_stored_memory(spark):
 def test_blanked_configuration(spark):
     got = [r[0] for r in spark.createDataFrame([('{"apiKey":"x","token":0,"deep":{"token":"t"},"author":"a"}',), ("[]",)], "a string").coalesce(1).select(N.blanked_config(F.col("a"))).collect()]
     assert got == ['{"apiKey":"","token":0,"deep":{"token":"t"},"author":"a"}', None]
+
+
+def test_batches_of_documents_are_bounded_in_bytes(spark):
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    texts = spark.range(0, 48, 1, 1).select(F.repeat(F.lit("x"), 1 << 20).alias("a"))
+
+    @F.arrow_udf("long")
+    def together(a: pa.Array) -> pa.Array:
+        return pa.array([len(a)] * len(a))
+
+    got = texts.select(N.redacted_json(F.col("a")).alias("r"), together("a").alias("n")).collect()
+    assert len(got) == 48 and max(r["n"] for r in got) <= 8
