@@ -7,11 +7,13 @@ what is held is the memory itself, never the rows.
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +26,7 @@ UPDATE = "seen array<string>, cast array<struct<name:string,role:string,descript
 FIELDS = ["seen", "cast", "places_seen", "places", "resolved", "opened", "events"]
 ENTRY = ["kind", "pos", "name", "role", "description", "aliases", "status", "first_seen", "last_seen"]
 ENTRY_TYPES = "kind string, pos long, name string, role string, description string, aliases array<string>, status string, first_seen long, last_seen long"
+_ARROW = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.list_(pa.string()), pa.string(), pa.int64(), pa.int64()]
 _WORD, _STOP = re.compile("[a-z0-9']+"), frozenset(STOP_WORDS)
 
 
@@ -31,6 +34,7 @@ def one_line(text: str | None, most: int = LONGEST) -> str:
     return (text or "").strip().replace("\n", " ")[:most]
 
 
+@functools.lru_cache(4096)
 def content_words(text: str) -> frozenset[str]:
     return frozenset(_WORD.findall(text.lower())) - _STOP
 
@@ -170,32 +174,44 @@ def story(updates: DataFrame, series: str = "series", order: str = "idx") -> Dat
     number take no part.  A task folds its series one after another from sorted rows and holds the memory of one:
     a series of most rows is one long fold, as every row rests on those before, but never in memory at once.
     """
-    kind, given = dict(updates.dtypes)[series], set(updates.columns)
+    kind = dict(updates.dtypes)[series]
+    # Only the fields that are given go to Python, in Arrow's batches: series are short and many.
+    given = [c for c in FIELDS if c in updates.columns] or FIELDS[:1]
     types = dict(zip(FIELDS, (f.split(" ", 1)[1] for f in UPDATE.split(", ") if " array" in f)))
-    fields = [(F.col(c) if c in given else F.lit(None)).cast(types[c]).alias(c) for c in FIELDS]
+    fields = [(F.col(c) if c in updates.columns else F.lit(None)).cast(types[c]).alias(c) for c in given]
     rows = updates.where(F.col(series).isNotNull() & F.col(order).isNotNull()).select(F.col(series).alias("_series"), F.col(order).cast("long").alias("_order"), *fields)
-    told = F.coalesce(*[F.when(F.size(c) > 0, True) for c in FIELDS], F.lit(False))
+    told = F.coalesce(*[F.when(F.size(c) > 0, True) for c in given], F.lit(False))
     rows = rows.where(told)
-    sorted_ = rows.repartition("_series").sortWithinPartitions("_series", "_order", *[F.to_json(F.struct(*FIELDS))])
+    sorted_ = rows.repartition("_series").sortWithinPartitions("_series", "_order", F.to_json(F.struct(*given)))
 
-    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        name, memory, done = None, None, []
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, memory, of = None, None, None
+        names, done = [], []
 
         def end():
             made = memory.rows()
-            return frame(series, [name] * len(made), made)
+            names.extend([name] * len(made))
+            done.extend(made)
 
-        for pdf in frames:
-            for s, idx, *fields in pdf.itertuples(index=False):
+        def out():
+            columns = list(zip(*done)) or [()] * len(ENTRY)
+            return pa.RecordBatch.from_arrays([pa.array(names, of), *map(pa.array, columns, _ARROW)], [series, *ENTRY])
+
+        for batch in batches:
+            of = batch.schema.field(0).type
+            held = {c: batch.column(k + 2).to_pylist() for k, c in enumerate(given)}
+            for s, idx, *told_ in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), *(held.get(c) or [None] * batch.num_rows for c in FIELDS)):
                 if memory is None or s != name:
                     if memory is not None:
-                        done.append(end())
+                        end()
                     name, memory = s, Story()
-                memory.update(int(idx), *fields)
+                memory.update(idx, *told_)
             if done:
-                yield pd.concat(done)
-                done = []
+                yield out()
+                names.clear()
+                done.clear()
         if memory is not None:
-            yield end()
+            end()
+            yield out()
 
-    return sorted_.select("_series", "_order", *FIELDS).mapInPandas(fold, f"{series} {kind}, {ENTRY_TYPES}")
+    return sorted_.select("_series", "_order", *given).mapInArrow(fold, f"{series} {kind}, {ENTRY_TYPES}")

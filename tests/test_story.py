@@ -153,3 +153,13 @@ def test_a_silent_series_ends_its_chapter(spark, rocks, tmp_path):
     assert sorted(r["kind"] for r in closed) == ["character", "event", "thread"] and {r["first_seen"] for r in closed} == {10}
     new = {r["kind"]: r for r in out.where("not closed").where(F.col("description").isin("anew") | (F.col("first_seen") == 0) | (F.col("kind") == "thread")).collect()}
     assert new["character"]["first_seen"] == new["character"]["last_seen"] == 0 and new["event"]["description"] == "anew" and new["thread"]["status"] == "active"
+
+
+def test_only_given_fields_go_to_python(spark):
+    rows = spark.createDataFrame([(k % 50, k, [f"the red door {k % 7}"]) for k in range(400)], "series long, idx long, opened array<string>")
+    got = S.story(rows)
+    assert {(r["series"], r["pos"]) for r in got.collect()} >= {(k, 1) for k in range(50)}
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "places_seen" not in plan.replace("places_seen array", "") and "MapInArrow" in plan
+    none = S.story(rows.drop("opened"))
+    assert none.count() == 0 and none.columns == got.columns
